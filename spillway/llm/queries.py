@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, simhash_dedup, substring_dedup, token_count
+from . import byte_bpe, fingerprint, mixture, simhash_dedup, substring_dedup, token_count
 
 QUERIES = {
     "op1_token_counts": token_count.op1_token_counts,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_mixture": mixture.op5_mixture,
+    "op8_fingerprints": fingerprint.op8_fingerprints,
 }
 
-ORACLE_SQL = {"op4_substring_dedup": substring_dedup.SQL}
+ORACLE_SQL = {
+    "op4_substring_dedup": substring_dedup.SQL,
+    "op5_mixture": mixture.SQL,
+}
