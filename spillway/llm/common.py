@@ -222,3 +222,82 @@ def per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     sums = np.zeros((len(values) + 1, *values.shape[1:]), np.int64 if values.dtype != float else float)
     np.cumsum(values, axis=0, out=sums[1:])
     return sums[first[1:]] - sums[first[:-1]]
+
+
+#: Lower case and class of each code point of the first plane, from Python's own tables.
+_PLANE = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(1 << 16)]
+LOWER_POINT = np.array([ord(x.lower()) if len(x.lower()) == 1 else ord(x) for x in _PLANE], np.uint32)
+IS_LETTER = np.array([x.isalpha() for x in _PLANE])
+del _PLANE
+
+
+class Letters:
+    """Words of letters, in lower case, of a run of documents, as positions of code points.
+
+    points: all code points; bounds: where each document begins; start, end, first, count,
+    doc: as in ``Words``.  Letters beyond the first plane stand between words.
+    """
+
+    def __init__(self, texts: pa.Array):
+        rows = texts.to_pylist()
+        raw = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)
+        small = np.minimum(raw, 0xFFFF)
+        self.raw = raw
+        self.points = np.where(raw < 1 << 16, LOWER_POINT[small], raw)
+        self.bounds = np.zeros(len(rows) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)), out=self.bounds[1:])
+        inside = np.zeros(len(raw) + 2, bool)
+        inside[1:-1] = IS_LETTER[small] & (raw < 1 << 16)
+        breaks = np.zeros(len(raw) + 1, bool)
+        breaks[self.bounds] = True
+        self.start = np.flatnonzero(inside[1:] & (~inside[:-1] | breaks))
+        self.end = np.flatnonzero(inside[:-1] & (~inside[1:] | breaks))
+        self.first = np.searchsorted(self.start, self.bounds)
+        self.count = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(rows)), self.count)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def hashes(self) -> np.ndarray:
+        return hash_spans(np.ascontiguousarray(self.points, np.uint32).view(np.uint8), self.start * 4, self.end * 4)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words: their hashes, an occurrence of each, and the distinct word of each occurrence."""
+        return np.unique(self.hashes(), return_index=True, return_inverse=True)
+
+    def word(self, i: int) -> str:
+        return self.points[self.start[i] : self.end[i]].tobytes().decode("utf-32-le")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, size: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, text, label): at most ``size`` labelled rows to learn from, none of the held-out fold.
+
+    Rows are taken in the order of a hash of the id; only ids and labels are ordered.
+    """
+    known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label is not null")
+    known = known.where(F.crc32(F.col("id").cast("string")) % fold != held).dropDuplicates(["id"])
+    known = known.orderBy(F.xxhash64("id"), "id").limit(size)
+    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return rows.join(F.broadcast(known), "id")
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, scales and weights (the last one the constant) of a ridge logistic regression, by Newton steps."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    w, penalty = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
+    penalty[-1] = 1e-6
+    for _ in range(steps):
+        p = sigmoid(z @ w)
+        grad = z.T @ (p - y) + penalty * w
+        hess = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty)
+        step = np.linalg.solve(hess, grad)
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    return mean, scale, w

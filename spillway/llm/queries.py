@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fingerprint, mixture, simhash_dedup, substring_dedup, token_count
+from . import byte_bpe, fingerprint, mixture, quality_rules, simhash_dedup, substring_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_token_counts": token_count.op1_token_counts,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_mixture": mixture.op5_mixture,
     "op8_fingerprints": fingerprint.op8_fingerprints,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
