@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fingerprint, mixture, quality_rules, simhash_dedup, substring_dedup, token_count, toxicity
+from . import byte_bpe, fingerprint, language, mixture, quality_model, quality_rules, simhash_dedup, substring_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_token_counts": token_count.op1_token_counts,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_mixture": mixture.op5_mixture,
+    "op6_quality_model": quality_model.op6_quality_model,
+    "op7_language": language.op7_language,
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
