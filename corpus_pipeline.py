@@ -14,8 +14,13 @@ from spillway.llm.common import store, table
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: The mixture is as large as its input: light sources are repeated, heavy ones thinned.
-SHARE_PERCENT = 100
+#: The mixture is larger than its input: light kinds are repeated, few documents of heavy ones left out.
+SHARE_PERCENT = 140
+WEIGHTS = {
+    "domains": {"d0": 45, "d1": 20, "d2": 18, "d3": 17},
+    "langs": {"en": 50, "de": 20, "fr": 20, "es": 10},
+    "sources": {"src0": 100},
+}
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +48,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mixture, once for each pass that takes them."""
-    return mixture.mix(docs, share=SHARE_PERCENT).select(*(F.col(f"row.{c}").alias(c) for c in COLUMNS))
+    return mixture.mix(docs, share=SHARE_PERCENT, **WEIGHTS).select(*(F.col(f"row.{c}").alias(c) for c in COLUMNS))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,7 +182,7 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     for k in range(len(GRAMS) + 1):
         part = table_[:, k * BUCKETS : (k + 1) * BUCKETS] + SMOOTH
         log = np.log(part / part.sum(1, keepdims=True))
-        weight[k * BUCKETS : (k + 1) * BUCKETS] = (log - log.mean(0)).T
+        weight[k * BUCKETS : (k + 1) * BUCKETS] = (log - log.mean(0)).T if names else 0
     share = written / np.maximum(written.sum(1, keepdims=True), 1)
     fits = (share >= WRITTEN).T
     fits[~fits.any(1)] = True

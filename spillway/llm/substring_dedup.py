@@ -32,6 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,8 +103,7 @@ def _pieces(texts: pa.Array, ids: np.ndarray):
 
 
 def _columns(t: pa.Table) -> tuple[pa.Array, np.ndarray]:
-    ids = t.column("id").to_pandas().fillna(LAST).to_numpy(np.int64) if t.column("id").null_count else t.column("id").to_numpy()
-    return texts_of(t.column("text")), ids
+    return texts_of(t.column("text")), pc.fill_null(t.column("id"), LAST).to_numpy()
 
 
 def _low(hashes: np.ndarray, bits: int) -> np.ndarray:

@@ -183,9 +183,9 @@ def choose_terms(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) ->
     for odds, a, term in scored:
         word = term.rstrip("*")
         covers = [kept[word[:k] + "*"] for k in STEMS if word[:k] + "*" in kept and word[:k] + "*" != term]
-        if not any(o >= odds - 1.0 for o, _ in covers):
+        # a stem that stands in hardly more documents than one word is that word, which may be misspelled
+        if not any(o >= odds - 1.0 and (n > 1.05 * a or term.endswith("*")) for o, n in covers):
             kept[term] = (odds, a)
-    # a stem with one word only is that word
     for term in [t for t in kept if not t.endswith("*")]:
         for k in STEMS:
             stem = term[:k] + "*"
