@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import lookup_queries, sql, traffic_queries  # noqa: F401  (the modules register their queries)
+
 FLAGSHIP = "querypop_top"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(sql.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLE_SQL)
