@@ -69,9 +69,9 @@ def followers(keys: DataFrame) -> DataFrame:
     ranged = cut(ranged)
     tops = ranged.groupBy("part").agg(F.max("key").alias("top"))
     # as many rows as ranges
-    after = tops.withColumn("following", F.lead("top").over(Window.orderBy("part")))
-    first = tops.agg(F.max("top").alias("first"))
-    after = after.crossJoin(F.broadcast(first)).select("part", F.coalesce("following", "first").alias("next_top"))
+    order = Window.orderBy("part")
+    first = F.first("top").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = tops.select("part", F.coalesce(F.lead("top").over(order), first).alias("next_top"))
     inside = F.lead("key").over(Window.partitionBy("part").orderBy(F.desc("key")))
     found = ranged.withColumn("inside", inside).join(F.broadcast(after), "part")
     return found.select("key", F.coalesce("inside", "next_top").alias("following"))
@@ -118,17 +118,21 @@ def fingerprint_report(docs: DataFrame, id: str = "doc_id", text: str = "text",
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(id), F.lit(LOWEST)).cast("long").alias("key"), t.alias("t"))
-    rows = rows.withColumns({"n": F.char_length("t").cast("long"), "h": F.xxhash64("t")})
     fps = store(fingerprints(docs, id, text))
-    light = rows.select("id", "key", "n", "h")
+    light = rows.select("id", "key", F.char_length("t").cast("long").alias("n"), F.xxhash64("t").alias("h"))
     links = cut(followers(light))
     needs = light.groupBy("key").agg(F.max(F.expr("n div 3")).cast("int").alias("need"))
     asks = links.join(needs, "key").select(F.col("key").alias("taker"), F.col("following").alias("key"), "need")
-    lent = rows.join(asks, "key").select("taker", F.struct("h", F.substring(F.col("t"), F.lit(1), F.col("need")).alias("head"), "key").alias("lent"))
+    # both joins take the texts by key, so they are dealt once; what follows from a text is worked out behind the joins
+    texts = rows.select("key", "t")
+    head = F.substring(F.col("t"), F.lit(1), F.col("need")).alias("head")
+    lent = texts.join(asks, "key").select("taker", F.struct(F.xxhash64("t").alias("h"), head, "key").alias("lent"))
     lent = lent.groupBy("taker").agg(F.min("lent").alias("lent"))
-    edited = rows.join(lent, rows["key"] == lent["taker"]).select(
-        "key", "h", F.expr("concat(substring(t, 1, int(n - n div 3)), substring(lent.head, 1, int(n div 3)))").alias("e"), "lent.key", "lent.h"
-    ).toDF("key", "h", "e", "next_key", "next_h")
+    edited = texts.join(lent, texts["key"] == lent["taker"]).select(
+        "key", F.xxhash64("t").alias("h"), F.char_length("t").alias("n"), "t", "lent.head", F.col("lent.key").alias("next_key"), F.col("lent.h").alias("next_h")
+    )
+    replaced = F.expr("concat(substring(t, 1, n - cast(n div 3 as int)), substring(head, 1, cast(n div 3 as int)))")
+    edited = edited.select("key", "h", replaced.alias("e"), "next_key", "next_h")
     edited = edited.withColumn("edited_sha256", F.sha2("e", 256))
     keys = ["key", "h", "next_key", "next_h", "edited_sha256"]
     edited = votes(edited, keys, F.col("e")).withColumnRenamed("fp", "edited_fp")
