@@ -131,3 +131,25 @@ def with_tables(sql: str, *names: str) -> str:
     need = ["q", "r", "m"] if "m" in names else []
     need += [n for n in names if n not in need]
     return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in need) + (", " + sql[5:].lstrip() if sql.lstrip()[:5].upper() == "WITH " else " " + sql)
+
+
+def dns_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dns_queries over IPv4 and UDP as captured bytes: (ts, feed_id, caplen, data)."""
+    from pyspark.sql import functions as F
+
+    def h(c, size: int):
+        return F.lpad(F.hex(c), size, "0")
+
+    q = dns_queries(spark, sf_dir).where("ip_type = 4 and not is_tcp")
+    labels = F.transform(F.split(F.rtrim(F.col("qname"), F.lit(".")), r"\."), lambda x: F.concat(h(F.octet_length(x), 2), F.hex(x)))
+    option = F.concat(F.lit("000029"), h(F.col("edns0_max_size"), 4), F.lit("0000"), F.when(F.col("edns0_do"), "8000").otherwise("0000"), F.lit("0000"))
+    dns = F.concat(
+        h(F.col("query_id"), 4), F.when(F.col("rd"), "0100").otherwise("0000"), F.lit("000100000000"), F.when(F.col("has_edns0"), "0001").otherwise("0000"), F.array_join(labels, ""), F.lit("00"), h(F.col("qtype"), 4), h(F.col("qclass"), 4),
+        F.when(F.col("has_edns0"), option).otherwise(""),
+    )
+    q = q.withColumn("dns", dns).withColumn("n", F.octet_length("dns").cast("int") / 2)
+    n = F.col("n").cast("int")
+    ip = F.concat(F.lit("4500"), h(n + 28, 4), h(F.col("seq") % 65536, 4), F.lit("000040110000"), h(F.col("src_v4"), 8), h(F.col("dst_v4"), 8))
+    udp = F.concat(h(F.col("srcport"), 4), h(F.col("dstport"), 4), h(n + 8, 4), F.lit("0000"))
+    data = F.unhex(F.concat(F.lit("020000000001020000000002" + "0800"), ip, udp, F.col("dns")))
+    return q.select("ts", "feed_id", F.octet_length(data).alias("caplen"), data.alias("data"))

@@ -1,0 +1,331 @@
+"""From captured bytes to typed columns.
+
+Ethernet, IP, UDP, TCP and ICMP headers, the chain of IPv6 extension headers and the DNS
+header are built-in expressions on the binary column.  Only the DNS sections, whose names
+point back into the message, are read in Arrow batches.
+"""
+
+from __future__ import annotations
+
+import ipaddress
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructType
+
+from .. import schemas
+from ..functions import net
+
+IPV4, IPV6, TCP, UDP, ICMP, ICMP6 = 0x0800, 0x86DD, 6, 17, 1, 58
+#: IPv6 extension headers that are stepped over: options, routing, mobility, HIP, shim6 and experiments.
+STEPPED = (0, 43, 60, 135, 139, 140, 253, 254)
+FRAGMENT, ENCRYPTED = 44, (50, 51)
+#: Extension headers followed at most.
+CHAIN = 12
+
+
+def number(data: Column | str, at: Column | int, size: int) -> Column:
+    """Big-endian number of ``size`` bytes at a 0-based place; null beyond the end."""
+    data = F.col(data) if isinstance(data, str) else data
+    part = F.substring(data, F.lit(at) + 1 if isinstance(at, int) else at.cast("int") + 1, F.lit(size))
+    return F.when(F.octet_length(part) == size, F.conv(F.hex(part), 16, 10).cast("long"))
+
+
+def part(data: Column | str, at: Column | int, size: Column | int | None = None) -> Column:
+    data = F.col(data) if isinstance(data, str) else data
+    at = F.lit(at) if isinstance(at, int) else at.cast("int")
+    size = F.octet_length(data) if size is None else F.lit(size) if isinstance(size, int) else size.cast("int")
+    return F.substring(data, at + 1, size)
+
+
+@F.pandas_udf(StringType())
+def ip6_text(addresses: pd.Series) -> pd.Series:
+    """Shortest text form of 16 bytes."""
+    return addresses.map(lambda a: None if a is None or len(a) != 16 else str(ipaddress.IPv6Address(bytes(a))))
+
+
+def ethernet(packets: DataFrame) -> DataFrame:
+    """Adds eth_dst, eth_src, eth_type and ``ip``, the bytes behind the header; null where it is cut short."""
+    whole = F.octet_length("data") >= 14
+    return packets.withColumns(
+        {
+            "eth_dst": F.when(whole, net.mac_text(part("data", 0, 6))), "eth_src": F.when(whole, net.mac_text(part("data", 6, 6))), "eth_type": number("data", 12, 2).cast("int"), "ip": F.when(whole, part("data", 14)),
+        }
+    )
+
+
+def _ipv6_chain() -> Column:
+    """Next header, place of the payload and fragment fields behind all extension headers."""
+    start = F.struct(number("ip", 6, 1).alias("nh"), F.lit(40).cast("long").alias("at"), F.lit(0).cast("long").alias("ofs"), F.lit(False).alias("more"), F.lit(None).cast("long").alias("id"), F.lit(False).alias("frag"))
+
+    def step(s: Column, _: Column) -> Column:
+        at = s["at"]
+        is_frag = s["nh"] == FRAGMENT
+        moves = is_frag | s["nh"].isin(*STEPPED)
+        bits = number("ip", at + 2, 2)
+        size = F.when(is_frag, F.lit(8).cast("long")).otherwise((number("ip", at + 1, 1) + 1) * 8)
+        return F.struct(
+            F.when(moves, number("ip", at, 1)).otherwise(s["nh"]).alias("nh"), F.when(moves, at + size).otherwise(at).alias("at"), F.when(is_frag, bits.bitwiseAND(F.lit(0xFFF8))).otherwise(s["ofs"]).alias("ofs"),
+            F.when(is_frag, bits.bitwiseAND(F.lit(1)) == 1).otherwise(s["more"]).alias("more"), F.when(is_frag, number("ip", at + 4, 4)).otherwise(s["id"]).alias("id"), (s["frag"] | is_frag).alias("frag"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(CHAIN)), start, step)
+
+
+def internet(df: DataFrame) -> DataFrame:
+    """Adds the IP columns and ``segment``, the bytes behind the IP header; rows that are no sound IP have ip_type null."""
+    ihl = number("ip", 0, 1).bitwiseAND(F.lit(15)) * 4
+    version = F.shiftright(number("ip", 0, 1), 4)
+    is4 = (F.col("eth_type") == IPV4) & (version == 4) & (ihl >= 20) & (F.octet_length("ip") >= ihl)
+    is6 = (F.col("eth_type") == IPV6) & (version == 6) & (F.octet_length("ip") >= 40)
+    frag = number("ip", 6, 2)
+    df = df.withColumn("ip_type", F.when(is4, 4).when(is6, 6)).withColumn("_six", F.when(is6, _ipv6_chain()))
+    six = F.col("_six")
+    four = F.col("ip_type") == 4
+    ofs = F.when(four, frag.bitwiseAND(F.lit(0x1FFF)) * 8).otherwise(six["ofs"]).cast("int")
+    more = F.when(four, frag.bitwiseAND(F.lit(0x2000)) != 0).otherwise(six["more"])
+    total = F.when(four, number("ip", 2, 2)).otherwise(number("ip", 4, 2) + 40)
+    head = F.when(four, ihl).otherwise(six["at"])
+    df = df.withColumns(
+        {
+            "src_addr": F.when(four, part("ip", 12, 4)).when(is6, part("ip", 8, 16)), "dst_addr": F.when(four, part("ip", 16, 4)).when(is6, part("ip", 24, 16)), "ttl": F.when(four, number("ip", 8, 1)).when(is6, number("ip", 7, 1)).cast("smallint"),
+            "ip_id": F.when(four, number("ip", 4, 2)).cast("int"), "ip6_id": six["id"], "fragment_ofs": ofs, "more_frags": more, "is_fragment": F.when(four, (ofs > 0) | more).otherwise(six["frag"]), "is_reassembled": F.lit(False),
+            "ip_proto": F.when(four, number("ip", 9, 1)).otherwise(six["nh"]).cast("smallint"),
+            # a frame may be padded beyond the packet
+            "segment": F.when(F.col("ip_type").isNotNull(), part("ip", head, F.greatest(F.when(total > 0, total).otherwise(F.octet_length("ip")) - head, F.lit(0)))),
+        }
+    )
+    text = lambda c: F.when(four, net.ip4_to_text(net.ip4_from_bytes(c))).when(F.col("ip_type") == 6, ip6_text(F.col(c)))
+    return df.withColumns({"ip_src": text("src_addr"), "ip_dst": text("dst_addr")}).drop("_six", "ip")
+
+
+def transport(df: DataFrame) -> DataFrame:
+    """Adds ports, UDP length, TCP and ICMP fields and ``payload``; first fragments and whole packets only have them."""
+    s = F.octet_length("segment")
+    first = F.coalesce(F.col("fragment_ofs") == 0, F.lit(False))
+    udp = first & (F.col("ip_proto") == UDP) & (s >= 8)
+    offset = F.shiftright(number("segment", 12, 1), 4) * 4
+    tcp = first & (F.col("ip_proto") == TCP) & (s >= 20) & (offset >= 20) & (offset <= s)
+    icmp = first & F.col("ip_proto").isin(ICMP, ICMP6) & (s >= 2)
+    flags = number("segment", 13, 1)
+    ports = udp | tcp
+    out = {
+        "srcport": F.when(ports, number("segment", 0, 2)).cast("int"), "dstport": F.when(ports, number("segment", 2, 2)).cast("int"), "udp_len": F.when(udp, number("segment", 4, 2)).cast("int"),
+        "tcp_seq": F.when(tcp, number("segment", 4, 4)), "tcp_ack": F.when(tcp, number("segment", 8, 4)), "tcp_flags": F.when(tcp, flags).cast("int"), "tcp_window": F.when(tcp, number("segment", 14, 2)).cast("int"), "tcp_urgent": F.when(tcp, number("segment", 18, 2)).cast("int"),
+        "icmp_type": F.when(icmp, number("segment", 0, 1)).cast("smallint"), "icmp_code": F.when(icmp, number("segment", 1, 1)).cast("smallint"),
+        "payload": F.when(udp, part("segment", 8)).when(tcp, part("segment", offset)).when(icmp, part("segment", 4)),
+    }
+    return df.withColumns(out)
+
+
+def decode_packets(packets: DataFrame) -> DataFrame:
+    """Packets (ts, feed_id, caplen, data) with all header columns; ESP and AH packets are left out, unsound ones kept with nulls."""
+    out = transport(internet(ethernet(packets)))
+    return out.where(~F.coalesce((F.col("ip_type") == 6) & F.col("ip_proto").isin(*ENCRYPTED), F.lit(False)))
+
+
+# --- DNS --------------------------------------------------------------------
+
+
+class Malformed(ValueError):
+    pass
+
+
+class Short(Exception):
+    """The message ends too early."""
+
+
+def read_name(m: bytes, at: int) -> tuple[str, int]:
+    """A name with its final dot ('' for the root) and the place behind it."""
+    labels, after, jumps = [], -1, 0
+    while True:
+        if at >= len(m):
+            raise Short
+        n = m[at]
+        if n >= 0xC0:
+            if at + 1 >= len(m):
+                raise Short
+            after = at + 2 if after < 0 else after
+            at = (n & 0x3F) << 8 | m[at + 1]
+            jumps += 1
+            if jumps > 256:
+                raise Malformed("pointer loop")
+        elif n > 63:
+            raise Malformed("label too long")
+        elif n == 0:
+            name = "".join(x + "." for x in labels)
+            if len(name) > 512:
+                raise Malformed("name too long")
+            return name, at + 1 if after < 0 else after
+        else:
+            if at + 1 + n > len(m):
+                raise Short
+            labels.append(m[at + 1 : at + 1 + n].decode("latin-1"))
+            at += 1 + n
+
+
+def _strings(rdata: bytes) -> list[str]:
+    out, at = [], 0
+    while at < len(rdata):
+        n = rdata[at]
+        if at + 1 + n > len(rdata):
+            raise Malformed("text beyond its record")
+        out.append(rdata[at + 1 : at + 1 + n].decode("latin-1"))
+        at += 1 + n
+    return out
+
+
+def read_record(m: bytes, at: int) -> tuple[dict, int]:
+    name, at = read_name(m, at)
+    if at + 10 > len(m):
+        raise Short
+    kind, klass, ttl, size = struct.unpack_from(">HHIH", m, at)
+    at += 10
+    if at + size > len(m):
+        raise Short
+    rdata, texts = m[at : at + size], None
+    if kind == 1:
+        if size != 4:
+            raise Malformed("address of a wrong size")
+        text = ".".join(map(str, rdata))
+    elif kind == 28:
+        if size != 16:
+            raise Malformed("address of a wrong size")
+        text = ":".join(rdata[i : i + 2].hex() for i in range(0, 16, 2))
+    elif kind in (2, 5):
+        text = read_name(m, at)[0]
+    elif kind == 16:
+        texts = _strings(rdata)
+        text = "\n".join(texts)
+    elif kind == 41:
+        text = f"EDNS0 version {ttl >> 16 & 255}, buffer size {klass}, DO {ttl >> 15 & 1}"
+    else:
+        text = f"{size} byte(s) unparsed RDATA"
+    return {"name": name, "type": kind, "class": klass, "ttl": ttl, "rdata_len": size, "rdata": rdata, "rdata_txt": text, "rdata_list": texts}, at + size
+
+
+def read_options(rdata: bytes, response: bool, out: dict) -> None:
+    """Client subnet and experimental options; a wrong length ends the walk."""
+    at = 0
+    while at + 4 <= len(rdata):
+        code, size = struct.unpack_from(">HH", rdata, at)
+        body = rdata[at + 4 : at + 4 + size]
+        at += 4 + size
+        if len(body) < size:
+            return
+        if code > 65000:
+            out["has_exp_opt"] = True
+        if code == 8 and size >= 4:
+            family, source, scope = struct.unpack_from(">HBB", body)
+            width = {1: 32, 2: 128}.get(family)
+            if width is None:
+                continue
+            source, scope = min(source, width), min(scope, width)
+            if len(body) - 4 != (source + 7) // 8:
+                continue
+            out |= {"has_ecs": True, "ecs_family": family, "ecs_src_scope": source, "ecs_res_scope": scope if response else 0, "ecs_addr": body[4:].ljust(width // 8, b"\0")}
+
+
+def read_message(m: bytes | None, wanted: frozenset[str]) -> dict:
+    """All section columns of one message; of the sections only the wanted ones are kept."""
+    out: dict = dict.fromkeys(c.split()[0] for c in _COLUMNS)
+    out |= {"is_valid": False, "is_partial": False, "has_edns0": False, "edns0_do": False, "has_ecs": False, "has_exp_opt": False, "questions": [], "answers": [], "authorities": [], "additionals": []}
+    if m is None or len(m) < 12:
+        return out | {"parse_error": "short header"}
+    counts = struct.unpack_from(">4H", m, 4)
+    at = 12
+    try:
+        for _ in range(counts[0]):
+            name, at = read_name(m, at)
+            if at + 4 > len(m):
+                raise Short
+            qtype, qclass = struct.unpack_from(">HH", m, at)
+            at += 4
+            out["questions"].append({"qname": name, "qtype": qtype, "qclass": qclass})
+        for section, n in zip(("answers", "authorities", "additionals"), counts[1:]):
+            if section not in wanted and not {"additionals", "edns0"} & wanted:
+                break
+            for _ in range(n):
+                record, at = read_record(m, at)
+                if record["type"] == net.OPT and section == "additionals":
+                    ttl = record["ttl"]
+                    out |= {"has_edns0": True, "edns0_version": ttl >> 16 & 255, "edns0_max_size": record["class"], "edns0_do": bool(ttl >> 15 & 1), "edns0_rcode": ttl >> 24}
+                    read_options(record["rdata"], bool(m[2] & 0x80), out)
+                if section in wanted:
+                    out[section].append(record)
+        out["is_valid"] = True
+    except Short:
+        out |= {"is_valid": True, "is_partial": True}
+    except Malformed as e:
+        out["parse_error"] = str(e)
+    return out
+
+
+_COLUMNS = [
+    "is_valid", "is_partial", "parse_error", "questions", "answers", "authorities", "additionals", "has_edns0", "edns0_version", "edns0_max_size", "edns0_do", "edns0_rcode", "has_ecs", "ecs_family", "ecs_src_scope", "ecs_res_scope", "ecs_addr", "has_exp_opt",
+]
+
+
+def dns_payload(df: DataFrame, port: int = 53) -> DataFrame:
+    """DNS messages over UDP and TCP: a TCP segment without SYN, RST or FIN whose first two bytes are the length of the rest."""
+    df = df.where((F.col("srcport") == port) | (F.col("dstport") == port))
+    is_tcp = F.col("ip_proto") == TCP
+    length = number("payload", 0, 2)
+    sound = ~is_tcp | (length == F.octet_length("payload") - 2)
+    df = df.where(~is_tcp | (F.col("tcp_flags").bitwiseAND(F.lit(7)) == 0)).withColumns({"is_tcp": is_tcp, "is_fragmented": ~is_tcp & F.col("is_fragment"), "_sound": F.coalesce(sound, F.lit(False))})
+    return df.withColumn("payload", F.when(~is_tcp, F.col("payload")).when(F.col("_sound"), part("payload", 2))).withColumn("udp_len", F.when(is_tcp, 0).otherwise(F.col("udp_len"))).drop("_sound")
+
+
+def dns_header(df: DataFrame) -> DataFrame:
+    """Adds query_id, flags, opcode, rcode and the record counts."""
+    f = number("payload", 2, 2)
+    bits = {"qr": 15, "aa": 10, "tc": 9, "rd": 8, "ra": 7, "ad": 5, "cd": 4}
+    out = {"query_id": number("payload", 0, 2).cast("int")} | {k: net.flag(f, b) for k, b in bits.items()}
+    out |= {"opcode": F.shiftright(f, 11).bitwiseAND(F.lit(15)).cast("tinyint"), "rcode": f.bitwiseAND(F.lit(15)).cast("tinyint")}
+    out |= {c: number("payload", 6 + 2 * i, 2).cast("int") for i, c in enumerate(("ans_count", "aut_count", "add_count"))}
+    return df.withColumns(out)
+
+
+def decode_dns(packets: DataFrame, sections: tuple[str, ...] = ("answers", "authorities", "additionals", "edns0"), lower: bool = False, keep_malformed: bool = False, port: int = 53) -> DataFrame:
+    """Decoded packets with DNS columns; ``sections`` says which record lists are filled, ``lower`` puts question names in lower case.
+
+    qname, qtype and qclass are those of the first question.  Malformed messages are left
+    out unless asked for.
+    """
+    df = dns_header(dns_payload(packets, port))
+    wanted = frozenset(sections)
+    fields = StructType.fromDDL(schemas.SECTIONS)
+    types = {f.name: to_arrow_type(f.dataType) for f in fields}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [read_message(m, wanted) for m in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[c] for x in found], types[c]) for c in _COLUMNS)], [*batch.schema.names, *_COLUMNS])
+
+    rest = [c for c in df.columns if c not in ("payload", "segment", "data")]
+    rows = df.select(*rest, "payload")
+    out = rows.mapInArrow(read, StructType([*rows.schema.fields, *fields.fields]))
+    names = F.transform("questions", lambda q: q.withField("qname", F.lower(q["qname"]))) if lower else F.col("questions")
+    out = out.withColumn("questions", names).withColumns({c: F.try_element_at("questions", F.lit(1))[c] for c in ("qname", "qtype", "qclass")})
+    out = out.withColumn("ecs_ip", F.when(F.col("ecs_family") == 1, net.ip4_to_text(net.ip4_from_bytes("ecs_addr"))).when(F.col("ecs_family") == 2, ip6_text(F.col("ecs_addr"))))
+    return out if keep_malformed else out.where("is_valid")
+
+
+def dnskeys(messages: DataFrame) -> DataFrame:
+    """date, fqdn, flags, protocol, algorithm, bitsize, n, e of RSA keys in answers; keys that are too short are left out."""
+    each = messages.select(F.to_date("ts").alias("date"), F.explode("answers").alias("r")).where(F.col("r.type") == net.DNSKEY).select("date", F.col("r.name").alias("fqdn"), F.col("r.rdata").alias("rdata"))
+    short = number("rdata", 4, 1)
+    long_form = short == 0
+    size = F.when(long_form, number("rdata", 5, 2)).otherwise(short)
+    at = F.when(long_form, F.lit(7)).otherwise(F.lit(5)).cast("long")
+    out = each.select(
+        "date", "fqdn", number("rdata", 0, 2).cast("int").alias("flags"), number("rdata", 2, 1).cast("int").alias("protocol"), number("rdata", 3, 1).cast("int").alias("algorithm"), part("rdata", at, size).alias("_e"),
+        part("rdata", at + size).alias("_n"), size.alias("_size"),
+    )
+    out = out.where(F.col("algorithm").isin(1, 5, 7, 8, 10) & (F.octet_length("_e") == F.col("_size")) & (F.octet_length("_n") > 0))
+    return out.select("date", "fqdn", "flags", "protocol", "algorithm", (F.octet_length("_n") * 8).alias("bitsize"), net.hex_text("_n").alias("n"), net.hex_text("_e").alias("e"))

@@ -60,7 +60,7 @@ def with_asn(df: DataFrame, address: str, table: DataFrame, prefix: str = "") ->
     table: from_ip, to_ip, prefix, as_single, as_full; of nested ranges the one that begins
     last counts, then the longer prefix.
     """
-    best = F.max_by(F.struct("as_single", "as_full", "prefix"), F.struct("from_ip", "prefix")).alias("_as")
+    best = F.max_by(F.struct("as_single", "as_full", "prefix"), F.struct("from_ip", "prefix", "as_single")).alias("_as")
     found = _covering(df, address, table, "from_ip", "to_ip").groupBy("_addr").agg(best)
     found = found.select("_addr", F.col("_as.as_single").alias(f"{prefix}as_short"), F.col("_as.as_full").alias(f"{prefix}as_full"), F.col("_as.prefix").alias(f"{prefix}as_prefix"))
     return _back(df, address, found)

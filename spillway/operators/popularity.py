@@ -58,7 +58,7 @@ def name_popularity(dns: DataFrame, interval: str, resolver_ips: list[str]) -> D
 def domain_count(dns: DataFrame, domain: str, interval: str = "300 seconds") -> DataFrame:
     """interval_start and number of queries under one domain."""
     q = queries(dns).where(net.ends_with_any("qname", [domain], ignore_case=False))
-    return q.groupBy(net.interval_start("ts", interval).alias("interval_start")).agg(F.count("*").alias("n"))
+    return q.groupBy(F.window("ts", interval)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("interval_start"), "n")
 
 
 def top_series(counts: DataFrame, top: int, at: str = "interval_start", key: str = "key", value: str = "n") -> DataFrame:

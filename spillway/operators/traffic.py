@@ -39,7 +39,7 @@ def dns_statistics(dns: DataFrame, listen_ips: list[str] | None = None, interval
     All counters are sums in one aggregation, so a message is read once and shuffled never.
     NOTIFY messages have a counter of their own instead of a type.
     """
-    m = for_servers(usable(dns), listen_ips).withColumn("interval_start", net.interval_start("ts", interval))
+    m = for_servers(usable(dns), listen_ips)
     q, r = ~F.col("qr"), F.col("qr")
     typed = q & (F.col("opcode") != 4)
     sized = r & (F.col("udp_len") > 0)
@@ -57,7 +57,12 @@ def dns_statistics(dns: DataFrame, listen_ips: list[str] | None = None, interval
         *(F.count_if(r & (label == x)).alias(f"rcode_{x}") for x in (*net.RCODES.values(), "NODATA", "UNKNOWN")),
         F.count_if(r & F.col("is_fragmented")).alias("responses_fragmented"), F.count_if(r & ~F.col("is_fragmented")).alias("responses_whole"), F.count_if(r & F.col("tc")).alias("responses_truncated"),
     ]
-    return m.groupBy("interval_start").agg(*counters)
+    return _started(m.groupBy(F.window("ts", interval)).agg(*counters))
+
+
+def _started(df: DataFrame) -> DataFrame:
+    """The window's start in place of the window, by which streams must group."""
+    return df.select(F.col("window.start").alias("interval_start"), *(c for c in df.columns if c != "window"))
 
 
 def with_percentages(stats: DataFrame) -> DataFrame:
@@ -142,11 +147,11 @@ def answer_counts(records: DataFrame, interval: str = "60 seconds") -> DataFrame
 
 def totals(packets: DataFrame, interval: str = "60 seconds", keys: tuple[str, ...] = ()) -> DataFrame:
     """Packets, TCP, UDP, queries and responses in each interval (and for each value of ``keys``)."""
-    p = packets.withColumn("interval_start", net.interval_start("ts", interval))
-    return p.groupBy("interval_start", *keys).agg(
+    out = packets.groupBy(F.window("ts", interval), *keys).agg(
         F.count("*").alias("packets"), F.count_if("is_tcp").alias("tcp"), F.count_if(~F.col("is_tcp")).alias("udp"), F.count_if(~F.col("qr")).alias("queries"), F.count_if("qr").alias("responses"),
         F.count_if(F.col("is_valid")).alias("handled"), F.sum("udp_len").cast("long").alias("bytes"),
     )
+    return _started(out)
 
 
 def by_feed(packets: DataFrame, feeds: list[str] | None = None, interval: str = "60 seconds") -> DataFrame:
