@@ -35,7 +35,7 @@ _SHARED = {
 QUERIES = {
     "seq": "event_id", "ts": "ts", "qr": "false", "ip_src": _CLIENT, "ip_dst": _SERVER,
     "src_v4": "case when user_id % 5 = 0 then null else 167772160 + h end",
-    "dst_v4": "case when user_id % 5 = 0 then null when event_id % 4 = 0 then 3221225526 else 3221225525 end",
+    "dst_v4": "case when user_id % 5 = 0 then null when event_id % 4 = 0 then 3221226038 else 3221226037 end",
     "srcport": "cast(1024 + h % 60000 as int)", "dstport": "53", **_SHARED,
     "udp_len": "case when k % 20 = 0 then 0 else 40 + k end", "rcode": "0", "aa": "false", "tc": "false", "is_fragmented": "false",
     "ans_count": "0", "aut_count": "0", "add_count": "case when event_id % 3 <> 0 then 1 else 0 end",
@@ -43,7 +43,7 @@ QUERIES = {
 _SIZE = "cast(100 + floor(value * 10) as int)"
 RESPONSES = {
     "seq": "event_id + 1099511627776", "ts": "ts + k * interval '1' second", "qr": "true", "ip_src": _SERVER, "ip_dst": _CLIENT,
-    "src_v4": "case when user_id % 5 = 0 then null when event_id % 4 = 0 then 3221225526 else 3221225525 end",
+    "src_v4": "case when user_id % 5 = 0 then null when event_id % 4 = 0 then 3221226038 else 3221226037 end",
     "dst_v4": "case when user_id % 5 = 0 then null else 167772160 + h end",
     "srcport": "53", "dstport": "cast(1024 + h % 60000 as int)", **_SHARED,
     "udp_len": f"case when k % 20 = 0 then 0 else {_SIZE} end",

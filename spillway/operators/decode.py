@@ -43,6 +43,11 @@ def part(data: Column | str, at: Column | int, size: Column | int | None = None)
     return F.substring(data, at + 1, size)
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """Keeps later filters from being pushed, with all they refer to written out, below the columns so far."""
+    return df.withColumn("_settled", F.monotonically_increasing_id()).where("_settled >= 0").drop("_settled")
+
+
 @F.pandas_udf(StringType())
 def ip6_text(addresses: pd.Series) -> pd.Series:
     """Shortest text form of 16 bytes."""
@@ -52,11 +57,12 @@ def ip6_text(addresses: pd.Series) -> pd.Series:
 def ethernet(packets: DataFrame) -> DataFrame:
     """Adds eth_dst, eth_src, eth_type and ``ip``, the bytes behind the header; null where it is cut short."""
     whole = F.octet_length("data") >= 14
-    return packets.withColumns(
+    out = packets.withColumns(
         {
             "eth_dst": F.when(whole, net.mac_text(part("data", 0, 6))), "eth_src": F.when(whole, net.mac_text(part("data", 6, 6))), "eth_type": number("data", 12, 2).cast("int"), "ip": F.when(whole, part("data", 14)),
         }
     )
+    return _settled(out)
 
 
 def _ipv6_chain() -> Column:
@@ -84,16 +90,16 @@ def internet(df: DataFrame) -> DataFrame:
     is4 = (F.col("eth_type") == IPV4) & (version == 4) & (ihl >= 20) & (F.octet_length("ip") >= ihl)
     is6 = (F.col("eth_type") == IPV6) & (version == 6) & (F.octet_length("ip") >= 40)
     frag = number("ip", 6, 2)
-    df = df.withColumn("ip_type", F.when(is4, 4).when(is6, 6)).withColumn("_six", F.when(is6, _ipv6_chain()))
+    df = _settled(df.withColumns({"ip_type": F.when(is4, 4).when(is6, 6), "_six": F.when(is6, _ipv6_chain())}))
     six = F.col("_six")
-    four = F.col("ip_type") == 4
+    four, six_ = F.col("ip_type") == 4, F.col("ip_type") == 6
     ofs = F.when(four, frag.bitwiseAND(F.lit(0x1FFF)) * 8).otherwise(six["ofs"]).cast("int")
     more = F.when(four, frag.bitwiseAND(F.lit(0x2000)) != 0).otherwise(six["more"])
     total = F.when(four, number("ip", 2, 2)).otherwise(number("ip", 4, 2) + 40)
     head = F.when(four, ihl).otherwise(six["at"])
     df = df.withColumns(
         {
-            "src_addr": F.when(four, part("ip", 12, 4)).when(is6, part("ip", 8, 16)), "dst_addr": F.when(four, part("ip", 16, 4)).when(is6, part("ip", 24, 16)), "ttl": F.when(four, number("ip", 8, 1)).when(is6, number("ip", 7, 1)).cast("smallint"),
+            "src_addr": F.when(four, part("ip", 12, 4)).when(six_, part("ip", 8, 16)), "dst_addr": F.when(four, part("ip", 16, 4)).when(six_, part("ip", 24, 16)), "ttl": F.when(four, number("ip", 8, 1)).when(six_, number("ip", 7, 1)).cast("smallint"),
             "ip_id": F.when(four, number("ip", 4, 2)).cast("int"), "ip6_id": six["id"], "fragment_ofs": ofs, "more_frags": more, "is_fragment": F.when(four, (ofs > 0) | more).otherwise(six["frag"]), "is_reassembled": F.lit(False),
             "ip_proto": F.when(four, number("ip", 9, 1)).otherwise(six["nh"]).cast("smallint"),
             # a frame may be padded beyond the packet
@@ -101,7 +107,7 @@ def internet(df: DataFrame) -> DataFrame:
         }
     )
     text = lambda c: F.when(four, net.ip4_to_text(net.ip4_from_bytes(c))).when(F.col("ip_type") == 6, ip6_text(F.col(c)))
-    return df.withColumns({"ip_src": text("src_addr"), "ip_dst": text("dst_addr")}).drop("_six", "ip")
+    return _settled(_settled(df).withColumns({"ip_src": text("src_addr"), "ip_dst": text("dst_addr")})).drop("_six", "ip")
 
 
 def transport(df: DataFrame) -> DataFrame:
@@ -120,7 +126,7 @@ def transport(df: DataFrame) -> DataFrame:
         "icmp_type": F.when(icmp, number("segment", 0, 1)).cast("smallint"), "icmp_code": F.when(icmp, number("segment", 1, 1)).cast("smallint"),
         "payload": F.when(udp, part("segment", 8)).when(tcp, part("segment", offset)).when(icmp, part("segment", 4)),
     }
-    return df.withColumns(out)
+    return _settled(df.withColumns(out))
 
 
 def decode_packets(packets: DataFrame) -> DataFrame:
