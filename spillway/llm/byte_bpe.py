@@ -34,11 +34,11 @@ from .common import table, texts_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words of a worker's cache, and of the memory of pairs that it has looked up.
-CACHED, PAIRS = 400_000, 1_500_000
+CACHED, PAIRS = 200_000, 300_000
 #: Words above this many bytes are encoded but not kept.
 LONGEST = 256
 #: Texts whose new words are replayed together.
-TEXTS = 1024
+TEXTS = 256
 #: Above every rank.
 NONE = np.int64(1) << 30
 #: Words above this many bytes are replayed position by position, the others as whole arrays.
@@ -277,9 +277,8 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
         vocabulary = _vocabulary(path)
         get = vocabulary.bytes.__getitem__
         for batch in batches:
-            texts = texts_of(batch.column(1)).to_pylist()
-            for at in range(0, len(texts), TEXTS):
-                some = texts[at : at + TEXTS]
+            for at in range(0, batch.num_rows, TEXTS):
+                some = texts_of(batch.column(1).slice(at, TEXTS)).to_pylist()
                 ids = encode_batch(vocabulary, [split_words(x) for x in some])
                 numbers = [array("I", x) for x in ids]
                 if sys.byteorder == "big":
@@ -292,7 +291,9 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
                     out["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
                     out["decoded_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())
                 else:
-                    out["ids"] = pa.array([x.tolist() for x in numbers], pa.list_(pa.int32()))
+                    ends = np.cumsum([0, *map(len, numbers)]).astype(np.int32)
+                    flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                     out["decoded"] = pa.array(list(decoded), pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
