@@ -202,3 +202,49 @@ def test_reassembly_limits(spark):
     b = reassembly.Buffer(0.0)
     assert b.add(0, True, b"x" * 16) is None and b.add(32, False, b"z" * 5) is None and b.add(16, True, b"y" * 16) == b"x" * 16 + b"y" * 16 + b"z" * 5
     assert reassembly.Buffer(0.0).add(0, False, b"x" * 70_000) is None
+
+
+def test_logs_of_decoded_messages(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from spillway import sinks
+    from spillway.operators import filters
+
+    subnet = rr(b"\0", 41, 0, struct.pack(">HHHBB", 8, 7, 1, 24, 0) + b"\x0a\1\2", 1232)
+    q = message([("a.example.", 1, 1)], additionals=[subnet], flags=0x0100)
+    r = message([("a.example.", 1, 1)], [rr(b"\xc0\x0c", 1, 60, b"\1\2\3\4"), rr(b"\xc0\x0c", 48, 64, struct.pack(">HBB", 257, 3, 8) + b"\3\1\0\1" + b"\x99" * 128)], [rr(b"\0", 2, 5, name("ns."))])
+    frames = [ether(ip4(udp(q))), ether(ip4(udp(r, 53, 4000), src=b"\xc0\0\2\x35", dst=b"\x0a\0\0\1"))]
+    packed = decode.dns_payload(decode.decode_packets(packets(spark, frames)))
+    m = decode.decode_dns(decode.decode_packets(packets(spark, frames))).withColumn("seq", F.monotonically_increasing_id()).cache()
+    log = sorted((x.part, x.client, x.type, x.name, x.rcode) for x in sinks.query_response_log(m).collect())
+    assert [x[0] for x in log] == ["Q(Q)", "Q(R)", "R(ANS)", "R(ANS)", "R(AUT)"] and log[2] == ("R(ANS)", "10.0.0.1", "A", "1.2.3.4", "NOERROR")
+    assert [x.name for x in sinks.answer_names(m).collect()] == ["a.example."] * 2
+    assert [tuple(x) for x in sinks.membership_tuples(m).collect()] == [("10.0.0.1", "a.example.", 1, 1)]
+    named = m.withColumns({c: F.lit("x") for c in ("as_short", "country", "ecs_as_short", "ecs_as_prefix", "ecs_country")} | {"cidr_desc": F.lit("d")})
+    assert [(x.ecs_ip, x.ecs_scope, x.qname) for x in sinks.subnet_log(named).collect()] == [("10.1.2.0", 24, "a.example.")]
+    assert sinks.no_subnet_log(named).count() == 0
+    assert [x.bitsize for x in sinks.dnskey_log(m.withColumn("qtype", F.lit(48))).collect()] == [1024]
+    tap = sinks.dnstap(decode.dns_header(packed), "me", "1").first()
+    assert (tap.socket_family, tap.query_port, bytes(tap.query_message)) == ("INET", 4000, q)
+    assert filters.first_packets(m, 1).count() == 1 and filters.first_packets(m, 0, 10).count() == 2
+    sinks.write_parquet(m.select("ts", "qname"), str(tmp_path / "p"), "1 hour")
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+
+
+def test_report_lines(spark, sf_dir, tmp_path):
+    from spillway import fixtures as fx
+    from spillway import sinks
+    from spillway.operators import darknet, popularity, traffic, unique
+    from spillway.sources import tables
+
+    m = fx.dns_messages(spark, sf_dir)
+    assert " - " in sinks.top_lines(popularity.query_popularity(m, "30 days")).first().value
+    assert sinks.unique_clients_line(unique.unique_clients(m)).first().value.count(";") == 7
+    metrics = traffic.scoped_metrics(m.withColumnRenamed("feed_id", "scope"), "30 days")
+    assert {r.label for r in sinks.summary(metrics, {"queries": "Queries"}).collect()} == {"Queries"}
+    records = darknet.interval_records(darknet.ports(m, "1 day"), darknet.identification(m, "1 day", "query_id"))
+    sinks.write_hourly_json(records, str(tmp_path / "j"))
+    back = tables.darknet_series(tables.read_darknet(spark, str(tmp_path / "j")), "ipid")
+    assert back.groupBy().sum("n").first()[0] == m.count()
+    exact = {(r.interval_start, r.proto, r.port): r.ips_prob_count for r in darknet.ports(m, "1 day", exact=True).collect()}
+    assert all(abs(exact[r.interval_start, r.proto, r.port] - r.ips_prob_count) <= 1 for r in darknet.ports(m, "1 day").collect())
