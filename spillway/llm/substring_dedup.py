@@ -40,7 +40,7 @@ from .common import P1, P4, Words, blocks, mixed, table, texts_of, total_bytes
 
 WINDOW = 50
 #: Bytes of text in a block, and names in a range of hashes, about.
-BLOCK, RANGE = 16 << 20, 1 << 20
+BLOCK, RANGE = 4 << 20, 1 << 20
 ROUNDS = 5
 #: The order of a null id: after every other.
 LAST = np.iinfo(np.int64).max
