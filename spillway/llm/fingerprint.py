@@ -93,7 +93,8 @@ def near(stored: DataFrame, asked: DataFrame, radius: int = RADIUS) -> DataFrame
     s = stored.select(F.col("fp").alias("found"), F.explode(tables(F.col("fp"))).alias("s"))
     a = asked.select(F.col("fp").alias("asked"), F.explode(tables(F.col("fp"))).alias("a"))
     close = F.bit_count(F.col("asked").bitwiseXOR(F.col("found"))) <= radius
-    return a.join(s, (F.col("a.t") == F.col("s.t")) & (F.col("a.front") == F.col("s.front")) & close).select("asked", "found").distinct()
+    # an exploded side is many times what its input was estimated at: never broadcast it
+    return a.join(s.hint("merge"), (F.col("a.t") == F.col("s.t")) & (F.col("a.front") == F.col("s.front")) & close).select("asked", "found").distinct()
 
 
 def _hex(fp: str) -> Column:
