@@ -27,20 +27,26 @@ def identification(packets: DataFrame, interval: str = "300 seconds", column: st
     return p.groupBy("interval_start", "ipid").agg(F.count("*").alias("seen_count"), _distinct("ip_dst", exact).alias("ips_prob_count"))
 
 
+def scan_queries(dns: DataFrame, low: int, high: int) -> DataFrame:
+    """key (name, class and type as five digits, 1 with EDNS0), dst_v4 and ts of queries to [low, high]."""
+    q = dns.where(~F.col("qr") & (F.col("ip_type") == 4) & F.col("dst_v4").between(low, high))
+    key = F.format_string("%s_%05d_%05d_%d", "qname", "qclass", "qtype", F.col("has_edns0").cast("int"))
+    return q.select(key.alias("key"), "dst_v4", "ts")
+
+
 def scans(dns: DataFrame, low: int, high: int, query_threshold: int = 1) -> DataFrame:
-    """Questions asked of many addresses in [low, high] (IPv4): key, ip_count, saturated, approx, seen, first_seen, last_seen.
+    """Questions asked of more than ``query_threshold`` addresses in [low, high] (IPv4): key, ip_count, saturated, approx, seen, first_seen, last_seen.
 
-    ip_count is exact up to SATURATED addresses; beyond, ``saturated`` is set and ``approx``
-    has the estimate.
+    ip_count is exact below SATURATED addresses; from there ``saturated`` is set and ``approx``
+    has the estimate, else 0.
     """
-    q = dns.where(~F.col("qr") & (F.col("ip_type") == 4) & F.col("dst_v4").between(low, high))
-    key = F.concat_ws("_", "qname", F.col("qclass").cast("string"), F.col("qtype").cast("string"), F.when(F.col("has_edns0"), "edns").otherwise("plain"))
+    q = scan_queries(dns, low, high)
     # one row for each question and address first, so the distinct count is a plain one
-    one = q.select(key.alias("key"), "dst_v4", "ts").groupBy("key", "dst_v4").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    one = q.groupBy("key", "dst_v4").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
     out = one.groupBy("key").agg(F.count("*").alias("exact"), F.approx_count_distinct("dst_v4", 0.0087).alias("estimate"), F.sum("n").alias("seen"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"))
-    full = F.col("exact") > SATURATED
-    return out.where(F.col("seen") > query_threshold).select(
-        "key", F.least("exact", F.lit(SATURATED)).cast("long").alias("ip_count"), full.alias("saturated"), F.when(full, F.col("estimate")).otherwise(F.col("exact")).cast("long").alias("approx"), "seen", "first_seen", "last_seen"
+    full = F.col("exact") >= SATURATED
+    return out.where(F.col("exact") > query_threshold).select(
+        "key", F.least("exact", F.lit(SATURATED)).cast("long").alias("ip_count"), full.alias("saturated"), F.when(full, F.col("estimate")).otherwise(0).cast("long").alias("approx"), "seen", "first_seen", "last_seen"
     )
 
 

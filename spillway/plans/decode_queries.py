@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from .. import sinks
 from ..operators import decode, filters, popularity
 from .sql import DAY, query
 
@@ -29,3 +30,12 @@ def decoded_packet_sizes(spark, d):
 def decoded_domain_count(spark, d):
     """Captured bytes to an interval report in one plan."""
     return popularity.domain_count(decode.decode_dns(decode.decode_packets(fx.dns_packets(spark, d)), sections=()), "error.example.", "1 day")
+
+
+@query(
+    f"""SELECT strftime(ts, '%Y-%m-%d-%H') AS hour, epoch_us(ts) / 1000000 AS timestamp, ip_src AS client_ip, CAST(seq % 65536 AS INTEGER) AS ip_ipid, 64 AS ip_ttl, srcport AS udp_srcport, query_id AS dns_qid, qtype AS dns_qtype, qclass AS dns_qclass,
+  qname AS dns_qname, CAST(has_edns0 AS INTEGER) AS dns_edns0, CAST(edns0_do AS INTEGER) AS dns_edns0_do, edns0_max_size AS dns_edns0_maxsize FROM q WHERE {_PACKETS}""",
+    "q",
+)
+def decoded_denat_queries(spark, d):
+    return sinks.denat_queries(decode.decode_dns(decode.decode_packets(fx.dns_packets(spark, d))))

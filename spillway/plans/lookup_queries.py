@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from .. import sinks
 from ..functions import net
-from ..operators import darknet, enrich, match
+from ..operators import darknet, enrich, filters, match, membership
 from .sql import DAY, query
 
 
@@ -96,10 +96,10 @@ def darknet_identification(spark, d):
 
 
 @query(
-    """WITH x AS (SELECT concat_ws('_', qname, CAST(qclass AS VARCHAR), CAST(qtype AS VARCHAR), CASE WHEN has_edns0 THEN 'edns' ELSE 'plain' END) AS key, v, ts
+    """WITH x AS (SELECT printf('%s_%05d_%05d_%d', qname, qclass, qtype, CAST(has_edns0 AS INTEGER)) AS key, v, ts
   FROM (SELECT *, 167772160 + (seq * 7919) % 100000 AS v FROM q WHERE ip_type = 4) WHERE v BETWEEN 167772160 AND 167822160),
-g AS (SELECT key, count(DISTINCT v) AS e, count(*) AS seen, min(ts) AS first_seen, max(ts) AS last_seen FROM x GROUP BY 1 HAVING count(*) > 2)
-SELECT key, least(e, 256) AS ip_count, e > 256 AS saturated, e AS approx, seen, first_seen, last_seen FROM g""",
+g AS (SELECT key, count(DISTINCT v) AS e, count(*) AS seen, min(ts) AS first_seen, max(ts) AS last_seen FROM x GROUP BY 1 HAVING count(DISTINCT v) > 2)
+SELECT key, least(e, 256) AS ip_count, e >= 256 AS saturated, CASE WHEN e >= 256 THEN e ELSE 0 END AS approx, seen, first_seen, last_seen FROM g""",
     "q",
 )
 def darknet_scans(spark, d):
@@ -167,3 +167,28 @@ def log_query_sources(spark, d):
 )
 def log_denat(spark, d):
     return sinks.denat_log(fx.dns_messages(spark, d))
+
+
+_BITS, _HASHES = 4096, 4
+_SPOTS = f"""spots AS (SELECT *, (CAST('0x' || substr(md5(item), 1, 12) AS BIGINT) + CAST('0x' || substr(md5(item), 13, 12) AS BIGINT) * i) % {_BITS} AS pos
+  FROM (SELECT {DAY} AS interval_start, concat_ws(' ', ip_src, qname, CAST(qtype AS VARCHAR)) AS item, seq FROM q) AS x, unnest(range({_HASHES})) AS t(i))"""
+
+
+def _items(q):
+    item = F.concat_ws(" ", "ip_src", "qname", F.col("qtype").cast("string"))
+    return q.select(net.interval_start("ts", "1 day").alias("interval_start"), item.alias("item"), "seq")
+
+
+@query(f"WITH {_SPOTS} SELECT interval_start, pos // 32 AS word, bit_or(1::BIGINT << (pos % 32)) AS bits FROM spots WHERE seq % 9 = 0 GROUP BY ALL", "q")
+def membership_filters(spark, d):
+    return membership.build(_items(filters.by_predicate(fx.dns_queries(spark, d), "seq % 9 = 0")), _BITS, _HASHES)
+
+
+@query(
+    f"""WITH {_SPOTS}, held AS (SELECT DISTINCT interval_start, pos FROM spots WHERE seq % 9 = 0)
+SELECT interval_start, item, bool_and(held.pos IS NOT NULL) AS found FROM spots LEFT JOIN held USING (interval_start, pos) GROUP BY ALL""",
+    "q",
+)
+def membership_found(spark, d):
+    items = _items(fx.dns_queries(spark, d))
+    return membership.contains(membership.build(items.where("seq % 9 = 0"), _BITS, _HASHES), items, _BITS, _HASHES)

@@ -91,6 +91,28 @@ def denat_log(dns: DataFrame) -> DataFrame:
     )
 
 
+def _denat(u: DataFrame, client: str, port: Column, *more: Column) -> DataFrame:
+    number = lambda c: F.col(c).cast("int")
+    return u.select(
+        F.date_format("ts", "yyyy-MM-dd-HH").alias("hour"), (_micros() / 1_000_000).alias("timestamp"), F.col(client).alias("client_ip"), number("ip_id").alias("ip_ipid"), number("ttl").alias("ip_ttl"), port,
+        number("query_id").alias("dns_qid"), number("qtype").alias("dns_qtype"), number("qclass").alias("dns_qclass"), F.col("qname").alias("dns_qname"), *more,
+        F.coalesce(number("has_edns0"), F.lit(0)).alias("dns_edns0"), F.coalesce(number("edns0_do"), F.lit(0)).alias("dns_edns0_do"), F.coalesce(number("edns0_max_size"), F.lit(0)).alias("dns_edns0_maxsize"),
+    )
+
+
+def denat_queries(dns: DataFrame) -> DataFrame:
+    """hour and the columns of a de-NAT query file, of decoded queries over UDP and IPv4."""
+    u = filters.queries(filters.udp_ipv4(dns.where("is_valid")))
+    return _denat(u, "ip_src", F.col("srcport").cast("int").alias("udp_srcport"))
+
+
+def denat_responses(dns: DataFrame) -> DataFrame:
+    """hour and the columns of a de-NAT response file; first_response_ttl is -1 without answers."""
+    u = filters.responses(filters.udp_ipv4(dns.where("is_valid")))
+    first = F.coalesce(F.get("answers", F.lit(0)).getField("ttl"), F.lit(-1)).cast("int").alias("first_response_ttl")
+    return _denat(u, "ip_dst", F.col("dstport").cast("int").alias("udp_dstport"), first)
+
+
 def source_log(dns: DataFrame) -> DataFrame:
     return filters.queries(dns).select(_micros().alias("ts_us"), "ip_src")
 
@@ -115,7 +137,7 @@ def membership_tuples(dns: DataFrame) -> DataFrame:
 
 
 def dnstap(dns: DataFrame, identity: str, version: str) -> DataFrame:
-    """Fields of a CLIENT_QUERY message; its bytes need the protobuf package."""
+    """Fields of a CLIENT_QUERY message; ``dnstap_bytes`` makes its bytes."""
     return filters.queries(dns).select(
         F.lit(identity).alias("identity"), F.lit(version).alias("version"), F.lit("CLIENT_QUERY").alias("type"), _seconds().alias("query_time_sec"), (F.pmod(_micros(), F.lit(1_000_000)) * 1000).alias("query_time_nsec"),
         F.when(F.col("ip_type") == 4, "INET").otherwise("INET6").alias("socket_family"), F.when(F.col("is_tcp"), "TCP").otherwise("UDP").alias("socket_protocol"), F.col("src_addr").alias("query_address"), F.col("srcport").alias("query_port"),
@@ -123,6 +145,45 @@ def dnstap(dns: DataFrame, identity: str, version: str) -> DataFrame:
     )
 
 
+def _varint(n: Column, groups: int = 5) -> Column:
+    """A whole number of at most 7 * ``groups`` bits, seven a byte, lowest first."""
+    n = n.cast("long")
+    cells = []
+    for i in range(groups):
+        here, more = F.shiftrightunsigned(n, 7 * i), F.shiftrightunsigned(n, 7 * (i + 1)) > 0
+        cell = F.lpad(F.hex(here.bitwiseAND(F.lit(127)) + F.when(more, 128).otherwise(0)), 2, "0")
+        cells.append(cell if i == 0 else F.when(here > 0, cell).otherwise(""))
+    return F.unhex(F.concat(*cells))
+
+
+def _tag(number: int, kind: int) -> Column:
+    return F.unhex(F.lit(f"{number << 3 | kind:02x}"))
+
+
+def _field(number: int, value: Column, kind: int = 2) -> Column:
+    """A protobuf field: kind 0 a number, 2 bytes, 5 four bytes lowest first; nothing for null."""
+    if kind == 0:
+        body = _varint(value)
+    elif kind == 5:
+        h = F.lpad(F.hex(value.cast("long")), 8, "0")
+        body = F.unhex(F.concat(*(F.substring(h, i, 2) for i in (7, 5, 3, 1))))
+    else:
+        value = value.cast("binary")
+        body = F.concat(_varint(F.octet_length(value)), value)
+    return F.coalesce(F.concat(_tag(number, kind), body), F.unhex(F.lit("")))
+
+
+def dnstap_bytes(tap: DataFrame) -> DataFrame:
+    """``value``: each row of ``dnstap`` as a serialised message, by its published field numbers."""
+    # fixed values: message type 1 in 15, CLIENT_QUERY 5, INET 1, INET6 2, UDP 1, TCP 2
+    message = F.concat(
+        _field(1, F.lit(5), 0), _field(2, F.when(F.col("socket_family") == "INET", 1).otherwise(2), 0), _field(3, F.when(F.col("socket_protocol") == "UDP", 1).otherwise(2), 0), _field(4, F.col("query_address")),
+        _field(6, F.col("query_port"), 0), _field(8, F.col("query_time_sec"), 0), _field(9, F.col("query_time_nsec"), 5), _field(10, F.col("query_message")),
+    )
+    held = tap.select("identity", "version", message.alias("message"))
+    return held.select(F.concat(_field(1, F.col("identity")), _field(2, F.col("version")), _field(14, F.col("message")), _field(15, F.lit(1), 0)).alias("value"))
+
+
 # --- text lines -----------------------------------------------------------
 
 

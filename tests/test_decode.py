@@ -204,6 +204,29 @@ def test_reassembly_limits(spark):
     assert reassembly.Buffer(0.0).add(0, False, b"x" * 70_000) is None
 
 
+def fields(raw):
+    """Fields of a protobuf message by number."""
+
+    def number(at):
+        n = shift = 0
+        while True:
+            n |= (raw[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if raw[at - 1] < 128:
+                return n, at
+
+    out, at = {}, 0
+    while at < len(raw):
+        tag, at = number(at)
+        if tag & 7 == 0:
+            value, at = number(at)
+        else:
+            size, at = (4, at) if tag & 7 == 5 else number(at)
+            value, at = raw[at : at + size], at + size
+        out[tag >> 3] = value
+    return out
+
+
 def test_logs_of_decoded_messages(spark, tmp_path):
     from pyspark.sql import functions as F
 
@@ -226,6 +249,18 @@ def test_logs_of_decoded_messages(spark, tmp_path):
     assert [x.bitsize for x in sinks.dnskey_log(m.withColumn("qtype", F.lit(48))).collect()] == [1024]
     tap = sinks.dnstap(decode.dns_header(packed), "me", "1").first()
     assert (tap.socket_family, tap.query_port, bytes(tap.query_message)) == ("INET", 4000, q)
+    raw = bytes(sinks.dnstap_bytes(sinks.dnstap(decode.dns_header(packed), "me", "1")).first().value)
+    outer = fields(raw)
+    assert outer.keys() == {1, 2, 14, 15} and (outer[1], outer[2], outer[15]) == (b"me", b"1", 1)
+    micros = m.where("not qr").selectExpr("unix_micros(ts)").first()[0]
+    assert fields(outer[14]) == {1: 5, 2: 1, 3: 1, 4: b"\x0a\0\0\1", 6: 4000, 8: micros // 1_000_000, 9: struct.pack("<I", micros % 1_000_000 * 1000), 10: q}
+    from spillway.sources import tables
+
+    for log, port in ((sinks.denat_queries(m), "udp_srcport"), (sinks.denat_responses(m), "udp_dstport")):
+        sinks.write_csv(log.drop("hour"), str(tmp_path / port))
+        back = tables.read_denat_csv(spark, str(tmp_path / port)).collect()
+        assert [(x.client_ip, x.ip_ttl, x[port], x.dns_qname) for x in back] == [("10.0.0.1", 64, 4000, "a.example.")]
+    assert back[0].first_response_ttl == 60
     assert filters.first_packets(m, 1).count() == 1 and filters.first_packets(m, 0, 10).count() == 2
     sinks.write_parquet(m.select("ts", "qname"), str(tmp_path / "p"), "1 hour")
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2

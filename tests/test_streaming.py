@@ -1,7 +1,7 @@
 """Streams give the rows of batches."""
 
 from spillway import fixtures as fx
-from spillway.operators import match, reassembly, traffic
+from spillway.operators import darknet, match, reassembly, traffic
 from spillway.streaming import stateful, windows
 
 
@@ -42,3 +42,33 @@ def test_fragments(spark, tmp_path):
     f.write.parquet(str(tmp_path / "in"))
     got = collect(spark, stateful.stream_reassembly(spark.readStream.schema(f.schema).parquet(str(tmp_path / "in"))), tmp_path)
     assert [bytes(r.segment) for r in got] == [payload] and reassembly.reassemble(ip).count() == 1
+
+
+def test_scans(spark, sf_dir, tmp_path):
+    from pyspark.sql import functions as F
+
+    m = fx.dns_queries(spark, sf_dir)
+    # one name is asked of so many addresses that it is sketched
+    many = F.when(F.col("seq") % 2 == 0, "all.example.").otherwise(F.col("qname"))
+    m = m.withColumns({"ts": m["ts"].cast("timestamp"), "dst_v4": 1000 + F.col("seq"), "qname": many, "ip_type": F.lit(4), "qclass": F.lit(1), "qtype": F.lit(1), "has_edns0": F.lit(True)})
+    m.write.parquet(str(tmp_path / "in"))
+    stream = stateful.stream_scans(spark.readStream.schema(m.schema).parquet(str(tmp_path / "in")), 0, 1 << 32, 2)
+    got = {r.key: r for r in collect(spark, stream, tmp_path, "update")}
+    batch = {r.key: r for r in darknet.scans(m, 0, 1 << 32, 2).collect()}
+    assert got.keys() == batch.keys() and "all.example._00001_00001_1" in got
+    for k, r in batch.items():
+        assert (got[k].ip_count, got[k].saturated, got[k].seen, got[k].first_seen, got[k].last_seen) == (r.ip_count, r.saturated, r.seen, r.first_seen, r.last_seen)
+        assert abs(got[k].approx - r.approx) <= 0.03 * r.approx
+    assert got["all.example._00001_00001_1"].saturated
+
+
+def test_scans_forget_what_was_asked_once(spark, tmp_path):
+    schema = "second long, qname string, dst_v4 long"
+    steps = [[(0, "a.", 1), (0, "b.", 1), (1, "b.", 2)], [(1000, "c.", 1)], [(1001, "a.", 2), (1001, "b.", 3)]]
+    for rows in steps:
+        df = spark.createDataFrame(rows, schema).selectExpr("timestamp_seconds(1700000000 + second) ts", "qname", "dst_v4", "false qr", "4 ip_type", "1 qclass", "1 qtype", "false has_edns0")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = collect(spark, stateful.stream_scans(source, 0, 10), tmp_path, "update")
+    # a. was forgotten between its two addresses; b. was above the threshold and stays
+    assert [(r.key[0], r.ip_count, r.seen) for r in got] == [("b", 2, 2), ("b", 3, 3)]
