@@ -31,11 +31,12 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    found = simhash_dedup.near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first"))
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["first"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of near-duplicates: the smallest id, nulls last, then the smallest hash of the text.
+
+    Groups are told apart by fingerprint, so documents without an id, or that share one,
+    each stay for their own group.
+    """
+    return simhash_dedup.representatives(docs, carry=COLUMNS[2:]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

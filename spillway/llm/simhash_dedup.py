@@ -95,13 +95,41 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
+def components(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, least, label) from (fp, least): label is the smallest fingerprint reachable, whatever the ids are."""
+    label = connected_components(links(distinct.select("fp"), distance), "a", "b")
+    return distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+
+
+def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), distance: int = DISTANCE) -> DataFrame:
+    """id, text and the columns of ``carry`` of one row for each component.
+
+    That is the row with the smallest id, nulls last; of several rows with that id the one
+    with the smallest hash of its text, then of the carried columns.  Ids need not be there
+    or be unique: only rows of one component are weighed against each other.
+    """
+
+    def hashed(*columns: str):
+        # xxhash64 passes over nulls, so what is null is hashed too
+        return F.xxhash64(*(x for c in columns for x in (F.col(c), F.col(c).isNull())))
+
+    order = F.struct(F.col(id).isNull().alias("missing"), F.col(id).alias("id"), hashed(text).alias("text"), (hashed(*carry) if carry else F.lit(0)).alias("rest"))
+    keyed = docs.select(id, text, *carry, order.alias("order"))
+    rows = fingerprints(keyed, "order", text)
+    distinct = cut(rows.groupBy("fp").agg(F.min("order").alias("least")))
+    first = components(distinct, distance).groupBy("label").agg(F.min("least").alias("least")).select("least")
+    parts = ("missing", "id", "text", "rest")
+    same = [keyed["order"][p].eqNullSafe(first["least"][p]) if p == "id" else keyed["order"][p] == first["least"][p] for p in parts]
+    kept = keyed.join(first, same, "left_semi")
+    # rows alike in all of the order are copies
+    return kept.groupBy("order").agg(*(F.first(c).alias(c) for c in (id, text, *carry))).select(id, text, *carry)
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """id, fingerprint (hex) and component_id (the smallest id reachable) for each row."""
     rows = store(fingerprints(docs, id, text))
     distinct = cut(rows.groupBy("fp").agg(F.min(id).alias("least")))
-    label = connected_components(links(distinct.select("fp"), distance), "a", "b")
-    named = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    named = cut(named)
+    named = cut(components(distinct, distance))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     component = cut(named.join(smallest, "label").select(F.col("fp").alias("of"), "component_id"))
     return rows.join(component, rows["fp"] == component["of"]).select(

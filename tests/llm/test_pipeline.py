@@ -1,9 +1,12 @@
 """The pipeline's stages against plain versions of their decisions."""
 
 import collections
+import random
 import re
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
+
 from spillway.llm import common, mixture, toxicity
 
 from test_operators import plain_components, plain_dedup, plain_fingerprint
@@ -44,3 +47,18 @@ def test_stages_keep_what_they_should(spark):
 
 def test_run_on_the_smallest_tables(spark, sf_dir):
     assert cp.run(spark, sf_dir).where("n_tokens > 0").count() > 100
+
+
+def test_near_duplicates_with_missing_and_shared_ids(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randint(0, 999)) for _ in range(60)) for _ in range(6)]
+    rows = [
+        (None, texts[0], "en", "src0"), (None, texts[1], "en", "src0"), (None, texts[2], "en", "src0"), (1, texts[2], "en", "src0"), (2, texts[2], "de", "src0"),
+        (3, texts[3], "en", "src0"), (3, texts[4], "en", "src0"), (3, texts[5], "en", None), (3, texts[5], None, "en"), (None, texts[5], "fr", "src0"), (None, texts[0], "en", "src0"),
+    ]
+    docs = spark.createDataFrame([(i, t, lang, src, len(t)) for i, t, lang, src in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = common.store(cp.near_duplicates(spark, docs, "")).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(zip((None, None, 1, 3, 3, 3), texts))
+    assert {tuple(r) for r in got} <= {tuple(r) for r in docs.collect()}
+    again = cp.near_duplicates(spark, docs.orderBy(F.desc("lang")).repartition(3), "").collect()
+    assert {tuple(r) for r in again} == {tuple(r) for r in got}
