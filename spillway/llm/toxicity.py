@@ -1,11 +1,12 @@
 """Toxicity (operator 10): a learned lexicon matched with spelling errors, judged in context.
 
 Terms are learned from labelled rows: whole words, and stems (words that begin so), which
-stand in far more toxic than other documents.  The words of the lexicon make a trie; a
-Levenshtein automaton of one error (for words of at least ``FUZZY`` letters) runs over all
+stand in far more toxic than other documents.  The words of the lexicon, and the words that
+its stems stand for, make a trie; a Levenshtein automaton of one error (for words of at least ``FUZZY`` letters) runs over all
 paths of the trie at once, and the reached sets of trie nodes and errors become the states
 of one table.  Texts run through the table a letter of all distinct words at a time; a word
-leaves as soon as its state is dead.  A hit found in a quotation, or near a reporting verb,
+leaves as soon as its state is dead.  A word one error off a term is no misspelling if its own log
+odds in the learning rows are too low for a term.  A hit found in a quotation, or near a reporting verb,
 counts as quoted and not as abuse; the neighbours of hits are scored as well.  A logistic
 regression over a document's hits gives the score.
 
@@ -80,10 +81,12 @@ class Automaton:
         return self.term[state], self.errors[state]
 
 
-def build(words: list[str], stems: list[str], fuzzy: int = FUZZY) -> Automaton:
+def build(words: list[str], stems: list[str], fuzzy: int = FUZZY, forms: dict[str, str] | None = None) -> Automaton:
     """One error is allowed in words of ``fuzzy`` letters or more, none in stems or in a stem's rest.
 
     Terms are numbered in the order words, stems; a stem accepts every word that begins so.
+    ``forms`` are words that a stem covers, with their stem: they may be misspelled like
+    other words, and count as that stem's term.
     Where several terms accept a word, the one with fewer errors counts, then the first.
     """
     child: list[dict[str, int]] = [{}]
@@ -112,7 +115,11 @@ def build(words: list[str], stems: list[str], fuzzy: int = FUZZY) -> Automaton:
         add(w, i, False)
     for i, w in enumerate(stems):
         add(w, len(words) + i, True)
-    letters = sorted({c for t in (*words, *stems) for c in t})
+    place = {w: len(words) + i for i, w in enumerate(stems)}
+    for w, stem in sorted((forms or {}).items()):
+        if len(w) >= fuzzy:
+            add(w, place[stem], False)
+    letters = sorted({c for t in (*words, *stems, *(forms or {})) for c in t})
     classes = {c: k + 1 for k, c in enumerate(letters)}
 
     def closed(nodes: set[tuple[int, int]]) -> frozenset:
@@ -144,7 +151,7 @@ def build(words: list[str], stems: list[str], fuzzy: int = FUZZY) -> Automaton:
             if x < 0:
                 best = min(best, (0, -2 - x))
             else:
-                best = min([best, *((e, t) for t in ends[x] if e == 0 or len(words[t]) >= fuzzy)])
+                best = min([best, *((e, t) for t in ends[x] if e == 0 or t >= len(words) or len(words[t]) >= fuzzy)])
         return best
 
     first = closed({(0, 0)})
@@ -169,12 +176,19 @@ def build(words: list[str], stems: list[str], fuzzy: int = FUZZY) -> Automaton:
     )
 
 
-def choose_terms(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> tuple[list[str], list[str], np.ndarray]:
-    """Words, stems and their weights from the documents with a word ('word') or a stem ('stem*')."""
+def log_odds(a: int, b: int, n_toxic: int, n_clean: int) -> float:
+    return math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
+
+
+def choose_terms(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> tuple[list[str], list[str], np.ndarray, dict[str, str]]:
+    """Words, stems and their weights from the documents with a word ('word') or a stem ('stem*').
+
+    Last, the words left out because a stem covers them, with that stem.
+    """
     scored = []
     for term, a in toxic.items():
         if a >= SUPPORT:
-            odds = math.log((a + 0.5) / (n_toxic + 1)) - math.log((clean.get(term, 0) + 0.5) / (n_clean + 1))
+            odds = log_odds(a, clean.get(term, 0), n_toxic, n_clean)
             if odds >= ODDS:
                 scored.append((odds, a, term))
     # shorter stems first: what a stem says, its longer forms need not say again
@@ -191,17 +205,26 @@ def choose_terms(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) ->
             stem = term[:k] + "*"
             if stem in kept and kept[stem][1] <= toxic[term] * 1.05:
                 del kept[stem]
+    for odds, a, word in scored:
+        # covered only by stems that have gone since
+        if not word.endswith("*") and not any(word[:k] + "*" in kept for k in STEMS):
+            kept[word] = (odds, a)
     best = sorted(kept, key=lambda t: (-kept[t][0] * math.sqrt(kept[t][1]), t))[:TERMS]
     words = sorted(t for t in best if not t.endswith("*"))
     stems = sorted(t[:-1] for t in best if t.endswith("*"))
-    return words, stems, np.array([kept[t][0] for t in words] + [kept[t + "*"][0] for t in stems])
+    forms = {}
+    for _, _, term in scored:
+        held = [term[:k] for k in STEMS if term[:k] in stems]
+        if not term.endswith("*") and term not in kept and held:
+            forms[term] = held[-1]
+    return words, stems, np.array([kept[t][0] for t in words] + [kept[t + "*"][0] for t in stems]), forms
 
 
 @dataclass
 class Model:
     automaton: Automaton
     weights: np.ndarray
-    known: np.ndarray  # hashes of words of clean documents: no misspelling of a term
+    known: np.ndarray  # hashes of words that are no misspelling of a term: by their own odds they are not toxic
     reporting: np.ndarray
     context: np.ndarray  # score by hash of a neighbour
     fit: tuple | None
@@ -301,19 +324,20 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     odds = F.log((F.col("a") + 0.5) / (n_toxic + 1)) - F.log((F.col("b") + 0.5) / (n_clean + 1))
     # bounded by the sample's size
     found = counts.where((F.col("a") >= SUPPORT) & (odds >= ODDS)).orderBy(F.desc(odds * F.sqrt("a")), "term").limit(20 * TERMS).collect()
-    words, stems, weights = choose_terms(Counter({r.term: r.a for r in found}), Counter({r.term: r.b for r in found}), n_toxic, n_clean)
-    automaton = build(words, stems)
+    words, stems, weights, forms = choose_terms(Counter({r.term: r.a for r in found}), Counter({r.term: r.b for r in found}), n_toxic, n_clean)
+    automaton = build(words, stems, forms=forms)
     base = Model(automaton, weights, np.zeros(0, np.uint64), _hash_words(REPORTING), np.zeros(CONTEXT), None)
     shared = rows.sparkSession.sparkContext.broadcast(base)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words one error off a term, by label of their document; neighbours of hits, by label."""
+        """Words one error off a term, once for each document, by its label; neighbours of hits, by label."""
         for batch in batches:
             label, texts = np.array(batch.column(1).to_pylist()), texts_of(batch.column(0))
             for a, b in blocks(texts):
                 w, at, _, errors, _, _ = hits(shared.value, texts.slice(a, b - a))
                 h, y = w.hashes(), label[a:b][w.doc]
                 off = at[errors > 0]
+                off = off[np.unique(np.stack([w.doc[off].astype(np.int64), h[off].view(np.int64)]), axis=1, return_index=True)[1]]
                 kind, keys, ys = [np.zeros(len(off), int)], [h[off].view(np.int64)], [y[off]]
                 for step in (*range(-NEAR, 0), *range(1, NEAR + 1)):
                     n = at[errors == 0] + step
@@ -325,7 +349,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
                 yield pa.RecordBatch.from_pydict({"kind": pa.array(np.concatenate(kind), pa.int32()), "key": pa.array(np.concatenate(keys), pa.int64()), "toxic": pa.array(np.concatenate(ys), pa.int32())})
 
     near = rows.where("half").select("text", "label").mapInArrow(known, "kind int, key long, toxic int").groupBy("kind", "key").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).collect()
-    base.known = np.sort(np.array([r.key for r in near if r.kind == 0 and r.n > r.a], np.int64).view(np.uint64))
+    base.known = np.sort(np.array([r.key for r in near if r.kind == 0 and r.n > r.a and (not r.a or log_odds(r.a, r.n - r.a, n_toxic, n_clean) < ODDS)], np.int64).view(np.uint64))
     context = np.zeros(CONTEXT)
     own = [r for r in near if r.kind == 1]
     rate = (sum(r.a for r in own) + 1) / (sum(r.n for r in own) + 2)

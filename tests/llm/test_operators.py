@@ -385,3 +385,39 @@ def test_toxicity_spelling_and_quotation(spark):
     assert [(r.doc_id, r.errors, r.quoted) for r in found] == [(1000, 1, False), (1000, 1, False), (1002, 0, True)]
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert {r.score for r in toxicity.score_toxicity(docs, none).collect()} == {0.0}
+
+
+def test_toxicity_misspelled_forms_of_a_stem(spark):
+    toxic = collections.Counter({"idiot": 8, "idiots": 8, "idiotic": 8, "idio*": 24, "idiot*": 16, "idioti*": 8})
+    words, stems, weights, forms = toxicity.choose_terms(toxic, collections.Counter(), 30, 300)
+    assert (words, stems) == ([], ["idio"]) and forms == dict.fromkeys(["idiot", "idiots", "idiotic"], "idio")
+    texts = ["idiot", "idiots", "idiotisch", "ediot", "idjot", "idoitic", "idotic", "adio", "idea"]
+    w = common.Letters(pa.array(texts, pa.large_string()))
+    term, errors = toxicity.build(words, stems, forms=forms).run(w.points, w.start, w.end)
+    assert term.tolist() == [0, 0, 0, 0, 0, -1, 0, -1, -1] and errors[:5].tolist() == [0, 0, 0, 1, 1]
+
+
+def test_toxicity_stem_that_goes_leaves_its_words(spark):
+    toxic = collections.Counter({"idiot": 97, "idiotic": 6, "idio*": 100, "idiot*": 100, "idioti*": 6})
+    words, stems, _, forms = toxicity.choose_terms(toxic, collections.Counter(), 120, 900)
+    assert words == ["idiot", "idiotic"] and stems == [] and forms == {}
+
+
+def test_toxicity_misspelling_in_a_clean_document(spark):
+    rng = random.Random(12)
+    make = lambda n: [rng.choice(["river", "mountain", "window", "garden", "letter", "the", "of", "and"]) for _ in range(n)]
+    rows, labels = [], []
+    for i in range(2400):
+        words = make(30)
+        if i % 20 == 0:
+            words[10] = rng.choice(["idiot", "idiots", "idiotic"])
+        if i in (0, 20, 40, 60, 80, 100, 1, 2, 3, 4):
+            words[20] = "ediot"  # too rare for a term
+        elif i % 20 == 1:
+            words[10:13] = ["idlot"] * 3
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 20 == 0)))
+    docs = documents(spark, rows + [(5000, " ".join([*make(10), "ediot", *make(10)])), (5001, " ".join([*make(10), "idlot", *make(10)]))])
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    found = toxicity.spans(docs.where("doc_id >= 5000"), model).collect()
+    assert [(r.doc_id, r.errors) for r in found] == [(5000, 1)]
