@@ -192,3 +192,27 @@ SELECT interval_start, item, bool_and(held.pos IS NOT NULL) AS found FROM spots
 def membership_found(spark, d):
     items = _items(fx.dns_queries(spark, d))
     return membership.contains(membership.build(items.where("seq % 9 = 0"), _BITS, _HASHES), items, _BITS, _HASHES)
+
+
+_ALL_SPOTS = f"""spots AS (SELECT *, (CAST('0x' || substr(md5(item), 1, 12) AS BIGINT) + CAST('0x' || substr(md5(item), 13, 12) AS BIGINT) * i) % {membership.BITS} AS pos
+  FROM items, unnest(range({membership.HASHES})) AS t(i))"""
+_ASKED = f"SELECT {DAY} AS interval_start, concat_ws(' ', ip_src, qname, CAST(qtype AS VARCHAR)) AS item, true AS asked FROM q"
+_NEVER = f"SELECT {DAY} AS interval_start, concat_ws(' ', ip_dst, 'never.' || qname, CAST(qtype AS VARCHAR)) AS item, false AS asked FROM r"
+
+
+@query(f"WITH items AS ({_ASKED}), {_ALL_SPOTS} SELECT interval_start, pos // 32 AS word, bit_or(1::BIGINT << (pos % 32)) AS bits FROM spots GROUP BY ALL", "q")
+def membership_all_filters(spark, d):
+    """Every query of the day, at the operator's own size."""
+    return membership.build(_items(fx.dns_queries(spark, d)))
+
+
+@query(
+    f"""WITH items AS (SELECT DISTINCT * FROM ({_ASKED} UNION ALL {_NEVER})), {_ALL_SPOTS}, held AS (SELECT DISTINCT interval_start, pos FROM spots WHERE asked)
+SELECT interval_start, item, bool_and(held.pos IS NOT NULL) AS found FROM spots LEFT JOIN held USING (interval_start, pos) GROUP BY ALL""",
+    "q", "r",
+)
+def membership_all_found(spark, d):
+    """What was asked, and the responses' names under a label that nobody asked for."""
+    items = _items(fx.dns_queries(spark, d))
+    r = fx.dns_responses(spark, d).withColumn("ip_src", F.col("ip_dst")).withColumn("qname", F.concat(F.lit("never."), "qname"))
+    return membership.contains(membership.build(items), items.unionByName(_items(r)))

@@ -46,3 +46,10 @@ def test_entry(spark):
 
     assert e.entry(spark).limit(1).count() == 1
     assert set(NAMES) <= set(e.queries())
+
+
+def test_membership_filters_hold_every_query(spark, sf_dir):
+    got = registry.queries()["membership_all_found"](spark, sf_dir).toPandas()
+    never = got["item"].str.contains(" never.", regex=False)
+    assert got["found"][~never].all() and (~never).sum() > 0
+    assert never.sum() > 0 and got["found"][never].mean() < 0.02
