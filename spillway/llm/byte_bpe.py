@@ -1,27 +1,36 @@
 """Byte-level BPE (operator 2): merges replayed over the words of a whole block of the corpus.
 
-Every task cuts its texts into words (matches of the vocabulary's pattern), lays the
-distinct words that it has not encoded yet side by side, and indexes them by token pair:
-from the pair's rank to the positions at which it stands.  The ranks present are then taken
-in rising order; all positions of a rank are merged at once, and only the pairs left and
-right of a merged position enter the index anew.  Words already replayed stay in a bounded
-cache of the worker.  Merging by rank over many words at once equals merging each word by
-itself unless a merge brings forth a pair of a lower rank; such words are found and redone
-alone.  Decoding looks up the bytes of each id.
-
-Cases: a null or empty text has no ids; both hashes are then those of no bytes.  Each input
-row gives one row; a null id stays null; extra columns are not read.
+Every task cuts its texts into words (matches of the vocabulary's pattern), numbers the
+distinct ones and lays those that it has not encoded yet side by side, one position for
+each byte.  An inverted index leads from a token pair, named by the rank of the token that
+it makes, to the positions of all words at which the pair stands.  Ranks are then taken in
+rising order; all positions of a rank are merged at once (of overlapping ones every second,
+from the left), and only the pairs left and right of a merged position are looked up and
+enter the index anew.  A text's ids are its words' ids in a row.  Decoding looks up the
+bytes of each id.
+
+A block is a run of texts of about ``BLOCK`` characters, not the whole corpus: one index over
+all words would need them dealt by word and their ids sent back to every text that has
+them.  Encoded words stay known to the worker, up to ``KNOWN`` of them, for its next blocks.
+Taking ranks in order over many words equals merging each word by itself unless a merge
+brings forth a pair of the same or a lower rank; words in which that happens are found and
+redone alone.
+
+Cases: a null, empty text or empty table has no ids; both hashes are then those of no bytes;
+a very long text is a block of its own, whose words are taken in runs of ``NEW`` new ones; each
+input row gives one row; a null id stays null; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 import sys
 from array import array
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import public_tokenizers
@@ -30,19 +39,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import blocks, table, texts_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Words of a worker's cache, and of the memory of pairs that it has looked up.
-CACHED, PAIRS = 200_000, 300_000
-#: Words above this many bytes are encoded but not kept.
-LONGEST = 256
-#: Texts whose new words are replayed together.
-TEXTS = 256
+#: Words that a worker knows, at most, before it forgets them between two blocks.
+KNOWN = 400_000
+#: Characters of text whose new words are replayed together, and new words at which a replay begins earlier.
+BLOCK, NEW = 8 << 20, 300_000
 #: Above every rank.
-NONE = np.int64(1) << 30
-#: Words above this many bytes are replayed position by position, the others as whole arrays.
-ARRAYS = 64
+NONE = np.int32((1 << 31) - 1)
 
 _worker: dict = {}
 
@@ -50,27 +55,30 @@ _worker: dict = {}
 # White space as Unicode's White_Space.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
-_wide = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", rf"[^{_WS}").replace(r"\s", f"[{_WS}]").replace(r"\S", f"[^{_WS}]")).findall
+_wide_pattern = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", rf"[^{_WS}").replace(r"\s", f"[{_WS}]").replace(r"\S", f"[^{_WS}]"))
+_wide = _wide_pattern.findall
 #: Texts of ASCII and Latin letters alone are cut by the standard library's faster module.
 _plain = re.compile(r"[\x00-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u024f]*").fullmatch
 _fast = re.compile(rf" ?[{_LATIN}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+").findall
 
 
-def split_words(text: str) -> list[str]:
+def split_words(text: str) -> Iterable[str]:
     """The matches of the public pattern."""
+    if len(text) > BLOCK:  # one by one, so that not all of them are held
+        return (m.group() for m in _wide_pattern.finditer(text))
     return _fast(text) if _plain(text) else _wide(text)
 
 
 class Vocabulary:
+    """Ranks of tokens and of all pairs that make a token."""
+
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes = [b""] * (max(self.rank.values()) + 1)
         for token, r in self.rank.items():
             self.bytes[r] = token
-        self.single = [self.rank[bytes([b])] for b in range(256)]
-        self.pairs: dict[int, int] = {}
-        # every pair of tokens that is a token itself, sorted, with its rank
+        self.single = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         found = [
             (self.rank[t[:k]] << 20 | self.rank[t[k:]], r)
             for t, r in self.rank.items()
@@ -79,213 +87,157 @@ class Vocabulary:
         ]
         found.sort()
         self.pair_key = np.array([k for k, _ in found], np.int64)
-        self.pair_rank = np.array([r for _, r in found], np.int64)
-        self.first_ids = np.array(self.single, np.int64)
-        self.words: dict[str, bytes] = {}
-
-    def merged(self, a: int, b: int) -> int:
-        """Rank of the two tokens as one, or -1."""
-        key = a << 20 | b
-        r = self.pairs.get(key)
-        if r is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            r = self.pairs[key] = self.rank.get(self.bytes[a] + self.bytes[b], -1)
-        return r
-
-
-    def merged_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of many pairs, NONE where a pair is no token."""
-        key = a << 20 | b
-        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        self.pair_rank = np.array([r for _, r in found], np.int32)
+
+    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the tokens that pairs make, NONE where a pair makes none; negative tokens are in no pair."""
+        key = a.astype(np.int64) << 20 | b
+        at = np.searchsorted(self.pair_key, key)
+        at[at == len(self.pair_key)] = 0
         return np.where(self.pair_key[at] == key, self.pair_rank[at], NONE)
 
 
 def alone(vocabulary: Vocabulary, word: bytes) -> list[int]:
     """One word: merge the leftmost pair of the lowest rank until none is left."""
-    ids = [vocabulary.single[b] for b in word]
-    while len(ids) > 1:
-        ranks = [vocabulary.merged(a, b) for a, b in zip(ids, ids[1:])]
-        best = min((r for r in ranks if r >= 0), default=-1)
-        if best < 0:
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        ranks = [vocabulary.rank.get(a + b, NONE) for a, b in zip(parts, parts[1:])]
+        best = min(ranks)
+        if best == NONE:
             break
         i = ranks.index(best)
-        ids[i : i + 2] = [best]
-    return ids
-
-
-def replay_positions(vocabulary: Vocabulary, words: list[bytes]) -> list[list[int]]:
-    """The ids of each word: one heap of ranks, and from each rank the positions of all words."""
-    single, merged = vocabulary.single, vocabulary.merged
-    known = vocabulary.pairs.get
-    token: list[int] = []  # by position; -1 before, between and after words
-    begin: list[int] = []
-    for w in words:
-        token.append(-1)
-        begin.append(len(token))
-        token.extend(map(single.__getitem__, w))
-    token.append(-1)
-    n = len(token)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    index: dict[int, list[int]] = {}
-    for i in range(n - 1):
-        a, b = token[i], token[i + 1]
-        if a >= 0 and b >= 0:
-            r = known(a << 20 | b)
-            if r is None:
-                r = merged(a, b)
-            if r >= 0:
-                if r in index:
-                    index[r].append(i)
-                else:
-                    index[r] = [i]
-    ranks = list(index)
-    heapq.heapify(ranks)
-    again: set[int] = set()
-    while ranks:
-        rank = heapq.heappop(ranks)
-        places = index.pop(rank)
-        places.sort()
-        for i in places:
-            a = token[i]
-            if a < 0:
-                continue
-            j = after[i]
-            b = token[j]
-            if b < 0 or known(a << 20 | b, -2) != rank and merged(a, b) != rank:
-                continue
-            k = after[j]
-            token[i], token[j] = rank, -2
-            after[i], before[k] = k, i
-            h = before[i]
-            for x, left, right in ((h, token[h], rank), (i, rank, token[k])):
-                if left < 0 or right < 0:
-                    continue
-                r = known(left << 20 | right)
-                if r is None:
-                    r = merged(left, right)
-                if r < 0:
-                    continue
-                if r <= rank:
-                    again.add(i)
-                if r in index:
-                    index[r].append(x)
-                else:
-                    index[r] = [x]
-                    heapq.heappush(ranks, r)
-    out = []
-    for start, w in zip(begin, words):
-        i, ids = start, []
-        while token[i] >= 0:
-            ids.append(token[i])
-            i = after[i]
-        out.append(ids)
-    if again:
-        import bisect
-
-        for w in {bisect.bisect_right(begin, i) - 1 for i in again}:
-            out[w] = alone(vocabulary, words[w])
-    return out
-
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [vocabulary.rank[x] for x in parts]
 
-def replay_arrays(vocabulary: Vocabulary, words: list[bytes]) -> list[bytes]:
-    """The packed ids of each word, all words merged at once.
 
-    The index is the sorted list of positions at which a known pair stands, with the pair's
-    rank.  Each pass takes from it, for every word, the leftmost entry of the lowest rank,
-    which is the word's next merge in rank order, applies all of these, and looks up anew
-    only the pairs that touch a merged position.
-    """
+def replay(vocabulary: Vocabulary, words: list[bytes]) -> list[bytes]:
+    """The ids of each word as little-endian 32-bit integers."""
+    if not words:
+        return []
     size = np.fromiter(map(len, words), np.int64, len(words))
-    token = vocabulary.first_ids[np.frombuffer(b"".join(words), np.uint8)]
+    # a position for each byte, and one before, between and after words that is in no pair
+    begin = np.cumsum(size + 1) - size
+    raw = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8)
+    token = vocabulary.single[raw]
+    token[0] = token[begin + size] = -1
     n = len(token)
-    word = np.repeat(np.arange(len(words)), size)
-    last = np.cumsum(size) - 1
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-    after[last], before[last - size + 1] = -1, -1
-    rank = np.full(n, NONE)
-    inner = np.flatnonzero(after >= 0)
-    rank[inner] = vocabulary.merged_all(token[inner], token[inner + 1])
-    kept = np.ones(n, bool)
-    index = np.flatnonzero(rank < NONE)
-    while len(index):
-        starts = np.flatnonzero(np.diff(word[index], prepend=-1))
-        i = np.minimum.reduceat(rank[index] << 32 | index, starts) & 0xFFFFFFFF
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    pair = np.full(n, NONE, np.int32)  # rank of the pair that begins here
+    pair[:-1] = vocabulary.merged(token[:-1], token[1:])
+    # the index: positions by rank, those of the beginning in one sorted array, later ones in lists
+    first = np.flatnonzero(pair != NONE).astype(np.int32)
+    first = first[np.argsort(pair[first], kind="stable")]
+    ends = np.searchsorted(pair[first], np.arange(len(vocabulary.bytes) + 1)).tolist()
+    later: dict[int, list[np.ndarray]] = {}
+    alive = np.ones(n, bool)
+    again: list[np.ndarray] = []
+    for rank in range(len(vocabulary.bytes)):
+        low, high = ends[rank], ends[rank + 1]
+        new = later.pop(rank, None)
+        if new is None:
+            if low == high:
+                continue
+            i = first[low:high]
+        else:
+            i = np.unique(np.concatenate([first[low:high], *new]))
+        i = i[pair[i] == rank]  # a neighbour may have been merged away since
+        if len(i) > 1:
+            chained = i[1:] == after[i[:-1]]
+            if chained.any():
+                place = np.arange(len(i))
+                start = np.maximum.accumulate(np.where(np.concatenate([[True], ~chained]), place, 0))
+                i = i[(place - start) % 2 == 0]
+        elif not len(i):
+            continue
         j = after[i]
         k = after[j]
-        token[i], after[i] = rank[i], k
-        kept[j], rank[j], rank[i] = False, NONE, NONE
-        right = k >= 0
-        before[k[right]] = i[right]
-        rank[i[right]] = vocabulary.merged_all(token[i[right]], token[k[right]])
-        h = before[i]
-        left = h >= 0
-        h, i = h[left], i[left]
-        rank[h] = vocabulary.merged_all(token[h], token[i])
-        index = np.union1d(index, h)
-        index = index[rank[index] < NONE]
-    ids = token[kept].astype("<u4").tobytes()
-    ends = (np.cumsum(np.bincount(word[kept], minlength=len(words))) * 4).tolist()
-    return [ids[a:b] for a, b in zip([0, *ends], ends)]
+        token[i], after[i], before[k] = rank, k, i
+        alive[j], pair[j] = False, NONE
+        touched = np.concatenate([before[i], i])
+        now = vocabulary.merged(token[touched], token[after[touched]])
+        pair[touched] = now
+        known = now != NONE
+        if known.any():
+            touched, now = touched[known], now[known]
+            order = now.argsort(kind="stable")
+            touched, now = touched[order], now[order]
+            cuts = [0, *(np.flatnonzero(now[1:] != now[:-1]) + 1).tolist(), len(now)]
+            for a, b, r in zip(cuts, cuts[1:], now[cuts[:-1]].tolist()):
+                if r > rank:
+                    later.setdefault(r, []).append(touched[a:b])
+                else:
+                    again.append(touched[a:b])
+    alive[0] = alive[begin + size] = False
+    ids = token[alive].astype("<u4").tobytes()
+    n_ids = np.add.reduceat(alive, begin, dtype=np.int64)
+    stop = (np.cumsum(n_ids) * 4).tolist()
+    out = [ids[a:b] for a, b in zip([0, *stop], stop)]
+    if again:
+        for w in np.unique(np.searchsorted(begin, np.concatenate(again), "right") - 1).tolist():
+            out[w] = np.array(alone(vocabulary, words[w]), "<u4").tobytes()
+    return out
 
 
-def replay(vocabulary: Vocabulary, words: list[bytes]) -> list[bytes]:
-    """The packed ids of each word."""
-    long = {i for i, w in enumerate(words) if len(w) > ARRAYS}
-    if not long:
-        return replay_arrays(vocabulary, words) if words else []
-    some = iter(replay(vocabulary, [w for i, w in enumerate(words) if i not in long]))
-    rest = iter(replay_positions(vocabulary, [words[i] for i in sorted(long)]))
-    return [packed(next(rest)) if i in long else next(some) for i in range(len(words))]
+class Encoder:
+    """A worker's vocabulary and the words that it knows."""
 
-
-def packed(ids: list[int]) -> bytes:
-    a = array("I", ids)
-    if sys.byteorder == "big":
-        a.byteswap()
-    return a.tobytes()
+    def __init__(self, path: str):
+        self.vocabulary = Vocabulary(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.ids: list[bytes] = []
+
+    def learn(self) -> None:
+        """Replays the words numbered since the last time."""
+        new = [w.encode() for w in list(self.number)[len(self.ids) :]]
+        self.ids += replay(self.vocabulary, new)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        if len(self.number) > KNOWN:
+            self.forget()
+        numbered = []
+        for text in texts:
+            words = split_words(text)
+            if isinstance(words, list):
+                numbered.append(array("I", map(self.number.__getitem__, words)))
+                continue
+            some = array("I")
+            for w in words:
+                some.append(self.number[w])
+                if len(self.number) - len(self.ids) > NEW:
+                    self.learn()
+            numbered.append(some)
+        self.learn()
+        return [b"".join(map(self.ids.__getitem__, x)) for x in numbered]
 
 
-def _vocabulary(path: str) -> Vocabulary:
+def _encoder(path: str) -> Encoder:
     if path not in _worker:
-        _worker[path] = Vocabulary(path)
+        _worker[path] = Encoder(path)
     return _worker[path]
 
 
-def encode_batch(vocabulary: Vocabulary, split: list[list[str]]) -> list[bytes]:
-    """The ids of each list of words, as little-endian 32-bit integers."""
-    seen: set[str] = set()
-    for words in split:
-        seen.update(words)
-    cache = vocabulary.words
-    missing = [w for w in seen if w not in cache]
-    if len(cache) + len(missing) > CACHED:
-        cache.clear()
-        missing = list(seen)
-    new = dict(zip(missing, replay(vocabulary, [w.encode() for w in missing]), strict=True))
-    here = {w: new[w] if w in new else cache[w] for w in seen}
-    cache.update((w, x) for w, x in new.items() if len(w) <= LONGEST)
-    return [b"".join(map(here.__getitem__, words)) for words in split]
-
-
 def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, digest: bool = False) -> DataFrame:
     """id, ids array<int>, decoded binary for each row; with ``digest`` n_tokens and the hashes of both instead."""
     path = path or public_tokenizers.path(VOCABULARY)
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(path)
-        get = vocabulary.bytes.__getitem__
+        encoder = _encoder(path)
+        get = encoder.vocabulary.bytes.__getitem__
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                some = texts_of(batch.column(1).slice(at, TEXTS)).to_pylist()
-                ids = encode_batch(vocabulary, [split_words(x) for x in some])
+            texts = texts_of(batch.column(1))
+            for a, b in blocks(texts, BLOCK):
+                ids = encoder.encode(texts.slice(a, b - a).to_pylist())
                 numbers = [array("I", x) for x in ids]
                 if sys.byteorder == "big":
                     for x in numbers:
                         x.byteswap()
                 decoded = (b"".join(map(get, x)) for x in numbers)
-                out = {id: batch.column(0).slice(at, len(some))}
+                out = {id: batch.column(0).slice(a, b - a)}
                 if digest:
                     out["n_tokens"] = pa.array([len(x) for x in numbers], pa.int64())
                     out["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())

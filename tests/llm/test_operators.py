@@ -91,10 +91,21 @@ def test_byte_bpe_is_the_library_and_round_trips(spark, real):
     assert collections.Counter((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in digest) == packed
 
 
-def test_replaying_positions_equals_replaying_arrays():
+def test_replay_equals_merging_each_word_alone(real, monkeypatch):
     v = byte_bpe.Vocabulary(P.path("byte_bpe_50k.tiktoken"))
-    words = [x.encode() for x in odd_texts(500, seed=3, longest=30) if x]
-    assert byte_bpe.replay_arrays(v, words) == [byte_bpe.packed(x) for x in byte_bpe.replay_positions(v, words)] == [byte_bpe.packed(byte_bpe.alone(v, w)) for w in words]
+    words = [x.encode() for x in odd_texts(500, seed=3, longest=30) + [w for _, t in real[:100] for w in t.split()] if x]
+    words += [b"a" * n for n in range(1, 40)] + [b"ab" * 31 + b"a", b"\x00", b"\xff\xfe\x00\xff", b" " * 17]
+    packed = [np.array(byte_bpe.alone(v, w), "<u4").tobytes() for w in words]
+    assert byte_bpe.replay(v, words) == packed
+    assert byte_bpe.replay(v, []) == []
+    # texts above BLOCK, replays in the middle of a text, words forgotten between blocks
+    texts = [" ".join(w.decode("latin-1") for w in words)] * 2 + ["", "one"]
+    plain = [[x for w in byte_bpe.split_words(t) for x in byte_bpe.alone(v, w.encode())] for t in texts]
+    for name, value in (("BLOCK", 50), ("NEW", 7), ("KNOWN", 5)):
+        monkeypatch.setattr(byte_bpe, name, value)
+    e = byte_bpe.Encoder(P.path("byte_bpe_50k.tiktoken"))
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == plain
 
 
 def plain_fingerprint(text, size=4):
