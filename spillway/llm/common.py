@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass holds; a longer document is a run of its own.
@@ -48,12 +48,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where all run on one machine."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     held = sc._jsc.sc().getCheckpointDir()
+    if not found and held.isDefined():
+        found = held.get()
     if not found:
-        found = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     if not held.isDefined():
         sc.setCheckpointDir(found)
     return found
@@ -66,9 +70,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def store(df: DataFrame) -> DataFrame:
-    """A larger table, kept as Parquet in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/spillway-{uuid.uuid4().hex}"
+    """A larger table, kept as Parquet in the shared folder until the application ends."""
+    spark = df.sparkSession
+    own = f"{shared_dir(spark)}/spillway-{spark.sparkContext.applicationId}"
+    path = f"{own}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(own)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -235,7 +243,7 @@ class Letters:
     """Words of letters, in lower case, of a run of documents, as positions of code points.
 
     points: all code points; bounds: where each document begins; start, end, first, count,
-    doc: as in ``Words``.  Letters beyond the first plane stand between words.
+    doc: as in ``Words``.
     """
 
     def __init__(self, texts: pa.Array):
@@ -243,11 +251,19 @@ class Letters:
         raw = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)
         small = np.minimum(raw, 0xFFFF)
         self.raw = raw
-        self.points = np.where(raw < 1 << 16, LOWER_POINT[small], raw)
+        self.points = LOWER_POINT[small]
+        letter = IS_LETTER[small]
+        far = np.flatnonzero(raw > 0xFFFF)
+        if len(far):  # beyond the first plane
+            kinds, which = np.unique(raw[far], return_inverse=True)
+            signs = [chr(c) for c in kinds.tolist()]
+            letter[far] = np.array([x.isalpha() for x in signs])[which]
+            self.points[far] = np.array([ord(x.lower()) if len(x.lower()) == 1 else ord(x) for x in signs], np.uint32)[which]
+        self.letter = letter
         self.bounds = np.zeros(len(rows) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)), out=self.bounds[1:])
         inside = np.zeros(len(raw) + 2, bool)
-        inside[1:-1] = IS_LETTER[small] & (raw < 1 << 16)
+        inside[1:-1] = letter
         breaks = np.zeros(len(raw) + 1, bool)
         breaks[self.bounds] = True
         self.start = np.flatnonzero(inside[1:] & (~inside[:-1] | breaks))
@@ -270,16 +286,36 @@ class Letters:
         return self.points[self.start[i] : self.end[i]].tobytes().decode("utf-32-le")
 
 
+#: Bytes of a text to learn from, at most: longer ones are scored, not learned from.
+LEARNED_BYTES = 1 << 18
+
+
+def held_out(id: str, fold: int, held: int) -> Column:
+    """Whether an id is of the fold that nothing is learned from; a null id is not."""
+    return F.coalesce(F.crc32(F.col(id).cast("string")) % fold == held, F.lit(False))
+
+
+def first_of_each(docs: DataFrame, known: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, text) and the columns of ``known``, a bounded table with distinct ids: one row for each id.
+
+    Of rows that share an id, the one whose text hashes lowest; none whose text is above ``LEARNED_BYTES``.
+    """
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id).alias("id"), body.alias("text")).where(F.octet_length("text") <= LEARNED_BYTES)
+    one = rows.join(F.broadcast(known), "id").groupBy(*known.columns).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    return one.select(*known.columns, F.col("first.text").alias("text"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, size: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text, label): at most ``size`` labelled rows to learn from, none of the held-out fold.
+    """(id, text, label): at most ``size`` labelled rows to learn from, none of the held-out fold, each id once.
 
-    Rows are taken in the order of a hash of the id; only ids and labels are ordered.
+    Ids are taken in the order of a hash; only ids and labels are ordered.  Of contrary
+    labels for one id the higher counts.  Texts are bounded as in ``first_of_each``, so what
+    is learned from has at most ``size`` times ``LEARNED_BYTES`` bytes.
     """
     known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label is not null")
-    known = known.where(F.crc32(F.col("id").cast("string")) % fold != held).dropDuplicates(["id"])
-    known = known.orderBy(F.xxhash64("id"), "id").limit(size)
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(known), "id")
+    known = known.where(~held_out("id", fold, held)).groupBy("id").agg(F.max("label").alias("label"))
+    return first_of_each(docs, known.orderBy(F.xxhash64("id"), "id").limit(size), id, text)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

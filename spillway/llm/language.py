@@ -11,8 +11,11 @@ piece's best paths from every language to every language are found side by side,
 are chained, and the paths inside all pieces are read back side by side.
 
 Cases: a null text or one without a letter is 'und' with score 0; a word in a script that
-no learned language uses fits all alike; no labelled rows make every text 'und'; repeated
-rows each give a row; a null id is labelled and not held out; extra columns are not read.
+no learned language uses fits all alike, also one with letters beyond the first plane;
+languages with equally many letters give way to the first by name; a very long text is
+labelled whole, as a run of its own; no labelled rows make every text 'und'; an empty table
+gives no rows; repeated rows each give a row, and are learned from once for each id; a null
+id is labelled and not held out; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Letters, blocks, mixed, per_doc, table, texts_of
+from .common import Letters, blocks, first_of_each, held_out, mixed, per_doc, table, texts_of
 
 #: Labelled rows to learn from, at most.
 SAMPLE = 12_000
@@ -144,10 +147,9 @@ def viterbi(score: np.ndarray, free: np.ndarray, switch: float = SWITCH, piece:
 
 
 def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    known = docs.select(F.col(id).alias("id"), F.col(lang).alias("lang")).where("id is not null and lang is not null")
-    known = known.where(F.crc32(F.col("id").cast("string")) % FOLD != HELD).dropDuplicates(["id"])
-    known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), "id").select("text", "lang")
+    known = docs.select(F.col(id).alias("id"), F.col(lang).cast("string").alias("lang")).where("id is not null and lang is not null")
+    known = known.where(~held_out("id", FOLD, HELD)).groupBy("id").agg(F.min("lang").alias("lang"))
+    rows = first_of_each(docs, known.orderBy(F.xxhash64("id"), "id").limit(sample), id, text).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Occurrences of features (kind 0) and words of scripts (kind 1) by language."""
@@ -254,4 +256,4 @@ def spans(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, train(docs))
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % FOLD == HELD).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out("doc_id", FOLD, HELD).alias("held_out"), "lang_pred", "score")

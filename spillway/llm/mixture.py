@@ -9,30 +9,36 @@ spends its budget on epochs: whole passes over its documents, then the documents
 next pass whose tokens in front of them, in that pass's seeded order, are below what is
 left.  Every pass has an order of its own.
 
-All amounts are whole numbers, so the result does not depend on the order of sums.  Only
-counts by leaf and by leaf and bucket of the order meet in windows; the document window
-runs over the one bucket of each leaf in which the budget ends.
+All amounts are whole numbers, so the result does not depend on the order of sums; tokens
+that remain when a budget is divided go one each to the first children that have room.
+Only counts by leaf and by leaf and bucket of the order meet in windows.  The order is
+searched digit by digit: of each leaf, the one bucket in which the budget ends is dealt into
+buckets again, until about ``SHORT`` rows of a leaf are left for the document window.
 
 Cases: null source or language is a value of its own ('?'); a null or blank text has no
 tokens and is taken with any whole pass, or where the budget is not spent yet at its place
-in the order; rows that share an id are ordered together and taken together; a node of
-weight 0 gets nothing; extra columns travel with their row in ``mix`` but not the result of
-the query.
+in the order; a very long text counts all of its words and may end its leaf's budget beyond
+the mark, as it is not cut; rows that share an id in a leaf are ordered together and taken
+together; a node of weight 0 gets nothing, and what lies below it is no capacity of its
+parents; an empty table gives no rows; extra columns travel with their row in ``mix`` but not
+in the result of the query.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import cut, store, table
 
 SEED = 17
 EPOCHS = 2
 #: Share of all tokens that the mixture has.
 SHARE_PERCENT = 70
-#: Hex digits of the seeded order that make a bucket.
-BUCKET = 3
+#: Hex digits of the seeded order that make a bucket, and rows of a leaf that need no more buckets.
+BUCKET, SHORT = 2, 512
 NONE = "?"
 #: Leaves up to this many are broadcast.
 SMALL = 50_000
@@ -61,7 +67,8 @@ def _divide(children: DataFrame, parent: list[str], child: str) -> DataFrame:
     """Adds ``given``: ``budget`` of each parent over its children by ``weight``, at most ``capacity`` each.
 
     In rising order of capacity for its weight, a child is full if its part of what is left
-    reaches its capacity; the first that is not leaves the rest to be divided by weight.
+    reaches its capacity; the first that is not leaves the rest to be divided by weight.  The
+    parts are rounded down; what remains goes one token each to the first of these children.
     """
     key = F.struct(F.col("capacity") / F.col("weight"), F.col(child))
     family = Window.partitionBy(*parent)
@@ -77,69 +84,101 @@ def _divide(children: DataFrame, parent: list[str], child: str) -> DataFrame:
     kids = kids.withColumn("open", F.min(open_).over(family))
     part = F.expr("cast(open.rest as long) * weight div open.weights")
     full = F.col("open").isNull() | (F.col("key") < F.col("open.key"))
-    return kids.withColumn("given", F.when(full, F.col("capacity")).otherwise(part)).drop("key", "rest", "weights", "open")
+    kids = kids.withColumn("part", F.when(~full, part))
+    place = F.row_number().over(family.orderBy(key)) - F.count_if(full).over(family)
+    left = F.col("open.rest").cast("long") - F.sum("part").over(family)
+    extra = F.when(place <= left, 1).otherwise(0)
+    return kids.withColumn("given", F.when(full, F.col("capacity")).otherwise(F.col("part") + extra)).drop("key", "rest", "weights", "open", "part")
 
 
 def budgets(leaves: DataFrame, budget: Column, domains=DOMAIN_WEIGHTS, langs=LANG_WEIGHTS, sources=SOURCE_WEIGHTS) -> DataFrame:
     """(domain, language, origin, tokens, given) from leaves with ``capacity`` and ``tokens``."""
-    family = leaves.groupBy("domain").agg(F.sum("capacity").cast("long").alias("capacity")).withColumns(
-        {"root": F.lit(0), "budget": budget, "weight": _weight(F.col("domain"), domains)}
-    )
-    top = _divide(family, ["root"], "domain").select("domain", F.col("given").alias("budget"))
-    kin = leaves.groupBy("domain", "language").agg(F.sum("capacity").cast("long").alias("capacity")).join(top, "domain")
-    kin = _divide(kin.withColumn("weight", _weight(F.col("language"), langs)), ["domain"], "language")
-    low = leaves.join(kin.select("domain", "language", F.col("given").alias("budget")), ["domain", "language"])
-    return _divide(low.withColumn("weight", _weight(F.col("origin"), sources)), ["domain", "language"], "origin").select(
-        "domain", "language", "origin", "tokens", "given"
-    )
+    low = leaves.withColumn("weight", _weight(F.col("origin"), sources))
+    kin = low.where("weight > 0").groupBy("domain", "language").agg(F.sum("capacity").cast("long").alias("capacity"))
+    kin = kin.withColumn("weight", _weight(F.col("language"), langs))
+    top = kin.where("weight > 0").groupBy("domain").agg(F.sum("capacity").cast("long").alias("capacity"))
+    top = top.withColumns({"root": F.lit(0), "budget": budget, "weight": _weight(F.col("domain"), domains)})
+    top = _divide(top, ["root"], "domain").select("domain", F.col("given").alias("budget"))
+    kin = _divide(kin.join(top, "domain"), ["domain"], "language")
+    low = low.join(kin.select("domain", "language", F.col("given").alias("budget")), ["domain", "language"])
+    return _divide(low, ["domain", "language"], "origin").select("domain", "language", "origin", "tokens", "given")
 
 
-def mix(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", share: int = SHARE_PERCENT,
-    epochs: int = EPOCHS, seed: int = SEED, bucket: int = BUCKET, **weights: dict[str, int],
-) -> DataFrame:
-    """The rows of ``docs`` in the mixture as column ``row`` with domain, language, origin, epoch (from 0) and n_tokens."""
-    keyed = docs.select(
-        F.struct("*").alias("row"),
-        F.col(id).alias("id"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
-        domain_of(F.coalesce(F.col(source), F.lit(NONE))).alias("domain"),
-        F.coalesce(F.col(lang), F.lit(NONE)).alias("language"),
-        F.coalesce(F.col(source), F.lit(NONE)).alias("origin"),
-    )
-    leaf = ["domain", "language", "origin"]
-    light = store(keyed.groupBy("id", *leaf).agg(F.sum("n_tokens").alias("n_tokens")))
-    leaves = light.groupBy(*leaf).agg(F.sum("n_tokens").cast("long").alias("tokens")).withColumn("capacity", F.col("tokens") * epochs)
-    total = light.agg(F.sum("n_tokens")).first()[0] or 0
-    plan = store(budgets(leaves, F.lit(total * share // 100).cast("long"), **weights))
+LEAF = ["domain", "language", "origin"]
+
+
+def _keyed(docs: DataFrame, id: str, lang: str, source: str, **more: Column) -> DataFrame:
+    columns = {
+        "id": F.col(id), "domain": domain_of(F.coalesce(F.col(source), F.lit(NONE))),
+        "language": F.coalesce(F.col(lang), F.lit(NONE)), "origin": F.coalesce(F.col(source), F.lit(NONE)),
+    }
+    return docs.select(*(c.alias(name) for name, c in (more | columns).items()))
+
+
+def _words(text: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def measured(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """(n_tokens, id, domain, language, origin) of each row, written once: all that the choice needs."""
+    return store(_keyed(docs, id, lang, source, n_tokens=_words(text)))
+
+
+def choose(rows: DataFrame, share: int = SHARE_PERCENT, epochs: int = EPOCHS, seed: int = SEED, bucket: int = BUCKET, **weights: dict[str, int]) -> DataFrame:
+    """(id, domain, language, origin, epochs): the passes (from 0) that take the rows of an id in a leaf, from ``measured`` rows."""
+    light = rows.groupBy("id", *LEAF).agg(F.sum("n_tokens").alias("n_tokens"))
+    leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").cast("long").alias("tokens"), F.count("*").alias("n")).withColumn("capacity", F.col("tokens") * epochs)
+    leaves = cut(leaves)
+    total, largest, n_leaves = leaves.agg(F.sum("tokens"), F.max("n"), F.count("*")).first()
+    plan = cut(budgets(leaves, F.lit((total or 0) * share // 100).cast("long"), **weights))
     # passes of each leaf: whole ones, and one that ends with the budget
-    passes = plan.select(*leaf, "given", "tokens", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
+    passes = plan.select(*LEAF, "given", "tokens", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     passes = passes.withColumn("part", F.least(F.col("given") - F.col("epoch") * F.col("tokens"), F.col("tokens"))).where("part > 0")
-    if plan.count() <= SMALL:  # leaves are the meetings of sources and languages
+    if n_leaves <= SMALL:  # leaves are the meetings of sources and languages
         passes = F.broadcast(passes)
-    whole = passes.where("part = tokens").select(*leaf, "epoch")
-    rest = passes.where("part < tokens").select(*leaf, "epoch", "part")
+    whole = passes.where("part = tokens").select(*LEAF, "epoch")
+    rest = passes.where("part < tokens").select(*LEAF, "epoch", "part")
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(NONE))))
-    ordered = light.join(rest, leaf).withColumn("place", place).withColumn("bucket", F.substring("place", 1, bucket))
-    sums = ordered.groupBy(*leaf, "epoch", "part", "bucket").agg(F.sum("n_tokens").cast("long").alias("in_bucket"))
-    run = Window.partitionBy(*leaf, "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("in_bucket").over(run), F.lit(0)).cast("long")).where("ahead < part")
-    ends = ordered.join(sums.select(*leaf, "epoch", "bucket", "ahead", "in_bucket"), [*leaf, "epoch", "bucket"])
-    inner = Window.partitionBy(*leaf, "epoch", "bucket").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, -1)
-    last = ends.where("ahead + in_bucket > part").withColumn("at", F.col("ahead") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
-    chosen = ends.where("ahead + in_bucket <= part").select("id", *leaf, "epoch").union(last.where("at < part").select("id", *leaf, "epoch"))
-    chosen = chosen.union(light.join(whole, leaf).select("id", *leaf, "epoch"))
-    chosen = chosen.groupBy("id", *leaf).agg(F.collect_list("epoch").alias("epochs"))
-    on = [keyed[c] == chosen[c] for c in leaf]
-    both = keyed.join(chosen, [keyed["id"].eqNullSafe(chosen["id"]), *on])
-    return both.select("row", *(keyed[c] for c in leaf), F.explode("epochs").alias("epoch"), "n_tokens")
+    # rows whose place is not settled: those in the bucket in which the budget ends, with the tokens ahead of that bucket
+    open_ = light.join(rest, LEAF).withColumns({"place": place, "ahead": F.lit(0).cast("long")})
+    taken = [light.join(whole, LEAF).select("id", *LEAF, "epoch")]
+    run = Window.partitionBy(*LEAF, "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    at, rows_left = 0, largest or 0
+    while rows_left > SHORT and at + bucket <= 32:
+        open_ = open_.withColumn("bucket", F.substring("place", at + 1, bucket))
+        sums = open_.groupBy(*LEAF, "epoch", "part", "ahead", "bucket").agg(F.sum("n_tokens").cast("long").alias("in_bucket"))
+        sums = sums.withColumn("front", F.col("ahead") + F.coalesce(F.sum("in_bucket").over(run), F.lit(0)).cast("long")).where("front < part")
+        sums = sums.select(*LEAF, "epoch", "bucket", "front", (F.col("front") + F.col("in_bucket") < F.col("part")).alias("whole"))
+        if n_leaves <= SMALL:
+            # of each leaf and pass up to 16 ** bucket rows
+            sums = F.broadcast(sums)
+        met = open_.drop("ahead").join(sums, [*LEAF, "epoch", "bucket"])
+        taken.append(met.where("whole").select("id", *LEAF, "epoch"))
+        open_ = store(met.where("not whole").select("id", *LEAF, "epoch", "part", "n_tokens", "place", F.col("front").alias("ahead")))
+        at, rows_left = at + bucket, rows_left >> 4 * bucket
+    inner = Window.partitionBy(*LEAF, "epoch").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, -1)
+    last = open_.withColumn("front", F.col("ahead") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
+    taken.append(last.where("front < part").select("id", *LEAF, "epoch"))
+    return reduce(DataFrame.union, taken).groupBy("id", *LEAF).agg(F.collect_list("epoch").alias("epochs"))
+
+
+def _meet(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    return rows.join(chosen, [rows["id"].eqNullSafe(chosen["id"]), *(rows[c] == chosen[c] for c in LEAF)]).select(
+        *(rows[c] for c in rows.columns), F.explode("epochs").alias("epoch")
+    )
+
+
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` in the mixture as column ``row`` with n_tokens, id, domain, language, origin and epoch; options: those of ``choose``."""
+    chosen = choose(measured(docs, id, text, lang, source), **options)
+    return _meet(_keyed(docs, id, lang, source, row=F.struct("*"), n_tokens=_words(text)), chosen)
 
 
 def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, domain, lang_key, source_key, epoch, n_tokens) of every document and pass in the mixture."""
-    docs = table(spark, sf_dir, "documents")
-    return mix(docs).select(
-        F.col("row.doc_id").alias("doc_id"), "domain", F.col("language").alias("lang_key"), F.col("origin").alias("source_key"), "epoch", "n_tokens"
+    rows = measured(table(spark, sf_dir, "documents"))
+    return _meet(rows, choose(rows)).select(
+        F.col("id").alias("doc_id"), "domain", F.col("language").alias("lang_key"), F.col("origin").alias("source_key"), "epoch", "n_tokens"
     )
 
 
@@ -155,15 +194,20 @@ def _divide_sql(name: str, children: str, parent: str, child: str) -> str:
   SELECT *, budget - coalesce(sum(capacity) {over}, 0) AS rest,
          sum(weight) OVER (PARTITION BY {parent}) - coalesce(sum(weight) {over}, 0) AS weights,
          row_number() OVER (PARTITION BY {parent} ORDER BY capacity / weight, {child}) AS place
-  FROM ({children})
+  FROM ({children}) WHERE weight > 0
 ), {name}_b AS (
   SELECT *, min(CASE WHEN capacity * weights > rest * weight THEN place END) OVER (PARTITION BY {parent}) AS opened FROM {name}_a
+), {name}_c AS (
+  SELECT b.*, max(CASE WHEN place = opened THEN rest END) OVER (PARTITION BY {parent}) AS open_rest,
+         max(CASE WHEN place = opened THEN weights END) OVER (PARTITION BY {parent}) AS open_weights
+  FROM {name}_b b
+), {name}_d AS (
+  SELECT c.*, CASE WHEN place >= opened THEN open_rest * weight // open_weights END AS part FROM {name}_c c
 ), {name} AS (
-  SELECT b.* EXCLUDE (rest, weights, place, opened),
+  SELECT d.* EXCLUDE (rest, weights, place, opened, open_rest, open_weights, part),
          CAST(CASE WHEN opened IS NULL OR place < opened THEN capacity
-              ELSE (max(CASE WHEN place = opened THEN rest END) OVER (PARTITION BY {parent})) * weight
-                   // (max(CASE WHEN place = opened THEN weights END) OVER (PARTITION BY {parent})) END AS BIGINT) AS given
-  FROM {name}_b b
+              ELSE part + CASE WHEN place - opened < open_rest - sum(part) OVER (PARTITION BY {parent}) THEN 1 ELSE 0 END END AS BIGINT) AS given
+  FROM {name}_d d
 )"""
 
 
@@ -178,9 +222,11 @@ WITH keyed AS (
 ), leaves AS (
   SELECT domain, lang_key, source_key, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {EPOCHS} AS BIGINT) AS capacity
   FROM keyed GROUP BY ALL
-), {_divide_sql("tops", f"SELECT 0 AS root, domain, CAST(sum(capacity) AS BIGINT) AS capacity, (SELECT CAST(sum(n_tokens) AS BIGINT) * {SHARE_PERCENT} // 100 FROM keyed) AS budget, {_case('domain', DOMAIN_WEIGHTS)} AS weight FROM leaves GROUP BY domain", "root", "domain")},
-{_divide_sql("kin", f"SELECT l.domain, lang_key, CAST(sum(l.capacity) AS BIGINT) AS capacity, any_value(t.given) AS budget, {_case('lang_key', LANG_WEIGHTS)} AS weight FROM leaves l JOIN tops t USING (domain) GROUP BY l.domain, lang_key", "domain", "lang_key")},
-{_divide_sql("low", f"SELECT l.*, k.given AS budget, {_case('source_key', SOURCE_WEIGHTS)} AS weight FROM leaves l JOIN kin k USING (domain, lang_key)", "domain, lang_key", "source_key")},
+), weighed AS (
+  SELECT *, {_case('domain', DOMAIN_WEIGHTS)} AS w1, {_case('lang_key', LANG_WEIGHTS)} AS w2, {_case('source_key', SOURCE_WEIGHTS)} AS w3 FROM leaves
+), {_divide_sql("tops", f"SELECT 0 AS root, domain, CAST(sum(capacity) AS BIGINT) AS capacity, (SELECT CAST(sum(n_tokens) AS BIGINT) * {SHARE_PERCENT} // 100 FROM keyed) AS budget, any_value(w1) AS weight FROM weighed WHERE w2 > 0 AND w3 > 0 GROUP BY domain", "root", "domain")},
+{_divide_sql("kin", "SELECT l.domain, lang_key, CAST(sum(l.capacity) AS BIGINT) AS capacity, any_value(t.given) AS budget, any_value(w2) AS weight FROM weighed l JOIN tops t USING (domain) WHERE w3 > 0 GROUP BY l.domain, lang_key", "domain", "lang_key")},
+{_divide_sql("low", "SELECT l.*, k.given AS budget, w3 AS weight FROM weighed l JOIN kin k USING (domain, lang_key)", "domain, lang_key", "source_key")},
 passes AS (
   SELECT domain, lang_key, source_key, CAST(e AS INTEGER) AS epoch, least(given - e * tokens, tokens) AS part
   FROM low, unnest(range({EPOCHS})) AS t(e) WHERE given - e * tokens > 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, blocks, labelled, mixed, per_doc, sigmoid, table, texts_of
+from .common import SPACE, Words, blocks, held_out, labelled, mixed, per_doc, sigmoid, table, texts_of
 
 #: Labelled rows to learn from, at most.
 SAMPLE = 4_000
@@ -223,5 +223,5 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model).select(
-        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % FOLD == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+        "doc_id", held_out("doc_id", FOLD, HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

@@ -8,8 +8,10 @@ each worker, filled by encoding what the table lacks.  A text that the pre-token
 cannot split exactly as the library does (not NFC, a special string in it, letters whose
 lower case depends on the neighbours) is encoded whole by the library.
 
-Cases: a null or empty text has 0 bytes and 0 tokens; every input row gives one row, so
-repeated rows and ids stay; a null id stays null; extra columns are not read.
+Cases: a null or empty text has 0 bytes and 0 tokens; a very long text is counted whole; an
+empty table gives no rows; every input row gives one row, so repeated rows and ids stay;
+among equally frequent pre-tokens the smaller string enters the table, which changes no
+count; a null id stays null; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -120,7 +122,7 @@ def count_tokens(docs: DataFrame, id: str = "doc_id", text: str = "text", path:
                     cache.clear()
                     missing = [x for x in seen if x not in table]
                 cache.update(zip(missing, map(len, encode(missing, add_special_tokens=False)), strict=True))
-                here = {x: table.get(x) or cache[x] for x in seen}
+                here = {x: table[x] if x in table else cache[x] for x in seen}
                 whole = iter(encode([x for x, pre in zip(some, split, strict=True) if pre is None], add_special_tokens=False))
                 yield pa.RecordBatch.from_pydict(
                     {

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_LETTER, Letters, blocks, fit_logistic, labelled, per_doc, sigmoid, table, texts_of
+from .common import Letters, blocks, fit_logistic, held_out, labelled, per_doc, sigmoid, table, texts_of
 
 #: Labelled rows to learn from, at most.
 SAMPLE = 16_000
@@ -61,10 +61,9 @@ class Automaton:
 
     def class_of(self) -> np.ndarray:
         if self.table is None:
-            self.table = np.zeros(1 << 16, np.int32)
+            self.table = np.zeros(max(map(ord, self.classes), default=0) + 2, np.int32)
             for c, k in self.classes.items():
-                if ord(c) < 1 << 16:
-                    self.table[ord(c)] = k
+                self.table[ord(c)] = k
         return self.table
 
     def run(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +74,7 @@ class Automaton:
         while len(live):
             more = at[live] < end[live]
             live = live[more]
-            state[live] = self.step[state[live], classes[np.minimum(points[at[live]], 0xFFFF)]]
+            state[live] = self.step[state[live], classes[np.minimum(points[at[live]], len(classes) - 1)]]
             at[live] += 1
             live = live[state[live] > 0]
         return self.term[state], self.errors[state]
@@ -249,7 +248,7 @@ def hits(model: Model, texts: pa.Array) -> tuple[Letters, np.ndarray, np.ndarray
     # a mark between two letters is an apostrophe
     if len(marks):
         letter = np.zeros(len(w.raw) + 2, bool)
-        letter[1:-1] = IS_LETTER[np.minimum(w.raw, 0xFFFF)]
+        letter[1:-1] = w.letter
         marks = marks[~(letter[marks] & letter[marks + 2])]
     quoted = np.zeros(len(found), bool)
     if len(marks) and len(found):
@@ -431,5 +430,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select(
-        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % FOLD == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+        "doc_id", held_out("doc_id", FOLD, HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

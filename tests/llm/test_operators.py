@@ -59,6 +59,27 @@ def test_hashes_match_the_library():
     assert got.tolist() == [xxhash.xxh64_intdigest(x, 42) for x in texts]
 
 
+def test_letters_are_those_of_the_string_methods():
+    texts = odd_texts(300, seed=8) + ["", "a", "\U00020000b \U00010400\U00010428", "\U0001f600", "x\U0001d4d0y"]
+    w = common.Letters(pa.array(texts, pa.large_string()))
+    got = [[w.word(k) for k in range(a, b)] for a, b in zip(w.first[:-1], w.first[1:])]
+    lower = lambda x: x.lower() if len(x.lower()) == 1 else x
+    assert got == [[x for x in "".join(lower(c) if c.isalpha() else "\0" for c in t).split("\0") if x] for t in texts]
+
+
+def test_learning_rows_are_bounded_and_the_same_each_time(spark):
+    rows = [(i % 7, f"text {i}") for i in range(200)] + [(9, "y" * (common.LEARNED_BYTES + 1)), (None, "none")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    found = common.labelled(documents(spark, rows), labels, "toxic", 4, 2, 4)
+    got = found.collect()
+    assert len(got) == len({r.id for r in got}) <= 4
+    all_ = {r.id: (r.label, r.text) for r in common.labelled(documents(spark, rows).repartition(5), labels, "toxic", 4, 2, 100).collect()}
+    assert {r.id: (r.label, r.text) for r in got}.items() <= all_.items()
+    assert 9 not in all_ and None not in all_ and all_.get(3, (1,))[0] == 1
+    held = spark.createDataFrame([(None,), (1,)], "doc_id long").select(common.held_out("doc_id", 1, 0).alias("h")).collect()
+    assert [r.h for r in held] == [False, True]
+
+
 def test_words_are_those_of_the_pattern():
     texts = odd_texts(400) + ["", " ", "a"]
     w = common.Words(pa.array(texts, pa.large_string()))
@@ -227,6 +248,72 @@ def test_mixture_takes_whole_passes_then_a_prefix(spark):
     assert mixture.mix(docs.limit(0)).count() == 0
 
 
+def plain_divide(budget, children):
+    """{child: given} from {child: (weight, capacity)}."""
+    order = sorted((c for c in children if children[c][0] > 0), key=lambda c: (children[c][1] / children[c][0], c))
+    given, left = {}, order[:]
+    while left:
+        total = sum(children[c][0] for c in left)
+        weight, capacity = children[left[0]]
+        if capacity * total > budget * weight:
+            break
+        given[left.pop(0)] = capacity
+        budget -= capacity
+    if left:
+        for c in left:
+            given[c] = budget * children[c][0] // total
+        for c in left[: budget - sum(given[c] for c in left)]:
+            given[c] += 1
+    return given
+
+
+def plain_mix(rows, share, epochs, seed, domains, langs, sources):
+    """Counter of (id, origin, language, epoch) from rows (id, text, language, origin)."""
+    w = lambda table, x: table.get(x, mixture.DEFAULT)
+    leaves = collections.defaultdict(list)
+    for i, t, lang, src in rows:
+        lang, src = lang or "?", src or "?"
+        number = re.search("([0-9]{1,9})$", src)
+        leaves[f"d{int(number[1]) % 4}" if number else "?", lang, src].append((i, len(WORD.findall(t or ""))))
+    tokens = {k: sum(n for _, n in v) for k, v in leaves.items()}
+    some = {k: n * epochs for k, n in tokens.items() if w(sources, k[2]) and w(langs, k[1])}
+    out, total = collections.Counter(), sum(tokens.values()) * share // 100
+    top = plain_divide(total, {d: (w(domains, d), sum(n for k, n in some.items() if k[0] == d)) for d in {k[0] for k in some}})
+    assert sum(top.values()) == min(total, sum(n for k, n in some.items() if k[0] in top))
+    for d, b in top.items():
+        kin = plain_divide(b, {x: (w(langs, x), sum(n for k, n in some.items() if k[:2] == (d, x))) for x in {k[1] for k in some if k[0] == d}})
+        assert sum(kin.values()) == b
+        for x, c in kin.items():
+            for src, given in plain_divide(c, {k[2]: (w(sources, k[2]), n) for k, n in some.items() if k[:2] == (d, x)}).items():
+                leaf = (d, x, src)
+                for e in range(epochs):
+                    part = min(given - e * tokens[leaf], tokens[leaf])
+                    ahead = 0
+                    sums = collections.Counter()
+                    for i, n in leaves[leaf]:
+                        sums[i] += n
+                    for i in sorted(sums, key=lambda i: hashlib.md5(f"{seed}:{e}:{'?' if i is None else i}".encode()).hexdigest()):
+                        if part > 0 and (part == tokens[leaf] or ahead < part):
+                            out[i, src, x, e] += sum(j == i for j, _ in leaves[leaf])
+                        ahead += sums[i]
+    return out
+
+
+@pytest.mark.parametrize("short", [512, 3])
+def test_mixture_is_the_plain_version_with_zero_weights(spark, monkeypatch, short):
+    monkeypatch.setattr(mixture, "SHORT", short)
+    rng = random.Random(21)
+    rows = [(rng.choice([None, *range(500)]), " ".join(["w"] * rng.choice([0, 1, 3, 17, 40])), rng.choice(["en", "en", "en", "de", "fr", None]), rng.choice(["src0", "src0", "src4", "src1", "src2", "web", None])) for _ in range(700)]
+    rows += [(900, "long " * 5000, "fr", "src2"), (901, None, "en", "src0")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, epoch int")
+    for share, weights in (
+        (70, {}), (100, {"domains": {"d0": 1, "d2": 0}, "langs": {"de": 0, "en": 1}, "sources": {"src4": 0, "src0": 3}}), (180, {"domains": {"d0": 7}, "langs": {"de": 0}}), (40, {"langs": {"en": 0, "de": 0, "fr": 0, "?": 0}}),
+    ):
+        full = {"domains": mixture.DOMAIN_WEIGHTS, "langs": mixture.LANG_WEIGHTS, "sources": mixture.SOURCE_WEIGHTS} | weights
+        got = collections.Counter((r.id, r.origin, r.language, r.epoch) for r in mixture.mix(docs, share=share, **weights).select("id", "origin", "language", "epoch").collect())
+        assert got == plain_mix(rows, share, mixture.EPOCHS, mixture.SEED, **full)
+
+
 def plain_simhash(text):
     w = re.split("[\x20\x09-\x0d]+", text.strip(" \t\n\x0b\f\r"))
     votes, total = [0] * 64, 0
@@ -317,6 +404,10 @@ def test_language_odd_rows_and_spans(spark):
     assert got[900] == got[901] == got[902] == ("und", 0.0) and got[None][0] == "en" and len(got) == 125
     both = spark.createDataFrame([(1, make("en", 30) + " " + make("ru", 30))], "doc_id long, text string")
     assert [r.lang for r in language.spans(both, model).orderBy("begin").collect()] == ["en", "ru"]
+    far = spark.createDataFrame([(1, "\U00020000\U00020001"), (2, "\U00010400\U00010428 12"), (3, "\U0001f600")], "doc_id long, text string")
+    astral = {r.doc_id: r.lang_pred for r in language.identify(far, model).collect()}
+    assert astral[1] != "und" and astral[2] != "und" and astral[3] == "und"
+    assert language.identify(docs.limit(0), model).count() == 0
     empty = language.train(docs.limit(0))
     assert {r.lang_pred for r in language.identify(docs, empty).collect()} == {"und"}
 
