@@ -1,20 +1,26 @@
 """Quality rules (operator 9): robust multivariate outliers among documents of a kind.
 
 Each document's counts become a vector of transformed statistics.  For each language and
-source, location and scatter are estimated by minimum covariance determinant: from medians
-and quartiles, concentration steps keep the ``SUBSET`` share of documents nearest by
-Mahalanobis distance and estimate anew from them.  A step is one quantile of the distances
+source, location and scatter are estimated by minimum covariance determinant.  Several
+starts (quartiles, correlations of bounded scores, correlations of directions, and small
+random subsets) each take ``TRIALS`` concentration steps: keep the ``SUBSET`` share of
+documents nearest by Mahalanobis distance and estimate anew from them.  The start whose
+subset has the least determinant goes on until its determinant falls no more, and the
+documents near its estimate give the final one.  A step is one quantile of the distances
 and one set of sums by group over all documents, so no group is ever gathered; a group of
-fewer than ``LEAST`` documents is judged by its language, a small language by the corpus.
-Documents beyond ``CUT`` of the chi-square distribution are rejected.
+fewer than ``LEAST`` documents is judged by its language, a small language by the corpus
+(``judged_by`` says which).  Documents beyond ``CUT`` of the chi-square distribution are
+rejected.
 
 Only documents that pass the base rules (at least ``WORDS`` words, no more than
 ``REPEAT_PERCENT`` percent of them in repeated windows) shape the estimates.
 
-Cases: a null, empty or blank text has zero counts and fails the base rules; a null
-language or source is a kind of its own ('?'); statistics that hardly vary in a group get a
-least spread, so a small difference alone rejects nothing; repeated rows each give a row; a
-null id stays null; an empty table gives no rows; extra columns are not read.
+Cases: a null, empty or blank text has zero counts and fails the base rules; a very long
+text is counted whole; a null language or source is a kind of its own ('?'); statistics that
+hardly vary in a group get a least variance (``SPREAD``), so a small difference alone rejects nothing;
+starts with equal determinants give way to the first; repeated rows each give a row, and
+weigh in the estimates; a null id stays null; an empty table gives no rows; extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +39,14 @@ from .substring_dedup import window_hashes
 
 WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = b"#*$%&|<>"
-SUBSET, STEPS, LEAST, CUT = 0.75, 3, 200, 0.99999
+#: Share of the documents that an estimate rests on: just over half, so that just under half may be outliers.
+SUBSET, LEAST, CUT = 0.52, 200, 0.99999
+#: Documents within this share of the chi-square distribution make the final estimate.
+NEAR = 0.975
+#: Concentration steps of each start, and of the best one after that, at most.
+TRIALS, STEPS = 2, 8
+#: Random starts, and documents in each, about.
+RANDOM, POINTS = 3, 12
 #: Least spread of each statistic: log of words, letters a word, and roots of three rates.
 SPREAD = (0.5, 0.15, 0.05, 0.12, 0.1)
 SIZE = len(SPREAD)
@@ -137,24 +150,43 @@ def chi_square_quantile(p: float, k: int) -> float:
     return high
 
 
-#: The subset's scatter is too small by this factor where the data are normal.
-CONSISTENCY = SUBSET / chi_square_cdf(chi_square_quantile(SUBSET, SIZE), SIZE + 2)
-LIMIT = chi_square_quantile(CUT, SIZE)
-_PARAMETERS = "kind string, n long, centre array<double>, precision array<double>"
+def consistency(share: float) -> float:
+    """The scatter of this share of the documents is too small by this factor where the data are normal."""
+    return share / chi_square_cdf(chi_square_quantile(share, SIZE), SIZE + 2)
 
 
-def _invert(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Centre and precision of each kind from its sums."""
-    for p in parts:
-        rows = []
-        for kind, n, sums, cross in zip(p["kind"], p["n"], p["sums"], p["cross"]):
-            mean = np.asarray(sums) / n
-            cov = np.zeros((SIZE, SIZE))
-            cov[np.triu_indices(SIZE)] = np.asarray(cross) / n
-            cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-            cov = cov * CONSISTENCY + np.diag(np.square(SPREAD))
-            rows.append((kind, n, mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
-        yield pd.DataFrame(rows, columns=["kind", "n", "centre", "precision"])
+LIMIT = chi_square_quantile(CUT, SIZE)
+_PARAMETERS = "kind string, start int, centre array<double>, precision array<double>, det double"
+
+
+def floored(cov: np.ndarray) -> np.ndarray:
+    """In units of SPREAD no direction's variance is below 1, so what varies hardly, or only along others, cannot reject alone."""
+    unit = np.outer(SPREAD, SPREAD)
+    size, axes = np.linalg.eigh(cov / unit)
+    return (axes * np.maximum(size, 1.0)) @ axes.T * unit
+
+
+def _invert(factor: float):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Centre, precision and log determinant of each kind and start from its sums; of scores, with the kind's own scale."""
+        for p in parts:
+            rows = []
+            for r in p.itertuples(index=False):
+                mean = np.asarray(r.sums) / r.n
+                cov = np.zeros((SIZE, SIZE))
+                cov[np.triu_indices(SIZE)] = np.asarray(r.cross) / r.n
+                cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
+                if r.scale is not None:
+                    sd = np.sqrt(np.diag(cov))
+                    flat = sd < 1e-9
+                    cov = np.where(flat[:, None] | flat, 0.0, cov / np.maximum(np.outer(sd, sd), 1e-18))
+                    np.fill_diagonal(cov, 1.0)
+                    cov, mean = cov * np.outer(r.scale, r.scale), np.asarray(r.median)
+                cov = floored(cov)
+                rows.append((r.kind, r.start, mean.tolist(), np.linalg.inv(cov * factor).ravel().tolist(), np.linalg.slogdet(cov)[1]))
+            yield pd.DataFrame(rows, columns=["kind", "start", "centre", "precision", "det"])
+
+    return run
 
 
 def _distance() -> Column:
@@ -166,30 +198,71 @@ def _distance() -> Column:
     return total
 
 
-def _with(rows: DataFrame, parameters: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(parameters) if parameters.count() <= SMALL else parameters, "kind")
+def _with(rows: DataFrame, parameters: DataFrame, n: int, on: tuple[str, ...] = ("kind",)) -> DataFrame:
+    return rows.join(F.broadcast(parameters) if n <= SMALL else parameters, list(on))
+
+
+def _estimate(rows: DataFrame, factor: float, scale: DataFrame | None = None) -> DataFrame:
+    """_PARAMETERS from rows (kind, start, x), x scores of the kind's ``scale`` where that is given."""
+    sums = F.array(*(F.sum(F.col("x")[i]) for i in range(SIZE))).alias("sums")
+    cross = F.array(*(F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(SIZE) for j in range(i, SIZE))).alias("cross")
+    moments = rows.groupBy("kind", "start").agg(F.count("*").alias("n"), sums, cross)
+    if scale is None:
+        moments = moments.withColumns({c: F.lit(None).cast("array<double>") for c in ("median", "scale")})
+    else:
+        moments = moments.join(scale.select("kind", "median", "scale"), "kind")
+    return moments.mapInPandas(_invert(factor), _PARAMETERS)
+
+
+def starts(rows: DataFrame, marks: DataFrame, n_kinds: int) -> DataFrame:
+    """_PARAMETERS of the starts of each kind: 0 quartiles, 1 bounded scores, 2 directions, from 3 on random subsets."""
+    zero = F.lit(0.0)
+    own = marks.select(
+        "kind", F.lit(0).alias("start"), F.col("median").alias("centre"),
+        F.array(*(1 / (F.col("scale")[i] * F.col("scale")[i]) if i == j else zero for i in range(SIZE) for j in range(SIZE))).alias("precision"), zero.alias("det"),
+    )
+    z = _with(rows, marks, n_kinds).withColumn("z", F.array(*((F.col("x")[i] - F.col("median")[i]) / F.col("scale")[i] for i in range(SIZE))))
+    length = F.sqrt(F.aggregate("z", zero, lambda a, v: a + v * v))
+    scores = F.array(
+        F.struct(F.lit(1).alias("start"), F.transform("z", F.tanh).alias("x")),
+        F.struct(F.lit(2).alias("start"), F.transform("z", lambda v: v / F.greatest(length, F.lit(1e-9))).alias("x")),
+    )
+    scored = _estimate(z.select("kind", F.explode(scores).alias("s")).select("kind", "s.*"), 1.0, marks)
+    drawn = z.select("kind", "x", F.explode(F.array(*(F.when(F.pmod(F.xxhash64("key", "x", F.lit(k)), F.col("n")) < POINTS, F.lit(3 + k)) for k in range(RANDOM)))).alias("start"))
+    return own.unionByName(scored).unionByName(_estimate(drawn.where("start is not null"), 1.0))
+
+
+def _concentrate(rows: DataFrame, found: DataFrame, n_kinds: int) -> DataFrame:
+    """One step from ``found`` (kind, start, centre, precision)."""
+    near = _with(rows, found, n_kinds * (3 + RANDOM)).select("kind", "start", "x", _distance().alias("d"))
+    edge = near.groupBy("kind", "start").agg(F.percentile_approx("d", SUBSET).alias("edge"))
+    return cut(_estimate(_with(near, edge, n_kinds * (3 + RANDOM), ("kind", "start")).where("d <= edge"), consistency(SUBSET)))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """kind, n, centre, precision of each kind from rows (kind, x)."""
+    """kind, n, centre, precision of each kind from rows (kind, key, x); key tells rows apart in random subsets."""
     marks = rows.groupBy("kind").agg(F.count("*").alias("n"), *(F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75]).alias(f"q{i}") for i in range(SIZE)))
-    spread = [(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in range(SIZE)]
-    zero = F.lit(0.0)
-    start = marks.select(
-        "kind", "n", F.array(*(F.col(f"q{i}")[1] for i in range(SIZE))).alias("centre"),
-        F.array(*(1 / (spread[i] * spread[i] + SPREAD[i] ** 2) if i == j else zero for i in range(SIZE) for j in range(SIZE))).alias("precision"),
+    marks = cut(
+        marks.select(
+            "kind", "n", F.array(*(F.col(f"q{i}")[1] for i in range(SIZE))).alias("median"),
+            F.array(*(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(SPREAD[i])) for i in range(SIZE))).alias("scale"),
+        )
     )
-    found = cut(start)
+    n_kinds = marks.count()
+    found = cut(starts(rows, marks, n_kinds))
+    for _ in range(TRIALS):
+        found = _concentrate(rows, found, n_kinds)
+    best = F.min_by(F.struct("start", "centre", "precision", "det"), F.struct("det", "start")).alias("best")
+    found = cut(found.groupBy("kind").agg(best).select("kind", "best.*"))
+    det = found.agg(F.sum("det")).first()[0]
     for _ in range(STEPS):
-        near = _with(rows, found).select("kind", "x", "n", _distance().alias("d"))
-        edge = near.groupBy("kind").agg(F.percentile_approx("d", SUBSET).alias("edge"))
-        edge = F.broadcast(edge) if found.count() <= SMALL else edge
-        inner = near.join(edge, "kind").where("d <= edge")
-        sums = F.array(*(F.sum(F.col("x")[i]) for i in range(SIZE))).alias("sums")
-        cross = F.array(*(F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(SIZE) for j in range(i, SIZE))).alias("cross")
-        moments = inner.groupBy("kind").agg(F.count("*").alias("n"), sums, cross)
-        found = cut(moments.mapInPandas(_invert, _PARAMETERS).join(marks.select("kind", F.col("n").alias("of_all")), "kind").select("kind", F.col("of_all").alias("n"), "centre", "precision"))
-    return found
+        found = _concentrate(rows, found, n_kinds)
+        before, det = det, found.agg(F.sum("det")).first()[0]
+        if det is None or before - det < 1e-6 * max(1, n_kinds):
+            break
+    inner = _with(rows, found, n_kinds).where(_distance() <= chi_square_quantile(NEAR, SIZE)).select("kind", "start", "x")
+    final = _estimate(inner, consistency(NEAR))
+    return cut(final.join(marks.select("kind", "n"), "kind").select("kind", "n", "centre", "precision"))
 
 
 def _kinds() -> Column:
@@ -197,20 +270,26 @@ def _kinds() -> Column:
 
 
 def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """id, COUNTS, base_failed, distance (null where the base rules fail) and kept for each row."""
+    """id, COUNTS, base_failed, distance (null where the base rules fail), judged_by and kept for each row.
+
+    judged_by: 'source', 'language' or 'corpus', whose estimate gave the distance.
+    """
     failed = (F.col("n_words") < WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     rows = store(counts(docs, id, text, lang, source).withColumn("base_failed", failed).withColumn("x", _vector()))
-    good = rows.where("not base_failed").select(F.explode(_kinds()).alias("kind"), "x")
+    good = rows.where("not base_failed").select(F.explode(_kinds()).alias("kind"), F.xxhash64("id").alias("key"), "x")
     found = estimates(good)
+    n_kinds = found.count()
     sized = found.where((F.col("n") >= LEAST) | (F.col("kind") == "c")).select("kind")
-    sized = F.broadcast(sized) if found.count() <= SMALL else sized
+    sized = F.broadcast(sized) if n_kinds <= SMALL else sized
     # the finest kind that is large enough, looked up once for each language and source
     pairs = rows.select("language", "origin").distinct().select("language", "origin", F.posexplode(_kinds()).alias("level", "kind"))
     chosen = pairs.join(sized, "kind").groupBy("language", "origin").agg(F.min_by("kind", "level").alias("kind"))
     chosen = cut(chosen.join(found, "kind"))
     chosen = F.broadcast(chosen) if chosen.count() <= SMALL else chosen
     out = rows.join(chosen, ["language", "origin"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    return out.select(F.col("id").alias(id), *COUNTS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= LIMIT, F.lit(True))).alias("kept"))
+    level = F.substring("kind", 1, 1)
+    judged_by = F.when(~F.col("base_failed"), F.when(level == "s", "source").when(level == "l", "language").when(level == "c", "corpus")).alias("judged_by")
+    return out.select(F.col("id").alias(id), *COUNTS, "base_failed", "distance", judged_by, (~F.col("base_failed") & F.coalesce(F.col("distance") <= LIMIT, F.lit(True))).alias("kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

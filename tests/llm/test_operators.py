@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -443,6 +444,61 @@ def test_outliers_are_rejected_and_clean_documents_kept(spark):
     assert all(got[i] for i, _ in clean) and not any(got[i] for i, _ in junk)
 
 
+def test_a_third_of_junk_in_a_hot_source_is_rejected(spark):
+    rng = random.Random(18)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    clean = [(4 * i + 1, " ".join(rng.choice(words) for _ in range(rng.randint(30, 400)))) for i in range(400)]
+    junk = [(4 * (1000 + i) + 1, " ".join(rng.choice(words) + "%%%" for _ in range(rng.randint(60, 160)))) for i in range(215)]
+    docs = spark.createDataFrame([(i, t, "en", "hot") for i, t in clean + junk], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert all(got[i].kept for i, _ in clean) and not any(got[i].kept for i, _ in junk)
+    assert {r.judged_by for r in got.values()} == {"source"}
+
+
+def plain_mcd(x, trials=300):
+    """Least determinant over many random starts, exact quantiles, then the reweighted estimate."""
+    q = quality_rules
+    rng = np.random.default_rng(3)
+
+    def part(rows, share):
+        cov = q.floored(np.cov(rows.T, bias=True))
+        return rows.mean(0), np.linalg.inv(cov * q.consistency(share)), np.linalg.slogdet(cov)[1]
+
+    def away(p):
+        return np.einsum("ni,ij,nj->n", x - p[0], p[1], x - p[0])
+
+    best = None
+    for _ in range(trials):
+        now = part(x[rng.choice(len(x), 8, replace=False)], q.SUBSET)
+        for _ in range(12):
+            d = away(now)
+            now = part(x[d <= np.sort(d)[math.ceil(q.SUBSET * len(x)) - 1]], q.SUBSET)
+        if best is None or now[2] < best[2]:
+            best = now
+    final = part(x[away(best) <= q.chi_square_quantile(q.NEAR, q.SIZE)], q.NEAR)
+    return away(final), best[2]
+
+
+def test_verdicts_are_those_of_a_plain_determinant_search(spark):
+    rng = np.random.default_rng(12)
+    groups = {}
+    for k, junk in (("a", 0), ("b", 60), ("c", 110)):
+        mix = rng.normal(0, 1, (5, 5)) * 0.4 + np.eye(5)
+        x = rng.normal(0, 1, (300, 5)) @ mix
+        x[:junk] = rng.normal(0, 0.7, (junk, 5)) + rng.normal(0, 1, 5) * 9
+        groups[k] = x
+    rows = [(k, i, v.tolist()) for k, x in groups.items() for i, v in enumerate(x)]
+    data = spark.createDataFrame(rows, "kind string, key long, x array<double>")
+    found = {r.kind: r for r in quality_rules.estimates(data).collect()}
+    for k, x in groups.items():
+        d, _ = plain_mcd(x)
+        p = np.array(found[k].precision).reshape(5, 5)
+        own = np.einsum("ni,ij,nj->n", x - found[k].centre, p, x - found[k].centre)
+        clear = np.abs(d / quality_rules.LIMIT - 1) > 0.05
+        assert ((own <= quality_rules.LIMIT) == (d <= quality_rules.LIMIT))[clear].all() and clear.mean() > 0.95
+    assert quality_rules.estimates(data.limit(0)).count() == 0
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
