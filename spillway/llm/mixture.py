@@ -163,9 +163,9 @@ def choose(rows: DataFrame, share: int = SHARE_PERCENT, epochs: int = EPOCHS, se
 
 
 def _meet(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    return rows.join(chosen, [rows["id"].eqNullSafe(chosen["id"]), *(rows[c] == chosen[c] for c in LEAF)]).select(
-        *(rows[c] for c in rows.columns), F.explode("epochs").alias("epoch")
-    )
+    of = chosen.select(F.col("id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in LEAF), "epochs")
+    met = rows.join(of, [F.col("id").eqNullSafe(F.col("_id")), *(F.col(c) == F.col(f"_{c}") for c in LEAF)])
+    return met.select(*rows.columns, F.explode("epochs").alias("epoch"))
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:

@@ -22,6 +22,7 @@ from spillway.llm import (
     mixture,
     quality_model,
     quality_rules,
+    queries,
     simhash_dedup,
     substring_dedup,
     token_count,
@@ -315,6 +316,17 @@ def test_mixture_is_the_plain_version_with_zero_weights(spark, monkeypatch, shor
         assert got == plain_mix(rows, share, mixture.EPOCHS, mixture.SEED, **full)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_give_the_rows_of_their_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    found = queries.QUERIES[name](spark, sf_dir)
+    want = con.execute(queries.ORACLE_SQL[name]).to_arrow_table().select(found.columns).to_pylist()
+    assert collections.Counter(map(tuple, found.collect())) == collections.Counter(tuple(r.values()) for r in want)
+
+
 def plain_simhash(text):
     w = re.split("[\x20\x09-\x0d]+", text.strip(" \t\n\x0b\f\r"))
     votes, total = [0] * 64, 0
