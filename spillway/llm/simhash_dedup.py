@@ -1,22 +1,28 @@
 """SimHash near-duplicates (operator 3) by multi-index hashing.
 
 A document's fingerprint is the majority, bit by bit, of the XXH64 of its shingles.  Only
-distinct fingerprints are compared.  Each is stored in one table for each of three segments
-of its bits.  At most four differing bits over segments of radius 1, 1 and 0 leave at least
-one segment within its radius (four errors cannot give 2 + 2 + 1), so every link is found
-by looking up, in each table, the small Hamming ball around the segment's value; only set
-bits are cleared, as of two values one bit apart one has that bit set.  The lookup joins on
+distinct fingerprints are compared.  Each is stored in one table for each segment of its
+bits.  At most four differing bits over segments of radius 1, 1 and 0 leave at least one
+segment within its radius (four errors cannot give 2 + 2 + 1), so every link is found by
+looking up, in each table, the small Hamming ball around the segment's value; of two values
+that differ in some bits one has the lowest of these set, and only that one asks.  From
+``MANY`` fingerprints on, two segments of 32 bits with radius 2 and 1 keep the tables' cells
+small (four errors cannot give 3 + 2); both layouts find every link.  The lookup joins on
 segment and value and verifies the whole distance in the same step.  Components of the
 links are found on fingerprints and given the smallest document id.
 
 Cases: a null, empty or blank text has fingerprint zero and links like any other; fewer
-words than a shingle make one shingle of them all; repeated rows each give a row; a null id
-is never a component's name unless all its ids are null; extra columns are not read.
+words than a shingle make one shingle of them all; a very long text is hashed whole, as a
+run of its own; a bit set in exactly half of the hashes is not set; repeated rows each give a
+row; a null id is never a component's name unless all its ids are null; an empty table
+gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, blocks, cut, hash_spans, store, table, texts_of
-from .components import connected_components
+from .components import connected_components, join_by_key
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: shift, width and radius of each segment; the radii add up to DISTANCE - 2.
-SEGMENTS = ((0, 22, 1), (22, 22, 1), (44, 20, 0))
+#: Shift, width and radius of each segment, for fewer and for more than MANY fingerprints: radii and number of segments add up to DISTANCE + 1.
+FEW_SEGMENTS, MANY_SEGMENTS, MANY = ((0, 22, 1), (22, 22, 1), (44, 20, 0)), ((0, 32, 2), (32, 32, 1)), 1 << 25
 
 
 def _majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -68,30 +74,46 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(id), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{id}` {kind}, fp long")
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _ball(shift: int, width: int, radius: int) -> list[tuple[int, int]]:
+    """Bits to flip, and the lowest of them, for every value within the radius but the centre itself."""
+    out = []
+    for r in range(1, radius + 1):
+        for bits in combinations(range(shift, shift + width), r):
+            out.append((_signed(sum(1 << b for b in bits)), _signed(1 << bits[0])))
+    return out
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, segments: tuple | None = None) -> DataFrame:
     """(a, b), a < b: every two fingerprints of column fp at most ``distance`` bits apart."""
-    if distance > sum(r for *_, r in SEGMENTS) + len(SEGMENTS) - 1:
+    segments = segments or (FEW_SEGMENTS if distinct.count() < MANY else MANY_SEGMENTS)
+    if distance > sum(r for *_, r in segments) + len(segments) - 1:
         raise ValueError("the segments' radii do not cover this distance")
+    # each row becomes many: dealt first, or the few tasks that hold the small table would make them all
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = distinct.select("fp").repartition(parts, "fp")
 
     def key(value, segment: int):
-        shift, width, _ = SEGMENTS[segment]
-        return F.shiftrightunsigned(value, shift).bitwiseAND((1 << width) - 1).bitwiseOR(F.lit(segment << 32))
+        shift, width, _ = segments[segment]
+        return F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1)).bitwiseXOR(F.lit(segment << 32))
 
-    entries = F.array(*(key(F.col("fp"), s) for s in range(len(SEGMENTS))))
+    entries = F.array(*(key(F.col("fp"), s) for s in range(len(segments))))
     stored = distinct.select(F.col("fp").alias("b"), F.explode(entries).alias("key"))
-    ball = []
-    for s, (shift, width, radius) in enumerate(SEGMENTS):
-        ball.append(F.struct(key(F.col("fp"), s).alias("key"), F.lit(0).cast("long").alias("flip")))
-        for i in range(width if radius else 0):
-            flip = 1 << (shift + i)
-            ball.append(F.struct(key(F.col("fp").bitwiseXOR(F.lit(flip)), s).alias("key"), F.lit(flip).alias("flip")))
-    probes = (
-        distinct.select(F.col("fp").alias("a"), F.explode(F.array(*ball)).alias("p"))
-        .where("p.flip = 0 or (a & p.flip) <> 0")
-        .select("a", F.col("p.key").alias("key"), (F.col("p.flip") == 0).alias("same"))
-    )
+    probes = []
+    for s, segment in enumerate(segments):
+        probes.append(distinct.select(F.col("fp").alias("a"), key(F.col("fp"), s).alias("key"), F.lit(True).alias("same")))
+        ball = _ball(*segment)
+        if ball:
+            flips = F.array(*(F.struct(F.lit(f).alias("bits"), F.lit(low).alias("low")) for f, low in ball))
+            around = distinct.select(F.col("fp").alias("a"), F.explode(flips).alias("flip")).where("(a & flip.low) <> 0")
+            probes.append(around.select("a", key(F.col("a").bitwiseXOR(F.col("flip.bits")), s).alias("key"), F.lit(False).alias("same")))
+    probes = reduce(DataFrame.union, probes)
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & (~F.col("same") | (F.col("a") < F.col("b")))
-    found = probes.join(stored, (probes["key"] == stored["key"]) & near)
+    # an exploded side is many times what its input was estimated at: never broadcast it
+    found = probes.join(stored.hint("merge"), (probes["key"] == stored["key"]) & near)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
@@ -130,11 +152,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", dis
     rows = store(fingerprints(docs, id, text))
     distinct = cut(rows.groupBy("fp").agg(F.min(id).alias("least")))
     named = cut(components(distinct, distance))
-    smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    component = cut(named.join(smallest, "label").select(F.col("fp").alias("of"), "component_id"))
-    return rows.join(component, rows["fp"] == component["of"]).select(
-        id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    smallest = cut(named.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    component = join_by_key(named, smallest, "label", named.count()).select("fp", "component_id")
+    copies = rows.groupBy("fp").agg(F.count("*").alias("n"))
+    component = cut(component.join(copies, "fp"))
+    return join_by_key(rows, component, "fp", rows.count()).select(id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

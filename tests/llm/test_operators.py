@@ -170,12 +170,13 @@ def test_simhash_dedup(spark, real):
     assert collections.Counter(map(tuple, got)) == expected
 
 
-def test_simhash_links_find_every_pair(spark):
+@pytest.mark.parametrize("segments", [simhash_dedup.FEW_SEGMENTS, simhash_dedup.MANY_SEGMENTS])
+def test_simhash_links_find_every_pair(spark, segments):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(40)]
     values = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(12)})
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
-    got = {tuple(sorted(x & (1 << 64) - 1 for x in r)) for r in simhash_dedup.links(spark.createDataFrame(signed, "fp long")).collect()}
+    got = {tuple(sorted(x & (1 << 64) - 1 for x in r)) for r in simhash_dedup.links(spark.createDataFrame(signed, "fp long"), segments=segments).collect()}
     assert got == {(a, b) for k, a in enumerate(values) for b in values[k + 1 :] if (a ^ b).bit_count() <= 4}
 
 
@@ -186,6 +187,19 @@ def test_components_of_a_long_path(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "LEAST", 5)
+    rng = random.Random(14)
+    edges = [(1000, i) for i in range(300)] + [(2000, 2001 + i) for i in range(300)] + [(rng.randrange(5000, 5400), rng.randrange(5000, 5400)) for _ in range(220)] + [(None, 1), (7, 7)]
+    got = dict(components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
+    label = {n: n for e in edges if None not in e and e[0] != e[1] for n in e}
+    for _ in range(400):
+        for a, b in edges:
+            if a in label and b in label:
+                label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+
+
 def plain_dedup(rows, window):
     first = {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
