@@ -324,7 +324,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, scales and weights (the last one the constant) of a ridge logistic regression, by Newton steps."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
     w, penalty = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
     penalty[-1] = 1e-6

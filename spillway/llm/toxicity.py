@@ -6,16 +6,25 @@ its stems stand for, make a trie; a Levenshtein automaton of one error (for word
 paths of the trie at once, and the reached sets of trie nodes and errors become the states
 of one table.  Texts run through the table a letter of all distinct words at a time; a word
 leaves as soon as its state is dead.  A word one error off a term is no misspelling if its own log
-odds in the learning rows are too low for a term.  A hit found in a quotation, or near a reporting verb,
-counts as quoted and not as abuse; the neighbours of hits are scored as well.  A logistic
-regression over a document's hits gives the score.
+odds in the learning rows are too low for a term.
 
-Half of the learning rows make the lexicon, the other half the regression, so the lexicon
+A context score separates quotation from abuse: around each hit a window of ``NEAR`` words
+gives cues (an open quotation, a reporting verb near, words that the learning rows show
+around hits of toxic and of other documents), and a logistic model of the cues says how
+likely the hit is abuse.  It is fitted to the hits of the learning rows, drawn towards
+``PRIOR``, so that it tells quotations apart before it has seen one and learns from those
+it sees.  A hit counts as abuse by that share; below one half it is quoted.  A logistic
+regression over a document's hits gives its score.
+
+Half of the learning rows make the lexicon, the other half the regressions, so the lexicon
 is not trusted on the rows it came from.
 
-Cases: null and empty texts are scored as texts without hits; a document without labels is
-scored only; no labelled rows at all give everyone the score 0; repeated rows each give a
-row; a null id is held out of nothing and scored; extra columns are not read.
+Cases: null and empty texts are scored as texts without hits; a very long text is scored
+whole; a document without labels is scored only; where a half of the learning rows has no
+toxic one, or no other, everyone's score is the share of toxic rows, 0 without any rows; of
+terms that accept a word with equally few errors the first counts; repeated rows each give a
+row, and are learned from once for each id; an empty table gives no rows; a null id is held
+out of nothing and scored; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -34,8 +43,10 @@ from .common import Letters, blocks, fit_logistic, held_out, labelled, per_doc,
 
 #: Labelled rows to learn from, at most.
 SAMPLE = 16_000
-#: Terms of the lexicon, at most, and the least documents and log odds of a term.
-TERMS, SUPPORT, ODDS = 400, 5, 2.3
+#: Terms of the lexicon, at most, and their least log odds.
+TERMS, ODDS = 400, 2.3
+#: The least toxic documents of a term: this share of those learned from, but within these bounds.
+SUPPORT, LEAST_SUPPORT, MOST_SUPPORT = 1 / 3, 2, 5
 #: Letters of stems, and the least letters of a word that may be misspelled.
 STEMS, FUZZY = range(4, 11), 5
 FOLD, HELD, THRESHOLD = 4, 2, 0.3
@@ -45,6 +56,10 @@ QUOTES = "\"'“”„«»‹›‘’「」"
 # Verbs of reporting in the languages of the corpus.
 REPORTING = ("said", "says", "wrote", "quoted", "quote", "called", "according", "sagte", "schrieb", "zitiert", "dit", "écrit", "selon", "dijo", "escribió", "según")
 FEATURES = 7
+#: Weights that the context model is drawn to, by the squared distance times PULL: of its constant,
+#: an open quotation, reporting verbs (the nearer the more), and the learned neighbours.  The constant stays,
+#: or hits that all stand in toxic rows would teach that no context matters.
+PRIOR, PULL = np.array([2.0, -4.0, -4.5, 1.0]), np.array([1e6, 4.0, 4.0, 1.0])
 #: Weight of a misspelled term against the same spelled right.
 MISSPELLED = 0.7
 
@@ -179,6 +194,10 @@ def log_odds(a: int, b: int, n_toxic: int, n_clean: int) -> float:
     return math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
 
 
+def support(n_toxic: int) -> int:
+    return int(min(MOST_SUPPORT, max(LEAST_SUPPORT, round(SUPPORT * n_toxic))))
+
+
 def choose_terms(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> tuple[list[str], list[str], np.ndarray, dict[str, str]]:
     """Words, stems and their weights from the documents with a word ('word') or a stem ('stem*').
 
@@ -186,7 +205,7 @@ def choose_terms(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) ->
     """
     scored = []
     for term, a in toxic.items():
-        if a >= SUPPORT:
+        if a >= support(n_toxic):
             odds = log_odds(a, clean.get(term, 0), n_toxic, n_clean)
             if odds >= ODDS:
                 scored.append((odds, a, term))
@@ -226,14 +245,16 @@ class Model:
     known: np.ndarray  # hashes of words that are no misspelling of a term: by their own odds they are not toxic
     reporting: np.ndarray
     context: np.ndarray  # score by hash of a neighbour
+    cues: np.ndarray  # weights of the context model
     fit: tuple | None
+    base: float = 0.0
 
 
 CONTEXT = 1 << 12
 
 
-def hits(model: Model, texts: pa.Array) -> tuple[Letters, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, and of each hit: its word, term, errors, whether it is quoted, and its neighbours' score."""
+def hits(model: Model, texts: pa.Array) -> tuple[Letters, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, and of each hit: its word, term, errors, and the cues of its context."""
     w = Letters(texts)
     hashes, at, which = w.distinct()
     term, errors = model.automaton.run(w.points, w.start[at], w.end[at])
@@ -257,23 +278,37 @@ def hits(model: Model, texts: pa.Array) -> tuple[Letters, np.ndarray, np.ndarray
         right = np.where(k < len(marks), marks[np.minimum(k, len(marks) - 1)], 1 << 60)
         before = (k - np.searchsorted(marks, w.bounds[doc])) % 2 == 1  # an odd number of marks opens
         quoted = before & (w.start[found] - left <= QUOTE) & (right - w.end[found] <= QUOTE) & (left >= w.bounds[doc]) & (right < w.bounds[doc + 1])
-    score = np.zeros(len(found))
+    score, reported = np.zeros(len(found)), np.zeros(len(found))
     word_hash = hashes[which] if len(found) else hashes
     for step in (*range(-NEAR, 0), *range(1, NEAR + 1)):
         at = found + step
         fine = (at >= w.first[doc]) & (at < w.first[doc + 1])
         h = word_hash[np.clip(at, 0, max(0, len(w) - 1))] if len(found) else word_hash[:0]
         score += np.where(fine, model.context[h % np.uint64(CONTEXT)] if len(h) else 0.0, 0.0) / abs(step)
-        quoted |= fine & np.isin(h, model.reporting)
-    return w, found, term, errors, quoted, score
+        reported += (fine & np.isin(h, model.reporting)) / abs(step)
+    return w, found, term, errors, np.column_stack([np.ones(len(found)), quoted, np.minimum(reported, 1.0), np.tanh(score / 4)])
+
+
+def fit_context(cues: np.ndarray, toxic: np.ndarray, times: np.ndarray, steps: int = 25) -> np.ndarray:
+    """Weights of the cues: log loss of the hits' labels, each as many times, drawn towards PRIOR."""
+    w = PRIOR.copy()
+    for _ in range(steps):
+        p = sigmoid(cues @ w)
+        grad = cues.T @ (times * (p - toxic)) + PULL * (w - PRIOR)
+        hess = (cues * (times * p * (1 - p))[:, None]).T @ cues + np.diag(PULL)
+        step = np.linalg.solve(hess, grad)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
 
 
 def features(model: Model, texts: pa.Array) -> np.ndarray:
     """FEATURES numbers for each document."""
-    w, found, term, errors, quoted, score = hits(model, texts)
+    w, found, term, errors, cues = hits(model, texts)
+    abuse, score = sigmoid(cues @ model.cues), cues[:, 3]
     first = np.searchsorted(w.doc[found], np.arange(len(texts) + 1))
     weight = model.weights[term] if len(found) else np.zeros(0)
-    plain = ~quoted
     # different terms count; the same one again counts less
     order = np.lexsort((errors, term, w.doc[found]))
     again = np.zeros(len(found), bool)
@@ -282,12 +317,12 @@ def features(model: Model, texts: pa.Array) -> np.ndarray:
         again[order[1:]] = (d[1:] == d[:-1]) & (t[1:] == t[:-1])
     fresh = np.where(again, 0.3, 1.0)
     weight = weight * np.where(errors > 0, MISSPELLED, 1.0)
-    sums = np.stack([weight * fresh * plain, weight * quoted, score * plain, plain.astype(float)], 1)
+    sums = np.stack([weight * fresh * abuse, weight * (abuse < 0.5), score * abuse, abuse], 1)
     total = per_doc(sums, first)
     top = np.zeros(len(texts))
-    np.maximum.at(top, w.doc[found], weight * plain)
+    np.maximum.at(top, w.doc[found], weight * abuse)
     size = np.log1p(w.count)
-    return np.column_stack([np.log1p(total[:, 0]), np.log1p(total[:, 1]), top, np.tanh(total[:, 2] / 4), np.log1p(total[:, 3]), total[:, 3] / np.sqrt(w.count + 10.0), size])
+    return np.column_stack([np.log1p(total[:, 0]), np.log1p(total[:, 1]), top, total[:, 2] / np.maximum(total[:, 3], 1.0), np.log1p(total[:, 3]), total[:, 3] / np.sqrt(w.count + 10.0), size])
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,19 +348,20 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
     rows = labelled(docs, labels, "toxic", FOLD, HELD, sample, id, text).withColumn("half", F.xxhash64("id", F.lit(1)) % 2 == 0)
     of_half = {bool(r.half): dict(n=r.n, toxic=r.toxic) for r in rows.groupBy("half").agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).collect()}
-    empty = Model(build([], []), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(CONTEXT), None)
-    learn = of_half.get(True)
-    if not learn or not learn["toxic"] or not of_half.get(False) or not of_half[False]["toxic"]:
-        return empty
+    learn, other = of_half.get(True), of_half.get(False)
+    if not learn or not other or not 0 < learn["toxic"] < learn["n"] or not 0 < other["toxic"] < other["n"]:
+        both = [h for h in (learn, other) if h]
+        base = sum(h["toxic"] for h in both) / max(1, sum(h["n"] for h in both))
+        return Model(build([], []), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(CONTEXT), PRIOR, None, base)
     counts = rows.where("half").select("text", "label").mapInArrow(_term_counts, "term string, toxic int, n long")
     counts = counts.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
     n_toxic, n_clean = learn["toxic"], learn["n"] - learn["toxic"]
     odds = F.log((F.col("a") + 0.5) / (n_toxic + 1)) - F.log((F.col("b") + 0.5) / (n_clean + 1))
     # bounded by the sample's size
-    found = counts.where((F.col("a") >= SUPPORT) & (odds >= ODDS)).orderBy(F.desc(odds * F.sqrt("a")), "term").limit(20 * TERMS).collect()
+    found = counts.where((F.col("a") >= support(n_toxic)) & (odds >= ODDS)).orderBy(F.desc(odds * F.sqrt("a")), "term").limit(20 * TERMS).collect()
     words, stems, weights, forms = choose_terms(Counter({r.term: r.a for r in found}), Counter({r.term: r.b for r in found}), n_toxic, n_clean)
     automaton = build(words, stems, forms=forms)
-    base = Model(automaton, weights, np.zeros(0, np.uint64), _hash_words(REPORTING), np.zeros(CONTEXT), None)
+    base = Model(automaton, weights, np.zeros(0, np.uint64), _hash_words(REPORTING), np.zeros(CONTEXT), PRIOR, None)
     shared = rows.sparkSession.sparkContext.broadcast(base)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +369,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         for batch in batches:
             label, texts = np.array(batch.column(1).to_pylist()), texts_of(batch.column(0))
             for a, b in blocks(texts):
-                w, at, _, errors, _, _ = hits(shared.value, texts.slice(a, b - a))
+                w, at, _, errors, _ = hits(shared.value, texts.slice(a, b - a))
                 h, y = w.hashes(), label[a:b][w.doc]
                 off = at[errors > 0]
                 off = off[np.unique(np.stack([w.doc[off].astype(np.int64), h[off].view(np.int64)]), axis=1, return_index=True)[1]]
@@ -354,10 +390,26 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     rate = (sum(r.a for r in own) + 1) / (sum(r.n for r in own) + 2)
     for r in own:
         p = (r.a + 8 * rate) / (r.n + 8)
-        context[r.key] = math.log(p / rate)
+        context[r.key] = math.log(p / (1 - p)) - math.log(rate / (1 - rate))
     base.context = context
     shared = rows.sparkSession.sparkContext.broadcast(base)
 
+    def context_cues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hits by their cues, rounded, and label."""
+        for batch in batches:
+            label, texts = np.array(batch.column(1).to_pylist(), float), texts_of(batch.column(0))
+            for a, b in blocks(texts):
+                w, found, _, _, cues = hits(shared.value, texts.slice(a, b - a))
+                x = np.column_stack([np.round(cues[:, 1:], 1) + 0.0, label[a:b][w.doc[found]]])
+                yield pa.RecordBatch.from_pydict({c: pa.array(x[:, k]) for k, c in enumerate(("open", "reported", "near", "toxic"))})
+
+    # cues are rounded, so the table has at most 2 x 11 x 21 x 2 rows
+    seen = rows.where("not half").select("text", "label").mapInArrow(context_cues, "open double, reported double, near double, toxic double")
+    seen = seen.groupBy("open", "reported", "near", "toxic").agg(F.count("*").alias("n")).toPandas()
+    x = np.column_stack([np.ones(len(seen)), seen[["open", "reported", "near"]].to_numpy()])
+    base.cues = fit_context(x, seen["toxic"].to_numpy(float), seen["n"].to_numpy(float))
+    shared = rows.sparkSession.sparkContext.broadcast(base)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(0))
@@ -376,7 +428,7 @@ def _hash_words(words: tuple[str, ...]) -> np.ndarray:
 
 def scores(model: Model, texts: pa.Array) -> np.ndarray:
     if model.fit is None:
-        return np.zeros(len(texts))
+        return np.full(len(texts), model.base)
     mean, scale, w = model.fit
     found = [features(model, texts.slice(a, b - a)) for a, b in blocks(texts)]
     x = np.concatenate(found) if found else np.zeros((0, FEATURES))
@@ -402,14 +454,15 @@ def score_toxicity(docs: DataFrame, model: Model, id: str = "doc_id", text: str
 
 
 def spans(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each hit: id, begin and finish (code points), errors, quoted."""
+    """One row for each hit: id, begin and finish (code points), errors, abuse (0 to 1) and quoted (abuse below one half)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(1))
             for a, b in blocks(texts):
-                w, found, _, errors, quoted, _ = hits(shared.value, texts.slice(a, b - a))
+                w, found, _, errors, cues = hits(shared.value, texts.slice(a, b - a))
+                abuse = sigmoid(cues @ shared.value.cues)
                 doc = w.doc[found]
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -417,13 +470,14 @@ def spans(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
                         "begin": pa.array(w.start[found] - w.bounds[doc], pa.int64()),
                         "finish": pa.array(w.end[found] - w.bounds[doc], pa.int64()),
                         "errors": pa.array(errors, pa.int32()),
-                        "quoted": pa.array(quoted, pa.bool_()),
+                        "abuse": pa.array(abuse, pa.float64()),
+                        "quoted": pa.array(abuse < 0.5, pa.bool_()),
                     }
                 )
 
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, begin long, finish long, errors int, quoted boolean").withColumnRenamed("id", id)
+    return rows.mapInArrow(run, f"id {kind}, begin long, finish long, errors int, abuse double, quoted boolean").withColumnRenamed("id", id)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -569,6 +569,67 @@ def test_toxicity_spelling_and_quotation(spark):
     assert [(r.doc_id, r.errors, r.quoted) for r in found] == [(1000, 1, False), (1000, 1, False), (1002, 0, True)]
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert {r.score for r in toxicity.score_toxicity(docs, none).collect()} == {0.0}
+    few = spark.createDataFrame([(i, 1, int(i == 1)) for i in range(4) if i != 2], "doc_id long, quality int, toxic int")
+    assert len({round(r.score, 9) for r in toxicity.score_toxicity(docs, toxicity.train(docs, few)).collect()}) == 1
+    assert toxicity.score_toxicity(docs.limit(0), model).count() == 0 and toxicity.spans(docs.limit(0), model).count() == 0
+    # every score from whole passes over words, hits and sums written plainly
+    texts = [t or "" for _, t in rows[::37] + extra]
+    got = toxicity.scores(model, pa.array(texts, pa.large_string()))
+    assert np.allclose(got, [plain_toxicity(model, t) for t in texts])
+
+
+def plain_toxicity(m, text):
+    """The model's score of one text, word by word."""
+    a, words, start = m.automaton, [], 0
+    for x in re.finditer("[^\\W\\d_]+", text):
+        words.append((x.start(), x.end(), x.group().lower()))
+    h = [xxhash.xxh64_intdigest(w.encode("utf-32-le")) for *_, w in words]
+    marks = [i for i, c in enumerate(text) if c in toxicity.QUOTES and not (0 < i < len(text) - 1 and text[i - 1].isalpha() and text[i + 1].isalpha())]
+    sums, tops, seen = np.zeros(4), [0.0], set()
+    found = []
+    for k, (begin, end, w) in enumerate(words):
+        state = 1
+        for c in w:
+            state = a.step[state, a.classes.get(c, 0)]
+        term, errors = a.term[state], a.errors[state]
+        if state == 0 or term < 0 or errors and h[k] in set(m.known.tolist()):
+            continue
+        before = [x for x in marks if x < begin]
+        behind = [x for x in marks if x >= begin]
+        open_ = bool(len(before) % 2 and behind and begin - before[-1] <= toxicity.QUOTE and behind[0] - end <= toxicity.QUOTE)
+        near = [(h[j], abs(j - k)) for j in range(max(0, k - toxicity.NEAR), min(len(words), k + toxicity.NEAR + 1)) if j != k]
+        reported = min(1.0, sum(1 / d for x, d in near if x in set(m.reporting.tolist())))
+        cues = np.array([1.0, open_, reported, np.tanh(sum(m.context[x % toxicity.CONTEXT] / d for x, d in near) / 4)])
+        found.append((term, errors, cues, 1 / (1 + np.exp(-cues @ m.cues))))
+    for term, errors, cues, abuse in sorted(found, key=lambda x: (x[0], x[1])):
+        weight = m.weights[term] * (toxicity.MISSPELLED if errors else 1)
+        sums += [weight * abuse * (0.3 if term in seen else 1), weight * (abuse < 0.5), cues[3] * abuse, abuse]
+        tops.append(weight * abuse)
+        seen.add(term)
+    n = len(words)
+    x = np.array([np.log1p(sums[0]), np.log1p(sums[1]), max(tops), sums[2] / max(sums[3], 1.0), np.log1p(sums[3]), sums[3] / np.sqrt(n + 10), np.log1p(n)])
+    mean, scale, w = m.fit
+    return 1 / (1 + np.exp(-((x - mean) / scale @ w[:-1] + w[-1])))
+
+
+def test_toxicity_learns_what_a_quotation_looks_like(spark):
+    rng = random.Random(15)
+    make = lambda n: [rng.choice(["river", "mountain", "window", "garden", "letter", "the", "of", "and"]) for _ in range(n)]
+    rows, labels = [], []
+    for i in range(900):
+        words = make(40)
+        if i % 5 == 0:
+            words[10] = rng.choice(["villain", "scoundrel"])
+        elif i % 20 == 1:  # clean: the neighbours, none of them a reporting verb, tell of a quotation
+            words[9:12] = ["dictionary", rng.choice(["villain", "scoundrel"]), "etymology"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 5 == 0)))
+    extra = [(2000, " ".join([*make(12), "dictionary", "villain", "etymology", *make(12)])), (2001, " ".join([*make(12), "villain", *make(12)]))]
+    docs = documents(spark, rows + extra)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {r.doc_id: r.quoted for r in toxicity.spans(docs.where("doc_id >= 2000"), model).collect()} == {2000: True, 2001: False}
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert got[2000] < 0.3 <= got[2001]
 
 
 def test_toxicity_misspelled_forms_of_a_stem(spark):
