@@ -1,18 +1,23 @@
 """Quality classifier (operator 6): attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE`` words, every one of them encoded; only the
-document has a label.  A passage's statistics (kinds of bytes, word shapes, repetition,
-frequent words) go through a learned encoder; gated attention (a tanh branch times a
-sigmoid branch) weighs the passages, and a logistic layer scores their weighted mean.
+document has a label.  What a passage is encoded from is its words and neighbouring words,
+hashed with a sign into ``GRAMS`` sums, and statistics of its form (kinds of bytes, word
+shapes, repetition, frequent words); both go through a learned encoder.  Gated attention (a
+tanh branch times a sigmoid branch) weighs the passages, and a logistic layer scores their
+weighted mean.
 
-The model learns from at most ``SAMPLE`` labelled rows outside the held-out fold: executors
-reduce each document to its passages' statistics, and the driver fits the small network on
-these.  Scoring runs over whole texts, as whole arrays for a run of documents.
+The model learns from at most ``SAMPLE`` labelled rows outside the held-out fold, none above
+``LEARNED_BYTES``: executors reduce each document to its passages' input, and the driver fits
+the small network on these.  Scoring runs over whole texts, as whole arrays for a run of
+documents.
 
 Cases: a null, empty or blank text is one passage of zeros; a last passage of fewer than
-half the words joins the one before; with one class or no labels everyone gets that class's
-share as score (0.5 without labels); repeated rows each give a row; a null id is scored and
-not held out; extra columns are not read.
+half the words joins the one before; a very long text is scored whole, as a run of its own;
+with one class or no labels everyone gets that class's share as score (0.5 without labels);
+among equally frequent words the smaller hash counts as frequent; repeated rows each give a
+row, and are learned from once for each id; an empty table gives no rows; a null id is
+scored and not held out; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +36,11 @@ from .common import SPACE, Words, blocks, held_out, labelled, mixed, per_doc, si
 SAMPLE = 4_000
 PASSAGE = 64
 FOLD, HELD, THRESHOLD = 5, 0, 0.3
-HIDDEN, GATE, EPOCHS, RATE, DECAY, SEED = 16, 8, 150, 0.04, 1e-4, 11
+HIDDEN, GATE, EPOCHS, RATE, DECAY, SEED = 16, 8, 120, 0.03, 1e-3, 11
 #: Words of the learning rows that count as frequent.
 FREQUENT = 400
+#: Signed sums that words and pairs of words are hashed into.
+GRAMS = 96
 
 
 def _set(chars: bytes) -> np.ndarray:
@@ -47,7 +54,8 @@ KINDS = (
     _set(bytes(range(65, 91))), _set(bytes(range(97, 123))), _set(b"0123456789"), _set(b".,;:"), _set(b"!?"), _set(b"|"), _set(b"#*$%&<>@^~=+\\/{}[]_"), _set(b"\n"),
     _set(bytes(range(128, 256))), _set(b"\"'()-"),
 )
-FEATURES = len(KINDS) + 11
+SHAPE = len(KINDS) + 11
+FEATURES = SHAPE + GRAMS
 
 
 def passages(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +83,7 @@ def statistics(texts: pa.Array, frequent: np.ndarray) -> tuple[np.ndarray, np.nd
     is_last = np.append(doc[1:] != doc[:-1], True) if len(doc) else np.zeros(0, bool)
     high = np.where(is_last, last, at[begin[1:]])
     high = np.where(n_words > 0, high, 0)
-    out = np.zeros((len(n_words), FEATURES))
+    out = np.zeros((len(n_words), SHAPE))
     for k, kind in enumerate(KINDS):
         sums = np.concatenate([[0], np.cumsum(kind[w.data])])
         out[:, k] = _ratio(sums[high] - sums[low], high - low)
@@ -103,7 +111,18 @@ def statistics(texts: pa.Array, frequent: np.ndarray) -> tuple[np.ndarray, np.nd
     mean[:, :2] = np.log1p(mean[:, :2])
     out[:, len(KINDS) : len(KINDS) + 10] = mean
     out[:, -1] = np.log1p(n_words)
-    return out, first
+    return np.hstack([out, grams(h, of, n_words)]), first
+
+
+def grams(h: np.ndarray, of: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """For each passage the signed sums of its words and of its pairs of neighbours, by the root of their number."""
+    pair = np.flatnonzero(of[1:] == of[:-1])
+    with np.errstate(over="ignore"):
+        keys = np.concatenate([mixed(h), mixed(h[pair] * np.uint64(31) + mixed(h[pair + 1]))])
+    at = np.concatenate([of, of[pair]]) * GRAMS + (keys % np.uint64(GRAMS)).astype(np.int64)
+    sign = np.where(keys >> np.uint64(63) == 1, 1.0, -1.0)
+    sums = np.bincount(at, sign, minlength=len(n_words) * GRAMS).reshape(len(n_words), GRAMS)
+    return sums / np.sqrt(np.maximum(n_words, 1))[:, None]
 
 
 @dataclass
@@ -133,36 +152,44 @@ def _network(p: dict, x: np.ndarray, first: np.ndarray):
     return bag @ p["out"] + p["out0"], h, t, g, a, bag
 
 
-def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict:
-    """Adam on the log loss of all bags at once."""
+def gradients(p: dict, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict:
+    """Of the mean log loss of all bags, by each parameter."""
+    n = np.diff(first)
+    score, h, t, g, a, bag = _network(p, x, first)
+    d_score = (sigmoid(score) - y) / len(y)
+    d_bag = d_score[:, None] * p["out"]
+    of = np.repeat(d_bag, n, axis=0)
+    d_a = (of * h).sum(1)
+    d_e = a * (d_a - np.repeat(np.add.reduceat(a * d_a, first[:-1]), n))
+    d_tg = d_e[:, None] * p["pool"]
+    d_t, d_g = d_tg * g * (1 - t**2), d_tg * t * g * (1 - g)
+    d_h = (of * a[:, None] + d_t @ p["att"].T + d_g @ p["gate"].T) * (1 - h**2)
+    return {
+        "enc": x.T @ d_h, "enc0": d_h.sum(0), "att": h.T @ d_t, "att0": d_t.sum(0), "gate": h.T @ d_g, "gate0": d_g.sum(0),
+        "pool": (t * g).T @ d_e, "out": bag.T @ d_score, "out0": d_score.sum(),
+    }
+
+
+def start(d: int) -> dict:
     rng = np.random.default_rng(SEED)
-    d = x.shape[1]
-    p = {
+    return {
         "enc": rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)), "enc0": np.zeros(HIDDEN), "att": rng.normal(0, 0.3, (HIDDEN, GATE)), "att0": np.zeros(GATE),
         "gate": rng.normal(0, 0.3, (HIDDEN, GATE)), "gate0": np.zeros(GATE), "pool": rng.normal(0, 0.3, GATE), "out": rng.normal(0, 0.3, HIDDEN), "out0": np.zeros(()),
     }
+
+
+def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict:
+    """Adam on the log loss of all bags at once."""
+    x = x.astype(np.float32)
+    p = {k: w.astype(np.float32) for k, w in start(x.shape[1]).items()}
     m, v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
-    n = np.diff(first)
     for step in range(1, EPOCHS + 1):
-        score, h, t, g, a, bag = _network(p, x, first)
-        d_score = (sigmoid(score) - y) / len(y)
-        d_bag = d_score[:, None] * p["out"]
-        grad = {"out": bag.T @ d_score, "out0": d_score.sum()}
-        of = np.repeat(d_bag, n, axis=0)
-        d_h = of * a[:, None]
-        d_a = (of * h).sum(1)
-        d_e = a * (d_a - np.repeat(np.add.reduceat(a * d_a, first[:-1]), n))
-        grad["pool"] = (t * g).T @ d_e
-        d_tg = d_e[:, None] * p["pool"]
-        d_t, d_g = d_tg * g * (1 - t**2), d_tg * t * g * (1 - g)
-        grad |= {"att": h.T @ d_t, "att0": d_t.sum(0), "gate": h.T @ d_g, "gate0": d_g.sum(0)}
-        d_h = (d_h + d_t @ p["att"].T + d_g @ p["gate"].T) * (1 - h**2)
-        grad |= {"enc": x.T @ d_h, "enc0": d_h.sum(0)}
+        grad = gradients(p, x, first, y.astype(np.float32))
         for k, w in p.items():
             dk = grad[k] + DECAY * w
             m[k] = 0.9 * m[k] + 0.1 * dk
             v[k] = 0.999 * v[k] + 0.001 * dk * dk
-            p[k] = w - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+            p[k] = (w - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return p
 
 
@@ -188,16 +215,16 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
             at = 0
             for a, b in blocks(texts):
                 x, first = statistics(texts.slice(a, b - a), shared.value)
-                rows = [x[i:j].astype(np.float32).tobytes() for i, j in zip(first[:-1], first[1:])]
+                rows = [x[i:j].astype(np.float16).tobytes() for i, j in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_pydict({"label": batch.column(1).slice(at, b - a), "x": pa.array(rows, pa.binary())})
                 at = b
 
     got = rows.mapInArrow(measure, "label int, x binary").orderBy("label", "x").toArrow()
     if not len(got):
         return Model(frequent, np.zeros(FEATURES), np.ones(FEATURES), None, 0.5)
-    bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in got.column("x").to_pylist()]
+    bags = [np.frombuffer(b, np.float16).reshape(-1, FEATURES) for b in got.column("x").to_pylist()]
     y = got.column("label").to_numpy().astype(float)
-    x, first = np.concatenate(bags).astype(float), np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+    x, first = np.concatenate(bags).astype(np.float32), np.concatenate([[0], np.cumsum([len(b) for b in bags])])
     mean, scale = x.mean(0), x.std(0) + 1e-3
     if y.min() == y.max():
         return Model(frequent, mean, scale, None, float(y[0]))

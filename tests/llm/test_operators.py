@@ -389,10 +389,61 @@ def test_quality_model_learns(spark, sf_dir):
     assert len(got) == len(good + bad + ODD) and all(0 <= r.score <= 1 for r in got)
     first = {r.doc_id: r.score for r in got}
     assert np.mean([(first[i] >= 0.3) == (i < 200) for i in range(20, 300)]) > 0.97
+    texts = [t or "" for _, t in good[:20] + bad[:20] + ODD]
+    plain = [plain_quality(model, t) for t in texts]
+    assert np.allclose(model.forward(*quality_model.statistics(pa.array(texts, pa.large_string()), model.frequent)), plain, atol=1e-5)
+    assert quality_model.score_quality(docs.limit(0), model).count() == 0
     none = quality_model.train(docs, labels.limit(0))
     assert {r.score for r in quality_model.score_quality(docs, none).collect()} == {0.5}
 
 
+def test_quality_gradients_are_the_differences_of_the_loss():
+    rng = np.random.default_rng(2)
+    first, y = np.array([0, 1, 4, 6, 11]), np.array([1.0, 0.0, 0.0, 1.0])
+    x = rng.normal(0, 1, (11, 7))
+    p = {k: np.array(w + rng.normal(0, 0.1, w.shape)) for k, w in quality_model.start(7).items()}
+
+    def loss():
+        s = quality_model._network(p, x, first)[0]
+        return np.mean(np.log1p(np.exp(s)) - y * s)
+
+    for k, grad in quality_model.gradients(p, x, first, y).items():
+        w = p[k].reshape(-1)
+        for i in range(min(w.size, 12)):
+            kept = w[i]
+            w[i] = kept + 1e-6
+            up = loss()
+            w[i] = kept - 1e-6
+            down = loss()
+            w[i] = kept
+            assert abs((up - down) / 2e-6 - np.asarray(grad).reshape(-1)[i]) < 1e-7
+
+
+def plain_quality(m, text):
+    """The network's score, passage by passage."""
+    t = pa.array([text or ""], pa.large_string())
+    x, _ = quality_model.statistics(t, m.frequent)
+    words = (text or "").encode().split() if text and text.strip() else []
+    n = max(1, (len(words) + quality_model.PASSAGE // 2) // quality_model.PASSAGE)
+    assert len(x) == n
+    parts, weights, p = [], [], m.parts
+    for k in range(n):
+        mine = words[k * quality_model.PASSAGE : (k + 1) * quality_model.PASSAGE if k + 1 < n else None]
+        sums = np.zeros(quality_model.GRAMS)
+        h = [xxhash.xxh64_intdigest(w) for w in mine]
+        mix = lambda v: int(common.mixed(np.array([v & (1 << 64) - 1], np.uint64))[0])
+        for key in [mix(v) for v in h] + [mix(a * 31 + mix(b)) for a, b in zip(h, h[1:])]:
+            sums[key % quality_model.GRAMS] += 1 if key >> 63 else -1
+        assert np.allclose(x[k, quality_model.SHAPE :], sums / max(1, len(mine)) ** 0.5)
+        z = np.clip((x[k] - m.mean) / m.scale, -8, 8)
+        h = np.tanh(z @ p["enc"] + p["enc0"])
+        e = (np.tanh(h @ p["att"] + p["att0"]) / (1 + np.exp(-(h @ p["gate"] + p["gate0"])))) @ p["pool"]
+        parts.append(h)
+        weights.append(np.exp(e))
+    bag = sum(w * h for w, h in zip(weights, parts)) / sum(weights)
+    return 1 / (1 + np.exp(-(bag @ p["out"] + p["out0"])))
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
