@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -119,12 +120,24 @@ def counts(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     return rows.mapInArrow(run, f"id {kind}, language string, origin string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def _vector() -> Column:
+#: The transformed statistics, and the parts of an estimate: centre, and the precision's upper triangle with what lies off the diagonal doubled.
+X = [f"x{i}" for i in range(SIZE)]
+CENTRE = [f"c{i}" for i in range(SIZE)]
+PAIRS = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
+PRECISION = [f"p{i}{j}" for i, j in PAIRS]
+
+
+def _vector() -> dict[str, Column]:
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    return F.array(
-        F.log(words), F.log(chars / words), F.sqrt(F.col("n_symbols") / (chars + F.col("n_symbols"))),
-        F.sqrt(F.col("n_dup_lines") / (F.col("n_dup_lines") + words / 8)), F.sqrt(F.col("n_repeat_words") / words),
+    return dict(
+        zip(
+            X,
+            (
+                F.log(words), F.log(chars / words), F.sqrt(F.col("n_symbols") / (chars + F.col("n_symbols"))),
+                F.sqrt(F.col("n_dup_lines") / (F.col("n_dup_lines") + words / 8)), F.sqrt(F.col("n_repeat_words") / words),
+            ),
+        )
     )
 
 
@@ -156,7 +169,7 @@ def consistency(share: float) -> float:
 
 
 LIMIT = chi_square_quantile(CUT, SIZE)
-_PARAMETERS = "kind string, start int, centre array<double>, precision array<double>, det double"
+_PARAMETERS = "kind string, start int, det double, " + ", ".join(f"{c} double" for c in CENTRE + PRECISION)
 
 
 def floored(cov: np.ndarray) -> np.ndarray:
@@ -171,31 +184,30 @@ def _invert(factor: float):
         """Centre, precision and log determinant of each kind and start from its sums; of scores, with the kind's own scale."""
         for p in parts:
             rows = []
-            for r in p.itertuples(index=False):
-                mean = np.asarray(r.sums) / r.n
+            for k in range(len(p)):
+                r = p.iloc[k]
+                mean = r[[f"s_{c}" for c in X]].to_numpy(float) / r["n"]
                 cov = np.zeros((SIZE, SIZE))
-                cov[np.triu_indices(SIZE)] = np.asarray(r.cross) / r.n
+                cov[np.triu_indices(SIZE)] = r[[f"s_{c}" for c in PRECISION]].to_numpy(float) / r["n"]
                 cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-                if r.scale is not None:
-                    sd = np.sqrt(np.diag(cov))
+                scale = r[[f"scale{i}" for i in range(SIZE)]].to_numpy(float)
+                if not np.isnan(scale).any():
+                    sd = np.sqrt(np.maximum(np.diag(cov), 0))
                     flat = sd < 1e-9
                     cov = np.where(flat[:, None] | flat, 0.0, cov / np.maximum(np.outer(sd, sd), 1e-18))
                     np.fill_diagonal(cov, 1.0)
-                    cov, mean = cov * np.outer(r.scale, r.scale), np.asarray(r.median)
+                    cov, mean = cov * np.outer(scale, scale), r[[f"median{i}" for i in range(SIZE)]].to_numpy(float)
                 cov = floored(cov)
-                rows.append((r.kind, r.start, mean.tolist(), np.linalg.inv(cov * factor).ravel().tolist(), np.linalg.slogdet(cov)[1]))
-            yield pd.DataFrame(rows, columns=["kind", "start", "centre", "precision", "det"])
+                inverse = np.linalg.inv(cov * factor)
+                rows.append((r["kind"], r["start"], np.linalg.slogdet(cov)[1], *mean, *(inverse[i, j] * (1 if i == j else 2) for i, j in PAIRS)))
+            yield pd.DataFrame(rows, columns=["kind", "start", "det", *CENTRE, *PRECISION])
 
     return run
 
 
 def _distance() -> Column:
-    d = [F.col("x")[i] - F.col("centre")[i] for i in range(SIZE)]
-    total = F.lit(0.0)
-    for i in range(SIZE):
-        for j in range(i, SIZE):
-            total = total + d[i] * d[j] * F.col("precision")[i * SIZE + j] * (1 if i == j else 2)
-    return total
+    d = [F.col(X[i]) - F.col(CENTRE[i]) for i in range(SIZE)]
+    return reduce(Column.__add__, (d[i] * reduce(Column.__add__, (d[j] * F.col(f"p{i}{j}") for j in range(i, SIZE))) for i in range(SIZE)))
 
 
 def _with(rows: DataFrame, parameters: DataFrame, n: int, on: tuple[str, ...] = ("kind",)) -> DataFrame:
@@ -203,14 +215,13 @@ def _with(rows: DataFrame, parameters: DataFrame, n: int, on: tuple[str, ...] =
 
 
 def _estimate(rows: DataFrame, factor: float, scale: DataFrame | None = None) -> DataFrame:
-    """_PARAMETERS from rows (kind, start, x), x scores of the kind's ``scale`` where that is given."""
-    sums = F.array(*(F.sum(F.col("x")[i]) for i in range(SIZE))).alias("sums")
-    cross = F.array(*(F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(SIZE) for j in range(i, SIZE))).alias("cross")
-    moments = rows.groupBy("kind", "start").agg(F.count("*").alias("n"), sums, cross)
+    """_PARAMETERS from rows (kind, start, X), which are scores of the kind's ``scale`` where that is given."""
+    sums = [F.sum(c).alias(f"s_{c}") for c in X] + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s_p{i}{j}") for i, j in PAIRS]
+    moments = rows.groupBy("kind", "start").agg(F.count("*").alias("n"), *sums)
     if scale is None:
-        moments = moments.withColumns({c: F.lit(None).cast("array<double>") for c in ("median", "scale")})
+        moments = moments.withColumns({f"{c}{i}": F.lit(None).cast("double") for c in ("median", "scale") for i in range(SIZE)})
     else:
-        moments = moments.join(scale.select("kind", "median", "scale"), "kind")
+        moments = moments.join(scale.drop("n"), "kind")
     return moments.mapInPandas(_invert(factor), _PARAMETERS)
 
 
@@ -218,41 +229,36 @@ def starts(rows: DataFrame, marks: DataFrame, n_kinds: int) -> DataFrame:
     """_PARAMETERS of the starts of each kind: 0 quartiles, 1 bounded scores, 2 directions, from 3 on random subsets."""
     zero = F.lit(0.0)
     own = marks.select(
-        "kind", F.lit(0).alias("start"), F.col("median").alias("centre"),
-        F.array(*(1 / (F.col("scale")[i] * F.col("scale")[i]) if i == j else zero for i in range(SIZE) for j in range(SIZE))).alias("precision"), zero.alias("det"),
+        "kind", F.lit(0).alias("start"), zero.alias("det"), *(F.col(f"median{i}").alias(c) for i, c in enumerate(CENTRE)),
+        *((1 / (F.col(f"scale{i}") * F.col(f"scale{i}")) if i == j else zero).alias(f"p{i}{j}") for i, j in PAIRS),
     )
-    z = _with(rows, marks, n_kinds).withColumn("z", F.array(*((F.col("x")[i] - F.col("median")[i]) / F.col("scale")[i] for i in range(SIZE))))
-    length = F.sqrt(F.aggregate("z", zero, lambda a, v: a + v * v))
-    scores = F.array(
-        F.struct(F.lit(1).alias("start"), F.transform("z", F.tanh).alias("x")),
-        F.struct(F.lit(2).alias("start"), F.transform("z", lambda v: v / F.greatest(length, F.lit(1e-9))).alias("x")),
-    )
-    scored = _estimate(z.select("kind", F.explode(scores).alias("s")).select("kind", "s.*"), 1.0, marks)
-    drawn = z.select("kind", "x", F.explode(F.array(*(F.when(F.pmod(F.xxhash64("key", "x", F.lit(k)), F.col("n")) < POINTS, F.lit(3 + k)) for k in range(RANDOM)))).alias("start"))
-    return own.unionByName(scored).unionByName(_estimate(drawn.where("start is not null"), 1.0))
-
-
-def _concentrate(rows: DataFrame, found: DataFrame, n_kinds: int) -> DataFrame:
-    """One step from ``found`` (kind, start, centre, precision)."""
-    near = _with(rows, found, n_kinds * (3 + RANDOM)).select("kind", "start", "x", _distance().alias("d"))
+    both = _with(rows, marks, n_kinds)
+    z = both.select("kind", *(((F.col(c) - F.col(f"median{i}")) / F.col(f"scale{i}")).alias(c) for i, c in enumerate(X)))
+    bounded = z.select("kind", F.lit(1).alias("start"), *(F.tanh(c).alias(c) for c in X))
+    length = F.greatest(F.sqrt(reduce(Column.__add__, (F.col(c) * F.col(c) for c in X))), F.lit(1e-9))
+    turned = z.select("kind", F.lit(2).alias("start"), *((F.col(c) / length).alias(c) for c in X))
+    number = F.pmod(F.xxhash64("key", *X), F.col("n") * RANDOM)
+    drawn = both.where(number < POINTS * RANDOM).select("kind", (number % RANDOM + 3).cast("int").alias("start"), *X)
+    return own.unionByName(_estimate(bounded.union(turned), 1.0, marks)).unionByName(_estimate(drawn, 1.0))
+
+
+def _concentrate(rows: DataFrame, found: DataFrame, n_found: int) -> DataFrame:
+    """One step from ``found``, _PARAMETERS of so many kinds and starts."""
+    near = _with(rows, found, n_found).select("kind", "start", *X, _distance().alias("d"))
     edge = near.groupBy("kind", "start").agg(F.percentile_approx("d", SUBSET).alias("edge"))
-    return cut(_estimate(_with(near, edge, n_kinds * (3 + RANDOM), ("kind", "start")).where("d <= edge"), consistency(SUBSET)))
+    return cut(_estimate(_with(near, edge, n_found, ("kind", "start")).where("d <= edge"), consistency(SUBSET)))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """kind, n, centre, precision of each kind from rows (kind, key, x); key tells rows apart in random subsets."""
-    marks = rows.groupBy("kind").agg(F.count("*").alias("n"), *(F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75]).alias(f"q{i}") for i in range(SIZE)))
-    marks = cut(
-        marks.select(
-            "kind", "n", F.array(*(F.col(f"q{i}")[1] for i in range(SIZE))).alias("median"),
-            F.array(*(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(SPREAD[i])) for i in range(SIZE))).alias("scale"),
-        )
-    )
+    """kind, n, CENTRE and PRECISION of each kind from rows (kind, key, X); key tells rows apart in random subsets."""
+    marks = rows.groupBy("kind").agg(F.count("*").alias("n"), *(F.percentile_approx(c, [0.25, 0.5, 0.75]).alias(f"q{i}") for i, c in enumerate(X)))
+    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(SPREAD[i])) for i in range(SIZE)]
+    marks = cut(marks.select("kind", "n", *(F.col(f"q{i}")[1].alias(f"median{i}") for i in range(SIZE)), *(c.alias(f"scale{i}") for i, c in enumerate(spread))))
     n_kinds = marks.count()
     found = cut(starts(rows, marks, n_kinds))
     for _ in range(TRIALS):
-        found = _concentrate(rows, found, n_kinds)
-    best = F.min_by(F.struct("start", "centre", "precision", "det"), F.struct("det", "start")).alias("best")
+        found = _concentrate(rows, found, n_kinds * (3 + RANDOM))
+    best = F.min_by(F.struct("start", *CENTRE, *PRECISION, "det"), F.struct("det", "start")).alias("best")
     found = cut(found.groupBy("kind").agg(best).select("kind", "best.*"))
     det = found.agg(F.sum("det")).first()[0]
     for _ in range(STEPS):
@@ -260,9 +266,9 @@ def estimates(rows: DataFrame) -> DataFrame:
         before, det = det, found.agg(F.sum("det")).first()[0]
         if det is None or before - det < 1e-6 * max(1, n_kinds):
             break
-    inner = _with(rows, found, n_kinds).where(_distance() <= chi_square_quantile(NEAR, SIZE)).select("kind", "start", "x")
-    final = _estimate(inner, consistency(NEAR))
-    return cut(final.join(marks.select("kind", "n"), "kind").select("kind", "n", "centre", "precision"))
+    inner = _with(rows, found, n_kinds).where(_distance() <= chi_square_quantile(NEAR, SIZE)).select("kind", "start", *X)
+    final = _estimate(inner, consistency(NEAR)).drop("start", "det")
+    return cut(final.join(marks.select("kind", "n"), "kind"))
 
 
 def _kinds() -> Column:
@@ -275,8 +281,8 @@ def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     judged_by: 'source', 'language' or 'corpus', whose estimate gave the distance.
     """
     failed = (F.col("n_words") < WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    rows = store(counts(docs, id, text, lang, source).withColumn("base_failed", failed).withColumn("x", _vector()))
-    good = rows.where("not base_failed").select(F.explode(_kinds()).alias("kind"), F.xxhash64("id").alias("key"), "x")
+    rows = store(counts(docs, id, text, lang, source).withColumn("base_failed", failed).withColumns(_vector()))
+    good = rows.where("not base_failed").select(F.explode(_kinds()).alias("kind"), F.xxhash64("id").alias("key"), *X)
     found = estimates(good)
     n_kinds = found.count()
     sized = found.where((F.col("n") >= LEAST) | (F.col("kind") == "c")).select("kind")

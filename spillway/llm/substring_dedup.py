@@ -1,28 +1,32 @@
 """Substring dedup (operator 4) by recompression.
 
-Words become symbols; in each of a few rounds neighbouring symbols pair up where the left
-one is of the round's left half of the alphabet and the right one of its right half, and a
-pair is named anew.  Which half a symbol is of and what a pair is called depend on the
-symbols alone (64-bit hashes), so the names agree over the whole corpus without an
-exchange, and the copies of a run, which never pair among themselves, are one name.
-A symbol's width is bounded by its round, so equal windows of words have equal symbols
-but for a margin at either end.
+Words become symbols; words of a run (equal neighbours) are named as such, however long the
+run is.  In each of a few rounds neighbouring symbols pair up where the left one is of the
+round's left half of the alphabet and the right one of its right half, and a pair is named
+anew.  Which half a symbol is of and what a pair is called depend on the symbols alone (64-bit
+hashes), so the names agree over the whole corpus without an exchange in each round, and
+the symbols of a run, which never pair among themselves, are one name.  A symbol's width is
+bounded by its round, so equal windows of words have equal symbols but for a margin at
+either end.
 
 1. Each block of documents gives its names, at most two of a kind; Spark deals them by name.
 2. A name that two documents share goes back to the blocks that have it.
 3. A window is a candidate where every symbol of its interior is shared.  Candidates get
-   the hash of all their words; Spark deals these by hash.
+   two hashes of all their words; Spark deals these by the first.
 4. A window in two documents goes back to its blocks with the smallest document that has it.
 5. Words covered by a window of a smaller document are removed.
 
 Names and windows travel as packed arrays, one row for each block and range of hashes; a
 block hands in a hash once however many documents share it, so no range is a hot group.
-Different windows are held equal if their 64-bit hashes are equal.
-
-Cases: a null, empty or short text (fewer words than a window) loses nothing; rows that
-share an id are judged alike, neither removing from the other; a row with a null id loses
-what any numbered document has, and removes from none; extra columns travel with their row
-if named in ``carry``.
+Names only choose candidates, so equal names of different symbols cost time and nothing
+else.  Windows are held equal if 128 bits of them are: two hashes from words hashed with
+two seeds.
+
+Cases: a null, empty or short text (fewer words than a window) loses nothing; a very long
+text is a run of its own in its block; rows that share an id are judged alike, neither
+removing from the other; a row with a null id loses what any numbered document has, and
+removes from none; an empty table gives no rows; extra columns travel with their row if named
+in ``carry``.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ BLOCK, RANGE = 4 << 20, 1 << 20
 ROUNDS = 5
 #: The order of a null id: after every other.
 LAST = np.iinfo(np.int64).max
-_ODD = 0x9E3779B97F4A7C15
+_ODD, _RUN = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
 def rounds_for(window: int) -> int:
@@ -52,9 +56,18 @@ def rounds_for(window: int) -> int:
     return max(0, min(ROUNDS, math.isqrt(window) - 1))
 
 
+def margin_of(rounds: int) -> int:
+    """Words at either end of a window whose symbols depend on what lies outside: one for runs, and each round's width."""
+    return rounds * (rounds + 1) // 2 + (rounds > 0)
+
+
 def symbols(hashes: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Names and widths (in words) after all rounds; symbols never leave their document."""
     name, width = hashes, np.ones(len(hashes), np.int64)
+    if rounds:
+        same = np.zeros(len(name) + 1, bool)
+        same[1:-1] = (name[1:] == name[:-1]) & (doc[1:] == doc[:-1])
+        name = np.where(same[1:] | same[:-1], mixed(name ^ _RUN), name)
     with np.errstate(over="ignore"):
         for r in range(1, rounds + 1):
             right = mixed(name ^ np.uint64(r * _ODD & (1 << 64) - 1)) & np.uint64(1) == 1
@@ -111,6 +124,27 @@ def _low(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(32 - bits)).astype(np.uint32)
 
 
+def _sorted(h: np.ndarray, g: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The three arrays in the order of all, and which entries are the first with their two hashes."""
+    order = np.lexsort((d, g, h))
+    h, g, d = h[order], g[order], d[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    return h, g, d, new
+
+
+def _find(h: np.ndarray, g: np.ndarray, d: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """d of the entry with both hashes x and y, LAST where there is none; h, g sorted and distinct."""
+    out = np.full(len(x), LAST)
+    at, end = np.searchsorted(h, x), np.searchsorted(h, x, "right")
+    while (left := at < end).any():  # a second turn only where two windows share a first hash
+        here = np.flatnonzero(left)
+        here = here[g[at[here]] == y[here]]
+        out[here] = d[at[here]]
+        at = at + 1
+    return out
+
+
 def _removed(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     """Words covered by the windows that start where ``starts`` is set."""
     edge = np.zeros(n + 1, np.int64)
@@ -131,9 +165,9 @@ def dedup_substrings(
     n_blocks = max(1, math.ceil(size / BLOCK))
     bits = max(0, min(31, math.ceil(math.log2(max(1.0, size / 20 / RANGE)))))
     rounds = rounds_for(window)
-    margin = rounds * (rounds + 1) // 2
+    margin = margin_of(rounds)
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col(id)), F.lit(n_blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(n_blocks)).cast("int").alias("block"),
         F.col(id).cast("long").alias("id"),
         F.col(text).cast("string").alias("text"),
         *([F.struct(*carry).alias("carry")] if carry else []),
@@ -182,7 +216,7 @@ def dedup_substrings(
             for r, x in zip(flags.column("range").to_pylist(), flags.column("names").to_pylist())
         ]
         known = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-        hash_parts, id_parts = [], []
+        hash_parts, more_parts, id_parts = [], [], []
         for w, hashes, ids in _pieces(*_columns(t)) if len(t) and len(known) else ():
             if len(w) < window:
                 continue
@@ -195,17 +229,16 @@ def dedup_substrings(
             inner = window - 2 * margin
             fits = (good[s + margin + inner] - good[s + margin] == inner) & (w.doc[s] == w.doc[s + window - 1])
             s = s[fits]
-            hash_parts.append(window_hashes(hashes, window)[s])
-            id_parts.append(ids[w.doc[s]])
-        h = np.concatenate(hash_parts) if hash_parts else np.zeros(0, np.uint64)
+            if len(s):
+                hash_parts.append(window_hashes(hashes, window)[s])
+                more_parts.append(window_hashes(w.hashes(1), window)[s])
+                id_parts.append(ids[w.doc[s]])
+        h, g = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (hash_parts, more_parts))
         d = np.concatenate(id_parts) if id_parts else np.zeros(0, np.int64)
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
+        h, g, d, new = _sorted(h, g, d)
         at = np.flatnonzero(new)
         most = d[np.append(at[1:], len(h)) - 1] if len(h) else d
-        h, d = h[at], d[at]
+        h, g, d = h[at], g[at], d[at]
         top, at = _ranges(h, bits)
         ends = [*at[1:].tolist(), len(h)]
         cuts = list(zip(at.tolist(), ends))
@@ -214,35 +247,29 @@ def dedup_substrings(
                 "range": pa.array(top[at], pa.int32()),
                 "block": pa.array(np.full(len(at), t.column("block")[0].as_py() if len(t) else 0), pa.int32()),
                 "hashes": pa.array([h[a:b].astype("<u8").tobytes() for a, b in cuts], pa.binary()),
+                "seconds": pa.array([g[a:b].astype("<u8").tobytes() for a, b in cuts], pa.binary()),
                 "least": pa.array([d[a:b].astype("<i8").tobytes() for a, b in cuts], pa.binary()),
                 "more": pa.array([(most[a:b] > d[a:b]).tobytes() for a, b in cuts], pa.binary()),
             }
         )
 
     def firsts(t: pa.Table) -> pa.Table:
-        hs = [np.frombuffer(x, "<u8") for x in t.column("hashes").to_pylist()]
+        hs, gs = ([np.frombuffer(x, "<u8") for x in t.column(c).to_pylist()] for c in ("hashes", "seconds"))
         ds = [np.frombuffer(x, "<i8") for x in t.column("least").to_pylist()]
         more = [np.frombuffer(x, bool) for x in t.column("more").to_pylist()]
-        h, d = np.concatenate(hs), np.concatenate(ds)
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        h, d = h[new], d[new]
-        out_h, out_d = [], []
-        for x, own, several in zip(hs, ds, more):
-            least = d[np.searchsorted(h, x)]
+        h, g, d, new = _sorted(np.concatenate(hs), np.concatenate(gs), np.concatenate(ds))
+        h, g, d = h[new], g[new], d[new]
+        out = []
+        for x, y, own, several in zip(hs, gs, ds, more):
+            least = _find(h, g, d, x, y)
             need = several | (own > least)
-            out_h.append(x[need].tobytes())
-            out_d.append(least[need].tobytes())
-        out = pa.table({"block": t.column("block"), "hashes": pa.array(out_h, pa.binary()), "least": pa.array(out_d, pa.binary())})
-        return out.filter(pa.array([bool(x) for x in out_h], pa.bool_()))
+            out.append([v[need].tobytes() for v in (x, y, least)])
+        columns = {c: pa.array([x[k] for x in out], pa.binary()) for k, c in enumerate(("hashes", "seconds", "least"))}
+        return pa.table({"block": t.column("block")} | columns).filter(pa.array([bool(x[0]) for x in out], pa.bool_()))
 
     def remove(t: pa.Table, hits: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(hits.column("hashes").to_pylist()), "<u8")
-        d = np.frombuffer(b"".join(hits.column("least").to_pylist()), "<i8")
-        order = np.argsort(h)
-        h, d = h[order], d[order]
+        h, g, d = (np.frombuffer(b"".join(hits.column(c).to_pylist()), k) for c, k in (("hashes", "<u8"), ("seconds", "<u8"), ("least", "<i8")))
+        h, g, d, _ = _sorted(h, g, d)
         texts, all_ids = _columns(t)
         counts, lost, kept = [], [], []
         for w, hashes, ids in _pieces(texts, all_ids):
@@ -250,9 +277,11 @@ def dedup_substrings(
             if len(h) and len(w) >= window:
                 x = window_hashes(hashes, window)
                 at = np.minimum(np.searchsorted(h, x), len(h) - 1)
-                s = np.arange(len(x))
-                hit = (h[at] == x) & (d[at] < ids[w.doc[s]]) & (w.doc[s] == w.doc[s + window - 1])
-                gone = _removed(hit, len(w), window)
+                s = np.flatnonzero((h[at] == x) & (w.doc[: len(x)] == w.doc[window - 1 :]))
+                if len(s):
+                    hit = np.zeros(len(x), bool)
+                    hit[s] = _find(h, g, d, x[s], window_hashes(w.hashes(1), window)[s]) < ids[w.doc[s]]
+                    gone = _removed(hit, len(w), window)
             data, start, _ = w.joined()
             ends = np.append(start, len(data))
             n_gone = np.concatenate([[0], np.cumsum(gone)])
@@ -290,9 +319,9 @@ def dedup_substrings(
     named = by_block.applyInArrow(names, "range int, block int, names binary")
     flags = named.groupBy("range").applyInArrow(shared, "block int, range int, names binary")
     found = by_block.cogroup(flags.groupBy("block")).applyInArrow(
-        candidates, "range int, block int, hashes binary, least binary, more binary"
+        candidates, "range int, block int, hashes binary, seconds binary, least binary, more binary"
     )
-    hits = found.groupBy("range").applyInArrow(firsts, "block int, hashes binary, least binary")
+    hits = found.groupBy("range").applyInArrow(firsts, "block int, hashes binary, seconds binary, least binary")
     carried = f", carry {rows.schema['carry'].dataType.simpleString()}" if carry else ""
     result = (
         rows.groupBy("block")

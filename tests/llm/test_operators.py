@@ -234,6 +234,35 @@ def test_substring_dedup(spark, real, window):
     assert {r.score for r in found} == {7}
 
 
+def test_windows_that_share_a_first_hash_are_told_apart():
+    h, g, d, new = substring_dedup._sorted(np.array([5, 5, 9, 5], np.uint64), np.array([2, 1, 7, 2], np.uint64), np.array([30, 20, 40, 10]))
+    assert h[new].tolist() == [5, 5, 9] and g[new].tolist() == [1, 2, 7] and d[new].tolist() == [20, 10, 40]
+    x, y = np.array([5, 5, 5, 9, 8], np.uint64), np.array([2, 1, 3, 7, 7], np.uint64)
+    last = substring_dedup.LAST
+    assert substring_dedup._find(h[new], g[new], d[new], x, y).tolist() == [10, 20, last, 40, last]
+
+
+def test_equal_windows_have_equal_symbols_inside():
+    rng = np.random.default_rng(4)
+    rounds, margin = substring_dedup.rounds_for(50), substring_dedup.margin_of(substring_dedup.rounds_for(50))
+    for k in range(60):
+        window = rng.integers(0, 4 if k % 2 else 40, 50)
+        window[10:30] = window[10] if k % 3 == 0 else window[10:30]
+        cuts = []
+        for _ in range(2):
+            words = np.concatenate([rng.integers(0, 4, rng.integers(0, 30)), window, rng.integers(0, 4, 20)])
+            at = len(words) - 70
+            name, width = substring_dedup.symbols(common.mixed(words.astype(np.uint64)), np.zeros(len(words), int), rounds)
+            starts = np.cumsum(width) - width - at
+            inner = (starts >= margin) & (starts + width <= 50 - margin)
+            cuts.append(list(zip(starts[inner].tolist(), name[inner].tolist())))
+        assert cuts[0] == cuts[1] and cuts[0]
+
+
+def test_substring_dedup_of_no_rows(spark):
+    assert substring_dedup.dedup_substrings(documents(spark, []), carry=("lang",)).count() == 0
+
+
 def test_mixture_budgets(spark):
     leaves = [("d0", "en", "a", 100), ("d0", "en", "b", 1000), ("d0", "de", "c", 50), ("d1", "en", "d", 400), ("d1", "fr", "e", 5)]
     rows = spark.createDataFrame([(*x, 2 * x[3]) for x in leaves], "domain string, language string, origin string, tokens long, capacity long")
@@ -564,13 +593,13 @@ def test_verdicts_are_those_of_a_plain_determinant_search(spark):
         x = rng.normal(0, 1, (300, 5)) @ mix
         x[:junk] = rng.normal(0, 0.7, (junk, 5)) + rng.normal(0, 1, 5) * 9
         groups[k] = x
-    rows = [(k, i, v.tolist()) for k, x in groups.items() for i, v in enumerate(x)]
-    data = spark.createDataFrame(rows, "kind string, key long, x array<double>")
+    rows = [(k, i, *v.tolist()) for k, x in groups.items() for i, v in enumerate(x)]
+    data = spark.createDataFrame(rows, "kind string, key long, " + ", ".join(f"{c} double" for c in quality_rules.X))
     found = {r.kind: r for r in quality_rules.estimates(data).collect()}
     for k, x in groups.items():
         d, _ = plain_mcd(x)
-        p = np.array(found[k].precision).reshape(5, 5)
-        own = np.einsum("ni,ij,nj->n", x - found[k].centre, p, x - found[k].centre)
+        away = x - [found[k][c] for c in quality_rules.CENTRE]
+        own = sum(found[k][f"p{i}{j}"] * away[:, i] * away[:, j] for i, j in quality_rules.PAIRS)
         clear = np.abs(d / quality_rules.LIMIT - 1) > 0.05
         assert ((own <= quality_rules.LIMIT) == (d <= quality_rules.LIMIT))[clear].all() and clear.mean() > 0.95
     assert quality_rules.estimates(data.limit(0)).count() == 0
