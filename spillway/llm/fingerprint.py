@@ -3,7 +3,8 @@
 Terms are neighbouring words (the last word also alone).  A term's 64-bit hash votes on
 each bit with the term's weight, the code points of its words up to ``HEAVIEST``; a bit of
 the fingerprint is set where the votes for it are more than half of all.  Two bits' votes
-share one long, so a text's votes are 32 sums, built up in the aggregation's map side.
+share one long, so a text's votes are 32 sums, built up in the aggregation's map side; each
+row votes by itself, so copies never add up, and copies' equal results are then one row.
 
 ``near`` finds all fingerprints within a Hamming radius: the bits are cut into blocks, and
 each table holds every fingerprint under a permutation that puts some of the blocks in
@@ -17,7 +18,9 @@ ids are put in one row order.
 Cases: a null or empty text has fingerprint zero; rows that share an id share a next
 document, and of several rows with the next id the one whose text hashes lowest counts; a
 null id comes after all others; a lone document is its own next; repeated rows each give a
-row; texts may have up to 130 million words; extra columns are not read.
+row; an empty table gives no rows; a bit with exactly half of the votes is not set; a very
+long text is hashed whole (2 GB, more than a string holds, make fewer than 2 ** 32 votes);
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +43,9 @@ LOWEST = -(1 << 63)
 
 
 def votes(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """keys and fp, the SimHash of ``text``, for each distinct value of the keys."""
+    """keys and fp, the SimHash of ``text``, for each distinct value of the keys, which tell texts apart."""
+    out, keys = keys, [*keys, "row"]
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     words = rows.select(*keys, F.split(F.trim(text, F.lit(SPACES)), r"[\x20\x09-\x0D]+").alias("words"))
     pairs = F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.size("words")).alias("b"))
     each = words.select(*keys, F.explode_outer(pairs).alias("term"))
@@ -60,7 +65,7 @@ def votes(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
             bits.append(F.when(n * 2 > F.col("all"), F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
     while len(bits) > 1:  # a flat tree: deep nesting is slow to plan
         bits = [reduce(Column.bitwiseOR, bits[i : i + 8]) for i in range(0, len(bits), 8)]
-    return sums.select(*keys, bits[0].alias("fp"))
+    return sums.select(*out, bits[0].alias("fp")).distinct()
 
 
 def followers(keys: DataFrame) -> DataFrame:
