@@ -21,8 +21,14 @@ _SHARED = {
     "ip_type": "case when user_id % 5 = 0 then 6 else 4 end",
     "query_id": "cast(event_id % 65536 as int)",
     "qname": "concat('h', cast(k as string), '.', event_type, '.example.')",
-    "qclass": "case when k = 99 then 3 else 1 end",
-    "qtype": "case event_type when 'view' then 1 when 'click' then 28 when 'purchase' then 15 when 'signup' then 48 else 255 end",
+    "qclass": "case k when 99 then 3 when 88 then 2 when 87 then 4 when 86 then 255 when 85 then 0 when 84 then 77 else 1 end",
+    # one in three asks for a type by k: 0 to 59, and the higher numbers in use
+    "qtype": "case when event_id % 3 = 1 then case k when 90 then 99 when 91 then 249 when 92 then 250 when 93 then 251 when 94 then 252 when 95 then 257 when 96 then 32768 when 97 then 32769 else k % 60 end "
+    "when event_type = 'view' then 1 when event_type = 'click' then 28 when event_type = 'purchase' then 15 when event_type = 'signup' then 48 else 255 end",
+    "n_questions": "case when event_id % 83 = 0 then 0 when event_id % 50 = 0 then 2 else 1 end",
+    "qtype2": "case when k % 2 = 0 then 6 else 0 end",
+    "ans_type": "case k % 5 when 0 then 5 when 1 then 46 when 2 then 257 when 3 then 4711 else 1 end",
+    "ra": "event_id % 5 = 0", "ad": "k % 6 = 0", "cd": "k % 9 = 0", "has_soa": "event_id % 3 = 0", "ns_first": "event_id % 3 = 1",
     "opcode": "case when k = 98 then 4 else 0 end",
     "is_tcp": "k % 20 = 0",
     "rd": "event_id % 2 = 0",
@@ -91,6 +97,13 @@ def dns_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dns_queries(spark, sf_dir).unionByName(dns_responses(spark, sf_dir))
 
 
+def dns_message_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dns_messages with lists of questions (none, one or two) and of answer records."""
+    question = "named_struct('qname', qname, 'qtype', {}, 'qclass', {})"
+    asked = f"slice(array({question.format('qtype', 'qclass')}, {question.format('qtype2', '1')}), 1, n_questions)"
+    return dns_messages(spark, sf_dir).selectExpr("*", f"{asked} AS questions", "array_repeat(named_struct('name', qname, 'type', ans_type, 'class', qclass), ans_count) AS answers")
+
+
 def dns_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).where(_RECORD_ROWS).selectExpr(*_select(RECORDS))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 # Registered DNS numbers, fixed values.
 QTYPES = {
-    1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 12: "PTR", 15: "MX", 16: "TXT", 28: "AAAA", 33: "SRV", 35: "NAPTR", 39: "DNAME", 41: "OPT", 43: "DS",
-    46: "RRSIG", 47: "NSEC", 48: "DNSKEY", 50: "NSEC3", 51: "NSEC3PARAM", 52: "TLSA", 99: "SPF", 251: "IXFR", 252: "AXFR", 255: "ANY",
+    1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 12: "PTR", 15: "MX", 16: "TXT", 17: "RP", 18: "AFSDB", 24: "SIG", 25: "KEY", 28: "AAAA", 29: "LOC",
+    33: "SRV", 35: "NAPTR", 36: "KX", 37: "CERT", 39: "DNAME", 41: "OPT", 42: "APL", 43: "DS", 44: "SSHFP", 45: "IPSECKEY", 46: "RRSIG", 47: "NSEC",
+    48: "DNSKEY", 49: "DHCID", 50: "NSEC3", 51: "NSEC3PARAM", 52: "TLSA", 55: "HIP", 99: "SPF", 249: "TKEY", 250: "TSIG", 251: "IXFR", 252: "AXFR",
+    255: "ANY", 257: "CAA", 32768: "TA", 32769: "DLV",
 }
 QCLASSES = {1: "IN", 2: "CS", 3: "CH", 4: "HS", 255: "ANY"}
 RCODES = {0: "NOERROR", 1: "FORMERR", 2: "SERVFAIL", 3: "NXDOMAIN", 4: "NOTIMPL", 5: "REFUSED"}
@@ -23,10 +25,10 @@ def _col(c: Column | str) -> Column:
 
 
 def code_name(code: Column | str, names: dict[int, str]) -> Column:
-    """Name of a registered number; null is UNSPECIFIED, an unregistered one UNKNOWN."""
+    """Name of a registered number; null and 0 without a name are UNSPECIFIED, another unregistered one UNKNOWN."""
     c = _col(code)
     known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in names.items()))
-    return F.when(c.isNull(), "UNSPECIFIED").otherwise(F.coalesce(F.try_element_at(known, c.cast("int")), F.lit("UNKNOWN")))
+    return F.coalesce(F.try_element_at(known, c.cast("int")), F.when(c.isNull() | (c == 0), "UNSPECIFIED").otherwise("UNKNOWN"))
 
 
 def qtype_name(c: Column | str) -> Column:
@@ -158,21 +160,22 @@ def rcode_label(dialect: str = "simple", rcode="rcode", answers="ans_count", has
 
     simple: a NOERROR without answers is NODATA.  resolver: among such, an SOA in the
     authority section makes it NODATA, else an NS makes it REFERRAL.  client: as resolver,
-    but what stands first counts.  truncated: as resolver for complete responses; a
-    truncated one without answers is NOERROR.
+    but what stands first counts.  truncated: as client; of those with neither, a truncated
+    one has no label (null) and another is UNKNOWN.
     """
     r = _col(rcode)
     empty = (r == 0) & (_col(answers) == 0)
     label = code_name(rcode, RCODES)
     if dialect == "simple":
         return F.when(empty, "NODATA").otherwise(label)
+    if dialect == "resolver":
+        return F.when(empty & _col(has_soa), "NODATA").when(empty & _col(has_ns), "REFERRAL").otherwise(label)
+    referred = F.when(empty & _col(ns_first), "REFERRAL").when(empty & _col(has_soa), "NODATA")
     if dialect == "client":
-        return F.when(empty & _col(ns_first), "REFERRAL").when(empty & _col(has_soa), "NODATA").otherwise(label)
+        return referred.otherwise(label)
     if dialect == "truncated":
-        empty = empty & ~_col(truncated)
-    elif dialect != "resolver":
-        raise ValueError(dialect)
-    return F.when(empty & _col(has_soa), "NODATA").when(empty & _col(has_ns), "REFERRAL").otherwise(label)
+        return referred.when(empty & _col(truncated), F.lit(None).cast("string")).when(empty, "UNKNOWN").otherwise(label)
+    raise ValueError(dialect)
 
 
 def int_percent(part: Column, whole: Column) -> Column:

@@ -49,6 +49,11 @@ def responses(df: DataFrame) -> DataFrame:
     return df.where(F.col("qr"))
 
 
+def valid(df: DataFrame) -> DataFrame:
+    """Messages that could be read, whole or partial."""
+    return df.where("is_valid")
+
+
 def usable(df: DataFrame) -> DataFrame:
     """Valid, complete messages with a question."""
     return df.where(F.col("is_valid") & ~F.col("is_partial") & F.col("qname").isNotNull())

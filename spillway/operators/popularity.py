@@ -4,18 +4,38 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import net
-from .filters import queries, to_addresses, usable
+from .filters import queries, to_addresses, usable, valid
+from .resolver import direction, listed
 
 
-def ranked(counts: DataFrame, group: list[str], top: Column | int | None, key: str = "key") -> DataFrame:
-    """Adds ``rank`` by falling count within the group, ties by key; keeps ranks up to ``top``."""
+def ranked(counts: DataFrame, group: list[str], top: int, key: str = "key") -> DataFrame:
+    """Adds ``rank`` by falling count within the group, ties by key; keeps ranks up to ``top``.
+
+    The limit is a literal, so tasks hand in no more than so many rows of a group.
+    """
     w = Window.partitionBy(*group).orderBy(F.desc("n"), key)
-    out = counts.withColumn("rank", F.row_number().over(w))
-    return out if top is None else out.where(F.col("rank") <= top)
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def ranked_all(counts: DataFrame, group: list[str], key: str = "key") -> DataFrame:
+    """Adds ``rank`` by falling count within the group, ties by key, to every row.
+
+    Rows are dealt by ranges of the whole order, so a group of any size is spread; a range
+    ranks its own rows, and the numbers of rows in the ranges before it are added.
+    """
+    order = [*group, F.desc("n"), key]
+    # a given number of ranges is not merged later, so both readers of them see the same ones
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = counts.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    own = F.row_number().over(Window.partitionBy("_part", *group).orderBy(F.desc("n"), key))
+    sizes = parts.groupBy("_part", *group).agg(F.count("*").alias("_size"))  # as many rows as ranges and groups
+    ahead = F.coalesce(F.sum("_size").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_part", *group, ahead.cast("int").alias("_ahead"))
+    return parts.withColumn("_own", own).join(sizes, ["_part", *group]).withColumn("rank", F.col("_own") + F.col("_ahead")).drop("_part", "_own", "_ahead")
 
 
 def query_popularity(
@@ -35,24 +55,25 @@ def query_popularity(
     }
     each = q.select("interval_start", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in keys.items()))).alias("e"))
     counts = each.where("e.key is not null").groupBy("interval_start", "e.kind", "e.key").agg(F.count("*").alias("n"))
-    # every query has one key of a kind, so a kind's sum is its base
-    share = Window.partitionBy("interval_start", "kind")
-    counts = counts.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(share), 2))
-    limit = reduce(lambda c, k: F.when(F.col("kind") == k, limits[k]).otherwise(c), limits, F.lit(0))
-    return ranked(counts, ["interval_start", "kind"], limit).select("interval_start", "kind", "rank", "key", "n", "percent")
-
-
-def name_popularity(dns: DataFrame, interval: str, resolver_ips: list[str]) -> DataFrame:
-    """interval_start, direction, rank, key, n: names asked by clients, asked by the resolver, and answered to it."""
-    u = usable(dns).withColumn("interval_start", net.interval_start("ts", interval))
-    inside_dst, inside_src = (F.lit(True) if "*" in resolver_ips else F.col(c).isin(resolver_ips) for c in ("ip_dst", "ip_src"))
-    direction = (
-        F.when(~F.col("qr") & inside_dst & (F.col("dstport") == 53), "client_query")
-        .when(~F.col("qr") & inside_src & (F.col("dstport") == 53), "resolver_query")
-        .when(F.col("qr") & inside_dst & (F.col("srcport") == 53), "server_response")
-    )
-    counts = u.withColumn("direction", direction).where("direction is not null").groupBy("interval_start", "direction", F.col("qname").alias("key")).agg(F.count("*").alias("n"))
-    return ranked(counts, ["interval_start", "direction"], None).select("interval_start", "direction", "rank", "key", "n")
+    # every query has one key of a kind, so the base is a count of queries, not a sum over all keys
+    base = q.groupBy("interval_start").agg(F.count_if(v4).alias("v4"), F.count_if(v6).alias("v6"), F.count("*").alias("all"))
+    best = reduce(DataFrame.unionByName, (ranked(counts.where(F.col("kind") == k), ["interval_start", "kind"], n) for k, n in limits.items() if n > 0))
+    of = F.when(F.col("kind").isin("ip4", "pfx24"), F.col("v4")).when(F.col("kind").isin("ip6", "pfx64"), F.col("v6")).otherwise(F.col("all"))
+    return best.join(base, "interval_start").select("interval_start", "kind", "rank", "key", "n", F.round(100 * F.col("n") / of, 2).alias("percent"))
+
+
+def name_popularity(dns: DataFrame, interval: str, resolver_ips: list[str] | DataFrame, top: int | None = None) -> DataFrame:
+    """interval_start, direction, rank, key, n: names asked by clients, asked by the resolver, and answered to it; all, or the first ``top``.
+
+    Valid messages with a question count, partial ones too; messages between two servers do not.
+    """
+    m, src, dst = listed(valid(dns).where(F.col("qname").isNotNull()), resolver_ips)
+    names = {"query_in": "client_query", "query_out": "resolver_query", "response_in": "server_response"}
+    m = m.withColumns({"interval_start": net.interval_start("ts", interval), "_way": direction(src, dst)}).where(F.col("_way").isin(list(names)))
+    way = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.col("_way")]
+    counts = m.groupBy("interval_start", way.alias("direction"), F.col("qname").alias("key")).agg(F.count("*").alias("n"))
+    group = ["interval_start", "direction"]
+    return (ranked_all(counts, group) if top is None else ranked(counts, group, top)).select(*group, "rank", "key", "n")
 
 
 def domain_count(dns: DataFrame, domain: str, interval: str = "300 seconds") -> DataFrame:
@@ -63,11 +84,10 @@ def domain_count(dns: DataFrame, domain: str, interval: str = "300 seconds") ->
 
 def top_series(counts: DataFrame, top: int, at: str = "interval_start", key: str = "key", value: str = "n") -> DataFrame:
     """Series of the keys with the largest totals, zero where a key has none, and of all other keys as 'other'."""
-    totals = counts.groupBy(key).agg(F.sum(value).alias("total")).orderBy(F.desc("total"), key).limit(top).select(key)
-    best = F.broadcast(totals)
-    marked = counts.join(best.withColumn("_top", F.lit(True)), key, "left")
-    summed = marked.withColumn("_key", F.when(F.col("_top"), F.col(key).cast("string")).otherwise("other")).groupBy(at, F.col("_key").alias("key")).agg(F.sum(value).alias("n"))
+    best = counts.groupBy(key).agg(F.sum(value).alias("total")).orderBy(F.desc("total"), key).limit(top).collect()
+    name = F.col(key).cast("string")
+    chosen = [str(r[0]) for r in best if r[0] is not None]
+    summed = counts.groupBy(at, F.when(name.isin(chosen), name).otherwise("other").alias("key")).agg(F.sum(value).alias("n"))
     # as many rows as intervals and chosen keys
-    wanted = F.array_union(F.collect_set(F.col(key).cast("string")), F.array(F.lit("other")))
-    every = counts.select(at).distinct().join(F.broadcast(totals.agg(wanted.alias("keys"))), F.lit(True)).select(at, F.explode("keys").alias("key"))
+    every = counts.select(at).distinct().select(at, F.explode(F.array(*(F.lit(k) for k in (*chosen, "other")))).alias("key"))
     return every.join(summed, [at, "key"], "left").select(at, "key", F.coalesce("n", F.lit(0)).alias("n"))

@@ -6,24 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import net
-from .filters import without
+from .filters import valid, without
 
 
-def direction(resolver_ips: list[str]) -> Column:
-    """query_in, response_out (client side), query_out, response_in (server side), or null; '*' is any address."""
-    src, dst = (F.lit(True) if "*" in resolver_ips else F.col(c).isin(resolver_ips) for c in ("ip_src", "ip_dst"))
+def listed(df: DataFrame, resolver_ips: list[str] | DataFrame) -> tuple[DataFrame, Column, Column]:
+    """The messages, and whether their source and destination are resolvers; '*' is any address.
+
+    A DataFrame's first column lists addresses in any number and is joined; a list becomes
+    part of the expression.
+    """
+    if not isinstance(resolver_ips, DataFrame):
+        return df, *(F.lit(True) if "*" in resolver_ips else F.col(c).isin(resolver_ips) for c in ("ip_src", "ip_dst"))
+    one = resolver_ips.select(F.col(resolver_ips.columns[0]).alias("_ip")).where("_ip is not null").distinct()
+    for side in ("src", "dst"):
+        df = df.join(one.select(F.col("_ip").alias(f"_is_{side}")), F.col(f"ip_{side}") == F.col(f"_is_{side}"), "left")
+    return df, F.col("_is_src").isNotNull(), F.col("_is_dst").isNotNull()
+
+
+def direction(src: Column, dst: Column) -> Column:
+    """query_in, response_out (client side), query_out, response_in (server side), or null; messages between two servers (both ports 53) have none."""
+    asks, answers = (F.col("dstport") == 53) & (F.col("srcport") != 53), (F.col("srcport") == 53) & (F.col("dstport") != 53)
     return (
-        F.when(~F.col("qr") & dst & (F.col("dstport") == 53), "query_in")
-        .when(F.col("qr") & src & (F.col("srcport") == 53), "response_out")
-        .when(~F.col("qr") & src & (F.col("dstport") == 53), "query_out")
-        .when(F.col("qr") & dst & (F.col("srcport") == 53), "response_in")
+        F.when(~F.col("qr") & dst & asks, "query_in").when(F.col("qr") & dst & answers, "response_in").when(F.col("qr") & src & answers, "response_out").when(~F.col("qr") & src & asks, "query_out")
     )
 
 
-def resolver_counters(dns: DataFrame, resolver_ips: list[str], ignore_ips: DataFrame | None = None, interval: str = "60 seconds") -> DataFrame:
-    """One row for each interval, with the cache hit ratio: 100 less the authoritative answers fetched for 100 client queries; null without queries."""
-    m = dns if ignore_ips is None else without(dns, ignore_ips)
-    m = m.withColumn("direction", direction(resolver_ips)).where("direction is not null").withColumn("interval_start", net.interval_start("ts", interval))
+def resolver_counters(dns: DataFrame, resolver_ips: list[str] | DataFrame, ignore_ips: DataFrame | None = None, interval: str = "60 seconds") -> DataFrame:
+    """One row for each interval over valid messages, with the cache hit ratio: 100 less the authoritative answers fetched for 100 client queries; null without queries."""
+    m, src, dst = listed(valid(dns if ignore_ips is None else without(dns, ignore_ips)), resolver_ips)
+    m = m.withColumn("direction", direction(src, dst)).where("direction is not null").withColumn("interval_start", net.interval_start("ts", interval))
     is_ = lambda d: F.col("direction") == d
     out = m.groupBy("interval_start").agg(
         *(F.count_if(is_(d)).alias(name) for d, name in (("query_in", "queries_in"), ("query_out", "queries_out"), ("response_in", "responses_in"), ("response_out", "responses_out"))),
@@ -59,9 +70,12 @@ def first_ttls(records: DataFrame, interval: str = "60 seconds", tags: bool = Tr
 
 def ttl_distribution(ttls: DataFrame) -> DataFrame:
     """interval_start, tag, ttl, n, cdf, with a row 0, 0, 0 in front of each table."""
-    counts = ttls.groupBy("interval_start", "tag", "ttl").agg(F.count("*").alias("n"))
-    zero = counts.select("interval_start", "tag").distinct().select("interval_start", "tag", F.lit(0).alias("ttl"), F.lit(0).cast("long").alias("n"))
-    both = counts.select("interval_start", "tag", F.col("ttl").cast("int").alias("ttl"), "n").unionByName(zero)
+    counts = ttls.groupBy("interval_start", "tag", F.col("ttl").cast("int").alias("ttl")).agg(F.count("*").alias("n"))
+    own = F.struct("ttl", "n")
+    zero = F.struct(F.lit(0).alias("ttl"), F.lit(0).cast("long").alias("n"))
+    placed = counts.withColumn("_place", F.row_number().over(Window.partitionBy("interval_start", "tag").orderBy("ttl")))
+    rows = F.when(F.col("_place") == 1, F.array(zero, own)).otherwise(F.array(own))
+    both = placed.select("interval_start", "tag", F.explode(rows).alias("e")).select("interval_start", "tag", "e.ttl", "e.n")
     w = Window.partitionBy("interval_start", "tag")
     run = w.orderBy("ttl", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("cdf", F.round(F.sum("n").over(run) / F.sum("n").over(w), 6))

@@ -52,7 +52,7 @@ def sldpop_count(spark, d):
     f"""
 WITH x AS (
   SELECT {DAY} AS interval_start, qname AS key, CASE WHEN NOT qr AND ip_dst IN ('192.0.2.53', '2001:db8:ffff::53') THEN 'client_query'
-    WHEN qr AND ip_dst IN ('192.0.2.53', '2001:db8:ffff::53') AND srcport = 53 THEN 'server_response' END AS direction FROM m WHERE {_USABLE}
+    WHEN qr AND ip_dst IN ('192.0.2.53', '2001:db8:ffff::53') AND srcport = 53 THEN 'server_response' END AS direction FROM m WHERE is_valid
 ), c AS (SELECT interval_start, direction, key, count(*) AS n FROM x WHERE direction IS NOT NULL GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY interval_start, direction ORDER BY n DESC, key) AS INTEGER) AS rank FROM c
 """,
@@ -62,6 +62,22 @@ def distribution_names(spark, d):
     return popularity.name_popularity(fx.dns_messages(spark, d), "1 day", RESOLVERS)
 
 
+@query(
+    f"""
+WITH x AS (SELECT {DAY} AS interval_start, qname AS key, CASE WHEN NOT qr AND ip_src LIKE '10.1%' THEN 'resolver_query' WHEN qr AND ip_dst LIKE '10.1%' THEN 'server_response' END AS direction FROM m WHERE is_valid),
+c AS (SELECT interval_start, direction, key, count(*) AS n FROM x WHERE direction IS NOT NULL GROUP BY ALL),
+d AS (SELECT *, CAST(row_number() OVER (PARTITION BY interval_start, direction ORDER BY n DESC, key) AS INTEGER) AS rank FROM c)
+SELECT * FROM d WHERE rank <= 20
+""",
+    "m",
+)
+def distribution_names_top(spark, d):
+    """The first names of resolvers that are listed in a table, from queries out and responses in."""
+    m = fx.dns_messages(spark, d)
+    resolvers = m.where("not qr and ip_src like '10.1%'").select("ip_src")
+    return popularity.name_popularity(m, "1 day", resolvers, top=20)
+
+
 @query(
     f"""
 WITH c AS (SELECT {DAY} AS interval_start, CAST(srcport AS VARCHAR) AS port, count(*) AS n FROM q GROUP BY ALL),
@@ -78,50 +94,89 @@ def darknet_day_series(spark, d):
     return popularity.top_series(counts, 10, key="srcport")
 
 
-def _range_sql(column, bounds, name, where):
-    cuts = [None, *bounds, None]
-    out = []
-    for a, b in zip(cuts, cuts[1:]):
-        fits = " AND ".join([where, *([f"{column} >= {a}"] if a is not None else []), *([f"{column} < {b}"] if b is not None else [])])
-        out.append(f"count_if({fits}) AS {name}_{f'below_{b}' if a is None else f'from_{a}'}")
-    return out
+# Counters by hand, so that no list is shared with the operators.
+_TYPES = (
+    "A 1, AAAA 28, AFSDB 18, APL 42, CERT 37, CNAME 5, DHCID 49, DLV 32769, DNAME 39, DNSKEY 48, DS 43, HIP 55, IPSECKEY 45, KEY 25, KX 36, LOC 29, MX 15, NAPTR 35, NS 2, NSEC 47, NSEC3 50, NSEC3PARAM 51, "
+    "PTR 12, RRSIG 46, RP 17, SIG 24, SOA 6, SPF 99, SRV 33, SSHFP 44, TA 32768, TKEY 249, TSIG 250, TXT 16, ANY 255, AXFR 252, IXFR 251, OPT 41"
+)
+_MORE_TYPES = _TYPES + ", CAA 257, TLSA 52"
+_CLASSES = "IN 1, CS 2, CH 3, HS 4, ANY 255"
+_RC = "CASE rcode WHEN 0 THEN 'NOERROR' WHEN 1 THEN 'FORMERR' WHEN 2 THEN 'SERVFAIL' WHEN 3 THEN 'NXDOMAIN' WHEN 4 THEN 'NOTIMPL' WHEN 5 THEN 'REFUSED' ELSE 'UNKNOWN' END"
+
+
+def _by_code(column, codes, prefix, where, weight, suffix="", unspecified=True):
+    pairs = [x.split() for x in codes.split(", ")]
+    fits = [(name, f"{column} = {code}") for name, code in pairs] + ([("UNSPECIFIED", f"{column} = 0")] if unspecified else [])
+    other = f"{column} NOT IN ({', '.join([c for _, c in pairs] + (['0'] if unspecified else []))})"
+    return [f"coalesce(sum(CASE WHEN {where} AND {f} THEN {weight} END), 0)::BIGINT AS {prefix}_{n}{suffix}" for n, f in (*fits, ("UNKNOWN", other))]
+
 
+# one row for each question and for each response's answers, with their number
+_ITEMS = f"""i AS (
+  SELECT {DAY} AS interval_start, feed_id AS scope, qr, is_valid, opcode, CASE WHEN qr THEN ip_src ELSE ip_dst END AS server, qtype AS t, qclass AS c, 1 AS w FROM m WHERE NOT qr AND n_questions > 0
+  UNION ALL SELECT {DAY}, feed_id, qr, is_valid, opcode, CASE WHEN qr THEN ip_src ELSE ip_dst END, qtype2, 1, 1 FROM m WHERE NOT qr AND n_questions > 1
+  UNION ALL SELECT {DAY}, feed_id, qr, is_valid, opcode, CASE WHEN qr THEN ip_src ELSE ip_dst END, ans_type, qclass, ans_count FROM m WHERE qr)"""
+_EDNS_SIZES = "below_512 <512, from_512 512-999, from_1000 1000-1499, from_1500 1500-1999, from_2000 2000-2499, from_2500 2500-2999, from_3000 3000-3499, from_3500 3500-3999, from_4000 4000-4499, from_4500 >4499"
+_RESPONSE_SIZES = "below_512 <512, from_512 512-1023, from_1024 1024-1535, from_1536 1536-2047, from_2048 2048-2559, from_2560 2560-3071, from_3072 3072-3583, from_3584 3584-4095, from_4096 >4095"
 
-def _code_sql(column, names, prefix, where):
-    return [*(f"count_if({where} AND {column} = {k}) AS {prefix}_{v}" for k, v in names.items()), f"count_if({where} AND {column} NOT IN ({', '.join(map(str, names))})) AS {prefix}_UNKNOWN"]
 
+def _in_range(column, text):
+    return f"{column} {text}" if text[0] in "<>" else f"{column} BETWEEN {text.replace('-', ' AND ')}"
 
-_RC = codes_sql("rcode", net.RCODES)
-_STATS = ", ".join(
-    [
-        "count_if(NOT qr) AS queries", "count_if(qr) AS responses", "count_if(NOT qr AND opcode = 4) AS notify",
-        *_code_sql("qclass", net.QCLASSES, "class", "NOT qr AND opcode <> 4"), *_code_sql("qtype", net.QTYPES, "type", "NOT qr AND opcode <> 4"),
+
+def _sized(column, sizes, prefix, where, suffix=""):
+    return [f"count_if({where} AND {_in_range(column, r)}) AS {prefix}_{n}{suffix}" for n, r in (x.split() for x in sizes.split(", "))]
+
+
+def _stats_sql(apart, where="is_valid"):
+    """Wide row of a day; ``apart``: NOTIFY by itself, outcomes by what stands first in the authority section."""
+    asked = "NOT qr AND opcode <> 4" if apart else "NOT qr"
+    if apart:
+        label = f"CASE WHEN rcode = 0 AND opcode = 4 THEN 'notify' WHEN rcode = 0 AND ans_count = 0 THEN CASE WHEN ns_first THEN 'REFERRAL' WHEN has_soa THEN 'NODATA' WHEN tc THEN 'none' ELSE 'UNKNOWN' END ELSE {_RC} END"
+    else:
+        label = f"CASE WHEN rcode = 0 AND ans_count = 0 THEN 'NODATA' ELSE {_RC} END"
+    items = [
+        *_by_code("c", _CLASSES, "class", asked, "w"), *_by_code("t", _TYPES, "type", asked, "w"), *_by_code("c", _CLASSES, "answer_class", "qr", "w"), *_by_code("t", _TYPES, "answer_type", "qr", "w"),
+    ]
+    messages = [
+        "count_if(NOT qr) AS queries", "count_if(qr) AS responses", "count_if(NOT qr AND opcode = 4) AS notify", "count_if(qr AND opcode = 4 AND rcode = 0) AS notify_answers",
         "count_if(NOT qr AND ip_type = 4) AS queries_v4", "count_if(NOT qr AND ip_type = 6) AS queries_v6", "count_if(NOT qr AND is_tcp) AS queries_tcp", "count_if(NOT qr AND NOT is_tcp) AS queries_udp",
-        "count_if(NOT qr AND NOT has_edns0) AS edns_absent", "count_if(NOT qr AND has_edns0 AND edns0_do) AS edns_do", "count_if(NOT qr AND has_edns0 AND NOT edns0_do) AS edns_no_do",
+        "count_if(NOT qr AND NOT has_edns0) AS edns_absent", "count_if(NOT qr AND has_edns0) AS edns_present", "count_if(NOT qr AND has_edns0 AND edns0_do) AS edns_do", "count_if(NOT qr AND has_edns0 AND NOT edns0_do) AS edns_no_do",
         "count_if(NOT qr AND has_edns0 AND has_ecs) AS edns_subnet", "count_if(NOT qr AND has_edns0 AND NOT has_ecs) AS edns_no_subnet", "count_if(NOT qr AND has_edns0 AND has_exp_opt) AS edns_experimental",
-        *_range_sql("edns0_max_size", traffic.EDNS_SIZES, "edns_size", "NOT qr AND has_edns0"), *_range_sql("udp_len", traffic.RESPONSE_SIZES, "response_size", "qr AND udp_len > 0"),
-        "coalesce(sum(CASE WHEN qr AND udp_len > 0 THEN udp_len END), 0)::BIGINT AS response_bytes", "count_if(qr AND udp_len > 0) AS responses_sized",
-        *(f"count_if(qr AND label = '{x}') AS rcode_{x}" for x in (*net.RCODES.values(), "NODATA", "UNKNOWN")),
-        "count_if(qr AND is_fragmented) AS responses_fragmented", "count_if(qr AND NOT is_fragmented) AS responses_whole", "count_if(qr AND tc) AS responses_truncated",
+        *_sized("edns0_max_size", _EDNS_SIZES, "edns_size", "NOT qr AND has_edns0"), *_sized("udp_len", _RESPONSE_SIZES, "response_size", "qr AND udp_len > 0"),
+        "coalesce(sum(CASE WHEN qr AND udp_len > 0 THEN udp_len END), 0)::BIGINT AS response_bytes", "count_if(qr AND udp_len > 0) AS responses_sized", "count_if(qr AND udp_len > 0 AND ip_type = 4) AS responses_sized_v4",
+        "count_if(qr AND udp_len > 0 AND ip_type = 6) AS responses_sized_v6", *(f"count_if(qr AND label = '{x}') AS rcode_{x}" for x in _LABELS),
+        "count_if(qr AND is_fragmented) AS responses_fragmented", "count_if(qr AND NOT is_fragmented) AS responses_whole", "count_if(qr AND is_fragmented AND ip_type = 4) AS responses_fragmented_v4",
+        "count_if(qr AND is_fragmented AND ip_type = 6) AS responses_fragmented_v6", "count_if(qr AND tc) AS responses_truncated",
     ]
-)
-_STATS_SQL = f"SELECT {DAY} AS interval_start, {_STATS} FROM (SELECT *, CASE WHEN rcode = 0 AND ans_count = 0 THEN 'NODATA' ELSE {_RC} END AS label FROM m WHERE {_USABLE}) GROUP BY 1"
-_PCT = lambda a, b: f"CASE WHEN ({b}) = 0 THEN 0 ELSE ({a}) * 100 // ({b}) END"
+    names = [x.rsplit(" AS ", 1)[1] for x in items]
+    return f"""WITH {_ITEMS}, a AS (SELECT interval_start, {', '.join(items)} FROM i WHERE {where} GROUP BY 1),
+b AS (SELECT {DAY} AS interval_start, {', '.join(messages)} FROM (SELECT *, {label} AS label, CASE WHEN qr THEN ip_src ELSE ip_dst END AS server FROM m) WHERE {where} GROUP BY 1),
+s AS (SELECT b.*, {', '.join(f'coalesce(a.{n}, 0) AS {n}' for n in names)} FROM b LEFT JOIN a USING (interval_start))"""
+
+
+_LABELS = ("NOERROR", "FORMERR", "SERVFAIL", "NXDOMAIN", "NOTIMPL", "REFUSED", "NODATA", "REFERRAL", "UNKNOWN")
+_SHARES = {
+    "v4": ("queries_v4", "queries"), "v6": ("queries_v6", "queries"), "tcp": ("queries_tcp", "queries"), "edns_on": ("edns_present", "queries"), "edns_off": ("edns_absent", "queries"), "edns_do": ("edns_do", "edns_present"),
+    "edns_no_do": ("edns_no_do", "edns_present"), "edns_subnet": ("edns_subnet", "edns_present"), "edns_no_subnet": ("edns_no_subnet", "edns_present"), "fragmented": ("responses_fragmented", "responses"),
+    "whole": ("responses_whole", "responses"), "truncated": ("responses_truncated", "responses"),
+    **{f"edns_size_{x.split()[0]}": (f"edns_size_{x.split()[0]}", "edns_present") for x in _EDNS_SIZES.split(", ")},
+    **{f"response_size_{x.split()[0]}": (f"response_size_{x.split()[0]}", "responses_sized") for x in _RESPONSE_SIZES.split(", ")}, **{x.lower(): (f"rcode_{x}", "responses") for x in _LABELS},
+}
 
 
 @query(
-    f"""SELECT *, {_PCT('queries_v4', 'queries_v4 + queries_v6')} AS pct_v4, {_PCT('queries_v6', 'queries_v4 + queries_v6')} AS pct_v6, {_PCT('queries_tcp', 'queries')} AS pct_tcp,
-  {_PCT('edns_do', 'queries')} AS pct_edns_do, {_PCT('rcode_NXDOMAIN', 'responses')} AS pct_nxdomain, {_PCT('responses_fragmented', 'responses')} AS pct_fragmented,
-  {_PCT('responses_truncated', 'responses')} AS pct_truncated, CASE WHEN responses_sized = 0 THEN 0 ELSE response_bytes // responses_sized END AS response_mean_size FROM ({_STATS_SQL})""",
+    f"""{_stats_sql(False)} SELECT *, {', '.join(f"CASE WHEN {b} = 0 THEN 0 ELSE {a} * 100 // {b} END AS pct_{k}" for k, (a, b) in _SHARES.items())},
+  CASE WHEN responses_sized = 0 THEN 0 ELSE response_bytes // responses_sized END AS response_mean_size FROM s""",
     "m",
 )
 def dnsstats_wide(spark, d):
-    return traffic.with_percentages(traffic.dns_statistics(fx.dns_messages(spark, d), [], "1 day"))
+    return traffic.with_percentages(traffic.dns_statistics(fx.dns_message_lists(spark, d), [], "1 day"))
 
 
-@query(f"""SELECT interval_start, queries, responses, type_A, type_AAAA FROM ({_STATS_SQL.replace('WHERE ' + _USABLE, "WHERE " + _USABLE + " AND CASE WHEN qr THEN ip_src ELSE ip_dst END IN ('192.0.2.54')")})""", "m")
+@query(f"{_stats_sql(False, 'is_valid AND server = ' + chr(39) + '192.0.2.54' + chr(39))} SELECT interval_start, queries, responses, type_A, type_AAAA, answer_type_RRSIG FROM s", "m")
 def dnsstats_one_server(spark, d):
-    return traffic.dns_statistics(fx.dns_messages(spark, d), ["192.0.2.54"], "1 day").select("interval_start", "queries", "responses", "type_A", "type_AAAA")
+    return traffic.dns_statistics(fx.dns_message_lists(spark, d), ["192.0.2.54"], "1 day").select("interval_start", "queries", "responses", "type_A", "type_AAAA", "answer_type_RRSIG")
 
 
 _FLAGS = """
@@ -141,8 +196,9 @@ def _outcome(dialect):
     empty = "rcode = 0 AND ans_count = 0"
     if dialect == "client":
         case = f"CASE WHEN {empty} AND ns_first THEN 'REFERRAL' WHEN {empty} AND has_soa THEN 'NODATA' ELSE {_RC} END"
+    elif dialect == "truncated":
+        case = f"CASE WHEN {empty} THEN CASE WHEN ns_first THEN 'REFERRAL' WHEN has_soa THEN 'NODATA' WHEN NOT tc THEN 'UNKNOWN' END ELSE {_RC} END"
     else:
-        empty += " AND NOT tc" if dialect == "truncated" else ""
         case = f"CASE WHEN {empty} AND has_soa THEN 'NODATA' WHEN {empty} AND has_ns THEN 'REFERRAL' ELSE {_RC} END"
     return f"WITH {_FLAGS} SELECT {DAY} AS interval_start, {case} AS label, count(*) AS n FROM f GROUP BY ALL"
 
@@ -197,7 +253,7 @@ def signature_totals(spark, d):
 
 @query(
     f"""WITH x AS (SELECT {DAY} AS interval_start, *, CASE WHEN NOT qr AND ip_dst IN ('192.0.2.53', '2001:db8:ffff::53') THEN 'qi' WHEN qr AND ip_src IN ('192.0.2.53', '2001:db8:ffff::53') THEN 'ro' END AS dir
-  FROM m WHERE ip_src <> '192.0.2.54' AND ip_dst <> '192.0.2.54')
+  FROM m WHERE is_valid AND ip_src <> '192.0.2.54' AND ip_dst <> '192.0.2.54')
 SELECT interval_start, count_if(dir = 'qi') AS queries_in, CAST(0 AS BIGINT) AS queries_out, CAST(0 AS BIGINT) AS responses_in, count_if(dir = 'ro') AS responses_out, CAST(0 AS BIGINT) AS authoritative_in,
   CAST(0 AS BIGINT) AS fragments_in, CAST(0 AS BIGINT) AS truncated_in, CASE WHEN count_if(dir = 'qi') > 0 THEN 100.0::DOUBLE END AS cache_hit_ratio FROM x WHERE dir IS NOT NULL GROUP BY 1""",
     "m",
@@ -208,54 +264,100 @@ def resolver_counters(spark, d):
 
 
 @query(
-    f"""WITH x AS (SELECT {DAY} AS interval_start, *, CASE WHEN NOT qr AND ip_dst LIKE '10.1%' THEN 'qi' WHEN qr AND ip_src LIKE '10.1%' AND srcport = 53 THEN 'ro' WHEN NOT qr AND ip_src LIKE '10.1%' THEN 'qo'
-   WHEN qr AND ip_dst LIKE '10.1%' THEN 'ri' END AS dir FROM m)
-SELECT interval_start, count_if(dir = 'qi') AS queries_in, count_if(dir = 'qo') AS queries_out, count_if(dir = 'ri') AS responses_in, count_if(dir = 'ro') AS responses_out, count_if(dir = 'ri' AND aa) AS authoritative_in,
-  count_if(dir = 'ri' AND is_fragmented) AS fragments_in, count_if(dir = 'ri' AND tc) AS truncated_in, CAST(NULL AS DOUBLE) AS cache_hit_ratio FROM x WHERE dir IS NOT NULL GROUP BY 1""",
+    f"""WITH x AS (SELECT {DAY} AS interval_start, *, CASE WHEN NOT qr AND ip_dst LIKE '10.1%' THEN 'qi' WHEN qr AND ip_dst LIKE '10.1%' THEN 'ri' WHEN qr AND ip_src LIKE '10.1%' THEN 'ro' WHEN NOT qr AND ip_src LIKE '10.1%' THEN 'qo' END AS dir
+  FROM m WHERE is_valid AND (srcport = 53) <> (dstport = 53)),
+  y AS (SELECT interval_start, count_if(dir = 'qi') AS queries_in, count_if(dir = 'qo') AS queries_out, count_if(dir = 'ri') AS responses_in, count_if(dir = 'ro') AS responses_out, count_if(dir = 'ri' AND aa) AS authoritative_in,
+  count_if(dir = 'ri' AND is_fragmented) AS fragments_in, count_if(dir = 'ri' AND tc) AS truncated_in FROM x WHERE dir IS NOT NULL GROUP BY 1)
+SELECT *, CASE WHEN queries_in > 0 THEN round(100 - 100.0 * authoritative_in / queries_in, 2) END AS cache_hit_ratio FROM y""",
     "m",
 )
 def resolver_counters_outgoing(spark, d):
+    """Resolvers listed in a table."""
     m = fx.dns_messages(spark, d)
-    mine = [r.ip_src for r in m.where("not qr and ip_src like '10.1%'").select("ip_src").distinct().collect()]
-    return resolver.resolver_counters(m, mine, None, "1 day")
+    return resolver.resolver_counters(m, m.where("not qr and ip_src like '10.1%'").select("ip_src"), None, "1 day")
 
 
 @query(
-    f"""WITH x AS (SELECT {DAY} AS interval_start, *, CASE WHEN rcode = 0 AND ans_count = 0 AND NOT tc AND k2 = 0 THEN 'NODATA' WHEN rcode = 0 AND ans_count = 0 AND NOT tc AND k2 = 1 THEN 'REFERRAL' ELSE {_RC} END AS label
-  FROM (SELECT *, seq % 3 AS k2 FROM m WHERE qr AND {_USABLE}))
-SELECT interval_start, count(*) AS responses, {', '.join(f"round(100 * count_if(label = '{x}') / count(*), 2) AS rate_{x}" for x in (*net.RCODES.values(), 'NODATA', 'REFERRAL'))},
-  {', '.join(f"coalesce(round(100 * count_if(ip_type = {v} AND udp_len > 0 AND {c}) / nullif(count_if(ip_type = {v} AND udp_len > 0), 0), 2), 0) AS rate_{n}_v{v}" for v in (4, 6) for n, c in (('frag', 'is_fragmented'), ('large', 'udp_len >= 1500')))}
-FROM x GROUP BY 1""",
+    f"""WITH t AS (SELECT ts, qr, is_valid, ip_src, ip_dst, srcport, dstport, aa, tc, is_fragmented FROM m UNION ALL
+  SELECT ts, false, is_valid, ip_dst, ip_src, dstport, srcport, aa, tc, is_fragmented FROM m WHERE qr AND seq % 3 = 0),
+x AS (SELECT {DAY} AS interval_start, *, CASE WHEN NOT qr AND ip_dst LIKE '10.%' AND dstport = 53 AND srcport <> 53 THEN 'qi' WHEN qr AND ip_dst LIKE '10.%' AND srcport = 53 AND dstport <> 53 THEN 'ri'
+  WHEN NOT qr AND ip_src LIKE '10.%' AND dstport = 53 AND srcport <> 53 THEN 'qo' END AS dir FROM t WHERE is_valid)
+SELECT interval_start, count_if(dir = 'qi') AS queries_in, count_if(dir = 'qo') AS queries_out, count_if(dir = 'ri') AS responses_in, CAST(0 AS BIGINT) AS responses_out, count_if(dir = 'ri' AND aa) AS authoritative_in,
+  count_if(dir = 'ri' AND is_fragmented) AS fragments_in, count_if(dir = 'ri' AND tc) AS truncated_in, CASE WHEN count_if(dir = 'qi') > 0 THEN round(100 - 100.0 * count_if(dir = 'ri' AND aa) / count_if(dir = 'qi'), 2) END AS cache_hit_ratio
+FROM x WHERE dir IS NOT NULL GROUP BY 1""",
     "m",
 )
-def rates_by_version(spark, d):
-    m = fx.dns_messages(spark, d).withColumns({"has_soa": F.expr("seq % 3 = 0"), "has_ns": F.expr("seq % 3 = 1")})
-    return traffic.rates_by_version(m, [], "1 day")
+def resolver_cache_hits(spark, d):
+    """Resolvers that ask and are asked: each third response comes back as a query to its receiver."""
+    m = fx.dns_messages(spark, d)
+    asked = m.where("qr and seq % 3 = 0").withColumns({"qr": F.lit(False), "ip_src": F.col("ip_dst"), "ip_dst": F.col("ip_src"), "srcport": F.col("dstport"), "dstport": F.col("srcport")})
+    # queries to the clients' own port 53
+    return resolver.resolver_counters(m.unionByName(asked), m.where("not qr and ip_type = 4").select("ip_src"), None, "1 day")
 
 
-_SIZE = "CASE WHEN udp_len > 0 THEN udp_len + CASE WHEN ip_type = 4 THEN 28 ELSE 48 END END"
-_METRICS = {
-    "queries": "count_if(ok AND NOT qr)", "responses": "count_if(ok AND qr)", "malformed": "count_if(NOT ok)", "queries_rd": "count_if(ok AND NOT qr AND rd)", "responses_aa": "count_if(ok AND qr AND aa)",
-    "responses_tc": "count_if(ok AND qr AND tc)", "notify_queries": "count_if(ok AND NOT qr AND opcode = 4)", "notify_responses": "count_if(ok AND qr AND opcode = 4)", "query_bytes": "sum(CASE WHEN ok AND NOT qr THEN size END)",
-    "response_bytes": "sum(CASE WHEN ok AND qr THEN size END)", "answers": "sum(CASE WHEN ok AND qr THEN ans_count END)", "authorities": "sum(CASE WHEN ok AND qr THEN aut_count END)", "additionals": "sum(CASE WHEN ok AND qr THEN add_count END)",
-    "size_to_512": "count_if(ok AND qr AND size BETWEEN 0 AND 512)", "size_to_1280": "count_if(ok AND qr AND size BETWEEN 513 AND 1280)", "size_to_1500": "count_if(ok AND qr AND size BETWEEN 1281 AND 1500)",
-    "size_to_4096": "count_if(ok AND qr AND size BETWEEN 1501 AND 4096)", "size_above_4096": "count_if(ok AND qr AND size > 4096)",
-}
-_RATIOS = {"bytes_per_query": "query_bytes / nullif(queries, 0)", "bytes_per_response": "response_bytes / nullif(responses, 0)", "answers_per_response": "answers / nullif(responses, 0)", "authorities_per_response": "authorities / nullif(responses, 0)", "additionals_per_response": "additionals / nullif(responses, 0)"}
-_METRIC_SQL = f"""WITH w AS (SELECT interval_start, scope, {', '.join(f"coalesce({e}, 0)::DOUBLE AS {k}" for k, e in _METRICS.items())}
-  FROM (SELECT *, {DAY} AS interval_start, feed_id AS scope, is_valid AND NOT is_partial AS ok, {_SIZE} AS size FROM m) GROUP BY ALL),
-w2 AS (SELECT *, {', '.join(f'{e} AS {k}' for k, e in _RATIOS.items())} FROM w),
-long AS (SELECT interval_start, scope, unnest([{', '.join(f"{{'metric': '{k}', 'value': {k}}}" for k in (*_METRICS, *_RATIOS))}]) AS e FROM w2)"""
+@query(
+    f"""{_stats_sql(True)} SELECT *, {', '.join(f"CASE WHEN {b} = 0 THEN 0 ELSE round(100 * {a} / {b}, 2) END AS pct_{k}" for k, (a, b) in (_SHARES | {f"fragmented_v{v}": (f"responses_fragmented_v{v}", f"responses_sized_v{v}") for v in (4, 6)}).items())},
+  CASE WHEN responses_sized = 0 THEN 0 ELSE round(response_bytes / responses_sized, 2) END AS response_mean_size FROM s""",
+    "m",
+)
+def rates_by_version(spark, d):
+    return traffic.rates_by_version(fx.dns_message_lists(spark, d), [], "1 day")
 
 
-@query(_METRIC_SQL + " SELECT interval_start, scope, e.metric AS metric, e.value AS value FROM long", "m")
+def _metric_sql(scope="feed_id", where="is_valid"):
+    label = f"CASE WHEN rcode = 0 AND opcode = 4 THEN 'notify' WHEN rcode = 0 AND ans_count = 0 THEN CASE WHEN ns_first THEN 'REFERRAL' WHEN has_soa THEN 'NODATA' WHEN tc THEN 'none' ELSE 'UNKNOWN' END ELSE {_RC} END"
+    items = [
+        *_by_code("c", _CLASSES, "q_class", "NOT qr AND opcode <> 4", "w", "_ctr", False), *_by_code("t", _MORE_TYPES, "q_type", "NOT qr AND opcode <> 4", "w", "_ctr", False),
+        *_by_code("c", _CLASSES, "r_class", "qr", "w", "_ctr", False), *_by_code("t", _MORE_TYPES, "r_type", "qr", "w", "_ctr", False),
+    ]
+    messages = [
+        "count_if(NOT qr AND opcode <> 4 AND n_questions = 0) AS q_malformed_ctr", "count_if(NOT qr AND opcode = 4) AS notify_in_ctr", "count_if(qr AND opcode = 4 AND rcode = 0) AS notify_out_ctr",
+        *_sized("edns0_max_size", "le_512 <513, le_1280 513-1280, le_1500 1281-1500, le_4096 1501-4096, gt_4096 >4096", "q_edns0_maxsize", "NOT qr AND has_edns0", "_ctr"),
+        *_sized("size", "le_512 <513, le_1280 513-1280, le_1500 1281-1500, le_4096 1501-4096, gt_4096 >4096", "r_rsize", "qr", "_ctr"),
+        "sum(CASE WHEN qr THEN ans_count + aut_count + add_count ELSE 0 END) AS r_total_rec_ctr", *(f"sum(CASE WHEN qr THEN {x}_count ELSE 0 END) AS r_total_{x}_rec_ctr" for x in ("ans", "aut", "add")),
+        *(f"count_if(qr AND label = '{x}') AS r_rcode_{x.lower()}_ctr" for x in _LABELS),
+    ]
+    for v, w in (("", "true"), ("_v4", "ip_type = 4"), ("_v6", "ip_type = 6")):
+        messages += [f"count_if(qr AND {w} AND is_fragmented) AS r_frag{v}_ctr", f"count_if(qr AND {w} AND NOT is_fragmented) AS r_unfrag{v}_ctr"]
+    for side, w, name in (("q", "NOT qr", "dnstraf_inbound"), ("r", "qr", "dnstraf_outbound")):
+        messages += [
+            f"count_if({w}) AS {side}_ctr", f"sum(CASE WHEN {w} THEN udp_len ELSE 0 END) AS {name}", f"count_if({w} AND ip_type = 4) AS {side}_v4_ctr", f"count_if({w} AND ip_type = 6) AS {side}_v6_ctr",
+            f"count_if({w} AND NOT is_tcp) AS {side}_udp_ctr", f"count_if({w} AND is_tcp) AS {side}_tcp_ctr", *(f"count_if({w} AND {f}) AS {side}_{f}_set_ctr" for f in ("aa", "tc", "rd", "ra", "ad", "cd")),
+            f"count_if({w} AND has_edns0) AS {side}_has_edns0_ctr", f"count_if({w} AND NOT has_edns0) AS {side}_no_edns0_ctr", f"count_if({w} AND has_edns0 AND edns0_do) AS {side}_edns0_do_set_ctr",
+            f"count_if({w} AND has_edns0 AND NOT edns0_do) AS {side}_edns0_do_unset_ctr", f"count_if({w} AND has_edns0 AND has_ecs) AS {side}_edns0_has_ecs_ctr", f"count_if({w} AND has_edns0 AND NOT has_ecs) AS {side}_edns0_has_no_ecs_ctr",
+        ]
+    averages = {
+        "avg_qsize": "dnstraf_inbound / nullif(q_ctr, 0)", "avg_rsize": "dnstraf_outbound / nullif(r_ctr, 0)", "avg_recs_per_r": "r_total_rec_ctr / nullif(r_ctr, 0)", "avg_ans_per_r": "r_total_ans_rec_ctr / nullif(r_ctr, 0)",
+        "avg_aut_per_r": "r_total_aut_rec_ctr / nullif(r_ctr, 0)", "avg_add_per_r": "r_total_add_rec_ctr / nullif(r_ctr, 0)",
+    }
+    name = lambda x: x.rsplit(" AS ", 1)[1]
+    scoped = _ITEMS.replace("feed_id AS scope", f"{scope} AS scope").replace(", feed_id, qr", f", {scope}, qr")
+    counters = [name(x) for x in (*items, *messages)]
+    return f"""WITH {scoped}, a AS (SELECT interval_start, scope, {', '.join(items)} FROM i WHERE {where} GROUP BY ALL),
+b AS (SELECT {DAY} AS interval_start, {scope} AS scope, {', '.join(messages)} FROM (SELECT *, {label} AS label, udp_len + CASE WHEN ip_type = 4 THEN 28 ELSE 48 END AS size FROM m) WHERE {where} GROUP BY ALL),
+w AS (SELECT b.interval_start, b.scope, {', '.join(f"{name(x)}::DOUBLE AS {name(x)}" for x in messages)}, {', '.join(f"coalesce(a.{name(x)}, 0)::DOUBLE AS {name(x)}" for x in items)} FROM b LEFT JOIN a USING (interval_start, scope)),
+w2 AS (SELECT *, {', '.join(f'{e} AS {k}' for k, e in averages.items())} FROM w),
+long AS (SELECT interval_start, scope, unnest([{', '.join(f"{{'metric': '{k}', 'value': {k}}}" for k in (*counters, *averages))}]) AS e FROM w2)"""
+
+
+@query(_metric_sql() + " SELECT interval_start, scope, e.metric AS metric, e.value AS value FROM long", "m")
 def scoped_metrics(spark, d):
-    return traffic.scoped_metrics(fx.dns_messages(spark, d).withColumn("scope", F.col("feed_id")), "1 day")
+    return traffic.scoped_metrics(fx.dns_message_lists(spark, d).withColumn("scope", F.col("feed_id")), "1 day")
+
+
+_SERVER_BLOCK = "CASE CASE WHEN qr THEN ip_src ELSE ip_dst END WHEN '192.0.2.53' THEN 'first' WHEN '192.0.2.54' THEN 'both' END"
+
+
+@query(_metric_sql(_SERVER_BLOCK) + " SELECT interval_start, scope, e.metric AS metric, e.value AS value FROM long WHERE scope IS NOT NULL", "m")
+def scoped_metrics_by_block(spark, d):
+    """Messages of the servers in listed blocks; the first block in order counts."""
+    blocks = spark.sql("SELECT 0 AS ord, 3221226037L AS lo, 3221226037L AS hi, 'first' AS descr UNION ALL SELECT 1, 3221226036L, 3221226039L, 'both'")
+    return traffic.scoped_metrics(fx.dns_message_lists(spark, d), "1 day", blocks=blocks)
 
 
-@query(_METRIC_SQL + " SELECT interval_start, scope, e.metric AS metric, CASE WHEN e.metric LIKE '%\\_per\\_%' ESCAPE '\\' OR e.metric = 'malformed' THEN e.value ELSE e.value / 86400 END AS value FROM long", "m")
+@query(_metric_sql() + " SELECT interval_start, scope, e.metric AS metric, CASE WHEN e.metric LIKE 'avg\\_%' ESCAPE '\\' OR e.metric = 'q_malformed_ctr' THEN e.value ELSE e.value / 86400 END AS value FROM long", "m")
 def scoped_metric_rates(spark, d):
-    return traffic.metric_rates(traffic.scoped_metrics(fx.dns_messages(spark, d).withColumn("scope", F.col("feed_id")), "1 day"), 86400, ("malformed",))
+    return traffic.metric_rates(traffic.scoped_metrics(fx.dns_message_lists(spark, d).withColumn("scope", F.col("feed_id")), "1 day"), 86400, ("q_malformed_ctr",))
 
 
 @query(

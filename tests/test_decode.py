@@ -276,7 +276,7 @@ def test_report_lines(spark, sf_dir, tmp_path):
     assert " - " in sinks.top_lines(popularity.query_popularity(m, "30 days")).first().value
     assert sinks.unique_clients_line(unique.unique_clients(m)).first().value.count(";") == 7
     metrics = traffic.scoped_metrics(m.withColumnRenamed("feed_id", "scope"), "30 days")
-    assert {r.label for r in sinks.summary(metrics, {"queries": "Queries"}).collect()} == {"Queries"}
+    assert {r.label for r in sinks.summary(metrics, {"q_ctr": "Queries"}).collect()} == {"Queries"}
     records = darknet.interval_records(darknet.ports(m, "1 day"), darknet.identification(m, "1 day", "query_id"))
     sinks.write_hourly_json(records, str(tmp_path / "j"))
     back = tables.darknet_series(tables.read_darknet(spark, str(tmp_path / "j")), "ipid")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spillway import sinks
 from spillway.functions import net
-from spillway.operators import enrich, filters, traffic
+from spillway.operators import enrich, filters, popularity, traffic
 
 
 def one(spark, **columns):
@@ -93,6 +93,39 @@ def test_lines(spark):
     assert (row.x_below_10, row.x_from_10, row.x_from_20) == (1, 2, 1)
 
 
+def test_ranks_of_all_rows_in_ranges(spark):
+    rng = random.Random(3)
+    rows = [(g, f"k{i}", rng.choice([1, 1, 1, 2, 3, 50])) for g in "ab" for i in range(500)]
+    counts = spark.createDataFrame(rows, "g string, key string, n long")
+    got = {(r.g, r.key): r["rank"] for r in popularity.ranked_all(counts, ["g"]).collect()}
+    for g in "ab":
+        order = sorted((x for x in rows if x[0] == g), key=lambda x: (-x[2], x[1]))
+        assert all(got[g, k] == i + 1 for i, (_, k, _) in enumerate(order))
+    assert popularity.ranked_all(counts.limit(0), ["g"]).count() == 0
+
+
+def test_plan_of_top_names(spark, sf_dir):
+    from spillway import fixtures as fx
+
+    top = popularity.query_popularity(fx.dns_queries(spark, sf_dir), "1 day")
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 6 and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_statistics_of_messages_without_lists(spark):
+    rows = [(False, True, 1, 1, "a.", 0), (False, True, 48, 1, "b.", 0), (False, False, 1, 1, "c.", 0), (True, True, 1, 1, "a.", 0), (False, True, None, None, None, 0), (False, True, 6, 1, "n.", 4)]
+    m = spark.createDataFrame(rows, "qr boolean, is_valid boolean, qtype int, qclass int, qname string, opcode int").selectExpr(
+        "*", "timestamp_seconds(1700000000) ts", "false is_partial", "4 ip_type", "'1.1.1.1' ip_src", "'2.2.2.2' ip_dst", "100 udp_len", "false is_tcp", "false has_edns0", "0 edns0_max_size", "false edns0_do", "false has_ecs", "false has_exp_opt", "0 rcode", "0 ans_count", "0 aut_count", "0 add_count",
+        "false is_fragmented", "false aa", "false tc", "false rd", "false ra", "false ad", "false cd", "true has_soa", "false ns_first", "'s' scope",
+    )
+    r = traffic.with_percentages(traffic.dns_statistics(m)).first()
+    assert (r.queries, r.responses, r.type_A, r.type_DNSKEY, r.type_SOA, r.type_UNKNOWN, r.answer_type_A, r.rcode_NODATA, r.response_mean_size) == (4, 1, 1, 1, 1, 0, 0, 1, 100)
+    r = traffic.rates_by_version(m).first()
+    assert (r.type_SOA, r.notify, r.pct_fragmented_v4, r.rcode_NODATA) == (0, 1, 0.0, 1)
+    got = {x.metric: x.value for x in traffic.scoped_metrics(m).collect()}
+    assert len(got) == 168 and got["q_malformed_ctr"] == 1 and got["notify_in_ctr"] == 1 and got["avg_qsize"] == 100 and got["r_rsize_le_512_ctr"] == 1
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([(1_700_000_000, "x"), (1_700_009_000, "y")], "timestamp long, v string")
     sinks.write_hourly_json(df, str(tmp_path / "j"))
