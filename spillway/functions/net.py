@@ -104,6 +104,18 @@ def ip6_words_text(c: Column | str) -> Column:
     return F.concat_ws(":", *(F.substring(h, 1 + 4 * i, 4) for i in range(8)))
 
 
+def ip6_text(c: Column | str) -> Column:
+    """Shortest text form of 16 bytes: no leading zeros, '::' for the first longest run of two zero groups or more, and a mapped IPv4 address as a dotted quad."""
+    groups = F.regexp_replace(ip6_words_text(c), "(^|:)0{1,3}(?=[0-9a-f])", "$1")
+    text = groups
+    for run in range(2, 9):
+        pattern = rf"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)(.*)$"
+        text = F.when(groups.rlike(pattern), F.regexp_replace(groups, pattern, "$1::$2")).otherwise(text)
+    mapped = F.substring(F.hex(_col(c)), 1, 24) == "00000000000000000000FFFF"
+    text = F.when(mapped, F.concat(F.lit("::ffff:"), ip4_to_text(ip4_from_bytes(F.substring(_col(c), 13, 4))))).otherwise(text)
+    return F.when(F.octet_length(_col(c)) == 16, text)
+
+
 def mac_text(c: Column | str) -> Column:
     return F.regexp_replace(F.hex(_col(c)), r"(..)(?=.)", "$1:")
 

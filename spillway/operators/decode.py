@@ -7,16 +7,14 @@ point back into the message, are read in Arrow batches.
 
 from __future__ import annotations
 
-import ipaddress
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions import net
@@ -25,8 +23,8 @@ IPV4, IPV6, TCP, UDP, ICMP, ICMP6 = 0x0800, 0x86DD, 6, 17, 1, 58
 #: IPv6 extension headers that are stepped over: options, routing, mobility, HIP, shim6 and experiments.
 STEPPED = (0, 43, 60, 135, 139, 140, 253, 254)
 FRAGMENT, ENCRYPTED = 44, (50, 51)
-#: Extension headers followed at most.
-CHAIN = 12
+#: Extension headers followed at most; a longer chain is no sound packet.
+CHAIN = 16
 
 
 def number(data: Column | str, at: Column | int, size: int) -> Column:
@@ -48,12 +46,6 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.withColumn("_settled", F.monotonically_increasing_id()).where("_settled >= 0").drop("_settled")
 
 
-@F.pandas_udf(StringType())
-def ip6_text(addresses: pd.Series) -> pd.Series:
-    """Shortest text form of 16 bytes."""
-    return addresses.map(lambda a: None if a is None or len(a) != 16 else str(ipaddress.IPv6Address(bytes(a))))
-
-
 def ethernet(packets: DataFrame) -> DataFrame:
     """Adds eth_dst, eth_src, eth_type and ``ip``, the bytes behind the header; null where it is cut short."""
     whole = F.octet_length("data") >= 14
@@ -91,6 +83,8 @@ def internet(df: DataFrame) -> DataFrame:
     is6 = (F.col("eth_type") == IPV6) & (version == 6) & (F.octet_length("ip") >= 40)
     frag = number("ip", 6, 2)
     df = _settled(df.withColumns({"ip_type": F.when(is4, 4).when(is6, 6), "_six": F.when(is6, _ipv6_chain())}))
+    endless = (F.col("ip_type") == 6) & F.col("_six.nh").isin(FRAGMENT, *STEPPED)
+    df = df.withColumn("ip_type", F.when(~F.coalesce(endless, F.lit(False)), F.col("ip_type")))
     six = F.col("_six")
     four, six_ = F.col("ip_type") == 4, F.col("ip_type") == 6
     ofs = F.when(four, frag.bitwiseAND(F.lit(0x1FFF)) * 8).otherwise(six["ofs"]).cast("int")
@@ -106,7 +100,7 @@ def internet(df: DataFrame) -> DataFrame:
             "segment": F.when(F.col("ip_type").isNotNull(), part("ip", head, F.greatest(F.when(total > 0, total).otherwise(F.octet_length("ip")) - head, F.lit(0)))),
         }
     )
-    text = lambda c: F.when(four, net.ip4_to_text(net.ip4_from_bytes(c))).when(F.col("ip_type") == 6, ip6_text(F.col(c)))
+    text = lambda c: F.when(four, net.ip4_to_text(net.ip4_from_bytes(c))).when(F.col("ip_type") == 6, net.ip6_text(c))
     return _settled(_settled(df).withColumns({"ip_src": text("src_addr"), "ip_dst": text("dst_addr")})).drop("_six", "ip")
 
 
@@ -231,9 +225,11 @@ def read_options(rdata: bytes, response: bool, out: dict) -> None:
             width = {1: 32, 2: 128}.get(family)
             if width is None:
                 continue
-            source, scope = min(source, width), min(scope, width)
-            if len(body) - 4 != (source + 7) // 8:
+            # a response's address is as long as its own scope says
+            bits = min(scope if response else source, width)
+            if len(body) - 4 != (bits + 7) // 8:
                 continue
+            source, scope = min(source, width), min(scope, width)
             out |= {"has_ecs": True, "ecs_family": family, "ecs_src_scope": source, "ecs_res_scope": scope if response else 0, "ecs_addr": body[4:].ljust(width // 8, b"\0")}
 
 
@@ -318,7 +314,7 @@ def decode_dns(packets: DataFrame, sections: tuple[str, ...] = ("answers", "auth
     out = rows.mapInArrow(read, StructType([*rows.schema.fields, *fields.fields]))
     names = F.transform("questions", lambda q: q.withField("qname", F.lower(q["qname"]))) if lower else F.col("questions")
     out = out.withColumn("questions", names).withColumns({c: F.try_element_at("questions", F.lit(1))[c] for c in ("qname", "qtype", "qclass")})
-    out = out.withColumn("ecs_ip", F.when(F.col("ecs_family") == 1, net.ip4_to_text(net.ip4_from_bytes("ecs_addr"))).when(F.col("ecs_family") == 2, ip6_text(F.col("ecs_addr"))))
+    out = out.withColumn("ecs_ip", F.when(F.col("ecs_family") == 1, net.ip4_to_text(net.ip4_from_bytes("ecs_addr"))).when(F.col("ecs_family") == 2, net.ip6_text("ecs_addr")))
     return out if keep_malformed else out.where("is_valid")
 
 

@@ -74,6 +74,9 @@ def test_headers(spark):
     ]
     r = decoded(spark, frames)
     assert len(r) == 8  # ESP is left out
+    chain = lambda n: ether(ip6((bytes([60, 0]) + b"\0" * 6) * (n - 1) + bytes([17, 0]) + b"\0" * 6 + udp(q), 60), 0x86DD)
+    long = decoded(spark, [chain(decode.CHAIN), chain(decode.CHAIN + 1)])
+    assert [(x.ip_type, x.srcport) for x in long] == [(6, 4000), (None, None)]
     assert (r[0].eth_dst, r[0].eth_src, r[0].eth_type) == ("AA:BB:CC:00:01:02", "10:20:30:40:50:60", 0x0800)
     assert (r[0].ip_src, r[0].ip_dst, r[0].ttl, r[0].ip_id, r[0].srcport, r[0].dstport, r[0].udp_len) == ("10.0.0.1", "192.0.2.53", 64, 9, 4000, 53, 8 + len(q))
     assert (r[1].ip_type, r[1].ip_src, r[1].ip_proto, r[1].srcport, bytes(r[1].payload)) == (6, "2001:db8::1", 17, 4000, q)
@@ -89,7 +92,8 @@ def test_dns_records(spark):
     v6 = bytes(range(16))
     key = struct.pack(">HBB", 257, 3, 8) + b"\3\1\0\1" + b"\x99" * 128
     long_key = struct.pack(">HBB", 256, 3, 5) + b"\0\0\3\1\0\1" + b"\x77" * 64
-    subnet = struct.pack(">HHHBB", 8, 7, 1, 24, 20) + b"\x0a\1\2"
+    # a response: the address has the bytes of its own scope, not of the query's
+    subnet = struct.pack(">HHHBB", 8, 6, 1, 24, 12) + b"\x0a\1"
     opt = rr(b"\0", 41, 1 << 15, subnet + struct.pack(">HH", 65001, 0), 1232)
     m = message(
         [("www.Example.com.", 1, 1)],
@@ -102,7 +106,7 @@ def test_dns_records(spark):
     assert r.answers[3].rdata_list == ["ab", "c"] and r.answers[0].name == "www.Example.com."
     assert r.authorities[0].name == "" and r.authorities[0].rdata_txt == "ns.example.com."
     assert (r.has_edns0, r.edns0_max_size, r.edns0_do, r.edns0_version) == (True, 1232, True, 0)
-    assert (r.has_ecs, r.ecs_ip, r.ecs_src_scope, r.ecs_res_scope, r.has_exp_opt) == (True, "10.1.2.0", 24, 20, True)
+    assert (r.has_ecs, r.ecs_ip, r.ecs_src_scope, r.ecs_res_scope, r.has_exp_opt) == (True, "10.1.0.0", 24, 12, True)
     (low,) = dns(spark, [m], lower=True, sections=("edns0",))
     assert low.qname == "www.example.com." and low.answers == [] and low.has_edns0
     keys = decode.dnskeys(decode.decode_dns(decode.decode_packets(packets(spark, [ether(ip4(udp(m)))])))).collect()

@@ -39,6 +39,9 @@ def test_addresses(spark):
     assert all(r.back == r.b and ipaddress.ip_address(r.w) == ipaddress.ip_address(r.t) for r in six)
     assert all(ipaddress.ip_network(r.p) == ipaddress.ip_network(r.t + "/64", strict=False) for r in six)
     assert one(spark, bad=net.ip4_from_text(F.lit("no"))).bad is None
+    sparse = [ipaddress.IPv6Address(sum(rng.choice([0, 0, 0, 0x10, 0xA0B, 0xFFFF]) << 16 * i for i in range(8))) for _ in range(600)] + [ipaddress.IPv6Address(x) for x in ("::", "::1", "1::", "1:0:0:2::", "0:1::", "1:0:2:3:4:5:6:7")]
+    short = spark.createDataFrame([(bytearray(a.packed), str(a)) for a in [*v6, *sparse]] + [(bytearray(b"abc"), None), (None, None)], "b binary, t string").select("t", net.ip6_text("b").alias("s")).collect()
+    assert all(r.s == r.t for r in short)
 
 
 def test_lookups_of_sixteen_bytes_against_brute_force(spark):
