@@ -2,6 +2,11 @@
 
 Each stage takes all rows that the one before kept; run() writes what a stage returns to
 the shared folder and hands the written table on.
+
+In every stage rows without an id, rows that share one and repeated rows are documents of
+their own, null and blank texts are texts without words, texts of any length are taken
+whole, an empty table gives no rows, and columns beyond those of documents are not passed
+on, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +29,10 @@ WEIGHTS = {
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold."""
+    """Documents whose toxicity score is below the threshold; null and blank texts have no hits and stay.
+
+    Labels count by id, so rows that share a labelled id are learned from once.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(docs, model, carry=COLUMNS[1:])
     return scored.where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
@@ -40,7 +48,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that a document with a smaller id has; a text that is nothing else goes."""
+    """Texts without passages that a document with a smaller id has; a text that is nothing else goes.
+
+    A row without an id loses what any numbered document has; texts without words stay.
+    """
     found = substring_dedup.dedup_substrings(docs, carry=COLUMNS[2:])
     found = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     length = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("kept_text")).alias("n_chars")
@@ -48,12 +59,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mixture, once for each pass that takes them."""
+    """The documents of the mixture, once for each pass that takes them; null languages and sources are kinds of their own."""
     return mixture.mix(docs, share=SHARE_PERCENT, **WEIGHTS).select(*(F.col(f"row.{c}").alias(c) for c in COLUMNS))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and the hash of the bytes they decode to."""
+    """Token ids of each text, and the hash of the bytes they decode to; none for null and empty texts."""
     return byte_bpe.encode(docs).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )

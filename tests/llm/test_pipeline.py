@@ -1,15 +1,20 @@
 """The pipeline's stages against plain versions of their decisions."""
 
+import base64
 import collections
+import hashlib
 import random
 import re
 
 import corpus_pipeline as cp
+import public_tokenizers as P
+import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from spillway.llm import common, mixture, toxicity
 
-from test_operators import plain_components, plain_dedup, plain_fingerprint
+from test_operators import WORD, plain_components, plain_dedup, plain_fingerprint, plain_mix, plain_toxicity
 
 
 def test_stages_keep_what_they_should(spark):
@@ -45,6 +50,88 @@ def test_stages_keep_what_they_should(spark):
     assert [n for n, _ in cp.STAGES] == ["toxicity", "simhash_near_dedup", "substring_dedup", "mixture", "byte_bpe"]
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, id string, score string, fp string, n_tokens string, carry int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Real documents beside null, shared and repeated ids, null, blank, long and repeated texts, and columns named as those inside the stages."""
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source").limit(120).collect()
+    rows = [tuple(r) for r in base]
+    passage = " ".join(f"w{i}" for i in range(70))
+    rows += [(None, rows[0][1], "en", "src0"), (None, "no id one two three", None, None), (None, "no id one two three", None, None), (None, None, None, "src1"), (7_000, None, "en", None), (7_001, "", "de", "src0"), (7_001, " \n", "de", "src0")]
+    rows += [(7_002, "same id first text", "en", "src0"), (7_002, "same id second text here", "en", "src0"), (7_003, "long " * 30_000, "fr", "src2"), (7_004, passage + " tail", "en", "src1"), (7_005, "head " + passage, "en", "src1"), (7_006, passage, "es", "x")]
+    rows += [rows[-1], (7_007, "\u0130stanbul \U00020000 \U0001f600 it's", "tr", "src3")]
+    full = [(i, t, a, b, None if t is None else len(t), "x", "y", "z", "n", 1) for i, t, a, b in rows]
+    return spark.createDataFrame(full, SCHEMA).repartition(3)
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.select(*cp.COLUMNS).collect()]
+
+
+def test_toxic_stage_with_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)] + [(None, 1), (3, None), (7_002, 0)], "doc_id long, toxic int")
+    bad = F.concat(F.col("text"), F.lit(" wretched villain"))
+    docs = odd.withColumn("text", F.when((F.col("doc_id") < 120) & (F.col("doc_id") % 4 == 0), bad).otherwise(F.col("text")))
+    folder = common.shared_dir(spark) + "/labels-of-a-test"
+    labels.write.mode("overwrite").parquet(folder + "/labels.parquet")
+    model = toxicity.train(docs, labels)
+    assert model.fit is not None
+    got = cp.toxic(spark, docs, folder)
+    assert tuple(got.columns) == cp.COLUMNS
+    expected = [r for r in rows_of(docs) if plain_toxicity(model, r[1] or "") < toxicity.THRESHOLD]
+    assert collections.Counter(rows_of(got)) == collections.Counter(expected) and 0 < len(expected) < docs.count()
+    assert cp.toxic(spark, docs.limit(0), folder).count() == 0
+
+
+def test_near_duplicates_stage_with_odd_rows(spark, odd):
+    rows = rows_of(odd)
+    fps = [plain_fingerprint(r[1]) for r in rows]
+    group = plain_components(list(zip(range(len(rows)), fps)), 4)
+    least = {}
+    for g, r in zip(group, rows):
+        key = (r[0] is None, r[0] or 0)
+        least[g] = min(least.get(g, key), key)
+    got = rows_of(cp.near_duplicates(spark, odd, ""))
+    assert len(got) == len(set(group)) and set(got) <= set(rows)
+    of = {r: g for g, r in zip(group, rows)}
+    assert {of[r] for r in got} == set(group) and all((r[0] is None, r[0] or 0) == least[of[r]] for r in got)
+    assert cp.near_duplicates(spark, odd.limit(0), "").count() == 0
+
+
+def test_repeated_passages_stage_with_odd_rows(spark, odd):
+    rows = rows_of(odd)
+    found = plain_dedup([r[:2] for r in rows], 50)
+    expected = collections.Counter((i, kept, *r[2:4]) for (i, n, gone, kept), r in zip(found, rows) if gone == 0 or gone < n)
+    got = rows_of(cp.repeated_passages(spark, odd, ""))
+    assert collections.Counter((i, " ".join(WORD.findall(t or "")), a, b) for i, t, a, b, _ in got) == expected
+    assert all(n == (None if t is None else len(t)) for _, t, _, _, n in got)
+    assert cp.repeated_passages(spark, odd.limit(0), "").count() == 0
+
+
+def test_mixed_stage_with_odd_rows(spark, odd):
+    got = collections.Counter((i, b or "?", a or "?") for i, _, a, b, _ in rows_of(cp.mixed(spark, odd, "")))
+    plain = plain_mix([r[:4] for r in rows_of(odd)], cp.SHARE_PERCENT, mixture.EPOCHS, mixture.SEED, **cp.WEIGHTS)
+    expected = collections.Counter()
+    for (i, src, lang, _), n in plain.items():
+        expected[i, src, lang] += n
+    assert got == +expected
+    assert cp.mixed(spark, odd.limit(0), "").count() == 0
+
+
+def test_encoded_stage_with_odd_rows(spark, odd):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = collections.Counter((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded_sha256) for r in cp.encoded(spark, odd, "").collect())
+    expected = collections.Counter()
+    for i, t, *_ in rows_of(odd):
+        ids = enc.encode_ordinary(t or "")
+        expected[i, len(ids), tuple(ids), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    assert got == expected
+    assert cp.encoded(spark, odd.limit(0), "").count() == 0
+
+
 def test_run_on_the_smallest_tables(spark, sf_dir):
     assert cp.run(spark, sf_dir).where("n_tokens > 0").count() > 100
 
