@@ -519,6 +519,52 @@ def test_language_odd_rows_and_spans(spark):
     assert {r.lang_pred for r in language.identify(docs, empty).collect()} == {"und"}
 
 
+def plain_language(m, text):
+    """The model's language and score of one text: counts of n-grams word by word, then the best path."""
+    mask = (1 << 64) - 1
+    mix = lambda v: int(common.mixed(np.array([v & mask], np.uint64))[0])
+    lower = lambda c: c.lower() if len(c.lower()) == 1 else c
+    words = [x for x in "".join(lower(c) if c.isalpha() else "\0" for c in text or "").split("\0") if x]
+    if not words:
+        return "und", 0.0
+    scores = []
+    for w in words:
+        points = [32, *map(ord, w), 32]
+        features = []
+        for k, n in enumerate(language.GRAMS):
+            for i in range(len(points) - n + 1):
+                h = n
+                for c in points[i : i + n]:
+                    h = mix(h * 31 + c)
+                features.append(h % language.BUCKETS + k * language.BUCKETS)
+        features.append(xxhash.xxh64_intdigest(w.encode("utf-32-le")) % language.BUCKETS + len(language.GRAMS) * language.BUCKETS)
+        script = next((language.SCRIPT_NAMES.index(n) for n, a, b in language.SCRIPTS if a <= ord(w[0]) <= b), 0)
+        scores.append(sum(m.weight[f] for f in features) / len(features) ** 0.5 + m.allowed[script])
+    best, back = scores[0], []
+    for x in scores[1:]:
+        other = best.max() - language.SWITCH
+        back.append([k if best[k] >= other else int(best.argmax()) for k in range(len(best))])
+        best = np.maximum(best, other) + x
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    letters = np.zeros(len(m.languages))
+    for w, k in zip(words, reversed(path)):
+        letters[k] += len(w)
+    return m.languages[int(letters.argmax())], letters.max() / letters.sum()
+
+
+def test_languages_are_those_of_a_plain_search(spark, real):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.train(docs)
+    texts = [t for _, t in real[:50]] + [t or "" for _, t in ODD] + odd_texts(60, seed=5) + ["\U00020000 haus", " ".join(t for _, t in real[:6])]
+    got, score = language.predict(model, pa.array(texts, pa.large_string()))
+    names = [*model.languages, "und"]
+    for t, k, p in zip(texts, got.tolist(), score.tolist()):
+        name, share = plain_language(model, t)
+        assert names[k] == name and abs(p - share) < 1e-9
+
+
 def plain_counts(t):
     w = WORD.findall(t or "")
     windows = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
