@@ -1,14 +1,16 @@
 """IP fragments put together again.
 
 Fragments of one packet share (source, destination, protocol, identification); a packet is
-given up ``timeout`` seconds after its first fragment, and later ones start anew.  Groups
-are one packet's fragments, at most 64 KiB; all of them are dealt by the whole key.
+given up ``timeout`` seconds after its first fragment, and later ones start anew.  As the
+identification recurs, a key's fragments are first cut into runs wherever more than
+``timeout`` seconds lie between two of them, so a group holds no more than what one key
+sends without such a pause, however long the capture is.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ("src_addr", "dst_addr", "ip_proto", "frag_id")
@@ -63,5 +65,10 @@ def reassemble(packets: DataFrame, timeout: float = 30) -> DataFrame:
         return pd.DataFrame(done, columns=columns)
 
     whole = packets.where(~F.coalesce("is_fragment", F.lit(False)))
-    found = packets.where("is_fragment").groupBy(*KEY).applyInPandas(join, packets.schema)
+    # one sort by key and time serves both windows and is read as a stream
+    order = Window.partitionBy(*KEY).orderBy("ts")
+    pause = F.col("ts").cast("timestamp").cast("double") - F.lag(F.col("ts").cast("timestamp").cast("double")).over(order) > timeout
+    runs = packets.where("is_fragment").withColumn("_pause", F.coalesce(pause, F.lit(False)).cast("long"))
+    runs = runs.withColumn("_run", F.sum("_pause").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_pause")
+    found = runs.groupBy(*KEY, "_run").applyInPandas(lambda group: join(group[columns]), packets.schema)
     return whole.unionByName(found).drop("frag_id")

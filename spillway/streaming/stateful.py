@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import pickle
 from collections.abc import Iterator
 
@@ -76,71 +75,61 @@ def stream_reassembly(fragments: DataFrame, timeout_seconds: int = 30) -> DataFr
     return grouped.applyInPandasWithState(step, schema, "buffer binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-_SCANS = "key string, ip_count long, saturated boolean, approx long, seen long, first_seen timestamp, last_seen timestamp"
-#: Registers of a key's sketch, as a power of two.
-_POWER = 14
+_SCANS = "key string, ip_count long, saturated boolean, seen long, first_seen timestamp, last_seen timestamp"
 
 
-def _add(registers: np.ndarray, values: set[int]) -> None:
-    """Each register keeps the longest run of zeros, plus one, of the hashes dealt to it."""
-    h = pd.util.hash_array(np.fromiter(values, np.int64, len(values)))
-    rest = h & np.uint64((1 << 64 - _POWER) - 1)
-    run = 64 - _POWER + 1 - np.array([x.bit_length() for x in rest.tolist()], np.int64)
-    np.maximum.at(registers, (h >> np.uint64(64 - _POWER)).astype(np.int64), run.astype(np.uint8))
-
-
-def _estimate(registers: np.ndarray) -> int:
-    m = len(registers)
-    empty = int((registers == 0).sum())
-    raw = 0.7213 / (1 + 1.079 / m) * m * m / np.ldexp(1.0, -registers.astype(int)).sum()
-    return round(m * math.log(m / empty) if raw <= 2.5 * m and empty else raw)
-
-
-def stream_scans(dns: DataFrame, low: int, high: int, query_threshold: int = 1, prune_interval: int = 600, late: str = "30 seconds") -> DataFrame:
+def stream_scans(dns: DataFrame, low: int, high: int, query_threshold: int = 1, prune_interval: int = 600, keep: int = 86_400, late: str = "30 seconds") -> DataFrame:
     """operators.darknet.scans on an endless stream, in update mode: a key's row each time it is asked beyond the threshold.
 
     A key below the threshold is forgotten 60 seconds after it was first seen if it has one
-    address, else after ``prune_interval`` seconds; a key above it is kept.  The state is at
-    most SATURATED addresses, then a sketch.
+    address, else after ``prune_interval`` seconds; a key above it ``keep`` seconds after it
+    was last seen.  The state of a key is at most SATURATED addresses, and none from there on:
+    how many there are beyond comes from ``scan_sketches``.
     """
 
-    def limit_ms(count: int, first: int) -> int | None:
+    def limit_ms(count: int, first: int, last: int) -> int:
         if count > query_threshold:
-            return None
+            return last // 1_000_000 + 1000 * keep
         return first // 1_000_000 + 1000 * (60 if count == 1 else prune_interval)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        addresses, registers, seen, first, last = set(), None, 0, None, None
+        addresses, full, seen, first, last = set(), False, 0, None, None
         if state.exists:
-            raw, sketch, seen, first, last = state.get
+            raw, full, seen, first, last = state.get
             addresses = set(np.frombuffer(raw, "<i8").tolist())
-            registers = np.frombuffer(sketch, np.uint8).copy() if sketch else None
-            end = None if registers is not None else limit_ms(len(addresses), first)
-            if end is not None and end <= state.getCurrentWatermarkMs():
-                addresses, seen, first, last = set(), 0, None, None
+            if limit_ms(darknet.SATURATED if full else len(addresses), first, last) <= state.getCurrentWatermarkMs():
+                addresses, full, seen, first, last = set(), False, 0, None, None
         for part in parts:
             seen += len(part)
             a, b = part["ts"].min().value, part["ts"].max().value
             first, last = (a, b) if first is None else (min(first, a), max(last, b))
-            fresh = set(part["dst_v4"].tolist())
-            if registers is None:
-                addresses |= fresh
-                if len(addresses) >= darknet.SATURATED:
-                    registers, fresh, addresses = np.zeros(1 << _POWER, np.uint8), addresses, set()
-            if registers is not None:
-                _add(registers, fresh)
-        count = darknet.SATURATED if registers is not None else len(addresses)
-        state.update((np.array(sorted(addresses), "<i8").tobytes(), b"" if registers is None else registers.tobytes(), seen, first, last))
-        end = limit_ms(count, first)
-        if end is not None:
-            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        full = registers is not None
-        out = [(*key, count, full, _estimate(registers) if full else 0, seen, pd.Timestamp(first), pd.Timestamp(last))] if count > query_threshold else []
+            if not full:
+                addresses |= set(part["dst_v4"].tolist())
+                full = len(addresses) >= darknet.SATURATED
+        if full:
+            addresses = set()
+        count = darknet.SATURATED if full else len(addresses)
+        state.update((np.array(sorted(addresses), "<i8").tobytes(), full, seen, first, last))
+        state.setTimeoutTimestamp(max(limit_ms(count, first, last), state.getCurrentWatermarkMs() + 1))
+        out = [(*key, count, full, seen, pd.Timestamp(first), pd.Timestamp(last))] if count > query_threshold else []
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCANS.split(", ")])
 
     q = darknet.scan_queries(dns, low, high).select("key", F.col("dst_v4").cast("long").alias("dst_v4"), F.col("ts").cast("timestamp").alias("ts"))
     q = q.withWatermark("ts", late).groupBy("key")
-    return q.applyInPandasWithState(step, _SCANS, "addresses binary, registers binary, seen long, first long, last long", "update", GroupStateTimeout.EventTimeTimeout)
+    return q.applyInPandasWithState(step, _SCANS, "addresses binary, saturated boolean, seen long, first long, last long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def scan_sketches(dns: DataFrame, low: int, high: int, interval: str = "1 hour") -> DataFrame:
+    """interval_start, key, sketch of the addresses asked: a windowed aggregation, for a stream with a watermark or a batch."""
+    q = darknet.scan_queries(dns, low, high)
+    out = q.groupBy(F.window("ts", interval), "key").agg(F.hll_sketch_agg(F.col("dst_v4").cast("long"), F.lit(14)).alias("sketch"))
+    return out.select(F.col("window.start").alias("interval_start"), "key", "sketch")
+
+
+def with_estimates(scans: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Adds ``approx``, the estimated number of addresses of each saturated key over all of its sketches, else 0."""
+    total = sketches.groupBy("key").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("_n"))
+    return scans.join(total, "key", "left").withColumn("approx", F.when(F.col("saturated"), F.col("_n")).otherwise(0).cast("long")).drop("_n")

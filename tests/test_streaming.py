@@ -1,7 +1,7 @@
 """Streams give the rows of batches."""
 
 from spillway import fixtures as fx
-from spillway.operators import darknet, match, reassembly, traffic
+from spillway.operators import darknet, match, popularity, reassembly, traffic
 from spillway.streaming import stateful, windows
 
 
@@ -52,8 +52,12 @@ def test_scans(spark, sf_dir, tmp_path):
     many = F.when(F.col("seq") % 2 == 0, "all.example.").otherwise(F.col("qname"))
     m = m.withColumns({"ts": m["ts"].cast("timestamp"), "dst_v4": 1000 + F.col("seq"), "qname": many, "ip_type": F.lit(4), "qclass": F.lit(1), "qtype": F.lit(1), "has_edns0": F.lit(True)})
     m.write.parquet(str(tmp_path / "in"))
-    stream = stateful.stream_scans(spark.readStream.schema(m.schema).parquet(str(tmp_path / "in")), 0, 1 << 32, 2)
-    got = {r.key: r for r in collect(spark, stream, tmp_path, "update")}
+    source = spark.readStream.schema(m.schema).parquet(str(tmp_path / "in"))
+    rows = collect(spark, stateful.stream_scans(source, 0, 1 << 32, 2), tmp_path, "update")
+    sketches = collect(spark, windows.on_stream(source, stateful.scan_sketches, 0, 1 << 32, "1 day"), tmp_path / "sketches", "update")
+    found = spark.createDataFrame(rows, stateful._SCANS)
+    held = spark.createDataFrame(sketches, "interval_start timestamp, key string, sketch binary")
+    got = {r.key: r for r in stateful.with_estimates(found, held).collect()}
     batch = {r.key: r for r in darknet.scans(m, 0, 1 << 32, 2).collect()}
     assert got.keys() == batch.keys() and "all.example._00001_00001_1" in got
     for k, r in batch.items():
@@ -72,3 +76,30 @@ def test_scans_forget_what_was_asked_once(spark, tmp_path):
     got = collect(spark, stateful.stream_scans(source, 0, 10), tmp_path, "update")
     # a. was forgotten between its two addresses; b. was above the threshold and stays
     assert [(r.key[0], r.ip_count, r.seen) for r in got] == [("b", 2, 2), ("b", 3, 3)]
+    got = collect(spark, stateful.stream_scans(source, 0, 10, keep=600), tmp_path / "short", "update")
+    assert [(r.key[0], r.ip_count, r.seen) for r in got] == [("b", 2, 2)]
+
+
+def test_every_interval_at_the_end_of_a_stream(spark, sf_dir, tmp_path):
+    m = fx.dns_message_lists(spark, sf_dir)
+    m = m.withColumn("ts", m["ts"].cast("timestamp"))
+    m.orderBy("ts").repartitionByRange(6, "ts").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    for name, operator, args in (("totals", traffic.totals, ("1 day",)), ("feeds", traffic.by_feed, (["feed0"], "1 day")), ("stats", traffic.dns_statistics, ([], "1 day")), ("domain", popularity.domain_count, ("view.example.", "1 day"))):
+        stream = windows.on_stream(source, operator, *args)
+        windows.run_to_end(stream, str(tmp_path / name), str(tmp_path / f"{name}-checkpoint")).awaitTermination(240)
+        keys = ["interval_start", "feed_id"] if name == "feeds" else ["interval_start"]
+        got = windows.last_rows(spark, str(tmp_path / name), keys).select(stream.columns).collect()
+        batch = operator(m, *args).collect()
+        assert sorted(map(str, got)) == sorted(map(str, batch)) and batch, name
+
+
+def test_feeds_and_tables(spark, tmp_path):
+    from spillway.sources import tables
+
+    rows = spark.createDataFrame([(f"f{i % 3}", i) for i in range(30)], "feed_id string, n int")
+    rows.repartition(4).write.parquet(str(tmp_path / "feed"))
+    got = collect(spark, tables.read_feed(spark, str(tmp_path / "feed"), rows.schema, ["f0", "f2"], files_per_trigger=1), tmp_path)
+    assert sorted(r.n for r in got) == [i for i in range(30) if i % 3 != 1]
+    rows.coalesce(1).write.option("header", True).csv(str(tmp_path / "t.csv"))
+    assert tables.load_prefix_table(spark, str(tmp_path / "t.csv"), "feed_id string, n int").count() == tables.load_prefix_table(spark, str(tmp_path / "feed")).count() == 30
