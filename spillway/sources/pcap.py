@@ -1,7 +1,9 @@
 """Capture files as rows: plain or gzip, in folders, or as members of archives.
 
 A capture is not splittable, so a file is one task's; rows leave in batches while it is
-read.  Gzip is told by its first bytes, not by its name.
+read.  Gzip is told by its first bytes, not by its name.  read_pcap takes files through Spark,
+up to 2 GB each; read_large streams files of any size from a file system that pyarrow
+reaches.  capture_report says of each file how many records it gave and how it ended.
 """
 
 from __future__ import annotations
@@ -10,39 +12,64 @@ import gzip
 import io
 import struct
 import tarfile
+import uuid
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Generator, Iterator
+from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .. import schemas
 
 # Magic numbers, fixed values: byte order and fractions of a second.
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
-LARGEST, ROWS = 65_536, 4_096
+LARGEST, ROWS, BUFFER = 65_536, 4_096, 1 << 20
 
 
-def records(content: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(microseconds, captured length, bytes) of each record; empty ones are left out, and an overlong or cut one ends the file."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+def records(content: bytes | BinaryIO) -> Generator[tuple[int, int, bytes], None, str]:
+    """(microseconds, captured length, bytes) of each record; empty ones are left out, and an overlong or cut one ends the file.
+
+    What ended it is the generator's value: 'end', 'no capture', 'cut short', 'overlong record' or 'damaged gzip'.
+    """
+    stream = io.BytesIO(content) if isinstance(content, bytes) else content
+    stream = io.BufferedReader(stream, BUFFER) if isinstance(stream, io.RawIOBase) else stream
+    start = stream.read(2)
+    stream = _Rest(start, stream)
+    if start == b"\x1f\x8b":
+        stream = gzip.GzipFile(fileobj=stream)
     try:
         head = stream.read(24)
         order, divide = MAGIC.get(head[:4], (None, 1))
         if order is None or len(head) < 24:
-            return
+            return "no capture"
         while len(h := stream.read(16)) == 16:
             sec, fraction, size, captured = struct.unpack(order + "4I", h)
             if size > LARGEST:
-                return
+                return "overlong record"
             data = stream.read(size)
             if len(data) < size:
-                return
+                return "cut short"
             if size:
                 yield sec * 1_000_000 + fraction // divide, captured, data
-    except (EOFError, OSError):  # a gzip file cut short
-        return
+        return "cut short" if h else "end"
+    except (EOFError, OSError, zlib.error):
+        return "damaged gzip"
+
+
+class _Rest:
+    """A stream whose first bytes have been looked at."""
+
+    def __init__(self, start: bytes, stream: BinaryIO):
+        self.start, self.stream = start, stream
+
+    def read(self, n: int) -> bytes:
+        head, self.start = self.start[:n], self.start[n:]
+        return head + self.stream.read(n - len(head)) if len(head) < n else head
 
 
 def _members(path: str, content: bytes) -> Iterator[bytes]:
@@ -97,21 +124,174 @@ def stream_pcap(spark: SparkSession, folder: str, files_per_trigger: int = 8, ne
     return _decode(files, False)
 
 
+def capture_report(spark: SparkSession, path: str) -> DataFrame:
+    """feed_id, records, bytes and ending of each file: 'end' where it was read to its end, else what is wrong with it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = size = 0
+                found = records(content)
+                while True:
+                    try:
+                        size += len(next(found)[2])
+                        n += 1
+                    except StopIteration as e:
+                        yield pa.RecordBatch.from_pydict({"feed_id": [name], "records": [n], "bytes": [size], "ending": [e.value]})
+                        break
+
+    return files.mapInArrow(read, "feed_id string, records long, bytes long, ending string")
+
+
 def write_pcap(packets: DataFrame, folder: str) -> None:
-    """One capture file for each partition, microsecond little-endian, through Spark's own committer as (name, bytes) rows."""
+    """One capture for each partition, microsecond little-endian, through Spark's own committer as rows of bytes."""
     packets = packets.select(F.unix_micros("ts").alias("us"), "data")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = io.BytesIO()
-        out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, LARGEST, 1))
+        out.write(HEADER)
         for batch in batches:
             for us, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out.write(struct.pack("<4I", us // 1_000_000, us % 1_000_000, len(data), len(data)) + data)
+                out.write(_record(us, data))
         yield pa.RecordBatch.from_pydict({"content": pa.array([out.getvalue()], pa.binary())})
 
     packets.mapInArrow(pack, "content binary").write.mode("overwrite").parquet(folder)
 
 
+HEADER = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, LARGEST, 1)
+
+
+def _record(us: int, data: bytes) -> bytes:
+    return struct.pack("<4I", us // 1_000_000, us % 1_000_000, len(data), len(data)) + data
+
+
+def _file_system(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file:{path}")
+
+
+@dataclass
+class _File(InputPartition):
+    path: str
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[tuple[str, str]]
+
+
+class Captures(DataSource):
+    """Format 'captures': .pcap files, streamed when read and rotated when written.
+
+    Options: path; for writing ``interval`` in seconds and ``packets``, after which a task
+    begins another file (0: never).  Files are written beside the others under a name that
+    begins with '_' and take their own name when all tasks are done.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "captures"
+
+    def schema(self) -> str:
+        return schemas.PACKETS
+
+    def reader(self, schema) -> DataSourceReader:
+        return _CaptureReader(self.options["path"])
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _CaptureWriter(self.options["path"], int(self.options.get("interval", 0)), int(self.options.get("packets", 0)), uuid.uuid4().hex)
+
+
+class _CaptureReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        system, root = _file_system(self.path)
+        info = system.get_file_info(root)
+        found = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
+        # names only, a task for each file
+        return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and not x.base_name.startswith(("_", "."))]
+
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        system, _ = _file_system(self.path)
+        kind, rows = pa.timestamp("us", "UTC"), []
+        with system.open_input_stream(partition.path, buffer_size=BUFFER, compression=None) as stream:
+            for r in records(stream):
+                rows.append(r)
+                if len(rows) == ROWS:
+                    yield _batch(rows, partition.path, kind)
+                    rows = []
+        if rows:
+            yield _batch(rows, partition.path, kind)
+
+
+class _CaptureWriter(DataSourceArrowWriter):
+    def __init__(self, path: str, interval: int, packets: int, job: str):
+        self.path, self.interval, self.packets, self.job = path, interval, packets, job
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        system, root = _file_system(self.path)
+        held = f"{root}/_{self.job}"
+        system.create_dir(held, recursive=True)
+        files: list[tuple[str, str]] = []
+        out, now, n = None, None, 0
+        try:
+            for batch in iterator:
+                times = batch.column("ts").cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_pylist()
+                for us, data in zip(times, batch.column("data").to_pylist()):
+                    start = us // 1_000_000 // self.interval * self.interval if self.interval else us // 1_000_000 if now is None else now
+                    if out is None or start != now or self.packets and n == self.packets:
+                        if out is not None:
+                            out.close()
+                        now, n = start, 0
+                        name = f"{now:012d}-{context.partitionId():05d}-{len(files):05d}.pcap"
+                        own = f"{held}/{context.taskAttemptId()}-{name}"
+                        files.append((own, f"{root}/{self.job[:8]}-{name}"))
+                        out = system.open_output_stream(own)
+                        out.write(HEADER)
+                    out.write(_record(us, data))
+                    n += 1
+        finally:
+            if out is not None:
+                out.close()
+        return _Written(files)
+
+    def commit(self, messages: list[_Written]) -> None:
+        system, root = _file_system(self.path)
+        for m in messages:
+            for own, final in m.files if m else ():
+                system.move(own, final)
+        self.abort(messages)
+
+    def abort(self, messages: list[_Written]) -> None:
+        from pyarrow import fs
+
+        system, root = _file_system(self.path)
+        if system.get_file_info(f"{root}/_{self.job}").type == fs.FileType.Directory:
+            system.delete_dir(f"{root}/_{self.job}")
+
+
+def read_large(spark: SparkSession, path: str) -> DataFrame:
+    """Packets of capture files of any size, read as a stream."""
+    spark.dataSource.register(Captures)
+    return spark.read.format("captures").option("path", path).load()
+
+
+def write_captures(packets: DataFrame, folder: str, interval: int = 0, per_file: int = 0) -> None:
+    """.pcap files in time order within each file; another one begins with each ``interval`` seconds and after ``per_file`` packets (0: never)."""
+    packets.sparkSession.dataSource.register(Captures)
+    rows = packets.select("ts", "feed_id", "caplen", "data").repartitionByRange("ts").sortWithinPartitions("ts")
+    rows.write.format("captures").option("path", folder).option("interval", interval).option("packets", per_file).mode("append").save()
+
+
 def read_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Packets of captures written by write_pcap."""
     files = spark.read.schema("content binary").parquet(folder)

@@ -174,6 +174,31 @@ def test_capture_files_and_archives(spark, tmp_path):
     assert sorted(map(str, pcap.read_packed(spark, str(tmp_path / "out")).select("ts", "data").collect())) == sorted(map(str, again.select("ts", "data").collect()))
 
 
+def test_capture_files_of_any_size_and_rotation(spark, tmp_path):
+    rows = [(T0 + dt.timedelta(seconds=i), "f", 20 + i % 5, bytearray(bytes([i % 251]) * (20 + i % 5))) for i in range(300)]
+    p = spark.createDataFrame(rows, schemas.PACKETS)
+    pcap.write_captures(p, str(tmp_path / "out"), interval=60, per_file=25)
+    files = sorted(x.name for x in (tmp_path / "out").iterdir())
+    assert all(x.endswith(".pcap") for x in files) and len(files) >= 12
+    for x in files:
+        held = list(pcap.records((tmp_path / "out" / x).read_bytes()))
+        assert 0 < len(held) <= 25 and len({us // 60_000_000 for us, *_ in held}) == 1 and held == sorted(held)
+    want = sorted((r.ts, bytes(r.data)) for r in p.collect())
+    for back in (pcap.read_large(spark, str(tmp_path / "out")), pcap.read_pcap(spark, str(tmp_path / "out"))):
+        assert sorted((r.ts, bytes(r.data)) for r in back.collect()) == want
+    (tmp_path / "out/z.pcap").write_bytes(gzip.compress(capture([b"gz" * 8])))
+    assert pcap.read_large(spark, str(tmp_path / "out")).count() == 301 and pcap.read_large(spark, str(tmp_path / "out/z.pcap")).count() == 1
+
+
+def test_capture_report(spark, tmp_path):
+    whole = capture([b"one", b"two"])
+    cases = {"a": whole, "b": whole[:-1], "c": b"nothing of the kind" * 3, "d": gzip.compress(whole)[:-12], "e": capture([b"x" * 70_000]), "f": whole + b"\0" * 5, "g": gzip.compress(whole)}
+    for name, content in cases.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.feed_id[-1]: (r.records, r.ending) for r in pcap.capture_report(spark, str(tmp_path)).collect()}
+    assert got == {"a": (2, "end"), "b": (1, "cut short"), "c": (0, "no capture"), "d": (got["d"][0], "damaged gzip"), "e": (0, "overlong record"), "f": (2, "cut short"), "g": (2, "end")}
+
+
 def fragments(payload, cuts, id=5, six=False):
     out = []
     for a, b in zip([0, *cuts], [*cuts, len(payload)]):
