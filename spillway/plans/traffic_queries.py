@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from .. import sinks
 from ..functions import net
 from ..operators import filters, popularity, resolver, traffic, unique
 from .sql import DAY, HOUR, codes_sql, query
@@ -449,3 +450,90 @@ def filtered_queries(spark, d):
     m = filters.usable(filters.queries(fx.dns_messages(spark, d)))
     m = filters.with_client_subnet(filters.under_domains(filters.udp_ipv4(filters.to_addresses(m, ["192.0.2.53"])), ["CLICK.example."]))
     return filters.by_predicate(filters.by_ports(m, 0, 53), "true").where(~net.is_dnssec("qtype")).select("seq", "ts", "ip_src", "qname")
+
+
+# --- report lines -----------------------------------------------------------
+
+@query(
+    f"""{_stats_sql(False)} SELECT concat_ws(' ', 'qtype_ctr_A:' || type_A, 'qtype_ctr_DLV:' || type_DLV, 'rtype_ctr_RRSIG:' || answer_type_RRSIG, 'edns0_ctr_EDNS0_512_TO_999:' || edns_size_from_512, 'EDNS0_TOTAL:' || edns_present,
+  'EDNS0_PCT_GT_4500:' || CASE WHEN edns_present = 0 THEN 0 ELSE edns_size_from_4500 * 100 // edns_present END, 'QUERY_TOTAL:' || queries, 'RSIZE_3584_TO_4095:' || response_size_from_3584, 'RCODE_NODATA:' || rcode_NODATA, 'RFLAGS_TC:' || responses_truncated) AS value FROM s""",
+    "m",
+)
+def log_key_values(spark, d):
+    """Ten of the keys of each line; the test of the names counts them all."""
+    stats = traffic.with_percentages(traffic.dns_statistics(fx.dns_message_lists(spark, d), [], "1 day"))
+    some = ("type_A", "type_DLV", "answer_type_RRSIG", "edns_size_from_512", "edns_present", "pct_edns_size_from_4500", "queries", "response_size_from_3584", "rcode_NODATA", "responses_truncated")
+    return sinks.key_value_lines(stats, keys={c: k for c, k in sinks.row_keys().items() if c in some})
+
+
+@query(
+    f"""{_stats_sql(True)}, l AS (SELECT unnest(['qtype.ctr.MX ' || type_MX, 'rfrag.ctr.v6.frag ' || responses_fragmented_v6, 'rfrag.pct.v4.frag ' || printf('%.2f', CASE WHEN responses_sized_v4 = 0 THEN 0 ELSE round(100 * responses_fragmented_v4 / responses_sized_v4, 2) END),
+  'notify.req.ctr ' || notify, 'rcode.ctr.REFERRAL ' || rcode_REFERRAL]) AS v FROM s) SELECT 'host ' || v AS value FROM l""",
+    "m",
+)
+def log_host_key_values(spark, d):
+    some = ("type_MX", "responses_fragmented_v6", "pct_fragmented_v4", "notify", "rcode_REFERRAL")
+    return sinks.key_value_lines(traffic.rates_by_version(fx.dns_message_lists(spark, d), [], "1 day"), "host", {c: k for c, k in sinks.item_keys().items() if c in some})
+
+
+@query(
+    f"""WITH c AS (SELECT {DAY} AS interval_start, qname AS key, count(*) AS n FROM q WHERE {_USABLE} GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY interval_start ORDER BY n DESC, key) AS rank, sum(n) OVER (PARTITION BY interval_start) AS t FROM c)
+SELECT interval_start, 'qname' AS kind, CAST(rank AS INTEGER) AS rank, printf('%d - %s %d (%.2f%%)', rank, key, n, round(100 * n / t, 2)) AS value FROM r WHERE rank <= 5""".replace("r AS", "top AS").replace("FROM r ", "FROM top "),
+    "q",
+)
+def log_top_names(spark, d):
+    q = popularity.query_popularity(fx.dns_queries(spark, d), "1 day", None, 0, 0, 0, 0, 5, 0)
+    return sinks.top_lines(q)
+
+
+@query(
+    f"""WITH {_PFX}, a AS (SELECT {DAY} AS interval_start, count(*) AS queries, count(DISTINCT qname) AS names FROM q WHERE {_USABLE} GROUP BY 1),
+b AS (SELECT {DAY} AS interval_start, count(DISTINCT prefix || ':' || qname) AS prefix_names FROM p GROUP BY 1),
+c AS (SELECT {DAY} AS interval_start, count(DISTINCT s) AS suffixes FROM (SELECT ts, unnest([qname, substr(qname, strpos(qname, '.') + 1), 'example.']) AS s FROM q WHERE {_USABLE}) GROUP BY 1),
+t AS (SELECT * FROM a JOIN b USING (interval_start) JOIN c USING (interval_start))
+SELECT interval_start, 0 AS place, 'Global count: ' || names AS value FROM t UNION ALL SELECT interval_start, 1, 'Global composite count: ' || prefix_names FROM t UNION ALL SELECT interval_start, 2, 'Global label count: ' || suffixes FROM t
+UNION ALL SELECT interval_start, 3, 'Global query count: ' || queries FROM t UNION ALL SELECT interval_start, 4, '' FROM t UNION ALL SELECT interval_start, 5, 'prefix,uniqcount' FROM t
+UNION ALL SELECT {DAY}, 6, prefix || ',' || count(DISTINCT qname) FROM p GROUP BY {DAY}, prefix""",
+    "q",
+)
+def log_prefix_counts(spark, d):
+    q = fx.dns_queries(spark, d)
+    return sinks.prefix_lines(unique.names_by_prefix(q, None, "1 day", exact=True), unique.global_names(q, None, "1 day", exact=True))
+
+
+@query(
+    """WITH c AS (SELECT CAST(time_bucket(INTERVAL 1 day, ts) AS TIMESTAMP) AS i, * FROM q WHERE ip_dst <> '192.0.2.54')
+SELECT strftime(i, '%Y-%m-%d %H:%M:%S') || ';' || CAST(epoch(i) AS BIGINT) || ';' || count(DISTINCT ip_src) || ';' || count(*) || ';' || count(DISTINCT CASE WHEN ip_type = 4 THEN ip_src END) || ';' || count_if(ip_type = 4) || ';'
+  || count(DISTINCT CASE WHEN ip_type = 6 THEN ip_src END) || ';' || count_if(ip_type = 6) AS value FROM c GROUP BY i""",
+    "q",
+)
+def log_unique_clients(spark, d):
+    return sinks.unique_clients_line(unique.unique_clients(fx.dns_messages(spark, d), RESOLVERS).where("period = 'day'"))
+
+
+@query(
+    f"""WITH {_FLAGS}, g AS (SELECT *, rrsig_answer + rrsig_authority + rrsig_additional AS n FROM f),
+s AS (SELECT {DAY} AS interval_start, sum(rrsig_answer)::BIGINT AS a, sum(rrsig_authority)::BIGINT AS b, sum(rrsig_additional)::BIGINT AS c, coalesce(sum(CASE WHEN aa THEN n END), 0)::BIGINT AS d, count_if(n > 0) AS e, count_if(n > 0 AND tc) AS h FROM g GROUP BY 1),
+x AS (SELECT {DAY} AS interval_start, count_if(NOT qr) AS qi, count_if(qr) AS ro FROM m WHERE is_valid AND CASE WHEN qr THEN ip_src ELSE ip_dst END IN ('192.0.2.53', '2001:db8:ffff::53') GROUP BY 1)
+SELECT interval_start, 0 AS place, concat_ws(chr(9), printf('%.3f', epoch(interval_start)), qi, 0, 0, ro, 0, coalesce(e, 0), 0, 0, coalesce(h, 0), coalesce(a + b + c, 0), coalesce(a, 0), coalesce(b, 0), coalesce(c, 0), coalesce(d, 0), CASE WHEN qi > 0 THEN '100.00' ELSE '0.00' END) AS value
+FROM x LEFT JOIN s USING (interval_start)""",
+    "m", "rr",
+)
+def log_resolver(spark, d):
+    counters = resolver.resolver_counters(fx.dns_messages(spark, d), RESOLVERS, None, "1 day")
+    return sinks.resolver_lines(counters, resolver.signature_totals(resolver.message_flags(fx.dns_records(spark, d)), "1 day"))
+
+
+_SIDE = "concat_ws(chr(9), " + ", ".join(f"coalesce(sum(CASE WHEN {{0}} = '{x}' THEN 1 END), 0)::BIGINT" for x in ("NOERROR", "NODATA", "REFERRAL", "FORMERR", "SERVFAIL", "NXDOMAIN", "NOTIMPL", "REFUSED")) + ")"
+
+
+@query(
+    f"""WITH {_FLAGS}, o AS (SELECT {DAY} AS interval_start, CASE WHEN rcode = 0 AND ans_count = 0 AND has_soa THEN 'NODATA' WHEN rcode = 0 AND ans_count = 0 AND has_ns THEN 'REFERRAL' ELSE {_RC} END AS a,
+  CASE WHEN rcode = 0 AND ans_count = 0 AND ns_first THEN 'REFERRAL' WHEN rcode = 0 AND ans_count = 0 AND has_soa THEN 'NODATA' ELSE {_RC} END AS b FROM f)
+SELECT interval_start, 0 AS place, {_SIDE.format('a')} || chr(9) || chr(9) || {_SIDE.format('b')} AS value FROM o GROUP BY 1""",
+    "rr",
+)
+def log_outcomes(spark, d):
+    f = resolver.message_flags(fx.dns_records(spark, d))
+    return sinks.outcome_lines(resolver.outcomes(f, "resolver", "1 day"), resolver.outcomes(f, "client", "1 day"))

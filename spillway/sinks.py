@@ -193,13 +193,125 @@ def line_protocol(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.concat(F.col("metric"), F.lit(",host="), F.col("host"), F.lit(" value="), F.col("value").cast("string"), F.lit(" "), ns.cast("string")).alias("value"))
 
 
-def key_value_lines(stats: DataFrame, host: str | None = None) -> DataFrame:
-    """'key:value' pairs of each wide row in one line, or 'host key value' lines if a host is given."""
-    at = stats.columns[0]
+def _ranges(bounds: tuple[int, ...], below: str, between: str, above: str) -> list[str]:
+    """Names of size classes: below the first bound, between neighbours, from the last one on."""
+    return [below.format(bounds[0]), *(between.format(a, b - 1) for a, b in zip(bounds, bounds[1:])), above.format(bounds[-1])]
+
+
+def row_keys() -> dict[str, str]:
+    """Key of each column of with_percentages(dns_statistics) in key:value lines; names are fixed, by their rule."""
+    from .operators.traffic import EDNS_SIZES, RESPONSE_SIZES, ROW_TYPES
+
+    keys = {}
+    for side, name in (("", "q"), ("answer_", "r")):
+        for what, codes in (("class", net.QCLASSES), ("type", ROW_TYPES)):
+            keys |= {f"{side}{what}_{x}": f"{name}{what}_ctr_{x}" for x in ("UNSPECIFIED", *codes.values(), "UNKNOWN")}
+    keys |= {"queries_v4": "iptype_ctr_V4", "queries_v6": "iptype_ctr_V6", "queries_tcp": "proto_ctr_TCP", "queries_udp": "proto_ctr_UDP", "edns_absent": "edns0_ctr_EDNS0_NO"}
+    edns = [f"edns_size_below_{EDNS_SIZES[0]}", *(f"edns_size_from_{x}" for x in EDNS_SIZES)]
+    keys |= dict(zip(edns, ("edns0_ctr_EDNS0_" + x for x in _ranges(EDNS_SIZES, "BELOW_{}", "{}_TO_{}", "ABOVE_{}"))))
+    states = {"do": "DO_SET", "no_do": "DO_UNSET", "no_subnet": "WO_ECS", "subnet": "W_ECS"}
+    keys |= {f"edns_{k}": f"edns0_ctr_EDNS0_{v}" for k, v in states.items()} | {"edns_experimental": "edns0_ctr_EDNS0_EXP_OPT", "edns_present": "EDNS0_TOTAL"}
+    keys |= {"pct_edns_on": "EDNS0_PCT_ON", "pct_edns_off": "EDNS0_PCT_OFF"} | dict(zip((f"pct_{x}" for x in edns), ("EDNS0_PCT_" + x for x in _ranges(EDNS_SIZES, "LT_{}", "{}_{}", "GT_{}"))))
+    keys |= {f"pct_edns_{k}": f"EDNS0_PCT_{v}" for k, v in states.items()} | {"queries": "QUERY_TOTAL"}
+    sizes = [f"response_size_below_{RESPONSE_SIZES[0]}", *(f"response_size_from_{x}" for x in RESPONSE_SIZES)]
+    keys |= dict(zip(sizes, ("RSIZE_" + x for x in _ranges(RESPONSE_SIZES, "BELOW_{}", "{}_TO_{}", "ABOVE_{}")))) | {"response_bytes": "RSIZE_TOTAL", "responses_sized": "RSIZE_COUNTED"}
+    keys |= {f"rcode_{x}": f"RCODE_{x}" for x in ("NOERROR", "NODATA", *list(net.RCODES.values())[1:], "UNKNOWN")}
+    keys |= {"responses_fragmented": "R_FRAG", "responses_whole": "R_UNFRAG", "pct_fragmented": "R_FRAG_PCT", "pct_whole": "R_UNFRAG_PCT", "responses": "R_FRAG_UNFRAG_TOTAL"}
+    keys |= dict(zip((f"pct_{x}" for x in sizes), ("RSIZE_PCT_" + x for x in _ranges(RESPONSE_SIZES, "LT_{}", "{}_{}", "GT_{}"))))
+    return keys | {"response_mean_size": "RSIZE_AVERAGE", "responses_truncated": "RFLAGS_TC"}
+
+
+def item_keys() -> dict[str, str]:
+    """Key of each column of rates_by_version in host-key-value lines; names are fixed, by their rule."""
+    from .operators.traffic import EDNS_SIZES, RESPONSE_SIZES, ROW_TYPES
+
+    keys = {}
+    for side, name in (("", "q"), ("answer_", "r")):
+        for what, codes in (("class", net.QCLASSES), ("type", ROW_TYPES)):
+            keys |= {f"{side}{what}_{x}": f"{name}{what}.ctr.{x}" for x in ("UNSPECIFIED", *codes.values(), "UNKNOWN")}
+    keys |= {"queries_v4": "iptype.ctr.V4", "queries_v6": "iptype.ctr.V6", "queries_tcp": "proto.ctr.TCP", "queries_udp": "proto.ctr.UDP", "edns_absent": "edns0.ctr.NO", "edns_experimental": "edns0.ctr.exp_opt", "edns_present": "edns0.ctr.total"}
+    keys |= {"pct_edns_on": "edns0.pct.on", "pct_edns_off": "edns0.pct.off", "queries": "query.ctr.total"}
+    states = {"do": "do_set", "no_do": "do_unset", "no_subnet": "wo_ecs", "subnet": "w_ecs"}
+    for column, name, bounds in (("edns_size", "edns0", EDNS_SIZES), ("response_size", "rsize", RESPONSE_SIZES)):
+        columns = [f"{column}_below_{bounds[0]}", *(f"{column}_from_{x}" for x in bounds)]
+        for prefix, kind in (("", "ctr"), ("pct_", "pct")):
+            keys |= dict(zip((prefix + c for c in columns), (f"{name}.{kind}.{x}" for x in _ranges(bounds, "below{}", "{}to{}", "above{}"))))
+    for prefix, kind in (("", "ctr"), ("pct_", "pct")):
+        keys |= {f"{prefix}edns_{k}": f"edns0.{kind}.{v}" for k, v in states.items()}
+    keys |= {f"rcode_{x}": f"rcode.ctr.{x}" for x in ("NOERROR", "NODATA", "REFERRAL", *list(net.RCODES.values())[1:], "UNKNOWN")}
+    keys |= {"responses_fragmented": "rfrag.ctr.frag", "responses_whole": "rfrag.ctr.unfrag", "responses_fragmented_v4": "rfrag.ctr.v4.frag", "responses_fragmented_v6": "rfrag.ctr.v6.frag", "responses": "rfrag.ctr.total"}
+    keys |= {"pct_fragmented": "rfrag.pct.frag", "pct_whole": "rfrag.pct.unfrag", "pct_fragmented_v4": "rfrag.pct.v4.frag", "pct_fragmented_v6": "rfrag.pct.v6.frag"}
+    keys |= {"response_bytes": "rsize.ctr.total", "responses_sized": "rsize.ctr.counted", "response_mean_size": "rsize.avg", "responses_truncated": "rflags.ctr.tc", "notify": "notify.req.ctr", "notify_answers": "notify.ans.ctr"}
+    # one class is named by a rounded bound
+    return {k: "rsize.ctr.512to1024" if v == "rsize.ctr.512to1023" else v for k, v in keys.items()}
+
+
+def _named(stats: DataFrame, keys: dict[str, str] | None) -> dict[str, str]:
+    return {c: c for c in stats.columns[1:]} if keys is None else {c: k for c, k in keys.items() if c in stats.columns}
+
+
+def key_value_lines(stats: DataFrame, host: str | None = None, keys: dict[str, str] | None = None) -> DataFrame:
+    """'key:value' pairs of each wide row in one line, or 'host key value' lines if a host is given.
+
+    Keys are the columns behind the first one, or those that ``keys`` names, in its order
+    (``row_keys``, ``item_keys``).  Counts are written as whole numbers, others with two decimals.
+    """
+    at, named = stats.columns[0], _named(stats, keys)
+    kinds = dict(stats.dtypes)
+    text = lambda c: F.format_string("%.2f", F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string")
     if host is None:
-        return stats.select(F.concat_ws(" ", *(F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in stats.columns[1:])).alias("value"))
-    long = stats.select(at, *(F.col(c).cast("double").alias(c) for c in stats.columns[1:])).unpivot([at], None, "metric", "n")
-    return long.select(F.concat_ws(" ", F.lit(host), "metric", F.col("n").cast("string")).alias("value"))
+        return stats.select(F.concat_ws(" ", *(F.concat(F.lit(f"{k}:"), text(c)) for c, k in named.items())).alias("value"))
+    long = stats.select(at, *(text(c).alias(k) for c, k in named.items())).unpivot([at], None, "metric", "n")
+    return long.select(F.concat_ws(" ", F.lit(host), "metric", "n").alias("value"))
+
+
+def tab_lines(table: DataFrame, columns: dict[str, str], number: str = "place") -> DataFrame:
+    """interval_start, place and value: the columns tab-separated, each with its format; place is the row's own column of that name."""
+    cells = [F.format_string(form, F.col(c)) for c, form in columns.items()]
+    return table.select("interval_start", F.col(number).cast("int").alias("place"), F.concat_ws("\t", *cells).alias("value"))
+
+
+def resolver_lines(counters: DataFrame, signatures: DataFrame) -> DataFrame:
+    """interval_start, place, value of resolver_counters and signature_totals, in the order time, queries in and out, responses in and out, authoritative and signed responses, fragments, truncated and truncated signed responses, signatures in all, by section and of authoritative messages, cache hit ratio."""
+    both = counters.join(signatures, "interval_start", "left").withColumn("rrsig_all", F.col("rrsig_answer") + F.col("rrsig_authority") + F.col("rrsig_additional"))
+    order = (
+        "queries_in", "queries_out", "responses_in", "responses_out", "authoritative_in", "signed_responses", "fragments_in", "truncated_in", "signed_truncated", "rrsig_all", "rrsig_answer", "rrsig_authority", "rrsig_additional", "rrsig_authoritative"
+    )
+    both = both.select("interval_start", F.lit(0).alias("place"), (_micros("interval_start") / 1_000_000).alias("time"), *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in order), F.coalesce("cache_hit_ratio", F.lit(0.0)).alias("ratio"))
+    return tab_lines(both, {"time": "%.3f"} | dict.fromkeys(order, "%d") | {"ratio": "%.2f"})
+
+
+def name_lines(ranked: DataFrame) -> DataFrame:
+    """interval_start, place, value: rank, count and name."""
+    return tab_lines(ranked, {"rank": "%d", "n": "%d", "key": "%s"}, "rank")
+
+
+def ttl_lines(distribution: DataFrame) -> DataFrame:
+    """interval_start, place, value: time to live, count and share so far, with ten decimals."""
+    return tab_lines(distribution, {"ttl": "%d", "n": "%d", "cdf": "%.10f"}, "ttl")
+
+
+def signature_lines(histogram: DataFrame) -> DataFrame:
+    return tab_lines(histogram, {"signatures": "%d", "responses": "%d"}, "signatures")
+
+
+def outcome_lines(servers: DataFrame, clients: DataFrame) -> DataFrame:
+    """interval_start, place, value: counts of outcomes of servers' responses, an empty cell, and those of responses to clients."""
+    labels = ("NOERROR", "NODATA", "REFERRAL", *list(net.RCODES.values())[1:])
+    both = servers.select("interval_start", F.lit("s").alias("side"), "label", "n").unionByName(clients.select("interval_start", F.lit("c").alias("side"), "label", "n"))
+    cells = [F.coalesce(F.sum(F.when((F.col("side") == side) & (F.col("label") == x), F.col("n"))), F.lit(0)).cast("string").alias(f"{side}_{x}") for side in "sc" for x in labels]
+    wide = both.groupBy("interval_start").agg(*cells)
+    sides = [F.concat_ws("\t", *(F.col(f"{side}_{x}") for x in labels)) for side in "sc"]
+    return wide.select("interval_start", F.lit(0).alias("place"), F.concat_ws("\t\t", *sides).alias("value"))
+
+
+def prefix_lines(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """interval_start, place, value: four totals of global_names, an empty line, a header, and prefix,count lines of names_by_prefix."""
+    labels = (("Global count: ", "names"), ("Global composite count: ", "prefix_names"), ("Global label count: ", "suffixes"), ("Global query count: ", "queries"))
+    head = [F.struct(F.lit(i).alias("place"), F.concat(F.lit(text), F.col(c).cast("string")).alias("value")) for i, (text, c) in enumerate(labels)]
+    head += [F.struct(F.lit(4).alias("place"), F.lit("").alias("value")), F.struct(F.lit(5).alias("place"), F.lit("prefix,uniqcount").alias("value"))]
+    top = totals.select("interval_start", F.explode(F.array(*head)).alias("e")).select("interval_start", "e.place", "e.value")
+    return top.unionByName(counts.select("interval_start", F.lit(6).alias("place"), F.concat_ws(",", "prefix", F.col("names").cast("string")).alias("value")))
 
 
 def top_lines(ranked: DataFrame) -> DataFrame:

@@ -90,7 +90,10 @@ def test_filters(spark):
 def test_lines(spark):
     stats = spark.createDataFrame([("t", 1, 2)], "at string, a long, b long")
     assert [r.value for r in sinks.key_value_lines(stats).collect()] == ["a:1 b:2"]
-    assert sorted(r.value for r in sinks.key_value_lines(stats, "h").collect()) == ["h a 1.0", "h b 2.0"]
+    assert sorted(r.value for r in sinks.key_value_lines(stats, "h").collect()) == ["h a 1", "h b 2"]
+    rates = spark.createDataFrame([("t", 1, 2.5)], "at string, a long, b double")
+    assert [r.value for r in sinks.key_value_lines(rates, keys={"b": "x.b", "a": "x.a", "none": "y"}).collect()] == ["x.b:2.50 x.a:1"]
+    assert len(sinks.row_keys()) == len(set(sinks.row_keys().values())) == 167 and len(set(sinks.item_keys().values())) == len(sinks.item_keys())
     big = traffic.buckets(F.col("n"), (10, 20), "x", F.lit(True))
     row = spark.createDataFrame([(5,), (10,), (19,), (20,)], "n int").agg(*big).first()
     assert (row.x_below_10, row.x_from_10, row.x_from_20) == (1, 2, 1)
