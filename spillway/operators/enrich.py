@@ -1,8 +1,11 @@
 """Descriptions, autonomous systems and countries of addresses.
 
-Addresses are longs (IPv4) or 16 bytes (IPv6); both compare in numeric order.  Tables of
-ranges are cut into bins of the first 16 bits, so a lookup is an equi-join on the bin with
-the range test in it, over distinct addresses only; the result joins back by address.
+Addresses are longs (IPv4) or 16 bytes (IPv6); both compare in numeric order.  Ranges are
+cut into bins by the bits of their first address that all of their addresses share: a range
+has one bin, under the number of those bits (rounded down to a byte), and an address looks
+into the bin of each number of bits that the table has.  So a lookup is an equi-join with
+the range test in it, over distinct addresses only, and how closely ranges lie together does
+not matter; the result joins back by address.
 """
 
 from __future__ import annotations
@@ -14,21 +17,40 @@ from pyspark.sql import functions as F
 CASES, SMALL = 64, 100_000
 
 
-def _bin(c: Column, binary: bool) -> Column:
-    return (F.conv(F.hex(F.substring(c, 1, 2)), 16, 10) if binary else F.shiftright(c, 16)).cast("int")
+def _hexed(c: Column, binary: bool) -> Column:
+    """The address as hex digits: 8 or 32."""
+    return F.hex(c) if binary else F.lpad(F.hex(c), 8, "0")
+
+
+def _shared_digits(low: Column, high: Column, digits: int) -> Column:
+    """How many hex digits at the front two addresses share, in steps of two."""
+    found = F.lit(0)
+    for n in range(2, digits + 1, 2):
+        found = F.when(F.substring(low, 1, n) == F.substring(high, 1, n), n).otherwise(found)
+    return found
 
 
 def _covering(df: DataFrame, address: str, ranges: DataFrame, low: str, high: str) -> DataFrame:
     """Distinct addresses with each range that covers them, as (address, all columns of ranges)."""
     binary = df.schema[address].dataType.simpleString() == "binary"
+    digits = 32 if binary else 8
     one = df.select(F.col(address).alias("_addr")).where("_addr is not null").distinct()
-    one = one.withColumn("_bin", _bin(F.col("_addr"), binary))
-    binned = ranges.withColumn("_bin", F.explode(F.sequence(_bin(F.col(low), binary), _bin(F.col(high), binary))))
-    return one.join(binned, (one["_bin"] == binned["_bin"]) & F.col("_addr").between(F.col(low), F.col(high)))
+    first, last = _hexed(F.col(low), binary), _hexed(F.col(high), binary)
+    binned = ranges.withColumn("_digits", _shared_digits(first, last, digits)).withColumn("_bin", F.expr("substring({0}, 1, _digits)".format(f"hex(`{low}`)" if binary else f"lpad(hex(`{low}`), 8, '0')")))
+    # at most 17 different numbers, so an address becomes at most so many rows
+    lengths = [r[0] for r in binned.select("_digits").distinct().collect()]
+    bins = F.explode(F.array(*(F.struct(F.lit(n).alias("_n"), F.substring(_hexed(F.col("_addr"), binary), 1, n).alias("_b")) for n in lengths))) if lengths else F.explode(F.array().cast("array<struct<_n:int,_b:string>>"))
+    asked = one.select("_addr", bins.alias("_e")).select("_addr", "_e._n", "_e._b")
+    met = asked.join(binned, (F.col("_n") == F.col("_digits")) & (F.col("_b") == F.col("_bin")) & F.col("_addr").between(F.col(low), F.col(high)))
+    return met.drop("_n", "_b", "_digits", "_bin")
 
 
 def _back(df: DataFrame, address: str, found: DataFrame) -> DataFrame:
-    return df.join(found.withColumnRenamed("_addr", "_found"), F.col(address) == F.col("_found"), "left").drop("_found")
+    """Rows with what was found for their address; rows without one are not dealt by it."""
+    found = found.withColumnRenamed("_addr", "_found")
+    asked = df.where(F.col(address).isNotNull()).join(found, F.col(address) == F.col("_found"), "left").drop("_found")
+    rest = df.where(F.col(address).isNull())
+    return asked.unionByName(rest, allowMissingColumns=True)
 
 
 def cidr_match(df: DataFrame, address: str, blocks: DataFrame, column: str = "cidr_desc", normalize: bool = False) -> DataFrame:

@@ -169,31 +169,11 @@ def log_denat(spark, d):
     return sinks.denat_log(fx.dns_messages(spark, d))
 
 
-_BITS, _HASHES = 4096, 4
-_SPOTS = f"""spots AS (SELECT *, (CAST('0x' || substr(md5(item), 1, 12) AS BIGINT) + CAST('0x' || substr(md5(item), 13, 12) AS BIGINT) * i) % {_BITS} AS pos
-  FROM (SELECT {DAY} AS interval_start, concat_ws(' ', ip_src, qname, CAST(qtype AS VARCHAR)) AS item, seq FROM q) AS x, unnest(range({_HASHES})) AS t(i))"""
-
-
 def _items(q):
     item = F.concat_ws(" ", "ip_src", "qname", F.col("qtype").cast("string"))
     return q.select(net.interval_start("ts", "1 day").alias("interval_start"), item.alias("item"), "seq")
 
 
-@query(f"WITH {_SPOTS} SELECT interval_start, pos // 32 AS word, bit_or(1::BIGINT << (pos % 32)) AS bits FROM spots WHERE seq % 9 = 0 GROUP BY ALL", "q")
-def membership_filters(spark, d):
-    return membership.build(_items(filters.by_predicate(fx.dns_queries(spark, d), "seq % 9 = 0")), _BITS, _HASHES)
-
-
-@query(
-    f"""WITH {_SPOTS}, held AS (SELECT DISTINCT interval_start, pos FROM spots WHERE seq % 9 = 0)
-SELECT interval_start, item, bool_and(held.pos IS NOT NULL) AS found FROM spots LEFT JOIN held USING (interval_start, pos) GROUP BY ALL""",
-    "q",
-)
-def membership_found(spark, d):
-    items = _items(fx.dns_queries(spark, d))
-    return membership.contains(membership.build(items.where("seq % 9 = 0"), _BITS, _HASHES), items, _BITS, _HASHES)
-
-
 _ALL_SPOTS = f"""spots AS (SELECT *, (CAST('0x' || substr(md5(item), 1, 12) AS BIGINT) + CAST('0x' || substr(md5(item), 13, 12) AS BIGINT) * i) % {membership.BITS} AS pos
   FROM items, unnest(range({membership.HASHES})) AS t(i))"""
 _ASKED = f"SELECT {DAY} AS interval_start, concat_ws(' ', ip_src, qname, CAST(qtype AS VARCHAR)) AS item, true AS asked FROM q"
@@ -216,3 +196,26 @@ def membership_all_found(spark, d):
     items = _items(fx.dns_queries(spark, d))
     r = fx.dns_responses(spark, d).withColumn("ip_src", F.col("ip_dst")).withColumn("qname", F.concat(F.lit("never."), "qname"))
     return membership.contains(membership.build(items), items.unionByName(_items(r)))
+
+
+@query(f"WITH items AS ({_ASKED}), {_ALL_SPOTS} SELECT interval_start, pos // 32 AS word, bit_or(1::BIGINT << (pos % 32)) AS bits FROM spots GROUP BY ALL", "q")
+def membership_filters(spark, d):
+    """Each day's filter, from filters of its hours."""
+    q = fx.dns_queries(spark, d)
+    hourly = _items(q).drop("interval_start").join(q.select("seq", net.interval_start("ts", "1 hour").alias("interval_start")), "seq")
+    return membership.merge(membership.build(hourly.select("interval_start", "item")), "1 day")
+
+
+_ANSWERED = f"SELECT {DAY} AS interval_start, concat_ws(' ', ip_dst, qname, CAST(qtype AS VARCHAR)) AS item, true AS asked FROM r"
+_QUERIED = f"SELECT {DAY} AS interval_start, concat_ws(' ', ip_src, qname, CAST(qtype AS VARCHAR)) AS item, false AS asked FROM q"
+
+
+@query(
+    f"""WITH items AS (SELECT DISTINCT * FROM ({_ANSWERED} UNION ALL {_QUERIED})), {_ALL_SPOTS}, held AS (SELECT DISTINCT interval_start, pos FROM spots WHERE asked)
+SELECT interval_start, item, bool_and(held.pos IS NOT NULL) AS found FROM spots LEFT JOIN held USING (interval_start, pos) WHERE NOT asked GROUP BY ALL""",
+    "q", "r",
+)
+def membership_found(spark, d):
+    """Which queries of a day were answered that day, by the responses' filter."""
+    r = fx.dns_responses(spark, d).withColumn("ip_src", F.col("ip_dst"))
+    return membership.contains(membership.build(_items(r)), _items(fx.dns_queries(spark, d)))
