@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from .. import sinks
 from ..functions import net
-from ..operators import decode, enrich, filters, popularity, reassembly, traffic
+from ..operators import darknet, decode, enrich, filters, popularity, reassembly, traffic
+from ..sources import pcap, tables
 from .sql import DAY, query
 
 _PACKETS = "ip_type = 4 AND NOT is_tcp"
@@ -200,3 +201,68 @@ def log_dnstap(spark, d):
     headers = decode.dns_header(decode.dns_payload(decode.decode_packets(fx.dns_frames(spark, d))))
     tap = sinks.dnstap(headers, "sensor", "1")
     return tap.select(*(c for c in tap.columns if c not in ("query_address", "query_message")), F.octet_length("query_message").alias("query_bytes"))
+
+
+@query(
+    f"""WITH c AS (SELECT *, {_LENGTH} AS size FROM m WHERE ip_type = 4 AND NOT is_tcp),
+x AS (SELECT *, CASE seq % 5 WHEN 0 THEN 5 WHEN 1 THEN size - 1 WHEN 2 THEN 12 ELSE size END AS cut FROM c)
+SELECT ts, qr, cut >= 12 AS is_valid, cut >= 12 AND cut < size AS is_partial, CASE WHEN cut < 12 THEN 'short header' END AS parse_error FROM x""",
+    "m",
+)
+def decoded_cut_messages(spark, d):
+    """Messages cut within their header, behind it, and before their last byte."""
+    f = fx.dns_frames(spark, d, seq=True).where("hex(substring(data, 13, 2)) = '0800' and hex(substring(data, 24, 1)) = '11'")
+    size = F.octet_length("data")
+    cut = F.expr("case seq % 5 when 0 then 47 when 1 then octet_length(data) - 1 when 2 then 54 else octet_length(data) end")
+    f = f.select("ts", "feed_id", F.least(size, cut).alias("caplen"), F.expr("data").alias("data")).withColumn("data", F.substring(F.col("data"), F.lit(1), F.col("caplen")))
+    return decode.decode_dns(decode.decode_packets(f), keep_malformed=True).select("ts", "qr", "is_valid", "is_partial", "parse_error")
+
+
+_HEX6 = "lpad(regexp_extract(ip_src, '^2001:db8:1:([0-9]+)', 1), 4, '0')"
+
+
+@query(f"SELECT ts, CAST('0x20010db80001' || {_HEX6} AS BIGINT) AS high, CAST('0x' || lpad(regexp_extract(ip_src, '::([0-9]+)$', 1), 4, '0') AS BIGINT) AS low FROM q WHERE ip_type = 6", "q")
+def address_halves(spark, d):
+    p = decode.decode_packets(fx.dns_frames(spark, d)).where("ip_type = 6 and dstport = 53")
+    high, low = net.ip6_halves("src_addr")
+    return p.select("ts", high.alias("high"), low.alias("low"))
+
+
+@query("SELECT seq, ts FROM q ORDER BY ts LIMIT 500", "q")
+def first_queries(spark, d):
+    return filters.first_packets(fx.dns_queries(spark, d), 500).select("seq", "ts")
+
+
+@query("SELECT ts, ip_src, query_id FROM q WHERE ts < (SELECT min(ts) FROM q) + INTERVAL 2 DAY", "q")
+def first_days(spark, d):
+    return filters.first_packets(fx.dns_queries(spark, d), 0, 2 * 86_400).select("ts", "ip_src", "query_id")
+
+
+@query(
+    f"SELECT {DAY} AS interval_start, ip_type, is_tcp, qr, count(*) AS packets, sum({_LENGTH} + CASE WHEN is_tcp THEN 22 ELSE 8 END + CASE WHEN ip_type = 4 THEN 34 WHEN seq % 4 = 0 THEN 70 ELSE 54 END)::BIGINT AS bytes FROM m GROUP BY ALL", "m"
+)
+def captures_read_back(spark, d):
+    """Packets written as capture files, another one each day, read again and decoded."""
+    path = fx.folder(spark)
+    pcap.write_captures(fx.dns_frames(spark, d), path, interval=86_400)
+    m = decode.dns_header(decode.dns_payload(decode.decode_packets(pcap.read_pcap(spark, path))))
+    day = net.interval_start("ts", "1 day").cast("timestamp_ntz").alias("interval_start")
+    return m.groupBy(day, "ip_type", "is_tcp", "qr").agg(F.count("*").alias("packets"), F.sum("caplen").cast("long").alias("bytes"))
+
+
+@query("SELECT CAST(epoch(time_bucket(INTERVAL 1 day, ts)) AS BIGINT) AS interval_start, dstport AS key, count(*) AS n FROM m WHERE NOT is_tcp GROUP BY ALL", "m")
+def darknet_read_back(spark, d):
+    """Interval records written as JSON lines by the hour, and a series from them."""
+    m, path = fx.dns_messages(spark, d), fx.folder(spark)
+    sinks.write_hourly_json(darknet.interval_records(darknet.ports(m, "1 day"), darknet.identification(m, "1 day", "query_id")), path)
+    return tables.darknet_series(tables.read_darknet(spark, path), "udp")
+
+
+@query(
+    f"SELECT ip_src AS client_ip, CAST(seq % 65536 AS INTEGER) AS ip_ipid, srcport AS udp_srcport, query_id AS dns_qid, CASE WHEN n_questions > 0 THEN qtype END AS dns_qtype, {_TEXT} AS dns_qname, CAST(has_edns0 AS INTEGER) AS dns_edns0 FROM q WHERE ip_type = 4 AND NOT is_tcp", "q"
+)
+def denat_read_back(spark, d):
+    """De-NAT queries written as CSV by the hour, and read again."""
+    path = fx.folder(spark)
+    sinks.write_csv(sinks.denat_queries(_messages(spark, d)), path, by="hour")
+    return tables.read_denat_csv(spark, path).select("client_ip", "ip_ipid", "udp_srcport", "dns_qid", "dns_qtype", "dns_qname", "dns_edns0")
