@@ -57,7 +57,9 @@ def query_popularity(
     counts = each.where("e.key is not null").groupBy("interval_start", "e.kind", "e.key").agg(F.count("*").alias("n"))
     # every query has one key of a kind, so the base is a count of queries, not a sum over all keys
     base = q.groupBy("interval_start").agg(F.count_if(v4).alias("v4"), F.count_if(v6).alias("v6"), F.count("*").alias("all"))
-    best = reduce(DataFrame.unionByName, (ranked(counts.where(F.col("kind") == k), ["interval_start", "kind"], n) for k, n in limits.items() if n > 0))
+    # one ranking up to the largest limit, so the messages are read once for all kinds
+    limit = reduce(lambda c, k: F.when(F.col("kind") == k, limits[k]).otherwise(c), limits, F.lit(0))
+    best = ranked(counts, ["interval_start", "kind"], max(limits.values())).where(F.col("rank") <= limit)
     of = F.when(F.col("kind").isin("ip4", "pfx24"), F.col("v4")).when(F.col("kind").isin("ip6", "pfx64"), F.col("v6")).otherwise(F.col("all"))
     return best.join(base, "interval_start").select("interval_start", "kind", "rank", "key", "n", F.round(100 * F.col("n") / of, 2).alias("percent"))
 

@@ -64,8 +64,14 @@ def first_ttls(records: DataFrame, interval: str = "60 seconds", tags: bool = Tr
     """interval_start, tag, rr_name, ttl: the time to live first seen for an owner name, by section and type and over all ('ALL')."""
     r = records.withColumn("interval_start", net.interval_start("ts", interval))
     tag = F.concat_ws("_", "section", net.qtype_name("rr_type"))
-    each = r.withColumn("tag", F.explode(F.array(tag, F.lit("ALL")) if tags else F.array(F.lit("ALL"))))
-    return each.groupBy("interval_start", "tag", "rr_name").agg(F.min(F.struct("ts", "msg_id", "rr_pos", "ttl"))["ttl"].alias("ttl"))
+    first = F.min(F.struct("ts", "msg_id", "rr_pos", "ttl")).alias("first")
+    ttl = F.col("first.ttl").alias("ttl")
+    if not tags:
+        return r.groupBy("interval_start", F.lit("ALL").alias("tag"), "rr_name").agg(first).select("interval_start", "tag", "rr_name", ttl)
+    # the first over all tags is the first of the tags' firsts, so no record is counted twice before it is dealt
+    by_tag = r.groupBy("interval_start", tag.alias("tag"), "rr_name").agg(first)
+    over_all = by_tag.groupBy("interval_start", "rr_name").agg(F.min("first").alias("first")).select("interval_start", F.lit("ALL").alias("tag"), "rr_name", ttl)
+    return by_tag.select("interval_start", "tag", "rr_name", ttl).unionByName(over_all)
 
 
 def ttl_distribution(ttls: DataFrame) -> DataFrame:

@@ -115,7 +115,8 @@ def test_plan_of_top_names(spark, sf_dir):
 
     top = popularity.query_popularity(fx.dns_queries(spark, sf_dir), "1 day")
     plan = top._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") >= 6 and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert plan.count("FileScan") == 2  # the names and their bases
 
 
 def test_statistics_of_messages_without_lists(spark):
