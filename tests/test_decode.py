@@ -126,6 +126,49 @@ def test_unsound_messages(spark):
     assert r[8].qname == ""
 
 
+def random_message(rng):
+    """Mostly sound messages with pointers, texts, options and names that are not."""
+    names = [name("a.Example.org."), name("x."), b"\0", b"\xc0\x0c", b"\3www\xc0\x0c", b"\1\xe9\0", name("y" * 63 + ".") * 1]
+    if rng.random() < 0.1:
+        names += [b"\xc0\xff", b"\x40" + b"z" * 64 + b"\0", (b"\x3f" + b"n" * 63) * 9 + b"\0", b"\xc0\x0c"]
+    pick = lambda: rng.choice(names)
+    ecs = lambda: struct.pack(">HHHBB", 8, 4 + (n := rng.randint(0, 5)), rng.choice([1, 2, 3]), 8 * n, rng.choice([0, 8, 16, 200])) + bytes(n)
+
+    def record():
+        kind = rng.choice([1, 2, 5, 16, 28, 41, 48, 6])
+        data = {1: bytes(4 if rng.random() < 0.97 else 3), 28: bytes(range(16)), 2: pick(), 5: pick(), 16: rng.choice([b"\2ab\1c", b"", b"\0\0", b"\5ab"] if rng.random() < 0.1 else [b"\2ab\1\xe9"])}.get(kind, rng.randbytes(rng.randint(0, 9)))
+        if kind == 41:
+            data = rng.choice([b"", ecs(), ecs() + struct.pack(">HH", 65001, 0), struct.pack(">HHB", 3, 9, 1)])
+        return rr(pick(), kind, rng.getrandbits(32), data, rng.choice([1, 4096]))
+
+    questions = [(rng.choice(["a.b.", "Example.org.", "."]), rng.randint(0, 300), 1) for _ in range(rng.choice([0, 1, 1, 1, 2]))]
+    m = message(questions, *([record() for _ in range(rng.choice([0, 0, 1, 2, 5]))] for _ in range(3)), flags=rng.choice([0, 0x8400]))
+    if rng.random() < 0.3:
+        m = m[: rng.randint(0, len(m))]
+    if rng.random() < 0.2 and len(m) > 12:
+        at = rng.randrange(12, len(m))
+        m = m[:at] + rng.randbytes(1) + m[at + 1 :]
+    return m if rng.random() < 0.98 else None
+
+
+@pytest.mark.parametrize("wanted", [("answers", "authorities", "additionals", "edns0"), ("edns0",), ("answers",), (), ("authorities",)])
+def test_batches_are_read_as_single_messages(wanted):
+    import plain_dns
+    import pyarrow as pa
+
+    from spillway.operators import wire
+
+    rng = random.Random(31)
+    messages = [random_message(rng) for _ in range(4000)]
+    got = wire.read(pa.array(messages, pa.binary()).slice(3), frozenset(wanted))
+    plain = [plain_dns.read_message(m, frozenset(wanted)) for m in messages[3:]]
+    for column in plain_dns.COLUMNS:
+        values = got[column].to_pylist()
+        assert values == [x[column] for x in plain], column
+    assert "edns0" not in wanted or {x["parse_error"] for x in plain} >= {None, "short header", "pointer loop"}
+    assert all(len(v) == 0 for v in wire.read(pa.array([], pa.binary()), frozenset(wanted)).values())
+
+
 def test_dns_over_tcp(spark):
     q = message([("a.", 1, 1)], flags=0)
     right, wrong = struct.pack(">H", len(q)) + q, struct.pack(">H", len(q) + 1) + q
