@@ -107,6 +107,22 @@ def darknet_scans(spark, d):
     return darknet.scans(q, 167772160, 167822160, 2)
 
 
+@query(
+    """WITH x AS (SELECT CASE WHEN seq % 2 = 0 THEN 'all.example.' ELSE qname END AS name, seq FROM q),
+g AS (SELECT printf('%s_%05d_%05d_%d', name, 1, 1, 1) AS key, count(DISTINCT seq) AS e, count(*) AS seen FROM x GROUP BY 1 HAVING count(DISTINCT seq) > 2)
+SELECT key, least(e, 256) AS ip_count, e >= 256 AS saturated, true AS within, seen FROM g""",
+    "q",
+)
+def darknet_scans_saturated(spark, d):
+    """One name asked of half of all addresses, beyond exact counts: its estimate within 3 percent of the exact number."""
+    name = F.when(F.col("seq") % 2 == 0, "all.example.").otherwise(F.col("qname"))
+    q = fx.dns_queries(spark, d).withColumns({"dst_v4": 1000 + F.col("seq"), "qname": name, "ip_type": F.lit(4), "qclass": F.lit(1), "qtype": F.lit(1), "has_edns0": F.lit(True)})
+    exact = darknet.scan_queries(q, 0, 1 << 32).groupBy("key").agg(F.count_distinct("dst_v4").alias("exact"))
+    found = darknet.scans(q, 0, 1 << 32, 2).join(exact, "key")
+    within = ~F.col("saturated") | (F.abs(F.col("approx") - F.col("exact")) <= 0.03 * F.col("exact"))
+    return found.select("key", "ip_count", "saturated", within.alias("within"), "seen")
+
+
 @query(
     """SELECT concat(CAST(epoch_us(ts) // 1000000 AS VARCHAR), '.', lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0')) AS timestamp, ip_src AS src_ip, qname, qclass, qtype, has_edns0,
   edns0_max_size AS edns0_bufsize, edns0_do, is_tcp FROM q WHERE is_valid""",

@@ -233,6 +233,25 @@ def test_capture_files_of_any_size_and_rotation(spark, tmp_path):
     assert pcap.read_large(spark, str(tmp_path / "out")).count() == 301 and pcap.read_large(spark, str(tmp_path / "out/z.pcap")).count() == 1
 
 
+def test_files_in_order_and_headers_by_protocol(spark, tmp_path):
+    import os
+    import time
+
+    from spillway.operators import filters
+
+    for i, (name_, mark) in enumerate((("b", b"first" * 4), ("a", b"second" * 4), ("c", b"third" * 4))):
+        (tmp_path / name_).write_bytes(capture([mark]))
+        os.utime(tmp_path / name_, (time.time() - 100 + 10 * i,) * 2)
+    stream = pcap.stream_pcap(spark, str(tmp_path), files_per_trigger=1)
+    seen = []
+    q = stream.writeStream.foreachBatch(lambda df, _: seen.extend(bytes(r.data)[:5] for r in df.collect())).option("checkpointLocation", str(tmp_path / "_c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert seen == [b"first", b"secon", b"third"]
+    frames = packets(spark, [ether(ip4(udp(b"x"))), ether(ip4(tcp(b"x"), 6)), ether(ip6(udp(b"x")), 0x86DD)])
+    p = decode.decode_packets(frames)
+    assert (filters.by_protocol(p, 0x0800).count(), filters.by_protocol(p, None, 17).count(), filters.by_protocol(p, 0x86DD, 17).count(), filters.by_protocol(p, 0x86DD, 6).count()) == (2, 2, 1, 0)
+
+
 def test_capture_report(spark, tmp_path):
     whole = capture([b"one", b"two"])
     cases = {"a": whole, "b": whole[:-1], "c": b"nothing of the kind" * 3, "d": gzip.compress(whole)[:-12], "e": capture([b"x" * 70_000]), "f": whole + b"\0" * 5, "g": gzip.compress(whole)}

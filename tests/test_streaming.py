@@ -94,6 +94,17 @@ def test_every_interval_at_the_end_of_a_stream(spark, sf_dir, tmp_path):
         assert sorted(map(str, got)) == sorted(map(str, batch)) and batch, name
 
 
+def test_running_totals_without_a_reset(spark, sf_dir, tmp_path):
+    m = fx.dns_messages(spark, sf_dir)
+    m = m.withColumn("ts", m["ts"].cast("timestamp"))
+    m.repartitionByRange(5, "ts").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = []
+    windows.run(source.groupBy("ip_type").count(), lambda df, _: seen.append(dict(df.collect())), str(tmp_path / "c"), "complete").awaitTermination(240)
+    assert len(seen) == 5 and seen[-1] == dict(m.groupBy("ip_type").count().collect())
+    assert all(a[k] <= b[k] for a, b in zip(seen, seen[1:]) for k in a)
+
+
 def test_feeds_and_tables(spark, tmp_path):
     from spillway.sources import tables
 
