@@ -46,11 +46,10 @@ def _covering(df: DataFrame, address: str, ranges: DataFrame, low: str, high: st
 
 
 def _back(df: DataFrame, address: str, found: DataFrame) -> DataFrame:
-    """Rows with what was found for their address; rows without one are not dealt by it."""
-    found = found.withColumnRenamed("_addr", "_found")
-    asked = df.where(F.col(address).isNotNull()).join(found, F.col(address) == F.col("_found"), "left").drop("_found")
-    rest = df.where(F.col(address).isNull())
-    return asked.unionByName(rest, allowMissingColumns=True)
+    """Rows with what was found for their address; rows without one get keys of their own, so they do not meet in one task."""
+    key = F.coalesce(F.hex(address), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    found = found.withColumn("_found", F.hex("_addr")).drop("_addr")
+    return df.withColumn("_key", key).join(found, F.col("_key") == F.col("_found"), "left").drop("_key", "_found")
 
 
 def cidr_match(df: DataFrame, address: str, blocks: DataFrame, column: str = "cidr_desc", normalize: bool = False) -> DataFrame:

@@ -1,16 +1,17 @@
 """IP fragments put together again.
 
 Fragments of one packet share (source, destination, protocol, identification); a packet is
-given up ``timeout`` seconds after its first fragment, and later ones start anew.  As the
-identification recurs, a key's fragments are first cut into runs wherever more than
-``timeout`` seconds lie between two of them, so a group holds no more than what one key
-sends without such a pause, however long the capture is.
+given up ``timeout`` seconds after its first fragment, and later ones start anew.  Fragments
+are dealt by that key, sorted by it and time, and read as a stream: a task holds one
+packet's fragments at a time, at most 64 KiB, however often an identification recurs.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = ("src_addr", "dst_addr", "ip_proto", "frag_id")
@@ -49,26 +50,32 @@ def reassemble(packets: DataFrame, timeout: float = 30) -> DataFrame:
     A reassembled packet has the columns of its last fragment; incomplete packets go.
     """
     packets = packets.withColumn("frag_id", F.coalesce(F.when(F.col("ip_type") == 4, F.col("ip_id").cast("long")).otherwise(F.col("ip6_id")), F.lit(-1)))
-    columns = packets.columns
+    order = packets.columns
 
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts", "fragment_ofs"], kind="stable")
-        buffer, done = None, []
-        for row in group.itertuples(index=False):
-            now = row.ts.timestamp()
-            if buffer is None or now - buffer.start > timeout:
-                buffer = Buffer(now)
-            whole = buffer.add(int(row.fragment_ofs), bool(row.more_frags), bytes(row.segment))
-            if whole is not None:
-                done.append(row._replace(segment=whole, fragment_ofs=0, more_frags=False, is_reassembled=True))
-                buffer = None
-        return pd.DataFrame(done, columns=columns)
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffer, current = None, None
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in KEY))
+            times = batch.column("ts").cast(pa.int64()).to_pylist()
+            rows = zip(keys, times, *(batch.column(c).to_pylist() for c in ("fragment_ofs", "more_frags", "segment")))
+            ends, found = [], []
+            for i, (key, micros, ofs, more, segment) in enumerate(rows):
+                now = micros / 1_000_000
+                if key != current or buffer is None or now - buffer.start > timeout:
+                    buffer, current = Buffer(now), key
+                whole = buffer.add(int(ofs), bool(more), segment or b"")
+                if whole is not None:
+                    ends.append(i)
+                    found.append(whole)
+                    buffer = None
+            if not ends:
+                continue
+            # the columns of each packet's last fragment
+            out = batch.take(pa.array(ends, pa.int64()))
+            new = {"segment": found, "fragment_ofs": [0] * len(ends), "more_frags": [False] * len(ends), "is_reassembled": [True] * len(ends)}
+            columns = [pa.array(new[c], out.schema.field(c).type) if c in new else out.column(c) for c in order]
+            yield pa.RecordBatch.from_arrays(columns, order)
 
     whole = packets.where(~F.coalesce("is_fragment", F.lit(False)))
-    # one sort by key and time serves both windows and is read as a stream
-    order = Window.partitionBy(*KEY).orderBy("ts")
-    pause = F.col("ts").cast("timestamp").cast("double") - F.lag(F.col("ts").cast("timestamp").cast("double")).over(order) > timeout
-    runs = packets.where("is_fragment").withColumn("_pause", F.coalesce(pause, F.lit(False)).cast("long"))
-    runs = runs.withColumn("_run", F.sum("_pause").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_pause")
-    found = runs.groupBy(*KEY, "_run").applyInPandas(lambda group: join(group[columns]), packets.schema)
-    return whole.unionByName(found).drop("frag_id")
+    parts = packets.where("is_fragment").repartition(*KEY).sortWithinPartitions(*KEY, "ts", "fragment_ofs")
+    return whole.unionByName(parts.mapInArrow(join, packets.schema)).drop("frag_id")
