@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fingerprint, language, mixture, quality_model, quality_rules, simhash_dedup, substring_dedup, token_count, toxicity
+from . import (
+    byte_bpe,
+    chat_format,
+    fingerprint,
+    language,
+    mixture,
+    periodic_runs,
+    quality_model,
+    quality_rules,
+    simhash_dedup,
+    substring_dedup,
+    token_count,
+    toxicity,
+)
 
 QUERIES = {
     "op1_token_counts": token_count.op1_token_counts,
@@ -15,9 +28,12 @@ QUERIES = {
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_chat_format": chat_format.op12_chat_format,
 }
 
 ORACLE_SQL = {
     "op4_substring_dedup": substring_dedup.SQL,
     "op5_mixture": mixture.SQL,
+    "op12_chat_format": chat_format.SQL,
 }
