@@ -13,6 +13,7 @@ from . import (
     quality_rules,
     simhash_dedup,
     substring_dedup,
+    token_align,
     token_count,
     toxicity,
 )
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_chat_format": chat_format.op12_chat_format,
+    "op13_token_align": token_align.op13_token_align,
 }
 
 ORACLE_SQL = {

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from spillway.llm import chat_format, periodic_runs
+from spillway.llm import chat_format, periodic_runs, token_align
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -199,3 +199,81 @@ def test_op12_gives_the_rows_of_its_sql_and_keeps_to_columns(spark, sf_dir):
     says = "\\### Assistant: </turn> ok"
     assert at.turns_sha256 == hashlib.sha256(f"user\n{says}\nassistant\n{says}\n".encode()).hexdigest()
     assert at.loss_sha256 == hashlib.sha256(says.encode()).hexdigest() and at.loss_chars == len(says)
+
+
+# operator 13
+
+
+def plain_alignment(rows):
+    """By the libraries, token by token."""
+    import public_tokenizers as P
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    table = {}
+    for c in range(256):  # the letters that stand for bytes
+        table[chr(c) if chr(c).isprintable() and c not in (0x20, 0xA0, 0xAD) else None] = c
+    table.pop(None)
+    free = [c for c in range(256) if c not in table.values()]
+    table |= {chr(256 + k): c for k, c in enumerate(free)}
+
+    def sizes(text):
+        a = tok.encode(" " + text, add_special_tokens=False).ids
+        b = model.encode(text)
+        of_a = [bytes(table[x] for x in tok.id_to_token(i)) for i in a]
+        of_b = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("\u2581", " ").encode() for i in b]
+        same = b"".join(of_a) == b"".join(of_b) == (" " + text).encode()
+        return (a, b, list(map(len, of_a)), list(map(len, of_b))) if text and same else ([], [], [], [])
+
+    cut, counts = [], collections.Counter()
+    for id, text in rows:
+        a, b, sa, sb = sizes(text or "")
+        ea, eb = np.cumsum(sa).tolist(), np.cumsum(sb).tolist()
+        ends = sorted({*ea, *eb})
+        links, groups, i, j, from_i, from_j = [], [], 0, 0, 0, 0
+        for e in ends:
+            links.append((a[i], b[j]))
+            i, j = i + (ea[i] == e), j + (eb[j] == e)
+            if e in set(ea) & set(eb) if len(ends) < 50 else i and j and ea[i - 1] == eb[j - 1] == e:
+                groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
+                from_i, from_j = i, j
+        counts.update(links)
+        cut.append((id, len(a), len(b), groups, links))
+    most = collections.Counter()
+    for (_, y), n in counts.items():
+        most[y] = max(most[y], n)
+    for id, n_a, n_b, groups, links in cut:
+        digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
+        yield id, n_a, n_b, len(groups), len(links), sum(counts[x] == most[x[1]] for x in links), sum(counts[x] for x in links), digest
+
+
+def test_alignment_on_odd_rows(spark, sf_dir, monkeypatch):
+    rng = random.Random(9)
+    signs = "abcdeABC  \n\t'\u00e9\u00df\u0301\u4e2d\u0130\u03a3 \x85\x1c12\u00b2!?#\U0001f600\u1e9e \u3000\u00d7\x00|<>s"
+    texts = ["".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(150)]
+    texts += ["<|endoftext|> a <s> </s> <0x41>", "  a", "a ", "a  ", " ", "  ", "\u2581", "a\u2581b c", "\n", "\u2581 \u2581", "!" * 500, "x " * 3000, "\ufffd\u200b", "\r\n a"]
+    real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    rows = [(None, "a b"), (None, "a b"), (None, None), (5, None), (6, ""), (8, "one"), (8, "one"), *((100 + i, t) for i, t in enumerate(texts)), *real]
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    want = collections.Counter(plain_alignment(rows))
+    assert collections.Counter(map(tuple, token_align.align_tokens(documents(spark, rows)).select(names).collect())) == want
+    # many small chunks give the same
+    found = token_align.align_tokens.__globals__
+    aligner = token_align.Aligner(token_align.public_tokenizers.path(token_align.VOCABULARY), token_align.public_tokenizers.path(token_align.PIECES))
+    monkeypatch.setitem(found, "KNOWN", 5)
+    for size in (1, 7):
+        got = collections.Counter()
+        for at in range(0, len(rows), size):
+            got.update(zip(*(token_align.align(aligner, [t or "" for _, t in rows[at : at + size]])[0][c].to_pylist() for c in names[1:5])))
+        assert got == collections.Counter({k: n for k, n in collections.Counter(x[1:5] for x in want.elements()).items()})
+    assert token_align.align_tokens(documents(spark, [])).collect() == []
+    assert [tuple(r)[1:] for r in token_align.align_tokens(documents(spark, [(1, None)])).select(names).collect()] == [(0, 0, 0, 0, 0, 0, "")]
+
+
+def test_op13_on_its_table(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert sorted(map(tuple, token_align.op13_token_align(spark, sf_dir).select(names).collect())) == sorted(plain_alignment(rows))
