@@ -28,8 +28,8 @@ def identification(packets: DataFrame, interval: str = "300 seconds", column: st
 
 
 def scan_queries(dns: DataFrame, low: int, high: int) -> DataFrame:
-    """key (name, class and type as five digits, 1 with EDNS0), dst_v4 and ts of queries to [low, high]."""
-    q = dns.where(~F.col("qr") & (F.col("ip_type") == 4) & F.col("dst_v4").between(low, high))
+    """key (name, class and type as five digits, 1 with EDNS0), dst_v4 and ts of queries with a question to [low, high]."""
+    q = dns.where(~F.col("qr") & F.col("qname").isNotNull() & (F.col("ip_type") == 4) & F.col("dst_v4").between(low, high))
     key = F.format_string("%s_%05d_%05d_%d", "qname", "qclass", "qtype", F.col("has_edns0").cast("int"))
     return q.select(key.alias("key"), "dst_v4", "ts")
 

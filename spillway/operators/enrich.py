@@ -102,10 +102,10 @@ def with_country(df: DataFrame, address: str, table: DataFrame, column: str = "c
 
 
 def by_role(dns: DataFrame, name: str, resolvers: DataFrame) -> DataFrame:
-    """Adds ``role`` to queries under a name: 'auth' from a listed resolver, else 'client'."""
+    """Adds ``role`` to each question under a name: 'auth' from a listed resolver, else 'client'."""
     from ..functions import net
-    from .filters import queries
+    from .filters import each_question, queries
 
-    q = queries(dns).where(net.ends_with_any("qname", [name], ignore_case=False))
+    q = each_question(queries(dns)).where(net.ends_with_any("qname", [name], ignore_case=False))
     one = resolvers.select(F.col(resolvers.columns[0]).alias("_ip")).distinct().withColumn("_is", F.lit(True))
     return q.join(one, F.col("ip_src") == F.col("_ip"), "left").withColumn("role", F.when(F.col("_is"), "auth").otherwise("client")).drop("_ip", "_is")

@@ -59,6 +59,19 @@ def usable(df: DataFrame) -> DataFrame:
     return df.where(F.col("is_valid") & ~F.col("is_partial") & F.col("qname").isNotNull())
 
 
+def each_question(df: DataFrame) -> DataFrame:
+    """A row for each question of a message, with its qname, qtype and qclass.
+
+    Messages without a list of questions have their first one in these columns; those
+    without a question give no row.
+    """
+    if "questions" in df.columns:
+        own = ("questions", "qname", "qtype", "qclass")
+        rest = [c for c in df.columns if c not in own]
+        df = df.select(*rest, F.explode("questions").alias("_q")).select(*rest, *(F.col("_q")[c].alias(c) for c in own[1:]))
+    return df.where(F.col("qname").isNotNull())
+
+
 def server_column() -> Column:
     """The server's address: destination of a query, source of a response."""
     return F.when(F.col("qr"), F.col("ip_src")).otherwise(F.col("ip_dst"))
@@ -79,10 +92,14 @@ def _listed(df: DataFrame, column: Column, values: list[str] | DataFrame | None)
     return df.join(other.select(F.col(other.columns[0]).alias("_listed")).distinct(), column == F.col("_listed"), "left_semi")
 
 
-def to_addresses(df: DataFrame, addresses: list[str]) -> DataFrame:
+def to_addresses(df: DataFrame, addresses: list[str] | DataFrame | None) -> DataFrame:
     return _listed(df, F.col("ip_dst"), addresses)
 
 
+def from_addresses(df: DataFrame, addresses: list[str] | DataFrame | None) -> DataFrame:
+    return _listed(df, F.col("ip_src"), addresses)
+
+
 def without(df: DataFrame, ignored: DataFrame) -> DataFrame:
     """Drops messages whose source or destination is listed in the first column of ``ignored``."""
     one = ignored.select(F.col(ignored.columns[0]).alias("_ignored")).distinct()

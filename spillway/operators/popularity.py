@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import net
-from .filters import queries, to_addresses, usable, valid
-from .resolver import direction, listed
+from .filters import each_question, queries, to_addresses, usable, valid
+from .resolver import asked_first, directions, listed
 
 
 def ranked(counts: DataFrame, group: list[str], top: int, key: str = "key") -> DataFrame:
@@ -67,11 +67,12 @@ def query_popularity(
 def name_popularity(dns: DataFrame, interval: str, resolver_ips: list[str] | DataFrame, top: int | None = None) -> DataFrame:
     """interval_start, direction, rank, key, n: names asked by clients, asked by the resolver, and answered to it; all, or the first ``top``.
 
-    Valid messages with a question count, partial ones too; messages between two servers do not.
+    Every question of a valid message counts, partial messages too; messages between two servers do not.
     """
-    m, src, dst = listed(valid(dns).where(F.col("qname").isNotNull()), resolver_ips)
+    m, src, dst = listed(each_question(valid(dns)), resolver_ips)
     names = {"query_in": "client_query", "query_out": "resolver_query", "response_in": "server_response"}
-    m = m.withColumns({"interval_start": net.interval_start("ts", interval), "_way": direction(src, dst)}).where(F.col("_way").isin(list(names)))
+    ways = directions(src, dst, asked_first(resolver_ips))
+    m = m.select(net.interval_start("ts", interval).alias("interval_start"), "qname", F.explode(ways).alias("_way")).where(F.col("_way").isin(list(names)))
     way = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.col("_way")]
     counts = m.groupBy("interval_start", way.alias("direction"), F.col("qname").alias("key")).agg(F.count("*").alias("n"))
     group = ["interval_start", "direction"]
@@ -79,8 +80,8 @@ def name_popularity(dns: DataFrame, interval: str, resolver_ips: list[str] | Dat
 
 
 def domain_count(dns: DataFrame, domain: str, interval: str = "300 seconds") -> DataFrame:
-    """interval_start and number of queries under one domain."""
-    q = queries(dns).where(net.ends_with_any("qname", [domain], ignore_case=False))
+    """interval_start and number of whole queries whose first question is under one domain."""
+    q = usable(queries(dns)).where(net.ends_with_any("qname", [domain], ignore_case=False))
     return q.groupBy(F.window("ts", interval)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("interval_start"), "n")
 
 

@@ -23,19 +23,35 @@ def listed(df: DataFrame, resolver_ips: list[str] | DataFrame) -> tuple[DataFram
     return df, F.col("_is_src").isNotNull(), F.col("_is_dst").isNotNull()
 
 
-def direction(src: Column, dst: Column) -> Column:
-    """query_in, response_out (client side), query_out, response_in (server side), or null; messages between two servers (both ports 53) have none."""
+def asked_first(resolver_ips: list[str] | DataFrame) -> Column:
+    """Whether a list has the source before the destination; a table has no order, so never there."""
+    if isinstance(resolver_ips, DataFrame):
+        return F.lit(False)
+    place = lambda c: F.array_position(F.array(*map(F.lit, resolver_ips)), F.col(c)) if resolver_ips else F.lit(0)
+    any_ = resolver_ips.index("*") + 1 if "*" in resolver_ips else None
+    own = F.when(place("ip_dst") > 0, place("ip_dst"))
+    return (place("ip_src") > 0) & (place("ip_src") < F.coalesce(F.least(own, F.lit(any_)), F.lit(0)))
+
+
+def directions(src: Column, dst: Column, first: Column) -> Column:
+    """An array of query_in, response_out (client side), query_out, response_in (server side); empty for other messages.
+
+    A response from one listed address to another is both in and out.  A query is in, and
+    also out only if the list has its source before its destination (``first``).  Messages
+    between two servers (both ports 53) have no direction.
+    """
     asks, answers = (F.col("dstport") == 53) & (F.col("srcport") != 53), (F.col("srcport") == 53) & (F.col("dstport") != 53)
-    return (
-        F.when(~F.col("qr") & dst & asks, "query_in").when(F.col("qr") & dst & answers, "response_in").when(F.col("qr") & src & answers, "response_out").when(~F.col("qr") & src & asks, "query_out")
-    )
+    q, r = ~F.col("qr") & asks, F.col("qr") & answers
+    ways = {"query_in": q & dst, "query_out": q & src & (~dst | first), "response_in": r & dst, "response_out": r & src}
+    return F.array_compact(F.array(*(F.when(where, F.lit(way)) for way, where in ways.items())))
 
 
 def resolver_counters(dns: DataFrame, resolver_ips: list[str] | DataFrame, ignore_ips: DataFrame | None = None, interval: str = "60 seconds") -> DataFrame:
     """One row for each interval over valid messages, with the cache hit ratio: 100 less the authoritative answers fetched for 100 client queries; null without queries."""
     m, src, dst = listed(valid(dns if ignore_ips is None else without(dns, ignore_ips)), resolver_ips)
-    m = m.withColumn("direction", direction(src, dst)).where("direction is not null").withColumn("interval_start", net.interval_start("ts", interval))
-    is_ = lambda d: F.col("direction") == d
+    ways = directions(src, dst, asked_first(resolver_ips))
+    m = m.withColumns({"_ways": ways, "interval_start": net.interval_start("ts", interval)}).where(F.size("_ways") > 0)
+    is_ = lambda d: F.array_contains("_ways", d)
     out = m.groupBy("interval_start").agg(
         *(F.count_if(is_(d)).alias(name) for d, name in (("query_in", "queries_in"), ("query_out", "queries_out"), ("response_in", "responses_in"), ("response_out", "responses_out"))),
         F.count_if(is_("response_in") & F.col("aa")).alias("authoritative_in"), F.count_if(is_("response_in") & F.col("is_fragmented")).alias("fragments_in"), F.count_if(is_("response_in") & F.col("tc")).alias("truncated_in"),

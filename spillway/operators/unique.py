@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import net
-from .filters import for_servers, queries, to_addresses, usable
+from .filters import from_addresses, queries, to_addresses, usable
 
 REGISTERS = 14
 
@@ -56,10 +56,11 @@ def global_names(dns: DataFrame, destinations: list[str] | None = None, interval
 def unique_clients(dns: DataFrame, server_ips: list[str] | None = None, measure_direction: int = 0) -> DataFrame:
     """period (hour, day, week from Monday), interval_start, distinct addresses and messages, in all and by IP version.
 
-    measure_direction 0 counts sources of queries, 1 destinations of responses.
+    Only queries count: measure_direction 0 takes the sources of those to the servers, 1 the
+    destinations of those from them; without servers all.
     """
     inward = measure_direction == 0
-    m = for_servers(dns.where(~F.col("qr") if inward else F.col("qr")), server_ips)
+    m = (to_addresses if inward else from_addresses)(queries(dns), server_ips)
     starts = F.array(
         *(F.struct(F.lit(p).alias("period"), F.date_trunc(p, "ts").cast(m.schema["ts"].dataType).alias("interval_start")) for p in ("hour", "day", "week"))
     )

@@ -51,6 +51,13 @@ _NAME = "CASE WHEN seq % 2 = 1 THEN upper(qname) ELSE qname END"
 _TEXT = f"CASE WHEN n_questions = 0 THEN NULL ELSE {_NAME} END"
 
 
+@query(f"SELECT ts, {_SHORT.format('ip_src')} AS ip_src, CASE WHEN is_tcp THEN 6 ELSE 17 END AS ip_proto FROM m WHERE ip_type = 6 AND seq % 4 <> 0 AND NOT is_tcp", "m")
+def decoded_by_protocol(spark, d):
+    """Only IPv6 packets that carry UDP."""
+    p = filters.by_protocol(decode.decode_packets(fx.dns_frames(spark, d, seq=True)), eth_type=0x86DD, ip_proto=17)
+    return p.where("seq % 4 <> 0").select("ts", "ip_src", "ip_proto")
+
+
 def _messages(spark, d, **options):
     return decode.decode_dns(decode.decode_packets(fx.dns_frames(spark, d)), **options)
 
@@ -86,9 +93,9 @@ _K = "CAST(regexp_extract(qname, '^h([0-9]+)', 1) AS INTEGER)"
 _KEY_SIZE = f"CASE WHEN {_K} % 2 = 0 THEN 8 ELSE 10 END + 8 * ({_K} % 5 + 1)"
 _RR = f"""rrs AS (
   SELECT seq, ts, qr, 'answer' AS section, CAST(p AS INTEGER) AS pos, {_NAME} AS name, ans_type AS type, qclass AS class, 60 + {_K} AS ttl,
-    CASE ans_type WHEN 5 THEN 'x.' || {_NAME} WHEN 1 THEN '10.0.0.' || {_K} WHEN 48 THEN ({_KEY_SIZE}) || ' byte(s) unparsed RDATA' ELSE '2 byte(s) unparsed RDATA' END AS rdata_txt FROM m, unnest(range(ans_count)) AS t(p)
+    CASE ans_type WHEN 5 THEN 'x.' || {_NAME} WHEN 1 THEN '10.0.0.' || {_K} WHEN 48 THEN ({_KEY_SIZE}) || ' bytes unparsed RDATA' ELSE '2 bytes unparsed RDATA' END AS rdata_txt FROM m, unnest(range(ans_count)) AS t(p)
   UNION ALL SELECT seq, ts, qr, 'authority', 0, {_NAME}, CASE WHEN has_soa THEN 6 WHEN ns_first THEN 2 ELSE 16 END, 1, 3600,
-    CASE WHEN has_soa THEN '2 byte(s) unparsed RDATA' WHEN ns_first THEN 'ns.' || {_NAME} ELSE 'hi' || chr(10) || 'b' END FROM m WHERE aut_count > 0)"""
+    CASE WHEN has_soa THEN '2 bytes unparsed RDATA' WHEN ns_first THEN 'ns.' || {_NAME} ELSE 'hi' || chr(10) || 'b' END FROM m WHERE aut_count > 0)"""
 
 
 @query(f"WITH {_RR} SELECT ts, qr, section, pos, name, type, class, ttl, rdata_txt FROM rrs", "m")
@@ -148,7 +155,7 @@ _RCODE = "CASE rcode WHEN 0 THEN 'NOERROR' WHEN 1 THEN 'FORMERR' WHEN 2 THEN 'SE
   SELECT seq, CASE WHEN qr THEN 'Q(R)' ELSE 'Q(Q)' END AS part, 0 AS pos, qclass AS c, qtype AS t, {_NAME} AS name FROM m WHERE n_questions > 0
   UNION ALL SELECT seq, CASE WHEN qr THEN 'Q(R)' ELSE 'Q(Q)' END, 1, 1, qtype2, {_NAME} FROM m WHERE n_questions > 1
   UNION ALL SELECT seq, CASE section WHEN 'answer' THEN 'R(ANS)' ELSE 'R(AUT)' END, pos, class, type, rdata_txt FROM rrs WHERE qr
-  UNION ALL SELECT seq, 'R(ADD)', 0, edns0_max_size, 41, 'EDNS0 version 0, buffer size ' || edns0_max_size || ', DO ' || CAST(edns0_do AS INTEGER) FROM m WHERE qr AND has_edns0)
+  UNION ALL SELECT seq, 'R(ADD)', 0, edns0_max_size, 41, 'EDNS version 0, advertised buffer size ' || edns0_max_size || ' bytes, extended RCODE 0, ' || (CASE WHEN has_ecs THEN 10 ELSE 0 END + CASE WHEN has_exp_opt THEN 4 ELSE 0 END) || ' bytes RDATA' FROM m WHERE qr AND has_edns0)
 SELECT part, pos, CAST(floor(epoch(ts)) AS BIGINT) AS timestamp, {_SHORT.format('CASE WHEN qr THEN ip_dst ELSE ip_src END')} AS client, {_CLASS.format('c')} AS class, {_KIND.format('t')} AS type, name, {_RCODE} AS rcode FROM e JOIN m USING (seq)""",
     "m",
 )

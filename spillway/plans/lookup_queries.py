@@ -50,6 +50,16 @@ def auth_vs_client(spark, d):
     return enrich.by_role(q, "signup.example.", q.where("ip_src like '10.1%'").select("ip_src")).select("seq", "role")
 
 
+@query(
+    """SELECT CASE WHEN ip_src LIKE '10.1%' THEN 'auth' ELSE 'client' END AS role, CAST(floor(epoch(ts)) AS BIGINT) AS ts, ip_src AS src, ip_dst AS dst, qname
+FROM q, unnest(range(n_questions)) AS t(p) WHERE qname LIKE '%signup.example.'""", "q"
+)
+def log_roles(spark, d):
+    """A line for each question under the name, of messages with none, one or two."""
+    m = fx.dns_message_lists(spark, d)
+    return sinks.role_log(enrich.by_role(m, "signup.example.", m.where("not qr and ip_src like '10.1%'").select("ip_src")))
+
+
 _PAIRS = """k AS (SELECT *, CASE WHEN qr THEN ip_dst ELSE ip_src END AS client, CASE WHEN qr THEN dstport ELSE srcport END AS client_port FROM m),
 l AS (SELECT *, lag(qr) OVER w AS bqr, lag(ts) OVER w AS bts, lag(udp_len) OVER w AS blen, lead(qr) OVER w AS aqr FROM k WINDOW w AS (PARTITION BY client, qname, qclass, qtype, client_port, query_id ORDER BY ts, seq)),
 p AS (SELECT client, qname, qclass, qtype, client_port, query_id, bts AS query_ts, ts AS response_ts, blen AS q_udp_len, udp_len AS r_udp_len FROM l WHERE qr AND NOT bqr AND epoch(ts) - epoch(bts) <= 30)"""
@@ -171,6 +181,24 @@ def forwarded_queries(spark, d):
     return sinks.forwarded(fx.dns_messages(spark, d).where("is_valid"), ["signup.example.", "ERROR.example."])
 
 
+@query(
+    """WITH x AS (SELECT *, unnest(CASE n_questions WHEN 0 THEN [] WHEN 1 THEN [1] ELSE [1, 2] END) AS p FROM q WHERE ip_dst IN ('192.0.2.54', '2001:db8:ffff::53')),
+y AS (SELECT *, CASE WHEN p = 1 THEN qname ELSE 'other.' END AS name, CASE WHEN p = 1 THEN qtype ELSE qtype2 END AS t, CASE WHEN p = 1 THEN qclass ELSE 1 END AS c FROM x)
+SELECT c AS qclass, t AS qtype, is_tcp, t IN (43, 48) AS dnssec, name AS qname, ip_src AS client FROM y WHERE lower(qname) LIKE '%signup.example.' OR lower(name) LIKE '%ther.'""",
+    "q",
+)
+def forwarded_queries_of_servers(spark, d):
+    """Queries to two servers; the second question has another name, which is taken along or for itself."""
+    m = fx.dns_message_lists(spark, d)
+    named = F.transform("questions", lambda x, i: F.when(i == 0, x).otherwise(x.withField("qname", F.lit("other."))))
+    return sinks.forwarded(m.withColumn("questions", named), ["SIGNUP.example.", "ther."], ["192.0.2.54", "2001:db8:ffff::53"])
+
+
+@query("SELECT ip_src AS address, qname AS name, CASE p WHEN 0 THEN qclass ELSE 1 END AS class, CASE p WHEN 0 THEN qtype ELSE qtype2 END AS type FROM q, unnest(range(n_questions)) AS t(p) WHERE is_valid AND NOT is_partial", "q")
+def log_membership_tuples(spark, d):
+    return sinks.membership_tuples(fx.dns_message_lists(spark, d))
+
+
 @query("SELECT epoch_us(ts) AS ts_us, ip_src FROM q", "q")
 def log_query_sources(spark, d):
     return sinks.source_log(fx.dns_messages(spark, d))

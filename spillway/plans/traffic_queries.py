@@ -43,7 +43,7 @@ def querypop_top(spark, d):
 
 
 @query(
-    f"""SELECT {HOUR} AS interval_start, count(*) AS n FROM q WHERE qname LIKE '%view.example.' GROUP BY 1""", "q"
+    f"""SELECT {HOUR} AS interval_start, count(*) AS n FROM q WHERE {_USABLE} AND qname LIKE '%view.example.' GROUP BY 1""", "q"
 )
 def sldpop_count(spark, d):
     return popularity.domain_count(fx.dns_queries(spark, d), "view.example.", "1 hour")
@@ -63,6 +63,27 @@ def distribution_names(spark, d):
     return popularity.name_popularity(fx.dns_messages(spark, d), "1 day", RESOLVERS)
 
 
+@query(
+    f"""
+WITH x AS (
+  SELECT {DAY} AS interval_start, qname AS key, unnest(CASE
+    WHEN NOT qr AND dstport = 53 AND srcport <> 53 AND (ip_dst = '192.0.2.54' OR ip_dst LIKE '2001:%') THEN ['client_query']
+    WHEN NOT qr AND dstport = 53 AND srcport <> 53 AND ip_src LIKE '2001:%' THEN ['resolver_query']
+    WHEN qr AND srcport = 53 AND dstport <> 53 AND (ip_dst = '192.0.2.54' OR ip_dst LIKE '2001:%') THEN ['server_response'] ELSE [] END) AS direction,
+    n_questions AS w
+  FROM m WHERE is_valid AND n_questions > 0
+), c AS (SELECT interval_start, direction, key, sum(w)::BIGINT AS n FROM x GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY interval_start, direction ORDER BY n DESC, key) AS INTEGER) AS rank FROM c
+""",
+    "m",
+)
+def distribution_names_all_questions(spark, d):
+    """Both questions of a message count; IPv6 messages go between listed addresses of a table."""
+    m = fx.dns_message_lists(spark, d)
+    listed = m.where("ip_type = 6").select("ip_src").unionByName(spark.range(1).select(F.lit("192.0.2.54").alias("ip_src")))
+    return popularity.name_popularity(m, "1 day", listed)
+
+
 @query(
     f"""
 WITH x AS (SELECT {DAY} AS interval_start, qname AS key, CASE WHEN NOT qr AND ip_src LIKE '10.1%' THEN 'resolver_query' WHEN qr AND ip_dst LIKE '10.1%' THEN 'server_response' END AS direction FROM m WHERE is_valid),
@@ -278,6 +299,33 @@ def resolver_counters_outgoing(spark, d):
     return resolver.resolver_counters(m, m.where("not qr and ip_src like '10.1%'").select("ip_src"), None, "1 day")
 
 
+@query(
+    f"""WITH x AS (SELECT {DAY} AS interval_start, NOT qr AND dstport = 53 AND srcport <> 53 AS q, qr AND srcport = 53 AND dstport <> 53 AS r, aa, is_fragmented, tc FROM m WHERE is_valid),
+y AS (SELECT interval_start, count_if(q) AS queries_in, CAST(0 AS BIGINT) AS queries_out, count_if(r) AS responses_in, count_if(r) AS responses_out, count_if(r AND aa) AS authoritative_in,
+  count_if(r AND is_fragmented) AS fragments_in, count_if(r AND tc) AS truncated_in FROM x WHERE q OR r GROUP BY 1)
+SELECT *, CASE WHEN queries_in > 0 THEN round(100 - 100.0 * authoritative_in / queries_in, 2) END AS cache_hit_ratio FROM y""",
+    "m",
+)
+def resolver_counters_any(spark, d):
+    """Any address is a resolver: each response is one to a resolver and one from it, each query one to it."""
+    return resolver.resolver_counters(fx.dns_messages(spark, d), ["*"], None, "1 day")
+
+
+@query(
+    f"""WITH x AS (SELECT {DAY} AS interval_start, *, ip_src IN ('10.0.0.0', '192.0.2.53') OR ip_src = (SELECT min(ip_src) FROM q WHERE ip_type = 4) AS s FROM m WHERE is_valid AND (srcport = 53) <> (dstport = 53)),
+y AS (SELECT *, ip_dst = '192.0.2.53' OR ip_dst = (SELECT min(ip_src) FROM q WHERE ip_type = 4) AS t, ip_src = (SELECT min(ip_src) FROM q WHERE ip_type = 4) AS early FROM x),
+z AS (SELECT interval_start, count_if(NOT qr AND t) AS queries_in, count_if(NOT qr AND s AND (NOT t OR early)) AS queries_out, count_if(qr AND t) AS responses_in, count_if(qr AND s) AS responses_out,
+  count_if(qr AND t AND aa) AS authoritative_in, count_if(qr AND t AND is_fragmented) AS fragments_in, count_if(qr AND t AND tc) AS truncated_in FROM y WHERE s OR t GROUP BY 1)
+SELECT *, CASE WHEN queries_in > 0 THEN round(100 - 100.0 * authoritative_in / queries_in, 2) END AS cache_hit_ratio FROM z""",
+    "m",
+)
+def resolver_counters_between(spark, d):
+    """A client that is a resolver too, listed before the server that it asks: its queries are out and in, their responses as well."""
+    m = fx.dns_messages(spark, d)
+    client = m.where("not qr and ip_type = 4").agg(F.min("ip_src")).first()[0]
+    return resolver.resolver_counters(m, [client, "192.0.2.53"], None, "1 day")
+
+
 @query(
     f"""WITH t AS (SELECT ts, qr, is_valid, ip_src, ip_dst, srcport, dstport, aa, tc, is_fragmented FROM m UNION ALL
   SELECT ts, false, is_valid, ip_dst, ip_src, dstport, srcport, aa, tc, is_fragmented FROM m WHERE qr AND seq % 3 = 0),
@@ -414,6 +462,20 @@ def unique_clients(spark, d):
     return unique.unique_clients(fx.dns_messages(spark, d), RESOLVERS)
 
 
+@query(
+    f"""WITH c AS (SELECT *, {HOUR} AS hour, {DAY} AS day, date_trunc('week', ts)::TIMESTAMP AS week FROM q WHERE ip_src LIKE '10.1%' OR ip_src LIKE '2001:%'),
+p AS (SELECT 'hour' AS period, hour AS interval_start, * FROM c UNION ALL SELECT 'day', day, * FROM c UNION ALL SELECT 'week', week, * FROM c)
+SELECT period, interval_start, count(DISTINCT ip_dst) AS clients, count(*) AS messages, count(DISTINCT CASE WHEN ip_type = 4 THEN ip_dst END) AS clients_v4, count_if(ip_type = 4) AS messages_v4,
+  count(DISTINCT CASE WHEN ip_type = 6 THEN ip_dst END) AS clients_v6, count_if(ip_type = 6) AS messages_v6 FROM p GROUP BY ALL""",
+    "q",
+)
+def unique_clients_outgoing(spark, d):
+    """The addresses that listed resolvers ask."""
+    m = fx.dns_messages(spark, d)
+    listed = m.where("not qr and (ip_src like '10.1%' or ip_src like '2001:%')").select("ip_src")
+    return unique.unique_clients(m, listed, measure_direction=1)
+
+
 _V4P = ", ".join(f"concat(cast(v{n} // 16777216 AS string), '.', cast(v{n} // 65536 % 256 AS string), '.', cast(v{n} // 256 % 256 AS string), '.', cast(v{n} % 256 AS string), '/{n}')" for n in (24, 20, 16))
 _PFX = f"""p AS (SELECT *, unnest(CASE WHEN ip_type = 4 THEN [{_V4P}] ELSE [{_P64}] END) AS prefix
   FROM (SELECT *, src_v4 - src_v4 % 256 AS v24, src_v4 - src_v4 % 4096 AS v20, src_v4 - src_v4 % 65536 AS v16 FROM q WHERE {_USABLE}))"""
@@ -445,11 +507,11 @@ def global_names(spark, d):
     return unique.global_names(fx.dns_queries(spark, d), None, "1 day", exact=True)
 
 
-@query("SELECT seq, ts, ip_src, qname FROM m WHERE is_valid AND NOT is_partial AND NOT qr AND ip_dst IN ('192.0.2.53') AND NOT is_tcp AND ip_type = 4 AND qname LIKE '%click.example.' AND has_ecs AND NOT (qtype IN (43, 48))", "m")
+@query("SELECT seq, ts, ip_src, qname FROM m WHERE is_valid AND NOT is_partial AND NOT qr AND ip_dst IN ('192.0.2.53') AND NOT is_tcp AND ip_type = 4 AND qname LIKE '%click.example.' AND has_ecs AND NOT (qtype IN (43, 48)) AND srcport % 2 = 0 AND udp_len > 50", "m")
 def filtered_queries(spark, d):
     m = filters.usable(filters.queries(fx.dns_messages(spark, d)))
     m = filters.with_client_subnet(filters.under_domains(filters.udp_ipv4(filters.to_addresses(m, ["192.0.2.53"])), ["CLICK.example."]))
-    return filters.by_predicate(filters.by_ports(m, 0, 53), "true").where(~net.is_dnssec("qtype")).select("seq", "ts", "ip_src", "qname")
+    return filters.by_predicate(filters.by_ports(m, 0, 53), "srcport % 2 = 0 and udp_len > 50").where(~net.is_dnssec("qtype")).select("seq", "ts", "ip_src", "qname")
 
 
 # --- report lines -----------------------------------------------------------

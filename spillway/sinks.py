@@ -126,14 +126,28 @@ def role_log(roles: DataFrame) -> DataFrame:
     return roles.select("role", _seconds().alias("ts"), F.col("ip_src").alias("src"), F.col("ip_dst").alias("dst"), "qname")
 
 
-def forwarded(dns: DataFrame, domains: list[str]) -> DataFrame:
-    q = filters.under_domains(filters.queries(dns), domains)
+def forwarded(dns: DataFrame, domains: list[str] | None = None, servers: list[str] | DataFrame | None = None) -> DataFrame:
+    """Questions under the domains (none: all) of queries to the servers (none, or '*': all).
+
+    A question that is taken takes those behind it in its message along.
+    """
+    q = filters.to_addresses(filters.queries(dns), servers)
+    if not domains:
+        q = filters.each_question(q)
+    elif "questions" in dns.columns:
+        under = lambda x: net.ends_with_any(x["qname"], domains)
+        first = F.array_position(F.transform("questions", lambda x: F.coalesce(under(x), F.lit(False))), True).cast("int")
+        some = q.where(first > 0)
+        q = filters.each_question(some.withColumn("questions", F.slice("questions", first, F.size("questions"))))
+    else:
+        q = filters.under_domains(q, domains)
     return q.select("qclass", "qtype", "is_tcp", net.is_dnssec("qtype").alias("dnssec"), "qname", F.col("ip_src").alias("client"))
 
 
 def membership_tuples(dns: DataFrame) -> DataFrame:
-    """address, name, class, type of each question of each query, for a membership filter."""
-    return filters.queries(dns).select(F.col("ip_src").alias("address"), F.explode("questions").alias("q")).select("address", F.col("q.qname").alias("name"), F.col("q.qclass").alias("class"), F.col("q.qtype").alias("type"))
+    """address, name, class, type of each question of each whole query, for a membership filter."""
+    whole = filters.queries(dns).where("is_valid and not is_partial")
+    return whole.select(F.col("ip_src").alias("address"), F.explode("questions").alias("q")).select("address", F.col("q.qname").alias("name"), F.col("q.qclass").alias("class"), F.col("q.qtype").alias("type"))
 
 
 def dnstap(dns: DataFrame, identity: str, version: str) -> DataFrame:

@@ -71,16 +71,16 @@ def read_record(m: bytes, at: int) -> tuple[dict, int]:
     elif kind == 28:
         if size != 16:
             raise Malformed("address of a wrong size")
-        text = ":".join(rdata[i : i + 2].hex() for i in range(0, 16, 2))
+        text = ":".join(f"{x:x}" for x in struct.unpack(">8H", rdata))
     elif kind in (2, 5):
         text = read_name(m, at)[0]
     elif kind == 16:
         texts = _strings(rdata)
         text = "\n".join(texts)
     elif kind == 41:
-        text = f"EDNS0 version {ttl >> 16 & 255}, buffer size {klass}, DO {ttl >> 15 & 1}"
+        text = f"EDNS version {ttl >> 16 & 255}, advertised buffer size {klass} bytes, extended RCODE {ttl >> 24}, {size} bytes RDATA"
     else:
-        text = f"{size} byte(s) unparsed RDATA"
+        text = f"{size} byte{'s' * (size != 1)} unparsed RDATA"
     return {"name": name, "type": kind, "class": klass, "ttl": ttl, "rdata_len": size, "rdata": rdata, "rdata_txt": text, "rdata_list": texts}, at + size
 
 

@@ -102,7 +102,7 @@ def test_dns_records(spark):
     )
     (r,) = dns(spark, [m])
     assert (r.qname, r.qtype, r.qclass, r.aa, r.qr, r.query_id, r.ans_count) == ("www.Example.com.", 1, 1, True, True, 7, 7)
-    assert [a.rdata_txt for a in r.answers] == ["1.2.3.4", "0001:0203:0405:0607:0809:0a0b:0c0d:0e0f", "x.Example.com.", "ab\nc", "136 byte(s) unparsed RDATA", "74 byte(s) unparsed RDATA", "2 byte(s) unparsed RDATA"]
+    assert [a.rdata_txt for a in r.answers] == ["1.2.3.4", "1:203:405:607:809:a0b:c0d:e0f", "x.Example.com.", "ab\nc", "136 bytes unparsed RDATA", "74 bytes unparsed RDATA", "2 bytes unparsed RDATA"]
     assert r.answers[3].rdata_list == ["ab", "c"] and r.answers[0].name == "www.Example.com."
     assert r.authorities[0].name == "" and r.authorities[0].rdata_txt == "ns.example.com."
     assert (r.has_edns0, r.edns0_max_size, r.edns0_do, r.edns0_version) == (True, 1232, True, 0)
