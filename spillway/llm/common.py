@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 #: Bytes of text that one numpy pass holds; a longer document is a run of its own.
 BLOCK_BYTES = 2 << 20
@@ -80,6 +81,18 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """Adds a 64-bit key for each row, which is the same whenever the row is read again: a hash of its file and its place there.
+
+    What does not come straight from files is written first.
+    """
+    key = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name)
+    try:
+        return docs.select("*", key)
+    except AnalysisException:
+        return store(docs).select("*", key)
+
+
 def total_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts: what sizes the number of partitions."""
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0

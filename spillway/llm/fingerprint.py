@@ -31,7 +31,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, store, table
+from .common import cut, store, table, with_row_key
+from .components import join_by_key
 
 HEAVIEST = 32
 RADIUS = 3
@@ -43,9 +44,11 @@ LOWEST = -(1 << 63)
 
 
 def votes(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """keys and fp, the SimHash of ``text``, for each distinct value of the keys, which tell texts apart."""
+    """keys and fp, the SimHash of ``text``, for each distinct value of the keys, which tell texts apart; ``row`` tells rows apart.
+
+    Each row votes by itself, so that equal ones cannot overflow the packed sums.
+    """
     out, keys = keys, [*keys, "row"]
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
     words = rows.select(*keys, F.split(F.trim(text, F.lit(SPACES)), r"[\x20\x09-\x0D]+").alias("words"))
     pairs = F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.size("words")).alias("b"))
     each = words.select(*keys, F.explode_outer(pairs).alias("term"))
@@ -113,7 +116,7 @@ def likeness(a: str, b: str) -> Column:
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, h, fp): fingerprint of each distinct id and text; h is the text's hash."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id), F.lit(LOWEST)).cast("long").alias("key"), t.alias("t"), F.xxhash64(t).alias("h"))
+    rows = with_row_key(docs.select(id, text), "row").select("row", F.coalesce(F.col(id), F.lit(LOWEST)).cast("long").alias("key"), t.alias("t"), F.xxhash64(t).alias("h"))
     return votes(rows, ["key", "h"], F.col("t"))
 
 
@@ -123,22 +126,27 @@ def fingerprint_report(docs: DataFrame, id: str = "doc_id", text: str = "text",
     near_docs: documents (itself included) within ``radius`` bits, for ids divisible by ``every``, else null.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(id), F.lit(LOWEST)).cast("long").alias("key"), t.alias("t"))
-    fps = store(fingerprints(docs, id, text))
+    docs = with_row_key(docs.select(id, text), "row")
+    rows = docs.select("row", F.col(id).alias("id"), F.coalesce(F.col(id), F.lit(LOWEST)).cast("long").alias("key"), t.alias("t"))
+    fps = store(votes(rows.select("row", "key", "t", F.xxhash64("t").alias("h")), ["key", "h"], F.col("t")))
     light = rows.select("id", "key", F.char_length("t").cast("long").alias("n"), F.xxhash64("t").alias("h"))
     links = cut(followers(light))
-    needs = light.groupBy("key").agg(F.max(F.expr("n div 3")).cast("int").alias("need"))
-    asks = links.join(needs, "key").select(F.col("key").alias("taker"), F.col("following").alias("key"), "need")
-    # both joins take the texts by key, so they are dealt once; what follows from a text is worked out behind the joins
-    texts = rows.select("key", "t")
+    needs = light.groupBy("key").agg(F.max(F.expr("n div 3")).cast("int").alias("need"), F.count("*").alias("n"))
+    of_key = cut(links.join(needs, "key").select("key", "following", "need", "n"))
+    sizes = of_key.select("key", "n")
+    n_rows = of_key.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    asks = of_key.select(F.col("key").alias("taker"), F.col("following").alias("key"), "need").join(sizes, "key")
+    # ids that very many rows share, as missing ones do, stay where they are in both joins
+    texts = rows.select("row", "key", "t")
     head = F.substring(F.col("t"), F.lit(1), F.col("need")).alias("head")
-    lent = texts.join(asks, "key").select("taker", F.struct(F.xxhash64("t").alias("h"), head, "key").alias("lent"))
+    lent = join_by_key(texts, asks, "key", n_rows).select("taker", F.struct(F.xxhash64("t").alias("h"), head, "key").alias("lent"))
     lent = lent.groupBy("taker").agg(F.min("lent").alias("lent"))
-    edited = texts.join(lent, texts["key"] == lent["taker"]).select(
-        "key", F.xxhash64("t").alias("h"), F.char_length("t").alias("n"), "t", "lent.head", F.col("lent.key").alias("next_key"), F.col("lent.h").alias("next_h")
+    lent = lent.withColumnRenamed("taker", "key").join(sizes, "key").select("key", F.col("lent").alias("of"), "n")
+    edited = join_by_key(texts, lent, "key", n_rows).select(
+        "row", "key", F.xxhash64("t").alias("h"), F.char_length("t").alias("n"), "t", "of.head", F.col("of.key").alias("next_key"), F.col("of.h").alias("next_h")
     )
     replaced = F.expr("concat(substring(t, 1, n - cast(n div 3 as int)), substring(head, 1, cast(n div 3 as int)))")
-    edited = edited.select("key", "h", replaced.alias("e"), "next_key", "next_h")
+    edited = edited.select("row", "key", "h", replaced.alias("e"), "next_key", "next_h")
     edited = edited.withColumn("edited_sha256", F.sha2("e", 256))
     keys = ["key", "h", "next_key", "next_h", "edited_sha256"]
     edited = votes(edited, keys, F.col("e")).withColumnRenamed("fp", "edited_fp")

@@ -18,8 +18,10 @@ buckets again, until about ``SHORT`` rows of a leaf are left for the document wi
 Cases: null source or language is a value of its own ('?'); a null or blank text has no
 tokens and is taken with any whole pass, or where the budget is not spent yet at its place
 in the order; a very long text counts all of its words and may end its leaf's budget beyond
-the mark, as it is not cut; rows that share an id in a leaf are ordered together and taken
-together; a node of weight 0 gets nothing, and what lies below it is no capacity of its
+the mark, as it is not cut; each row is a document of its own, with or without an id of its
+own; rows that share id and text in a leaf (a unit) stand together in the order, and as many of
+them are taken as there is budget for: of those that differ in other columns the ones with
+the smallest hashes; a node of weight 0 gets nothing, and what lies below it is no capacity of its
 parents; an empty table gives no rows; extra columns travel with their row in ``mix`` but not
 in the result of the query.
 """
@@ -32,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, store, table
+from .components import join_by_key
 
 SEED = 17
 EPOCHS = 2
@@ -107,11 +110,10 @@ def budgets(leaves: DataFrame, budget: Column, domains=DOMAIN_WEIGHTS, langs=LAN
 LEAF = ["domain", "language", "origin"]
 
 
-def _keyed(docs: DataFrame, id: str, lang: str, source: str, **more: Column) -> DataFrame:
-    columns = {
-        "id": F.col(id), "domain": domain_of(F.coalesce(F.col(source), F.lit(NONE))),
-        "language": F.coalesce(F.col(lang), F.lit(NONE)), "origin": F.coalesce(F.col(source), F.lit(NONE)),
-    }
+def _keyed(docs: DataFrame, id: str, text: str, lang: str, source: str, **more: Column) -> DataFrame:
+    origin, language = (F.coalesce(F.col(c), F.lit(NONE)) for c in (source, lang))
+    own = (F.coalesce(F.col(id).cast("string"), F.lit(NONE)), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))), language, origin)
+    columns = {"unit": F.md5(F.concat_ws("\x1f", *own)), "id": F.col(id), "domain": domain_of(origin), "language": language, "origin": origin}
     return docs.select(*(c.alias(name) for name, c in (more | columns).items()))
 
 
@@ -120,13 +122,13 @@ def _words(text: str) -> Column:
 
 
 def measured(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(n_tokens, id, domain, language, origin) of each row, written once: all that the choice needs."""
-    return store(_keyed(docs, id, lang, source, n_tokens=_words(text)))
+    """(n_tokens, unit, id, domain, language, origin) of each row, written once: all that the choice needs."""
+    return store(_keyed(docs, id, text, lang, source, n_tokens=_words(text)))
 
 
 def choose(rows: DataFrame, share: int = SHARE_PERCENT, epochs: int = EPOCHS, seed: int = SEED, bucket: int = BUCKET, **weights: dict[str, int]) -> DataFrame:
-    """(id, domain, language, origin, epochs): the passes (from 0) that take the rows of an id in a leaf, from ``measured`` rows."""
-    light = rows.groupBy("id", *LEAF).agg(F.sum("n_tokens").alias("n_tokens"))
+    """(unit, n, takes): of each unit with so many ``measured`` rows the passes (from 0) that take it, as array<struct<epoch, k>>, and how many of its rows."""
+    light = rows.groupBy("unit", *LEAF).agg(F.max("n_tokens").alias("each"), F.count("*").alias("n"))
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").cast("long").alias("tokens"), F.count("*").alias("n")).withColumn("capacity", F.col("tokens") * epochs)
     leaves = cut(leaves)
     total, largest, n_leaves = leaves.agg(F.sum("tokens"), F.max("n"), F.count("*")).first()
@@ -138,40 +140,60 @@ def choose(rows: DataFrame, share: int = SHARE_PERCENT, epochs: int = EPOCHS, se
         passes = F.broadcast(passes)
     whole = passes.where("part = tokens").select(*LEAF, "epoch")
     rest = passes.where("part < tokens").select(*LEAF, "epoch", "part")
-    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(NONE))))
-    # rows whose place is not settled: those in the bucket in which the budget ends, with the tokens ahead of that bucket
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("unit")))
+    # units whose place is not settled: those in the bucket in which the budget ends, with the tokens ahead of that bucket
     open_ = light.join(rest, LEAF).withColumns({"place": place, "ahead": F.lit(0).cast("long")})
-    taken = [light.join(whole, LEAF).select("id", *LEAF, "epoch")]
+    all_of = ["unit", "n", "epoch", F.col("n").alias("k")]
+    taken = [light.join(whole, LEAF).select(*all_of)]
     run = Window.partitionBy(*LEAF, "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     at, rows_left = 0, largest or 0
     while rows_left > SHORT and at + bucket <= 32:
         open_ = open_.withColumn("bucket", F.substring("place", at + 1, bucket))
-        sums = open_.groupBy(*LEAF, "epoch", "part", "ahead", "bucket").agg(F.sum("n_tokens").cast("long").alias("in_bucket"))
+        sums = open_.groupBy(*LEAF, "epoch", "part", "ahead", "bucket").agg(F.sum(F.col("each") * F.col("n")).cast("long").alias("in_bucket"))
         sums = sums.withColumn("front", F.col("ahead") + F.coalesce(F.sum("in_bucket").over(run), F.lit(0)).cast("long")).where("front < part")
         sums = sums.select(*LEAF, "epoch", "bucket", "front", (F.col("front") + F.col("in_bucket") < F.col("part")).alias("whole"))
-        if n_leaves <= SMALL:
-            # of each leaf and pass up to 16 ** bucket rows
+        if n_leaves << 4 * bucket <= SMALL:  # of each leaf up to 16 ** bucket rows
             sums = F.broadcast(sums)
         met = open_.drop("ahead").join(sums, [*LEAF, "epoch", "bucket"])
-        taken.append(met.where("whole").select("id", *LEAF, "epoch"))
-        open_ = store(met.where("not whole").select("id", *LEAF, "epoch", "part", "n_tokens", "place", F.col("front").alias("ahead")))
+        taken.append(met.where("whole").select(*all_of))
+        open_ = store(met.where("not whole").select("unit", "n", *LEAF, "epoch", "part", "each", "place", F.col("front").alias("ahead")))
         at, rows_left = at + bucket, rows_left >> 4 * bucket
-    inner = Window.partitionBy(*LEAF, "epoch").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, -1)
-    last = open_.withColumn("front", F.col("ahead") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
-    taken.append(last.where("front < part").select("id", *LEAF, "epoch"))
-    return reduce(DataFrame.union, taken).groupBy("id", *LEAF).agg(F.collect_list("epoch").alias("epochs"))
+    inner = Window.partitionBy(*LEAF, "epoch").orderBy("place", "unit").rowsBetween(Window.unboundedPreceding, -1)
+    last = open_.withColumn("front", F.col("ahead") + F.coalesce(F.sum(F.col("each") * F.col("n")).over(inner), F.lit(0))).where("front < part")
+    # rows of a unit follow each other: each that begins below the mark is taken
+    k = F.when(F.col("each") == 0, F.col("n")).otherwise(F.least(F.col("n"), F.expr("(part - front + each - 1) div nullif(each, 0)")))
+    taken.append(last.select("unit", "n", "epoch", k.cast("long").alias("k")))
+    return store(reduce(DataFrame.union, taken).groupBy("unit").agg(F.max("n").alias("n"), F.collect_list(F.struct("epoch", "k")).alias("takes")))
 
 
 def _meet(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    of = chosen.select(F.col("id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in LEAF), "epochs")
-    met = rows.join(of, [F.col("id").eqNullSafe(F.col("_id")), *(F.col(c) == F.col(f"_{c}") for c in LEAF)])
-    return met.select(*rows.columns, F.explode("epochs").alias("epoch"))
+    """The columns of ``rows`` and epoch for each pass that takes a row.
+
+    Units taken whole meet their rows by ``join_by_key``, so a unit of very many rows is not
+    dealt.  Of a unit of which a pass takes a part (one at most of each leaf and pass) equal
+    rows are counted before they are dealt, and come out as often as they are taken.
+    """
+    columns = rows.columns
+    n_rows = chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    full = chosen.select("unit", "n", F.transform(F.filter("takes", lambda t: t["k"] == F.col("n")), lambda t: t["epoch"]).alias("epochs"))
+    out = join_by_key(rows, full.where(F.size("epochs") > 0), "unit", n_rows).select(*columns, F.explode("epochs").alias("epoch"))
+    parts = cut(chosen.select("unit", "n", F.explode("takes").alias("t")).where("t.k < n").select("unit", "t.epoch", "t.k"))
+    if parts.isEmpty():
+        return out
+    some = parts.select("unit").distinct()
+    some = F.broadcast(some) if some.count() <= SMALL else some
+    hashed = rows.join(some, "unit").withColumn("_hash", F.xxhash64(*columns))
+    equal = hashed.groupBy("unit", "_hash").agg(F.count("*").alias("_n"), F.first(F.struct(*columns)).alias("_row"))
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy("unit").orderBy("_hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of = equal.withColumn("_ahead", ahead).join(parts, "unit").withColumn("_take", F.least(F.col("_n"), F.col("k") - F.col("_ahead"))).where("_take > 0")
+    copies = of.select("_row", "epoch", F.explode(F.sequence(F.lit(1), F.col("_take"))))
+    return out.unionByName(copies.select(*(F.col("_row")[c].alias(c) for c in columns), "epoch"))
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` in the mixture as column ``row`` with n_tokens, id, domain, language, origin and epoch; options: those of ``choose``."""
+    """The rows of ``docs`` in the mixture as column ``row`` with n_tokens, unit, id, domain, language, origin and epoch; options: those of ``choose``."""
     chosen = choose(measured(docs, id, text, lang, source), **options)
-    return _meet(_keyed(docs, id, lang, source, row=F.struct("*"), n_tokens=_words(text)), chosen)
+    return _meet(_keyed(docs, id, text, lang, source, row=F.struct("*"), n_tokens=_words(text)), chosen)
 
 
 def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +239,8 @@ WITH keyed AS (
   SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS n_tokens,
          CASE WHEN regexp_extract(coalesce(source, '?'), '([0-9]{{1,9}})$', 1) <> ''
               THEN 'd' || (CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT) % 4) ELSE '?' END AS domain,
-         coalesce(lang, '?') AS lang_key, coalesce(source, '?') AS source_key
+         coalesce(lang, '?') AS lang_key, coalesce(source, '?') AS source_key,
+         md5(concat_ws(chr(31), coalesce(CAST(doc_id AS VARCHAR), '?'), md5(coalesce(text, '')), coalesce(lang, '?'), coalesce(source, '?'))) AS unit
   FROM documents
 ), leaves AS (
   SELECT domain, lang_key, source_key, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {EPOCHS} AS BIGINT) AS capacity
@@ -232,7 +255,7 @@ passes AS (
   FROM low, unnest(range({EPOCHS})) AS t(e) WHERE given - e * tokens > 0
 ), placed AS (
   SELECT k.*, epoch, part, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang_key, source_key, epoch
-         ORDER BY md5('{SEED}:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '?')), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+         ORDER BY md5('{SEED}:' || epoch || ':' || unit) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM keyed k JOIN passes USING (domain, lang_key, source_key)
 )
 SELECT doc_id, domain, lang_key, source_key, epoch, n_tokens FROM placed JOIN low USING (domain, lang_key, source_key)

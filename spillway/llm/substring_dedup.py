@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import P1, P4, Words, blocks, mixed, table, texts_of, total_bytes
+from .common import P1, P4, Words, blocks, mixed, table, texts_of, total_bytes, with_row_key
 
 WINDOW = 50
 #: Bytes of text in a block, and names in a range of hashes, about.
@@ -166,8 +166,9 @@ def dedup_substrings(
     bits = max(0, min(31, math.ceil(math.log2(max(1.0, size / 20 / RANGE)))))
     rounds = rounds_for(window)
     margin = margin_of(rounds)
-    rows = docs.select(
-        F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(n_blocks)).cast("int").alias("block"),
+    rows = with_row_key(docs, "_row").select(
+        # rows with the same id and text are dealt apart
+        F.pmod(F.xxhash64(F.col(id), F.col(text), F.col("_row")), F.lit(n_blocks)).cast("int").alias("block"),
         F.col(id).cast("long").alias("id"),
         F.col(text).cast("string").alias("text"),
         *([F.struct(*carry).alias("carry")] if carry else []),

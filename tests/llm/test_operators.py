@@ -312,6 +312,11 @@ def plain_divide(budget, children):
     return given
 
 
+def plain_unit(id, text, lang, source):
+    parts = ("?" if id is None else str(id), hashlib.md5((text or "").encode()).hexdigest(), lang, source)
+    return hashlib.md5("\x1f".join(parts).encode()).hexdigest()
+
+
 def plain_mix(rows, share, epochs, seed, domains, langs, sources):
     """Counter of (id, origin, language, epoch) from rows (id, text, language, origin)."""
     w = lambda table, x: table.get(x, mixture.DEFAULT)
@@ -319,8 +324,8 @@ def plain_mix(rows, share, epochs, seed, domains, langs, sources):
     for i, t, lang, src in rows:
         lang, src = lang or "?", src or "?"
         number = re.search("([0-9]{1,9})$", src)
-        leaves[f"d{int(number[1]) % 4}" if number else "?", lang, src].append((i, len(WORD.findall(t or ""))))
-    tokens = {k: sum(n for _, n in v) for k, v in leaves.items()}
+        leaves[f"d{int(number[1]) % 4}" if number else "?", lang, src].append((i, plain_unit(i, t, lang, src), len(WORD.findall(t or ""))))
+    tokens = {k: sum(n for *_, n in v) for k, v in leaves.items()}
     some = {k: n * epochs for k, n in tokens.items() if w(sources, k[2]) and w(langs, k[1])}
     out, total = collections.Counter(), sum(tokens.values()) * share // 100
     top = plain_divide(total, {d: (w(domains, d), sum(n for k, n in some.items() if k[0] == d)) for d in {k[0] for k in some}})
@@ -334,13 +339,10 @@ def plain_mix(rows, share, epochs, seed, domains, langs, sources):
                 for e in range(epochs):
                     part = min(given - e * tokens[leaf], tokens[leaf])
                     ahead = 0
-                    sums = collections.Counter()
-                    for i, n in leaves[leaf]:
-                        sums[i] += n
-                    for i in sorted(sums, key=lambda i: hashlib.md5(f"{seed}:{e}:{'?' if i is None else i}".encode()).hexdigest()):
+                    for i, _, n in sorted(leaves[leaf], key=lambda r: hashlib.md5(f"{seed}:{e}:{r[1]}".encode()).hexdigest()):
                         if part > 0 and (part == tokens[leaf] or ahead < part):
-                            out[i, src, x, e] += sum(j == i for j, _ in leaves[leaf])
-                        ahead += sums[i]
+                            out[i, src, x, e] += 1
+                        ahead += n
     return out
 
 
@@ -359,12 +361,28 @@ def test_mixture_is_the_plain_version_with_zero_weights(spark, monkeypatch, shor
         assert got == plain_mix(rows, share, mixture.EPOCHS, mixture.SEED, **full)
 
 
+@pytest.mark.parametrize("kind", ["texts", "equal", "mixed"])
+def test_mixture_keeps_its_budget_with_null_and_shared_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(mixture, "SHORT", 50)
+    monkeypatch.setattr("spillway.llm.components.LEAST", 100)
+    for nulls, share in ((500, 30), (900, 30), (900, 130)):
+        rows = [(None if i < nulls else i % 950, " ".join(f"w{0 if kind == 'equal' or kind == 'mixed' and i % 3 else i}" for _ in range(10)), "en", "src0", i % 4) for i in range(1000)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, extra int").repartition(5)
+        got = mixture.mix(docs, share=share).select("row.*", "n_tokens", "epoch").collect()
+        assert abs(sum(r.n_tokens for r in got) - 100 * share) < 10
+        # no row more than once in a pass
+        times = collections.Counter((r.doc_id, r.text, r.extra, r.epoch) for r in got)
+        have = collections.Counter((r[0], r[1], r[4]) for r in rows)
+        assert all(n <= have[k[:3]] for k, n in times.items())
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_give_the_rows_of_their_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
     found = queries.QUERIES[name](spark, sf_dir)
     want = con.execute(queries.ORACLE_SQL[name]).to_arrow_table().select(found.columns).to_pylist()
     assert collections.Counter(map(tuple, found.collect())) == collections.Counter(tuple(r.values()) for r in want)
@@ -792,3 +810,25 @@ def test_toxicity_misspelling_in_a_clean_document(spark):
     model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     found = toxicity.spans(docs.where("doc_id >= 5000"), model).collect()
     assert [(r.doc_id, r.errors) for r in found] == [(5000, 1)]
+
+
+def test_equal_rows_are_dealt_apart(spark, monkeypatch):
+    """3,000 equal rows without an id: no block of substring dedup, and no task of the fingerprints' joins, gets them all."""
+    monkeypatch.setattr("spillway.llm.components.LEAST", 100)
+    rows = [(None, "word " * 1200)] * 3000 + [(i, f"text of its own {i}") for i in range(50)]
+    docs = documents(spark, rows)
+    keyed = common.with_row_key(docs, "row")
+    assert keyed.select("row").distinct().count() == len(rows)
+    n_blocks = math.ceil(common.total_bytes(docs) / substring_dedup.BLOCK)
+    sizes = [r["count"] for r in keyed.groupBy(spark_abs_mod("row", n_blocks)).count().collect()]
+    assert n_blocks >= 4 and max(sizes) < 1.2 * len(rows) / n_blocks
+    got = substring_dedup.dedup_substrings(docs).collect()
+    assert len(got) == len(rows) and all(r.n_removed == 0 for r in got)
+    out = fingerprint.fingerprint_report(docs).collect()
+    assert len(out) == len(rows) and len({r.fingerprint for r in out if r.doc_id is None}) == 1
+
+
+def spark_abs_mod(column, n):
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.xxhash64(F.lit(None).cast("long"), F.lit("word " * 1200), F.col(column)), F.lit(n))

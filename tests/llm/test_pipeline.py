@@ -110,7 +110,10 @@ def test_repeated_passages_stage_with_odd_rows(spark, odd):
     assert cp.repeated_passages(spark, odd.limit(0), "").count() == 0
 
 
-def test_mixed_stage_with_odd_rows(spark, odd):
+@pytest.mark.parametrize("half", [False, True])
+def test_mixed_stage_with_odd_rows(spark, odd, half):
+    if half:  # half of the ids are missing
+        odd = odd.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
     got = collections.Counter((i, b or "?", a or "?") for i, _, a, b, _ in rows_of(cp.mixed(spark, odd, "")))
     plain = plain_mix([r[:4] for r in rows_of(odd)], cp.SHARE_PERCENT, mixture.EPOCHS, mixture.SEED, **cp.WEIGHTS)
     expected = collections.Counter()
