@@ -631,7 +631,7 @@ def plain_mcd(x, trials=300):
     rng = np.random.default_rng(3)
 
     def part(rows, share):
-        cov = q.floored(np.cov(rows.T, bias=True))
+        cov = np.cov(rows.T, bias=True)
         return rows.mean(0), np.linalg.inv(cov * q.consistency(share)), np.linalg.slogdet(cov)[1]
 
     def away(p):
@@ -652,10 +652,11 @@ def plain_mcd(x, trials=300):
 def test_verdicts_are_those_of_a_plain_determinant_search(spark):
     rng = np.random.default_rng(12)
     groups = {}
+    m = quality_rules.SIZE
     for k, junk in (("a", 0), ("b", 60), ("c", 110)):
-        mix = rng.normal(0, 1, (5, 5)) * 0.4 + np.eye(5)
-        x = rng.normal(0, 1, (300, 5)) @ mix
-        x[:junk] = rng.normal(0, 0.7, (junk, 5)) + rng.normal(0, 1, 5) * 9
+        mix = rng.normal(0, 1, (m, m)) * 0.4 + np.eye(m)
+        x = rng.normal(0, 1, (300, m)) @ mix
+        x[:junk] = rng.normal(0, 0.7, (junk, m)) + rng.normal(0, 1, m) * 30
         groups[k] = x
     rows = [(k, i, *v.tolist()) for k, x in groups.items() for i, v in enumerate(x)]
     data = spark.createDataFrame(rows, "kind string, key long, " + ", ".join(f"{c} double" for c in quality_rules.X))
@@ -669,6 +670,42 @@ def test_verdicts_are_those_of_a_plain_determinant_search(spark):
     assert quality_rules.estimates(data.limit(0)).count() == 0
 
 
+def test_the_least_determinant_decides_and_no_floor(spark):
+    """On the documents of a larger table: starts differ, the chosen one is strictly the least, and no estimate is lifted."""
+    from pyspark.sql import functions as F
+
+    q = quality_rules
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = q.counts(docs).withColumns(q._vector()).where("n_words >= 10 and 100 * n_repeat_words <= 20 * n_words")
+    data = common.cut(rows.select(F.explode(F.array(F.concat(F.lit("l"), "language"), F.lit("c"))).alias("kind"), F.xxhash64("id").alias("key"), *q.X))
+    seen = []
+    wrapped, floored = q._concentrate, q.floored
+
+    def watched(*args):
+        out = wrapped(*args)
+        seen.append(out.collect())
+        return out
+
+    q._concentrate = watched
+    try:
+        found = q.estimates(data).collect()
+    finally:
+        q._concentrate = wrapped
+    table = {k: np.array([tuple(r) for r in data.where(F.col("kind") == k).select(*q.X).collect()]) for k in {r.kind for r in found}}
+    scale = np.subtract(*np.percentile(table["c"], [75, 25], axis=0)) / 1.349
+    for r in found:
+        starts = sorted(x.det for x in seen[q.TRIALS - 1] if x.kind == r.kind)
+        assert len(starts) == 3 + q.RANDOM and starts[0] < starts[-1] - 1e-3
+        last = next(x.det for x in seen[-1] if x.kind == r.kind)
+        assert last <= starts[0] + 1e-9
+        inverse = np.zeros((q.SIZE, q.SIZE))
+        for i, j in q.PAIRS:
+            inverse[i, j] = inverse[j, i] = r[f"p{i}{j}"] / (1 if i == j else 2)
+        cov = np.linalg.inv(inverse)
+        assert np.linalg.eigvalsh(cov / np.outer(scale, scale))[0] > 2 * q.FLOOR**2
+        assert np.allclose(floored(cov, scale), cov)
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
