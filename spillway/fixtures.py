@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import folder  # noqa: F401  (queries that write files use it)
+
 _DERIVED = {
     "k": "cast(regexp_extract(props, '([0-9]+)', 1) as int)",
     "h": "(user_id * 40503) % 16777216",
@@ -258,17 +260,3 @@ def fragment_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.concat(F.expr("substring(data, 1, 16)"), F.unhex(F.lpad(F.hex(F.octet_length(part) + 20), 4, "0")), F.expr("substring(data, 19, 2)"), F.unhex(F.lpad(F.hex(bits.cast("long")), 4, "0")), F.expr("substring(data, 23, 12)"), part)
     ts = F.expr("ts - make_dt_interval(0, 0, 0, at * 0.001)")
     return f.select(ts.alias("ts"), "feed_id", data.alias("data")).select("ts", "feed_id", F.octet_length("data").alias("caplen"), "data")
-
-
-def folder(spark: SparkSession) -> str:
-    """A new folder for files that a query writes and reads again: in the shared one, or a temporary one where all run on one machine."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    own = f"{shared or 'file://' + tempfile.mkdtemp(prefix='spark-')}/spillway-{spark.sparkContext.applicationId}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(own)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return f"{own}/{uuid.uuid4().hex}"

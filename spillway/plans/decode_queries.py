@@ -8,7 +8,7 @@ from .. import fixtures as fx
 from .. import sinks
 from ..functions import net
 from ..operators import darknet, decode, enrich, filters, popularity, reassembly, traffic
-from ..sources import pcap, tables
+from ..sources import pcap, splits, tables
 from .sql import DAY, query
 
 _PACKETS = "ip_type = 4 AND NOT is_tcp"
@@ -263,6 +263,15 @@ def captures_read_back(spark, d):
     return m.groupBy(day, "ip_type", "is_tcp", "qr").agg(F.count("*").alias("packets"), F.sum("caplen").cast("long").alias("bytes"))
 
 
+@query("SELECT ip_type, is_tcp, qr, count(*) AS packets FROM m GROUP BY ALL", "m")
+def captures_read_in_ranges(spark, d):
+    """Packets written as a few long capture files, which many tasks read by byte ranges."""
+    path = fx.folder(spark)
+    pcap.write_captures(fx.dns_frames(spark, d).coalesce(2), path)
+    m = decode.dns_header(decode.dns_payload(decode.decode_packets(splits.read_split(spark, splits.capture_files(spark, path), split=splits.LOOK))))
+    return m.groupBy("ip_type", "is_tcp", "qr").agg(F.count("*").alias("packets"))
+
+
 @query("SELECT CAST(epoch(time_bucket(INTERVAL 1 day, ts)) AS BIGINT) AS interval_start, dstport AS key, count(*) AS n FROM m WHERE NOT is_tcp GROUP BY ALL", "m")
 def darknet_read_back(spark, d):
     """Interval records written as JSON lines by the hour, and a series from them."""

@@ -166,7 +166,8 @@ def _record(us: int, data: bytes) -> bytes:
     return struct.pack("<4I", us // 1_000_000, us % 1_000_000, len(data), len(data)) + data
 
 
-def _file_system(path: str):
+def file_system(path: str):
+    """The file system of a path, and the path in it."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file:{path}")
@@ -211,14 +212,14 @@ class _CaptureReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
-        system, root = _file_system(self.path)
+        system, root = file_system(self.path)
         info = system.get_file_info(root)
         found = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
         # names only, a task for each file
         return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and not x.base_name.startswith(("_", "."))]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        system, _ = _file_system(self.path)
+        system, _ = file_system(self.path)
         kind, rows = pa.timestamp("us", "UTC"), []
         with system.open_input_stream(partition.path, buffer_size=BUFFER, compression=None) as stream:
             for r in records(stream):
@@ -238,7 +239,7 @@ class _CaptureWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        system, root = _file_system(self.path)
+        system, root = file_system(self.path)
         held = f"{root}/_{self.job}"
         system.create_dir(held, recursive=True)
         files: list[tuple[str, str]] = []
@@ -265,7 +266,7 @@ class _CaptureWriter(DataSourceArrowWriter):
         return _Written(files)
 
     def commit(self, messages: list[_Written]) -> None:
-        system, root = _file_system(self.path)
+        system, root = file_system(self.path)
         for m in messages:
             for own, final in m.files if m else ():
                 system.move(own, final)
@@ -274,7 +275,7 @@ class _CaptureWriter(DataSourceArrowWriter):
     def abort(self, messages: list[_Written]) -> None:
         from pyarrow import fs
 
-        system, root = _file_system(self.path)
+        system, root = file_system(self.path)
         if system.get_file_info(f"{root}/_{self.job}").type == fs.FileType.Directory:
             system.delete_dir(f"{root}/_{self.job}")
 
