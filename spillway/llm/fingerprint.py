@@ -136,10 +136,11 @@ def fingerprint_report(docs: DataFrame, id: str = "doc_id", text: str = "text",
     sizes = of_key.select("key", "n")
     n_rows = of_key.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     asks = of_key.select(F.col("key").alias("taker"), F.col("following").alias("key"), "need").join(sizes, "key")
-    # ids that very many rows share, as missing ones do, stay where they are in both joins
+    # ids that very many rows share, as missing ones do, stay where they are in both joins; both take the same
+    # columns of the texts, so the other texts are dealt once
     texts = rows.select("row", "key", "t")
     head = F.substring(F.col("t"), F.lit(1), F.col("need")).alias("head")
-    lent = join_by_key(texts, asks, "key", n_rows).select("taker", F.struct(F.xxhash64("t").alias("h"), head, "key").alias("lent"))
+    lent = join_by_key(texts, asks, "key", n_rows).select("taker", F.struct(F.xxhash64("t").alias("h"), head, "key", "row").alias("lent"))
     lent = lent.groupBy("taker").agg(F.min("lent").alias("lent"))
     lent = lent.withColumnRenamed("taker", "key").join(sizes, "key").select("key", F.col("lent").alias("of"), "n")
     edited = join_by_key(texts, lent, "key", n_rows).select(
