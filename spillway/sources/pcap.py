@@ -22,7 +22,14 @@ from typing import BinaryIO
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    DataSourceStreamArrowWriter,
+    InputPartition,
+    WriterCommitMessage,
+)
 
 from .. import schemas
 
@@ -173,6 +180,19 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file:{path}")
 
 
+def file_names(path: str) -> list[str]:
+    """The file of a path, or all files of a folder by name but those under a name that begins with '_' or '.'."""
+    from pyarrow import fs
+
+    system, root = file_system(path)
+    info = system.get_file_info(root)
+    if info.is_file:
+        return [info.path]
+    found = (x.path for x in system.get_file_info(fs.FileSelector(root, recursive=True)) if x.is_file)
+    own = len(info.path.rstrip("/"))
+    return sorted(x for x in found if not any(part.startswith(("_", ".")) for part in x[own:].split("/")))
+
+
 @dataclass
 class _File(InputPartition):
     path: str
@@ -186,9 +206,11 @@ class _Written(WriterCommitMessage):
 class Captures(DataSource):
     """Format 'captures': .pcap files, streamed when read and rotated when written.
 
-    Options: path; for writing ``interval`` in seconds and ``packets``, after which a task
-    begins another file (0: never).  Files are written beside the others under a name that
-    begins with '_' and take their own name when all tasks are done.
+    Options: path; for writing ``interval`` in seconds, each with files of its own, and
+    ``packets``, after which a task begins another file (0: never).  Files are written beside
+    the others under a name that begins with '_' and take their own name when all tasks are
+    done.  A stream's files are named by their batch, which a note in ``_batches`` ends: a
+    batch that is written once more leaves the files of the first time, or all of its own.
     """
 
     @classmethod
@@ -204,19 +226,17 @@ class Captures(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _CaptureWriter(self.options["path"], int(self.options.get("interval", 0)), int(self.options.get("packets", 0)), uuid.uuid4().hex)
 
+    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamArrowWriter:
+        return _StreamWriter(self.options["path"], int(self.options.get("interval", 0)), int(self.options.get("packets", 0)), uuid.uuid4().hex)
+
 
 class _CaptureReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        from pyarrow import fs
-
-        system, root = file_system(self.path)
-        info = system.get_file_info(root)
-        found = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
         # names only, a task for each file
-        return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and not x.base_name.startswith(("_", "."))]
+        return [_File(x) for x in file_names(self.path)]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(self.path)
@@ -231,54 +251,115 @@ class _CaptureReader(DataSourceReader):
             yield _batch(rows, partition.path, kind)
 
 
+#: Files that a task writes at once: packets of a stream are in no order, so several intervals are open.
+OPEN = 16
+
+
+class _Spool:
+    """Files of one task under names of their own, in the folder of its job."""
+
+    def __init__(self, path: str, interval: int, packets: int, job: str):
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        self.system, root = file_system(path)
+        self.held, self.interval, self.packets = f"{root}/_{job}", interval, packets
+        self.task, self.attempt = context.partitionId(), context.taskAttemptId()
+        self.system.create_dir(self.held, recursive=True)
+        #: (name until all is done, name then, packets) of each file, and those that are open, by interval.
+        self.files: list[list] = []
+        self.open: dict[int, tuple] = {}
+
+    def add(self, us: int, data: bytes) -> None:
+        start = us // 1_000_000 // self.interval * self.interval if self.interval else 0
+        found = self.open.pop(start, None)
+        if found is not None and self.packets and found[1][2] == self.packets:
+            found[0].close()
+            found = None
+        if found is None:
+            if len(self.open) == OPEN:
+                self.open.pop(next(iter(self.open)))[0].close()
+            name = f"{start if self.interval else us // 1_000_000:012d}-{self.task:05d}-{len(self.files):05d}.pcap"
+            file = [f"{self.held}/{self.attempt}-{name}", name, 0]
+            self.files.append(file)
+            found = self.system.open_output_stream(file[0]), file
+            found[0].write(HEADER)
+        found[0].write(_record(us, data))
+        found[1][2] += 1
+        self.open[start] = found  # the last used one is the last to be closed
+
+    def close(self) -> None:
+        while self.open:
+            self.open.popitem()[1][0].close()
+
+
 class _CaptureWriter(DataSourceArrowWriter):
     def __init__(self, path: str, interval: int, packets: int, job: str):
         self.path, self.interval, self.packets, self.job = path, interval, packets, job
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        system, root = file_system(self.path)
-        held = f"{root}/_{self.job}"
-        system.create_dir(held, recursive=True)
-        files: list[tuple[str, str]] = []
-        out, now, n = None, None, 0
+        spool = _Spool(self.path, self.interval, self.packets, self.job)
         try:
             for batch in iterator:
                 times = batch.column("ts").cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_pylist()
                 for us, data in zip(times, batch.column("data").to_pylist()):
-                    start = us // 1_000_000 // self.interval * self.interval if self.interval else us // 1_000_000 if now is None else now
-                    if out is None or start != now or self.packets and n == self.packets:
-                        if out is not None:
-                            out.close()
-                        now, n = start, 0
-                        name = f"{now:012d}-{context.partitionId():05d}-{len(files):05d}.pcap"
-                        own = f"{held}/{context.taskAttemptId()}-{name}"
-                        files.append((own, f"{root}/{self.job[:8]}-{name}"))
-                        out = system.open_output_stream(own)
-                        out.write(HEADER)
-                    out.write(_record(us, data))
-                    n += 1
+                    spool.add(us, data)
         finally:
-            if out is not None:
-                out.close()
-        return _Written(files)
+            spool.close()
+        return _Written([(own, name) for own, name, _ in spool.files])
 
     def commit(self, messages: list[_Written]) -> None:
+        self._move(messages, self.job[:8])
+        self._clear()
+
+    def _move(self, messages: list[_Written], prefix: str) -> None:
         system, root = file_system(self.path)
         for m in messages:
-            for own, final in m.files if m else ():
-                system.move(own, final)
-        self.abort(messages)
+            for own, name in m.files if m else ():
+                system.move(own, f"{root}/{prefix}-{name}")
 
-    def abort(self, messages: list[_Written]) -> None:
+    def _clear(self) -> None:
         from pyarrow import fs
 
         system, root = file_system(self.path)
         if system.get_file_info(f"{root}/_{self.job}").type == fs.FileType.Directory:
             system.delete_dir(f"{root}/_{self.job}")
 
+    def abort(self, messages: list[_Written]) -> None:
+        self._clear()
+
+
+class _StreamWriter(DataSourceStreamArrowWriter):
+    """A batch's files are moved first and noted last, so a batch counts when it is noted."""
+
+    def __init__(self, path: str, interval: int, packets: int, job: str):
+        self.batches = _CaptureWriter(path, interval, packets, job)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        return self.batches.write(iterator)
+
+    def commit(self, messages: list[_Written], batchId: int) -> None:
+        from pyarrow import fs
+
+        system, root = file_system(self.batches.path)
+        note, prefix = f"{root}/_batches/{batchId:012d}", f"batch{batchId:012d}"
+        if system.get_file_info(note).type == fs.FileType.NotFound:
+            # what a commit that did not get to its end has left
+            for x in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+                if x.base_name.startswith(f"{prefix}-"):
+                    system.delete_file(x.path)
+            self.batches._move(messages, prefix)
+            system.create_dir(f"{root}/_batches", recursive=True)
+            with system.open_output_stream(note) as out:
+                out.write(b"done")
+        for folder in {own.rsplit("/", 1)[0] for m in messages if m for own, _ in m.files}:
+            if system.get_file_info(folder).type == fs.FileType.Directory:
+                system.delete_dir(folder)
+        self.batches._clear()
+
+    def abort(self, messages: list[_Written], batchId: int) -> None:
+        self.batches._clear()
+
 
 def read_large(spark: SparkSession, path: str) -> DataFrame:
     """Packets of capture files of any size, read as a stream."""
@@ -293,6 +374,14 @@ def write_captures(packets: DataFrame, folder: str, interval: int = 0, per_file:
     rows.write.format("captures").option("path", folder).option("interval", interval).option("packets", per_file).mode("append").save()
 
 
+def stream_captures_out(packets: DataFrame, folder: str, checkpoint: str, interval: int = 0, per_file: int = 0, every: str | None = None):
+    """A query that writes a stream's packets as .pcap files, other ones with each ``interval`` seconds and after ``per_file`` packets; without ``every`` it ends when all is written."""
+    packets.sparkSession.dataSource.register(Captures)
+    w = packets.select("ts", "feed_id", "caplen", "data").writeStream.format("captures").option("path", folder)
+    w = w.option("interval", interval).option("packets", per_file).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
 def read_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Packets of captures written by write_pcap."""
     files = spark.read.schema("content binary").parquet(folder)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..shared import written
-from .pcap import BUFFER, LARGEST, MAGIC, ROWS, _batch, file_system, records
+from .pcap import BUFFER, LARGEST, MAGIC, ROWS, _batch, file_names, file_system, records
 
 #: Bytes of a range.
 SPLIT = 64 << 20
@@ -340,14 +340,8 @@ def read_split(spark: SparkSession, paths: Iterable[str] | DataFrame, split: int
 
 def capture_files(spark: SparkSession, path: str) -> DataFrame:
     """The files of a folder, or the one file, by name; those that begin with '_' or '.' are left out."""
-    from pyarrow import fs
-
-    system, root = file_system(path)
-    info = system.get_file_info(root)
-    found = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
     scheme = path.split("://", 1)[0] + "://" if "://" in path else ""
-    names = sorted(x.path for x in found if x.is_file and not x.base_name.startswith(("_", ".")))
-    return spark.createDataFrame([(scheme + n,) for n in names], "path string")
+    return spark.createDataFrame([(scheme + n,) for n in file_names(path)], "path string")
 
 
 def read_archives(spark: SparkSession, list_file: str, split: int = SPLIT) -> DataFrame:
