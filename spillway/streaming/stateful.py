@@ -1,125 +1,220 @@
-"""Pairing, reassembly and scans as streams, with one small state for each key and a time limit."""
+"""Pairing, reassembly and scans as streams, by transformWithState: typed state for each key, pruned by event-time timers.
+
+What a key keeps is in states of its own kind: one value (the last query), a map from offset
+to fragment, a map of addresses.  A batch reads and writes the entries that it touches, so
+the cost of a batch follows its rows and not what is kept.  Each key has at most one timer;
+when the watermark passes it, the key's state goes, so what is kept is bounded by what
+came within the time limit.
+
+transformWithState needs Spark's RocksDB state store; each function here chooses it for the
+session.
+"""
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import darknet, match, reassembly
 
 _PAIRS = "client string, qname string, qclass int, qtype int, client_port int, query_id int, query_ts timestamp, response_ts timestamp, q_udp_len int, r_udp_len int"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_pairs(messages: DataFrame, timeout_seconds: int = 30) -> DataFrame:
-    """operators.match.match_qr on a stream: the state is the last query's time and size."""
+def _choose_store(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        out = []
-        held = state.get if state.exists else None
-        for row in pd.concat(list(parts)).sort_values(["ts", "seq"]).itertuples(index=False):
-            if not row.qr:
-                held = (int(row.ts.value), int(row.udp_len))
-            else:
-                if held is not None and row.ts.value - held[0] <= timeout_seconds * 1_000_000_000:
-                    out.append((*key, pd.Timestamp(held[0]), row.ts, held[1], int(row.udp_len)))
-                held = None
-        if held is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(held)
-            state.setTimeoutTimestamp(max(held[0] // 1_000_000 + timeout_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _PAIRS.split(", ")])
 
+def _rows(rows: list[tuple], schema: str) -> Iterator[pd.DataFrame]:
+    """One frame of some rows, none of none; texts and bytes as plain objects."""
+    if rows:
+        kinds = dict(c.split() for c in schema.split(", "))
+        columns = zip(*rows)
+        yield pd.DataFrame({c: pd.Series(list(v), dtype=object if k in ("string", "binary") else None) for (c, k), v in zip(kinds.items(), columns)})
+
+
+class _Timed(StatefulProcessor):
+    """A key with one timer."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def close(self) -> None:
+        pass
+
+    def set_timer(self, at_ms: int, now_ms: int) -> None:
+        """The only timer of this key; not in the past, as it would never be called."""
+        self.clear_timer()
+        self.handle.registerTimer(max(at_ms, now_ms + 1))
+
+    def clear_timer(self) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+
+
+class _Pairs(_Timed):
+    def __init__(self, timeout_seconds: int):
+        self.timeout = timeout_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.held = handle.getValueState("held", "at long, size long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        m = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        at, qr, size = m["ts"].astype("datetime64[us]").astype("int64"), m["qr"].astype(bool), m["udp_len"].astype("int64")
+        kept = self.held.get() if self.held.exists() else None
+        # each message with the one before it; the first with what is kept
+        before = pd.DataFrame({"at": at.shift(), "size": size.shift(), "asks": (~qr).shift(fill_value=False)})
+        if kept is not None:
+            before.iloc[0] = (kept[0], kept[1], True)
+        met = (qr & before["asks"].astype(bool) & (at - before["at"] <= self.timeout * 1_000_000)).to_numpy()
+        if not qr.iloc[-1]:
+            self.held.update((int(at.iloc[-1]), int(size.iloc[-1])))
+            self.set_timer(int(at.iloc[-1]) // 1000 + self.timeout * 1000, timerValues.getCurrentWatermarkInMs())
+        elif kept is not None:
+            self.held.clear()
+            self.clear_timer()
+        query = pd.to_datetime(before["at"][met].astype("int64"), unit="us")
+        found = zip(query, m["ts"][met], before["size"][met].astype("int64").tolist(), size[met].tolist())
+        yield from _rows([(*key, *x) for x in found], _PAIRS)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield from ()
+
+
+def stream_pairs(messages: DataFrame, timeout_seconds: int = 30) -> DataFrame:
+    """operators.match.match_qr on a stream: a key keeps its last query's time and size, for so long."""
+    _choose_store(messages.sparkSession)
     m = match.keyed(messages).select(*match.KEY, "qr", F.col("ts").cast("timestamp").alias("ts"), "seq", "udp_len")
     m = m.withWatermark("ts", f"{timeout_seconds} seconds").groupBy(*match.KEY)
-    return m.applyInPandasWithState(step, _PAIRS, "at long, size long", "append", GroupStateTimeout.EventTimeTimeout)
+    return m.transformWithStateInPandas(_Pairs(timeout_seconds), _PAIRS, "append", "eventTime")
 
 
-def stream_reassembly(fragments: DataFrame, timeout_seconds: int = 30) -> DataFrame:
-    """Fragments (ts, src_addr, dst_addr, ip_proto, frag_id, fragment_ofs, more_frags, segment) as whole packets (key, ts, segment)."""
-    schema = "src_addr binary, dst_addr binary, ip_proto smallint, frag_id long, ts timestamp, segment binary"
+_PACKETS = "src_addr binary, dst_addr binary, ip_proto smallint, frag_id long, ts timestamp, segment binary"
+
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        buffer = reassembly.Buffer(*pickle.loads(state.get[0])) if state.exists else None
+class _Reassembly(_Timed):
+    def __init__(self, timeout_seconds: int):
+        self.timeout = timeout_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.packet = handle.getValueState("packet", "start double, size long")
+        self.parts = handle.getMapState("parts", "ofs long", "segment binary")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        buffer, held = None, set()
+        if self.packet.exists():
+            start, size = self.packet.get()
+            buffer = reassembly.Buffer(start, {k[0]: bytes(v[0]) for k, v in self.parts.iterator()}, size)
+            held = set(buffer.parts)
+        f = pd.concat(list(rows)).sort_values(["ts", "fragment_ofs"], kind="stable")
         out = []
-        for row in pd.concat(list(parts)).sort_values(["ts", "fragment_ofs"], kind="stable").itertuples(index=False):
-            now = row.ts.timestamp()
-            if buffer is None or now - buffer.start > timeout_seconds:
+        # as many steps as one packet has fragments
+        for ts, ofs, more, segment in zip(f["ts"], f["fragment_ofs"].tolist(), f["more_frags"].tolist(), f["segment"].tolist()):
+            now = ts.timestamp()
+            if buffer is None or now - buffer.start > self.timeout:
                 buffer = reassembly.Buffer(now)
-            whole = buffer.add(int(row.fragment_ofs), bool(row.more_frags), bytes(row.segment))
+                self._forget(held)
+            whole = buffer.add(int(ofs), bool(more), bytes(segment))
             if whole is not None:
-                out.append((*key, row.ts, whole))
+                out.append((*key, ts, whole))
                 buffer = None
+                self._forget(held)
         if buffer is None:
-            if state.exists:
-                state.remove()
+            self.packet.clear()
+            self.clear_timer()
         else:
-            state.update((pickle.dumps((buffer.start, buffer.parts, buffer.size)),))
-            state.setTimeoutTimestamp(max(int((buffer.start + timeout_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+            self.packet.update((buffer.start, buffer.size))
+            for ofs in buffer.parts.keys() - held:  # fragments that are kept already are not written again
+                self.parts.updateValue((ofs,), (buffer.parts[ofs],))
+            self.set_timer(int((buffer.start + self.timeout) * 1000), timerValues.getCurrentWatermarkInMs())
+        yield from _rows(out, _PACKETS)
+
+    def _forget(self, held: set) -> None:
+        if held:
+            self.parts.clear()
+            held.clear()
 
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.packet.clear()
+        self.parts.clear()
+        yield from ()
+
+
+def stream_reassembly(fragments: DataFrame, timeout_seconds: int = 30) -> DataFrame:
+    """Fragments (ts, src_addr, dst_addr, ip_proto, frag_id, fragment_ofs, more_frags, segment) as whole packets (key, ts, segment)."""
+    _choose_store(fragments.sparkSession)
     grouped = fragments.withWatermark("ts", f"{timeout_seconds} seconds").groupBy(*reassembly.KEY)
-    return grouped.applyInPandasWithState(step, schema, "buffer binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return grouped.transformWithStateInPandas(_Reassembly(timeout_seconds), _PACKETS, "append", "eventTime")
 
 
 _SCANS = "key string, ip_count long, saturated boolean, seen long, first_seen timestamp, last_seen timestamp"
 
 
-def stream_scans(dns: DataFrame, low: int, high: int, query_threshold: int = 1, prune_interval: int = 600, keep: int = 86_400, late: str = "30 seconds") -> DataFrame:
-    """operators.darknet.scans on an endless stream, in update mode: a key's row each time it is asked beyond the threshold.
+class _Scans(_Timed):
+    def __init__(self, threshold: int, prune_seconds: int, keep_seconds: int):
+        self.threshold, self.prune, self.keep = threshold, prune_seconds, keep_seconds
 
-    A key below the threshold is forgotten 60 seconds after it was first seen if it has one
-    address, else after ``prune_interval`` seconds; a key above it ``keep`` seconds after it
-    was last seen.  The state of a key is at most SATURATED addresses, and none from there on:
-    how many there are beyond comes from ``scan_sketches``.
-    """
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.totals = handle.getValueState("totals", "count long, seen long, first long, last long")
+        self.addresses = handle.getMapState("addresses", "address long", "seen boolean")
+
+    def limit_ms(self, count: int, first: int, last: int) -> int:
+        if count > self.threshold:
+            return last // 1000 + 1000 * self.keep
+        return first // 1000 + 1000 * (60 if count == 1 else self.prune)
 
-    def limit_ms(count: int, first: int, last: int) -> int:
-        if count > query_threshold:
-            return last // 1_000_000 + 1000 * keep
-        return first // 1_000_000 + 1000 * (60 if count == 1 else prune_interval)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        addresses, full, seen, first, last = set(), False, 0, None, None
-        if state.exists:
-            raw, full, seen, first, last = state.get
-            addresses = set(np.frombuffer(raw, "<i8").tolist())
-            if limit_ms(darknet.SATURATED if full else len(addresses), first, last) <= state.getCurrentWatermarkMs():
-                addresses, full, seen, first, last = set(), False, 0, None, None
-        for part in parts:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        count, seen, first, last = self.totals.get() if self.totals.exists() else (0, 0, None, None)
+        if first is not None and self.limit_ms(count, first, last) <= now:
+            self.addresses.clear()
+            count, seen, first, last = 0, 0, None, None
+        for part in rows:
             seen += len(part)
-            a, b = part["ts"].min().value, part["ts"].max().value
+            at = part["ts"].astype("datetime64[us]").astype("int64")
+            a, b = int(at.min()), int(at.max())
             first, last = (a, b) if first is None else (min(first, a), max(last, b))
-            if not full:
-                addresses |= set(part["dst_v4"].tolist())
-                full = len(addresses) >= darknet.SATURATED
+            for address in part["dst_v4"].unique().tolist():
+                if count >= darknet.SATURATED:
+                    break
+                if not self.addresses.containsKey((address,)):
+                    self.addresses.updateValue((address,), (True,))
+                    count += 1
+        full = count >= darknet.SATURATED
         if full:
-            addresses = set()
-        count = darknet.SATURATED if full else len(addresses)
-        state.update((np.array(sorted(addresses), "<i8").tobytes(), full, seen, first, last))
-        state.setTimeoutTimestamp(max(limit_ms(count, first, last), state.getCurrentWatermarkMs() + 1))
-        out = [(*key, count, full, seen, pd.Timestamp(first), pd.Timestamp(last))] if count > query_threshold else []
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCANS.split(", ")])
+            self.addresses.clear()
+        self.totals.update((count, seen, first, last))
+        self.set_timer(self.limit_ms(count, first, last), now)
+        out = [(*key, count, full, seen, pd.Timestamp(first, unit="us"), pd.Timestamp(last, unit="us"))] if count > self.threshold else []
+        yield from _rows(out, _SCANS)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.totals.clear()
+        self.addresses.clear()
+        yield from ()
+
+
+def stream_scans(dns: DataFrame, low: int, high: int, query_threshold: int = 1, prune_interval: int = 600, keep: int = 86_400, late: str = "30 seconds") -> DataFrame:
+    """operators.darknet.scans on an endless stream, in update mode: a key's row each time it is asked beyond the threshold.
 
+    A key below the threshold is forgotten 60 seconds after it was first seen if it has one
+    address, else after ``prune_interval`` seconds; a key above it ``keep`` seconds after it
+    was last seen.  A key keeps at most SATURATED addresses, and none from there on: how many
+    there are beyond comes from ``scan_sketches``.
+    """
+    _choose_store(dns.sparkSession)
     q = darknet.scan_queries(dns, low, high).select("key", F.col("dst_v4").cast("long").alias("dst_v4"), F.col("ts").cast("timestamp").alias("ts"))
     q = q.withWatermark("ts", late).groupBy("key")
-    return q.applyInPandasWithState(step, _SCANS, "addresses binary, saturated boolean, seen long, first long, last long", "update", GroupStateTimeout.EventTimeTimeout)
+    return q.transformWithStateInPandas(_Scans(query_threshold, prune_interval, keep), _SCANS, "update", "eventTime")
 
 
 def scan_sketches(dns: DataFrame, low: int, high: int, interval: str = "1 hour") -> DataFrame:

@@ -1,5 +1,7 @@
 """Streams give the rows of batches."""
 
+import json
+
 from spillway import fixtures as fx
 from spillway.operators import darknet, match, popularity, reassembly, traffic
 from spillway.streaming import stateful, windows
@@ -80,6 +82,36 @@ def test_scans_forget_what_was_asked_once(spark, tmp_path):
     assert [(r.key[0], r.ip_count, r.seen) for r in got] == [("b", 2, 2)]
 
 
+def test_state_is_pruned_by_timers(spark, tmp_path):
+    """Over ten batches far apart each key is forgotten in time, so what is kept does not grow with the stream."""
+    schema = "second long, qname string, dst_v4 long"
+    for n in range(10):
+        rows = [(n * 2000 + k, f"n{n}k{k}.", a) for k in range(8) for a in range(1 + k % 3)]
+        df = spark.createDataFrame(rows, schema).selectExpr("timestamp_seconds(1700000000 + second) ts", "second seq", "qname", "dst_v4", "false qr", "4 ip_type", "1 qclass", "1 qtype", "false has_edns0", "'c' ip_src", "'s' ip_dst", "1000 srcport", "53 dstport", "7 query_id", "50 udp_len")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for name, stream, mode in (("scans", stateful.stream_scans(source, 0, 10, 2, 600, 600), "update"), ("pairs", stateful.stream_pairs(source), "append")):
+        q = windows.run(stream, lambda df, _: df.count(), str(tmp_path / name), mode)
+        q.awaitTermination(240)
+        rows_kept = [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in (json.loads(x.json) if hasattr(x, "json") and isinstance(x.json, str) else x for x in q.recentProgress)]
+        most = max(rows_kept)
+        assert len(rows_kept) >= 10 and 0 < most <= 2 * max(rows_kept[:3]) and rows_kept[-1] <= most, (name, rows_kept)
+
+
+def test_a_stream_of_pairs_goes_on_after_a_restart(spark, tmp_path):
+    """Query and response in files of different runs of one checkpoint."""
+    def message(qr, second, size):
+        side = "'s' ip_src, 'c' ip_dst, 53 srcport, 1000 dstport" if qr else "'c' ip_src, 's' ip_dst, 1000 srcport, 53 dstport"
+        return spark.range(1).selectExpr(f"timestamp_seconds(1700000000 + {second}) ts", f"cast({second} as long) seq", f"{str(qr).lower()} qr", "'a.' qname", "1 qclass", "1 qtype", "7 query_id", f"{size} udp_len", side.split(", ")[0], *side.split(", ")[1:])
+
+    message(False, 0, 40).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = lambda: stateful.stream_pairs(spark.readStream.schema(message(False, 0, 40).schema).parquet(str(tmp_path / "in")))
+    assert collect(spark, source(), tmp_path) == []
+    message(True, 3, 90).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = collect(spark, source(), tmp_path)
+    assert [(r.q_udp_len, r.r_udp_len, (r.response_ts - r.query_ts).seconds) for r in got] == [(40, 90, 3)]
+
+
 def test_every_interval_at_the_end_of_a_stream(spark, sf_dir, tmp_path):
     m = fx.dns_message_lists(spark, sf_dir)
     m = m.withColumn("ts", m["ts"].cast("timestamp"))
