@@ -44,6 +44,47 @@ def ip_to_country(spark, d):
     return enrich.with_country(fx.dns_queries(spark, d), "src_v4", fx.ip4_to_location(spark, d)).select("seq", "country")
 
 
+def _six(spark, d):
+    """Queries over IPv6 with their source as 16 bytes."""
+    digits = lambda n: F.lpad(F.regexp_extract("ip_src", "^2001:db8:1:([0-9]+)::([0-9]+)$", n), 4, "0")
+    q = fx.dns_queries(spark, d).where("ip_type = 6")
+    return q.withColumn("src6", F.unhex(F.concat(F.lit("20010db80001"), digits(1), F.lit("000000000000"), digits(2))))
+
+
+def _words(table, low, size):
+    """A table of four-word ranges below 2001:db8:1::, from the third word on, whose size ends the third word or spans several."""
+    third = F.lit(0x00010000) + F.expr(low)
+    last = third + F.expr(size)
+    words = {"from_i4": F.lit(0x20010DB8), "from_i3": third, "from_i2": F.lit(0), "from_i1": F.lit(0), "to_i4": F.lit(0x20010DB8), "to_i3": last, "to_i2": F.lit(0xFFFFFFFF), "to_i1": F.lit(0xFFFFFFFF)}
+    return enrich.from_words(table.withColumns(words))
+
+
+_SIX = """s AS (SELECT seq, CAST(concat('0x', lpad(regexp_extract(ip_src, '^2001:db8:1:([0-9]+)', 1), 4, '0')) AS BIGINT) AS a FROM q WHERE ip_type = 6)"""
+
+
+@query(
+    f"""WITH {_SIX}, t AS (SELECT s_suppkey % 97 AS lo, s_suppkey % 97 + CASE WHEN s_suppkey % 4 = 1 THEN 24 ELSE 5 END AS hi, 48 + s_suppkey % 97 % 7 AS prefix, s_suppkey FROM supplier),
+u AS (SELECT seq, (SELECT max(lo) FROM t WHERE a BETWEEN lo AND hi) AS f, a FROM s)
+SELECT seq, (SELECT max(48 + lo % 7) FROM t WHERE lo = f AND a <= hi) AS as_prefix FROM u""",
+    "q",
+)
+def ip6_to_as(spark, d):
+    """Nested IPv6 ranges in four words."""
+    t = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (48 + F.col("s_suppkey") % 97 % 7).alias("prefix"), F.lit("AS").alias("as_single"), "s_name")
+    t = _words(t.withColumnRenamed("s_name", "as_full"), "s_suppkey % 97", "case when s_suppkey % 4 = 1 then 24 else 5 end")
+    return enrich.with_asn(_six(spark, d), "src6", t).select("seq", "as_prefix")
+
+
+@query(
+    f"""WITH {_SIX}, t AS (SELECT n_nationkey * 4 AS lo, n_nationkey * 4 + 2 AS hi, n_name FROM nation), u AS (SELECT seq, a, (SELECT max(lo) FROM t WHERE lo <= a) AS f FROM s)
+SELECT seq, CASE WHEN a <= hi THEN n_name END AS country FROM u LEFT JOIN t ON f = lo""",
+    "q",
+)
+def ip6_to_country(spark, d):
+    t = _words(spark.read.parquet(f"{d}/nation.parquet"), "n_nationkey * 4", "2").withColumnRenamed("n_name", "country")
+    return enrich.with_country(_six(spark, d), "src6", t).select("seq", "country")
+
+
 @query("SELECT seq, CASE WHEN ip_src LIKE '10.1%' THEN 'auth' ELSE 'client' END AS role FROM q WHERE qname LIKE '%signup.example.'", "q")
 def auth_vs_client(spark, d):
     q = fx.dns_queries(spark, d)

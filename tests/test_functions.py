@@ -3,6 +3,8 @@
 import ipaddress
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from spillway import sinks
@@ -63,6 +65,42 @@ def test_lookups_of_sixteen_bytes_against_brute_force(spark):
     assert len(got) == len(points)
 
 
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("limit", [1_000_000, 3])
+def test_sweeps_of_both_address_kinds_against_brute_force(spark, monkeypatch, wide, limit):
+    """Sent to all tasks, and dealt by range with open ranges handed on."""
+    monkeypatch.setattr(enrich, "RANGES", limit)
+    rng = random.Random(5)
+    top = (1 << 128) - 1 if wide else (1 << 32) - 1
+    shift = 96 if wide else 0
+    ranges = [(0, top, 0, "all", "everything")]
+    for i in range(150):
+        a = rng.randrange(1 << 32)
+        b = min((1 << 32) - 1, a + rng.choice([0, 5, 1 << 16, 1 << 24, 1 << 29]))
+        ranges.append((a << shift, (b << shift) + rng.randrange(1 << shift) if wide else b, rng.randrange(33), f"AS{i}", f"name {i}"))
+    ranges.append((ranges[7][0], ranges[7][1] + 9, ranges[7][2] + 40, "ASX", "twin"))
+    ends = [x for r in ranges for x in (r[0], r[0] - 1, r[1], r[1] + 1)]
+    points = [x for x in ends if 0 <= x <= top] + [rng.randrange(top) for _ in range(200)] + [ranges[3][0]] * 300 + [0, top, None, None]
+    pack = (lambda n: n if n is None else bytearray(n.to_bytes(16, "big"))) if wide else lambda n: n
+    kind = "binary" if wide else "long"
+    table = spark.createDataFrame([(pack(a), pack(b), p, s, f) for a, b, p, s, f in ranges], f"from_ip {kind}, to_ip {kind}, prefix int, as_single string, as_full string")
+    asked = spark.createDataFrame([(i, pack(n)) for i, n in enumerate(points)], f"i int, a {kind}").repartition(3)
+    got = {r.i: r.as_short for r in enrich.with_asn(asked, "a", table).collect()}
+    nearest = {r.i: r.country for r in enrich.with_country(asked, "a", table.withColumnRenamed("as_single", "country")).collect()}
+    assert len(got) == len(nearest) == len(points)
+    for i, n in enumerate(points):
+        best = max(((a, p, s) for a, b, p, s, _ in ranges if n is not None and a <= n <= b), default=(0, 0, None))
+        assert got[i] == best[2]
+        last = max(((a, b, s) for a, b, _, s, _ in ranges if n is not None and a <= n), default=None)
+        assert nearest[i] == (last[2] if last and n <= last[1] else None)
+    blocks = table.selectExpr("try_cast(substring(as_single, 3) as int) ord", "from_ip lo", "to_ip hi", "as_full descr").where("ord is not null")
+    if wide:
+        first = {r.i: r.cidr_desc for r in enrich.cidr_match(asked, "a", blocks).collect()}
+        for i, n in enumerate(points):
+            assert first[i] == min(((int(s[2:]), f) for a, b, _, s, f in ranges if s[2:].isdigit() and n is not None and a <= n <= b), default=(0, None))[1]
+    assert enrich.with_asn(asked, "a", table.limit(0)).where("as_short is not null").count() == 0
+
+
 def test_nearest_country_misses_wider_ranges(spark):
     table = spark.createDataFrame([(10, 100, "wide"), (20, 30, "near")], "from_ip long, to_ip long, country string")
     got = dict(enrich.with_country(spark.createDataFrame([(5,), (15,), (25,), (50,)], "a long"), "a", table).collect())
