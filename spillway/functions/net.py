@@ -117,7 +117,8 @@ def ip6_text(c: Column | str) -> Column:
 
 
 def mac_text(c: Column | str) -> Column:
-    return F.regexp_replace(F.hex(_col(c)), r"(..)(?=.)", "$1:")
+    digits = F.hex(_col(c))
+    return F.concat_ws(":", *(F.substring(digits, at, 2) for at in range(1, 12, 2)))
 
 
 def hex_text(c: Column | str) -> Column:

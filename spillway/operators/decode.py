@@ -31,8 +31,8 @@ CHAIN = 16
 def number(data: Column | str, at: Column | int, size: int) -> Column:
     """Big-endian number of ``size`` bytes at a 0-based place; null beyond the end."""
     data = F.col(data) if isinstance(data, str) else data
-    part = F.substring(data, F.lit(at) + 1 if isinstance(at, int) else at.cast("int") + 1, F.lit(size))
-    return F.when(F.octet_length(part) == size, F.conv(F.hex(part), 16, 10).cast("long"))
+    at = F.lit(at) if isinstance(at, int) else at.cast("int")
+    return F.when(F.octet_length(data) >= at + size, F.conv(F.hex(F.substring(data, at + 1, F.lit(size))), 16, 10).cast("long"))
 
 
 def part(data: Column | str, at: Column | int, size: Column | int | None = None) -> Column:
@@ -78,11 +78,13 @@ def _ipv6_chain() -> Column:
 
 def internet(df: DataFrame) -> DataFrame:
     """Adds the IP columns and ``segment``, the bytes behind the IP header; rows that are no sound IP have ip_type null."""
-    ihl = number("ip", 0, 1).bitwiseAND(F.lit(15)) * 4
-    version = F.shiftright(number("ip", 0, 1), 4)
+    # numbers that are used more than once are columns of their own, so that they are worked out once
+    df = df.withColumns({"_first": number("ip", 0, 1), "_frag": number("ip", 6, 2)})
+    ihl = F.col("_first").bitwiseAND(F.lit(15)) * 4
+    version = F.shiftright(F.col("_first"), 4)
     is4 = (F.col("eth_type") == IPV4) & (version == 4) & (ihl >= 20) & (F.octet_length("ip") >= ihl)
     is6 = (F.col("eth_type") == IPV6) & (version == 6) & (F.octet_length("ip") >= 40)
-    frag = number("ip", 6, 2)
+    frag = F.col("_frag")
     df = _settled(df.withColumns({"ip_type": F.when(is4, 4).when(is6, 6), "_six": F.when(is6, _ipv6_chain())}))
     endless = (F.col("ip_type") == 6) & F.col("_six.nh").isin(FRAGMENT, *STEPPED)
     df = df.withColumn("ip_type", F.when(~F.coalesce(endless, F.lit(False)), F.col("ip_type")))
@@ -101,12 +103,19 @@ def internet(df: DataFrame) -> DataFrame:
             "segment": F.when(F.col("ip_type").isNotNull(), part("ip", head, F.greatest(F.when(total > 0, total).otherwise(F.octet_length("ip")) - head, F.lit(0)))),
         }
     )
-    text = lambda c: F.when(four, net.ip4_to_text(net.ip4_from_bytes(c))).when(F.col("ip_type") == 6, net.ip6_text(c))
-    return _settled(_settled(df).withColumns({"ip_src": text("src_addr"), "ip_dst": text("dst_addr")})).drop("_six", "ip")
+    return _settled(df).drop("_six", "ip", "_first", "_frag")
+
+
+def with_text(df: DataFrame) -> DataFrame:
+    """Adds ip_src and ip_dst, the addresses as text; a filter on other columns goes below."""
+    four = F.col("ip_type") == 4
+    df = df.withColumns({f"_{c}": F.when(four, net.ip4_from_bytes(f"{c}_addr")) for c in ("src", "dst")})
+    text = lambda c: F.when(four, net.ip4_to_text(f"_{c}")).when(F.col("ip_type") == 6, net.ip6_text(f"{c}_addr"))
+    return df.withColumns({f"ip_{c}": text(c) for c in ("src", "dst")}).drop("_src", "_dst")
 
 
 def transport(df: DataFrame) -> DataFrame:
-    """Adds ports, UDP length, TCP and ICMP fields and ``payload``; first fragments and whole packets only have them."""
+    """Adds ports, UDP length, TCP and ICMP fields and ``payload``, which first fragments and whole packets only have, and addresses as text."""
     s = F.octet_length("segment")
     first = F.coalesce(F.col("fragment_ofs") == 0, F.lit(False))
     udp = first & (F.col("ip_proto") == UDP) & (s >= 8)
@@ -121,7 +130,7 @@ def transport(df: DataFrame) -> DataFrame:
         "icmp_type": F.when(icmp, number("segment", 0, 1)).cast("smallint"), "icmp_code": F.when(icmp, number("segment", 1, 1)).cast("smallint"),
         "payload": F.when(udp, part("segment", 8)).when(tcp, part("segment", offset)).when(icmp, part("segment", 4)),
     }
-    return _settled(df.withColumns(out))
+    return with_text(_settled(df.withColumns(out)))
 
 
 def decode_packets(packets: DataFrame) -> DataFrame:
@@ -145,12 +154,13 @@ def dns_payload(df: DataFrame, port: int = 53) -> DataFrame:
 
 def dns_header(df: DataFrame) -> DataFrame:
     """Adds query_id, flags, opcode, rcode and the record counts."""
-    f = number("payload", 2, 2)
+    df = df.withColumn("_flags", number("payload", 2, 2))
+    f = F.col("_flags")
     bits = {"qr": 15, "aa": 10, "tc": 9, "rd": 8, "ra": 7, "ad": 5, "cd": 4}
     out = {"query_id": number("payload", 0, 2).cast("int")} | {k: net.flag(f, b) for k, b in bits.items()}
     out |= {"opcode": F.shiftright(f, 11).bitwiseAND(F.lit(15)).cast("tinyint"), "rcode": f.bitwiseAND(F.lit(15)).cast("tinyint")}
     out |= {c: number("payload", 6 + 2 * i, 2).cast("int") for i, c in enumerate(("ans_count", "aut_count", "add_count"))}
-    return df.withColumns(out)
+    return df.withColumns(out).drop("_flags")
 
 
 def decode_dns(packets: DataFrame, sections: tuple[str, ...] = ("answers", "authorities", "additionals", "edns0"), lower: bool = False, keep_malformed: bool = False, port: int = 53) -> DataFrame:
@@ -159,9 +169,10 @@ def decode_dns(packets: DataFrame, sections: tuple[str, ...] = ("answers", "auth
     qname, qtype and qclass are those of the first question.  Malformed messages are left
     out unless asked for.
     """
-    df = dns_header(dns_payload(packets, port))
+    df = dns_payload(packets, port)
     wanted = frozenset(sections)
-    fields = StructType.fromDDL(schemas.SECTIONS)
+    # the header's numbers are read with the sections, in the same pass over a batch
+    fields = StructType.fromDDL(f"{schemas.HEADER}, {schemas.SECTIONS}")
     types = {f.name: to_arrow_type(f.dataType) for f in fields}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,9 @@
 PACKETS = "ts timestamp, feed_id string, caplen int, data binary"
 QUESTION = "struct<qname:string,qtype:int,qclass:int>"
 RECORD = "struct<name:string,type:int,class:int,ttl:bigint,rdata_len:int,rdata:binary,rdata_txt:string,rdata_list:array<string>>"
+HEADER = (
+    "query_id int, qr boolean, aa boolean, tc boolean, rd boolean, ra boolean, ad boolean, cd boolean, opcode tinyint, rcode tinyint, ans_count int, aut_count int, add_count int"
+)
 SECTIONS = (
     f"is_valid boolean, is_partial boolean, parse_error string, questions array<{QUESTION}>, answers array<{RECORD}>, authorities array<{RECORD}>, additionals array<{RECORD}>, "
     "has_edns0 boolean, edns0_version int, edns0_max_size int, edns0_do boolean, edns0_rcode int, has_ecs boolean, ecs_family int, ecs_src_scope int, ecs_res_scope int, ecs_addr binary, has_exp_opt boolean"
