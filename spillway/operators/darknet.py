@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import net
+from . import enrich
 
 #: Addresses up to which a scan's destinations are counted exactly.
 SATURATED = 256
@@ -27,11 +30,21 @@ def identification(packets: DataFrame, interval: str = "300 seconds", column: st
     return p.groupBy("interval_start", "ipid").agg(F.count("*").alias("seen_count"), _distinct("ip_dst", exact).alias("ips_prob_count"))
 
 
+def scan_queries_of_blocks(dns: DataFrame, blocks: DataFrame, address: str = "dst_addr") -> DataFrame:
+    """key, dst (the address) and ts of queries with a question to any of the blocks (ord, lo, hi, descr) of the address's own kind."""
+    q = dns.where(~F.col("qr") & F.col("qname").isNotNull() & F.col(address).isNotNull())
+    q = enrich.cidr_match(q, address, blocks, "_block").where("_block is not null")
+    return q.select(_key().alias("key"), F.col(address).alias("dst"), "ts")
+
+
+def _key() -> Column:
+    return F.format_string("%s_%05d_%05d_%d", "qname", "qclass", "qtype", F.col("has_edns0").cast("int"))
+
+
 def scan_queries(dns: DataFrame, low: int, high: int) -> DataFrame:
     """key (name, class and type as five digits, 1 with EDNS0), dst_v4 and ts of queries with a question to [low, high]."""
     q = dns.where(~F.col("qr") & F.col("qname").isNotNull() & (F.col("ip_type") == 4) & F.col("dst_v4").between(low, high))
-    key = F.format_string("%s_%05d_%05d_%d", "qname", "qclass", "qtype", F.col("has_edns0").cast("int"))
-    return q.select(key.alias("key"), "dst_v4", "ts")
+    return q.select(_key().alias("key"), "dst_v4", "ts")
 
 
 def scans(dns: DataFrame, low: int, high: int, query_threshold: int = 1) -> DataFrame:
@@ -40,10 +53,22 @@ def scans(dns: DataFrame, low: int, high: int, query_threshold: int = 1) -> Data
     ip_count is exact below SATURATED addresses; from there ``saturated`` is set and ``approx``
     has the estimate, else 0.
     """
-    q = scan_queries(dns, low, high)
+    return _scans(scan_queries(dns, low, high).withColumnRenamed("dst_v4", "dst"), query_threshold)
+
+
+def scans_of_blocks(dns: DataFrame, blocks: list[tuple[str, DataFrame]], query_threshold: int = 1) -> DataFrame:
+    """``scans`` over sets of blocks: (address column, blocks) of IPv4 numbers, of 16 bytes, or of both; a key's addresses of all count."""
+    parts = []
+    for address, of in blocks:
+        q = scan_queries_of_blocks(dns, of, address)
+        parts.append(q.withColumn("dst", F.hex("dst")))
+    return _scans(reduce(DataFrame.unionByName, parts), query_threshold)
+
+
+def _scans(q: DataFrame, query_threshold: int) -> DataFrame:
     # one row for each question and address first, so the distinct count is a plain one
-    one = q.groupBy("key", "dst_v4").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
-    out = one.groupBy("key").agg(F.count("*").alias("exact"), F.approx_count_distinct("dst_v4", 0.0087).alias("estimate"), F.sum("n").alias("seen"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"))
+    one = q.groupBy("key", "dst").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    out = one.groupBy("key").agg(F.count("*").alias("exact"), F.approx_count_distinct("dst", 0.0087).alias("estimate"), F.sum("n").alias("seen"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"))
     full = F.col("exact") >= SATURATED
     return out.where(F.col("exact") > query_threshold).select(
         "key", F.least("exact", F.lit(SATURATED)).cast("long").alias("ip_count"), full.alias("saturated"), F.when(full, F.col("estimate")).otherwise(0).cast("long").alias("approx"), "seen", "first_seen", "last_seen"

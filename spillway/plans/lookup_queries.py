@@ -158,6 +158,24 @@ def darknet_scans(spark, d):
     return darknet.scans(q, 167772160, 167822160, 2)
 
 
+@query(
+    f"""WITH {_SIX}, v AS (SELECT q.*, 167772160 + (q.seq * 7919) % 16777216 AS v, s.a FROM q LEFT JOIN s USING (seq)),
+n AS (SELECT n_nationkey AS n, 167772160 + n_nationkey * 655360 AS lo, 167772160 + n_nationkey * 655360 + 131071 AS hi FROM nation),
+x AS (SELECT printf('%s_%05d_%05d_%d', qname, qclass, qtype, CAST(has_edns0 AS INTEGER)) AS key, CASE WHEN ip_type = 4 THEN v ELSE -a END AS dst, ts FROM v
+  WHERE NOT qr AND (ip_type = 4 AND EXISTS (SELECT 1 FROM n WHERE v BETWEEN lo AND hi AND lo % 131072 = 0 AND n % 2 = 0) OR ip_type = 6 AND EXISTS (SELECT 1 FROM n WHERE a BETWEEN n * 4 AND n * 4 + 2))),
+g AS (SELECT key, count(DISTINCT dst) AS e, count(*) AS seen, min(ts) AS first_seen, max(ts) AS last_seen FROM x GROUP BY 1 HAVING count(DISTINCT dst) > 1)
+SELECT key, e AS ip_count, false AS saturated, CAST(0 AS BIGINT) AS approx, seen, first_seen, last_seen FROM g""",
+    "q",
+)
+def darknet_scans_of_blocks(spark, d):
+    """Blocks of both IP versions, several of each."""
+    q = fx.dns_queries(spark, d).withColumn("dst4", F.when(F.col("ip_type") == 4, 167772160 + (F.col("seq") * 7919) % 16777216))
+    q = q.join(_six(spark, d).select("seq", "src6"), "seq", "left")
+    four = fx.cidr_blocks(spark, d).where("ord % 2 = 0 and ord < 100")
+    six = _words(spark.read.parquet(f"{d}/nation.parquet"), "n_nationkey * 4", "2").select(F.col("n_nationkey").alias("ord"), F.col("from_ip").alias("lo"), F.col("to_ip").alias("hi"), F.col("n_name").alias("descr"))
+    return darknet.scans_of_blocks(q, [("dst4", four), ("src6", six)])
+
+
 @query(
     """WITH x AS (SELECT CASE WHEN seq % 2 = 0 THEN 'all.example.' ELSE qname END AS name, seq FROM q),
 g AS (SELECT printf('%s_%05d_%05d_%d', name, 1, 1, 1) AS key, count(DISTINCT seq) AS e, count(*) AS seen FROM x GROUP BY 1 HAVING count(DISTINCT seq) > 2)

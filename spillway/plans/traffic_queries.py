@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from .. import sinks
 from ..functions import net
-from ..operators import filters, popularity, resolver, traffic, unique
+from ..operators import filters, popularity, resolver, rollups, traffic, unique
 from .sql import DAY, HOUR, codes_sql, query
 
 _USABLE = "is_valid AND NOT is_partial"
@@ -514,6 +514,67 @@ def filtered_queries(spark, d):
     return filters.by_predicate(filters.by_ports(m, 0, 53), "srcport % 2 = 0 and udp_len > 50").where(~net.is_dnssec("qtype")).select("seq", "ts", "ip_src", "qname")
 
 
+# --- hours rolled up ---------------------------------------------------------
+
+_ITEMS_SQL = f"""
+WITH e AS (SELECT {{bucket}} AS interval_start, unnest([{{{{'kind': 'qname', 'key': qname}}}}, {{{{'kind': 'sld', 'key': array_to_string(list_slice(string_split(rtrim(qname, '.'), '.'), -2, -1), '.') || '.'}}}}]) AS e FROM q WHERE {_USABLE}),
+c AS (SELECT interval_start, e.kind AS kind, e.key AS key, count(*) AS n FROM e GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY interval_start, kind ORDER BY n DESC, key) AS INTEGER) AS rank FROM c)
+SELECT interval_start, kind, rank, key, n FROM r WHERE rank <= {{top}}"""
+
+
+@query(_ITEMS_SQL.format(bucket=DAY, top=5), "q")
+def top_names_rolled_up(spark, d):
+    """Days from sketches of their hours, then exact numbers of the candidates only."""
+    items = rollups.name_items(fx.dns_queries(spark, d))
+    days = rollups.merged_frequent(rollups.frequent(items), "1 day")
+    return rollups.exact_top(items, days, "1 day", 5)
+
+
+@query(_ITEMS_SQL.format(bucket="time_bucket(INTERVAL 7 day, ts, TIMESTAMP '1970-01-01')", top=12), "q")
+def top_names_of_small_sketches(spark, d):
+    """Sketches that are too small for all names, so some lists cannot be told from them and are counted in full."""
+    items = rollups.name_items(fx.dns_queries(spark, d))
+    weeks = rollups.merged_frequent(rollups.frequent(items, tracked=96), "7 days", tracked=96)
+    return rollups.exact_top(items, weeks, "7 days", 12, tracked=96)
+
+
+def _rolled_clients(address, where):
+    return f"""WITH c AS (SELECT *, {HOUR} AS hour, {DAY} AS day, date_trunc('week', ts)::TIMESTAMP AS week FROM q WHERE ip_type = 4 AND {where}),
+p AS (SELECT 'hour' AS period, hour AS interval_start, * FROM c UNION ALL SELECT 'day', day, * FROM c UNION ALL SELECT 'week', week, * FROM c)
+SELECT period, interval_start, count(DISTINCT {address})::BIGINT AS clients_v4, count(*) AS messages_v4 FROM p GROUP BY ALL"""
+
+
+@query(_rolled_clients("src_v4", "ip_dst <> '192.0.2.54'"), "q")
+def unique_clients_rolled_up(spark, d):
+    return rollups.clients_of(rollups.client_bitmaps(fx.dns_messages(spark, d), RESOLVERS))
+
+
+@query(_rolled_clients("dst_v4", "ip_src LIKE '10.1%'"), "q")
+def unique_servers_rolled_up(spark, d):
+    m = fx.dns_messages(spark, d)
+    return rollups.clients_of(rollups.client_bitmaps(m, m.where("not qr and ip_src like '10.1%'").select("ip_src"), measure_direction=1))
+
+
+_MARKS = [60, 120, 300, 600, 900, 1200, 1800, 2400, 2700, 2940, 3000]
+
+
+@query(
+    f"""WITH v AS (SELECT {DAY} AS interval_start, section, ttl FROM rr) SELECT interval_start, section, value, count_if(ttl <= value) AS n, true AS within FROM v, unnest({_MARKS}) AS t(value) GROUP BY ALL""",
+    "rr",
+)
+def ttl_distribution_rolled_up(spark, d):
+    """Days' distributions of times to live from their hours: no share is wrong by more than 1.5 percent."""
+    values = fx.dns_records(spark, d).select("ts", "section", F.col("ttl").alias("value"))
+    days = rollups.merged_distributions(rollups.distribution_sketches(values, by=("section",)), "1 day", ("section",))
+    table = rollups.distribution_table(days, _MARKS, ("section",))
+    day = net.interval_start("ts", "1 day").alias("interval_start")
+    exact = values.groupBy(day, "section").agg(F.count("*").alias("all"), *(F.count_if(F.col("value") <= m).alias(f"m{m}") for m in _MARKS))
+    exact = exact.select("interval_start", "section", "all", F.explode(F.create_map(*(x for m in _MARKS for x in (F.lit(m), F.col(f"m{m}"))))).alias("value", "n"))
+    both = exact.join(table, ["interval_start", "section", "value"])
+    return both.select("interval_start", "section", "value", "n", (F.abs(F.col("n") / F.col("all") - F.col("share")) <= 0.015).alias("within"))
+
+
 # --- report lines -----------------------------------------------------------
 
 @query(
