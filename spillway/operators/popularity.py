@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import net
+from ..shared import written
 from .filters import each_question, queries, to_addresses, usable, valid
 from .resolver import asked_first, directions, listed
 
@@ -25,12 +26,12 @@ def ranked_all(counts: DataFrame, group: list[str], key: str = "key") -> DataFra
     """Adds ``rank`` by falling count within the group, ties by key, to every row.
 
     Rows are dealt by ranges of the whole order, so a group of any size is spread; a range
-    ranks its own rows, and the numbers of rows in the ranges before it are added.
+    ranks its own rows, and the numbers of rows in the ranges before it are added.  The
+    ranges are written, as they are read twice and must be the same even if a task is lost.
     """
     order = [*group, F.desc("n"), key]
-    # a given number of ranges is not merged later, so both readers of them see the same ones
     n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = counts.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    parts = written(counts.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     own = F.row_number().over(Window.partitionBy("_part", *group).orderBy(F.desc("n"), key))
     sizes = parts.groupBy("_part", *group).agg(F.count("*").alias("_size"))  # as many rows as ranges and groups
     ahead = F.coalesce(F.sum("_size").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

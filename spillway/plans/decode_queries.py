@@ -176,15 +176,10 @@ FROM s JOIN g USING (seq) LEFT JOIN geo a ON a.from_ip = fa LEFT JOIN geo b ON b
     "q", "asn", "geo",
 )
 def log_client_subnets(spark, d):
-    """Queries with a client subnet, with the AS and country of the sender and of the subnet.
-
-    What was decoded is written once, as each lookup reads it twice: for its addresses and for its rows.
-    """
+    """Queries with a client subnet, with the AS and country of the sender and of the subnet."""
     q = filters.with_client_subnet(filters.queries(_messages(spark, d).where("ip_type = 4")))
     q = q.withColumns({"src_v4": net.ip4_from_bytes("src_addr"), "ecs_v4": net.ip4_from_bytes("ecs_addr")}).where("qname is not null")
-    path = fx.folder(spark)
-    q.select("ts", "qr", "is_valid", "has_ecs", "qtype", "qname", "ip_src", "ecs_ip", "ecs_src_scope", "src_v4", "ecs_v4").write.parquet(path)
-    q = spark.read.parquet(path)
+    q = q.select("ts", "qr", "is_valid", "has_ecs", "qtype", "qname", "ip_src", "ecs_ip", "ecs_src_scope", "src_v4", "ecs_v4")
     table, places = fx.ip4_to_as(spark, d), fx.ip4_to_location(spark, d)
     q = enrich.with_country(enrich.with_asn(q, "src_v4", table), "src_v4", places)
     return sinks.subnet_log(enrich.with_country(enrich.with_asn(q, "ecs_v4", table, "ecs_"), "ecs_v4", places, "ecs_country"))
