@@ -8,7 +8,9 @@ each worker, filled by encoding what the table lacks.  A text that the pre-token
 cannot split exactly as the library does (not NFC, a special string in it, letters whose
 lower case depends on the neighbours) is encoded whole by the library.
 
-Cases: a null or empty text has 0 bytes and 0 tokens; a very long text is counted whole; an
+Texts are taken in runs of about 2 MB, so what a task holds does not follow the batch.
+
+Cases: a null or empty text has 0 bytes and 0 tokens; a very long text is a run of its own; an
 empty table gives no rows; every input row gives one row, so repeated rows and ids stay;
 among equally frequent pre-tokens the smaller string enters the table, which changes no
 count; a null id stays null; extra columns are not read.
@@ -28,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import blocks, table, texts_of
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of the broadcast table, entries a task hands in, entries a task counts at once.
@@ -81,9 +83,11 @@ def pre_tokens(low: str) -> list[str]:
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if text and (low := lowered(text)) is not None:
-                counts.update(pre_tokens(low))
+        texts = texts_of(batch.column(0))
+        for a, b in blocks(texts):
+            for text in texts.slice(a, b - a).to_pylist():
+                if text and (low := lowered(text)) is not None:
+                    counts.update(pre_tokens(low))
         if len(counts) > COUNTED:
             counts = Counter(dict(counts.most_common(COUNTED // 2)))
     top = [(w, n) for w, n in counts.most_common(PER_TASK) if len(w) <= LONGEST]
@@ -110,9 +114,9 @@ def count_tokens(docs: DataFrame, id: str = "doc_id", text: str = "text", path:
         table, encode = known.value, _tokenizer(path).encode_batch
         cache = _worker.setdefault((path, "cache"), {})
         for batch in batches:
-            texts = texts_of(batch.column(1)).to_pylist()
-            for at in range(0, len(texts), 512):
-                some = texts[at : at + 512]
+            texts = texts_of(batch.column(1))
+            for at, end in blocks(texts):
+                some = texts.slice(at, end - at).to_pylist()
                 split = [None if (low := lowered(x)) is None else pre_tokens(low) for x in some]
                 seen: set[str] = set()
                 for pre in split:

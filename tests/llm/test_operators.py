@@ -97,6 +97,26 @@ def test_token_counts(spark, real):
     expected = collections.Counter((i, len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in rows)
     got = token_count.count_tokens(documents(spark, rows)).collect()
     assert collections.Counter(map(tuple, got)) == expected
+    assert token_count.count_tokens(documents(spark, [])).collect() == []
+    assert simhash_dedup.near_duplicates(documents(spark, [])).collect() == []
+
+
+def test_a_text_longer_than_any_run(spark):
+    """Above 2 MB a text is a run of its own, in each operator that reads runs."""
+    from tokenizers import Tokenizer
+
+    word = " ".join(f"w{i % 977} ord{i % 31}, and" for i in range(140_000))
+    assert len(word) > common.BLOCK_BYTES
+    docs = documents(spark, [(1, "a b c d e f"), (2, word), (3, None), (4, word[:100])])
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(docs).collect()}
+    assert got[2] == len(tok.encode(word, add_special_tokens=False).ids) and got[3] == 0
+    fps = {r.doc_id: r.fp for r in simhash_dedup.fingerprints(docs).collect()}
+    assert fps[2] % (1 << 64) == plain_fingerprint(word)
+    kept = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(docs).collect()}
+    assert kept[2] == (len(WORD.findall(word)), 0)
+    counts = {r.id: r.n_words for r in quality_rules.counts(docs).collect()}
+    assert counts[2] == len(WORD.findall(word))
 
 
 def test_byte_bpe_is_the_library_and_round_trips(spark, real):
