@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import decode_queries, lookup_queries, sql, traffic_queries  # noqa: F401  (the modules register their queries)
+from .plans import decode_queries, lookup_queries, sql, stream_queries, traffic_queries  # noqa: F401  (the modules register their queries)
 
 FLAGSHIP = "querypop_top"
 
