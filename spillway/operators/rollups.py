@@ -56,19 +56,16 @@ def exact_top(items: DataFrame, sketches: DataFrame, interval: str, top: int, tr
     """
     n_candidates = min(tracked, 4 * top)
     found = sketches.select("interval_start", "kind", "n", F.expr(f"approx_top_k_estimate(sketch, {n_candidates})").alias("e"))
-    # as many rows as intervals, kinds and candidates
+    # as many rows as intervals, kinds and candidates; a sketch may have given up keys however many it still has
     last = F.when(F.size("e") == n_candidates, F.element_at("e", -1)["count"]).otherwise(0)
-    bound = F.when(F.size("e") < tracked, last).otherwise(F.lit(0))
-    bound = F.greatest(bound, F.ceil(F.col("n") * error_share(tracked)))
-    # a sketch that is not full has every key
-    full = F.size("e") >= n_candidates
-    limits = found.select("interval_start", "kind", F.when(full, bound).otherwise(0).cast("long").alias("bound"))
+    bound = F.greatest(last, F.ceil(F.col("n") * error_share(tracked))).cast("long")
+    limits = found.select("interval_start", "kind", bound.alias("bound"))
     candidates = found.select("interval_start", "kind", F.explode("e").alias("c")).select("interval_start", "kind", F.col("c.item").alias("key"))
     keyed = items.where("key is not null").select(net.interval_start("ts", interval).alias("interval_start"), "kind", "key")
     counts = keyed.join(candidates, ["interval_start", "kind", "key"], "left_semi").groupBy("interval_start", "kind", "key").agg(F.count("*").alias("n"))
     best = ranked(counts, ["interval_start", "kind"], top)
     sure = best.groupBy("interval_start", "kind").agg(F.min("n").alias("least"), F.count("*").alias("listed")).join(limits, ["interval_start", "kind"])
-    sure = sure.where((F.col("least") > F.col("bound")) & ((F.col("listed") == top) | (F.col("bound") == 0))).select("interval_start", "kind")
+    sure = sure.where((F.col("least") > F.col("bound")) & (F.col("listed") == top)).select("interval_start", "kind")
     rest = keyed.join(sure, ["interval_start", "kind"], "left_anti").groupBy("interval_start", "kind", "key").agg(F.count("*").alias("n"))
     again = ranked(rest, ["interval_start", "kind"], top)
     out = best.join(sure, ["interval_start", "kind"], "left_semi").unionByName(again)

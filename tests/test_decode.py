@@ -374,3 +374,34 @@ def test_report_lines(spark, sf_dir, tmp_path):
     assert back.groupBy().sum("n").first()[0] == m.count()
     exact = {(r.interval_start, r.proto, r.port): r.ips_prob_count for r in darknet.ports(m, "1 day", exact=True).collect()}
     assert all(abs(exact[r.interval_start, r.proto, r.port] - r.ips_prob_count) <= 1 for r in darknet.ports(m, "1 day").collect())
+
+
+def test_dnstap_bytes_are_read_by_a_protobuf_library(spark):
+    """Against the published message types, declared to the library itself."""
+    from spillway import sinks
+
+    pytest.importorskip("google.protobuf")
+    from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
+
+    kinds = descriptor_pb2.FieldDescriptorProto
+    file = descriptor_pb2.FileDescriptorProto(name="tap.proto", package="t", syntax="proto2")
+    message, outer = file.message_type.add(name="Message"), file.message_type.add(name="Dnstap")
+    for name, number, kind in (
+        ("type", 1, kinds.TYPE_INT32), ("socket_family", 2, kinds.TYPE_INT32), ("socket_protocol", 3, kinds.TYPE_INT32), ("query_address", 4, kinds.TYPE_BYTES), ("query_port", 6, kinds.TYPE_UINT32),
+        ("query_time_sec", 8, kinds.TYPE_UINT64), ("query_time_nsec", 9, kinds.TYPE_FIXED32), ("query_message", 10, kinds.TYPE_BYTES),
+    ):
+        message.field.add(name=name, number=number, type=kind, label=kinds.LABEL_OPTIONAL)
+    for name, number, kind in (("identity", 1, kinds.TYPE_BYTES), ("version", 2, kinds.TYPE_BYTES), ("message", 14, kinds.TYPE_MESSAGE), ("type", 15, kinds.TYPE_INT32)):
+        outer.field.add(name=name, number=number, type=kind, label=kinds.LABEL_OPTIONAL, type_name=".t.Message" if name == "message" else None)
+    pool = descriptor_pool.DescriptorPool()
+    pool.Add(file)
+    tap = message_factory.GetMessageClass(pool.FindMessageTypeByName("t.Dnstap"))
+    rows = [("INET", "UDP", bytearray(b"\x0a\x00\x00\x01"), 53_535, 1_700_000_000, 123_456_000, bytearray(b"q" * 300)), ("INET6", "TCP", bytearray(range(16)), 1, 0, 0, bytearray(b""))]
+    schema = "socket_family string, socket_protocol string, query_address binary, query_port int, query_time_sec long, query_time_nsec long, query_message binary"
+    df = spark.createDataFrame(rows, schema).selectExpr("'me' identity", "'1' version", "'CLIENT_QUERY' type", "*")
+    for row, packed in zip(rows, sinks.dnstap_bytes(df).collect()):
+        found = tap.FromString(bytes(packed.value))
+        assert (found.identity, found.version, found.type) == (b"me", b"1", 1)
+        m = found.message
+        assert (m.type, m.socket_family, m.socket_protocol) == (5, 1 if row[0] == "INET" else 2, 1 if row[1] == "UDP" else 2)
+        assert (m.query_address, m.query_port, m.query_time_sec, m.query_time_nsec, m.query_message) == (bytes(row[2]), *row[3:6], bytes(row[6]))
