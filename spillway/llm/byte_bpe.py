@@ -43,7 +43,7 @@ from .common import blocks, table, texts_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words that a worker knows, at most, before it forgets them between two blocks.
-KNOWN = 400_000
+KNOWN = 200_000
 #: Characters of text whose new words are replayed together, and new words at which a replay begins earlier.
 BLOCK, NEW = 8 << 20, 300_000
 #: Above every rank.
