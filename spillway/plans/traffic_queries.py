@@ -117,19 +117,21 @@ def darknet_day_series(spark, d):
 
 
 # Counters by hand, so that no list is shared with the operators.
-_TYPES = (
-    "A 1, AAAA 28, AFSDB 18, APL 42, CERT 37, CNAME 5, DHCID 49, DLV 32769, DNAME 39, DNSKEY 48, DS 43, HIP 55, IPSECKEY 45, KEY 25, KX 36, LOC 29, MX 15, NAPTR 35, NS 2, NSEC 47, NSEC3 50, NSEC3PARAM 51, "
-    "PTR 12, RRSIG 46, RP 17, SIG 24, SOA 6, SPF 99, SRV 33, SSHFP 44, TA 32768, TKEY 249, TSIG 250, TXT 16, ANY 255, AXFR 252, IXFR 251, OPT 41"
-)
-_MORE_TYPES = _TYPES + ", CAA 257, TLSA 52"
-_CLASSES = "IN 1, CS 2, CH 3, HS 4, ANY 255"
+# Registered numbers of record types and classes.
+_TYPES = {
+    1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 12: "PTR", 15: "MX", 16: "TXT", 17: "RP", 18: "AFSDB", 24: "SIG", 25: "KEY", 28: "AAAA", 29: "LOC",
+    33: "SRV", 35: "NAPTR", 36: "KX", 37: "CERT", 39: "DNAME", 41: "OPT", 42: "APL", 43: "DS", 44: "SSHFP", 45: "IPSECKEY", 46: "RRSIG", 47: "NSEC",
+    48: "DNSKEY", 49: "DHCID", 50: "NSEC3", 51: "NSEC3PARAM", 55: "HIP", 99: "SPF", 249: "TKEY", 250: "TSIG", 251: "IXFR", 252: "AXFR", 255: "ANY",
+    32768: "TA", 32769: "DLV",
+}
+_MORE_TYPES = _TYPES | {52: "TLSA", 257: "CAA"}
+_CLASSES = {1: "IN", 2: "CS", 3: "CH", 4: "HS", 255: "ANY"}
 _RC = "CASE rcode WHEN 0 THEN 'NOERROR' WHEN 1 THEN 'FORMERR' WHEN 2 THEN 'SERVFAIL' WHEN 3 THEN 'NXDOMAIN' WHEN 4 THEN 'NOTIMPL' WHEN 5 THEN 'REFUSED' ELSE 'UNKNOWN' END"
 
 
 def _by_code(column, codes, prefix, where, weight, suffix="", unspecified=True):
-    pairs = [x.split() for x in codes.split(", ")]
-    fits = [(name, f"{column} = {code}") for name, code in pairs] + ([("UNSPECIFIED", f"{column} = 0")] if unspecified else [])
-    other = f"{column} NOT IN ({', '.join([c for _, c in pairs] + (['0'] if unspecified else []))})"
+    fits = [(name, f"{column} = {code}") for code, name in codes.items()] + ([("UNSPECIFIED", f"{column} = 0")] if unspecified else [])
+    other = f"{column} NOT IN ({', '.join([*map(str, codes)] + (['0'] if unspecified else []))})"
     return [f"coalesce(sum(CASE WHEN {where} AND {f} THEN {weight} END), 0)::BIGINT AS {prefix}_{n}{suffix}" for n, f in (*fits, ("UNKNOWN", other))]
 
 
@@ -138,8 +140,16 @@ _ITEMS = f"""i AS (
   SELECT {DAY} AS interval_start, feed_id AS scope, qr, is_valid, opcode, CASE WHEN qr THEN ip_src ELSE ip_dst END AS server, qtype AS t, qclass AS c, 1 AS w FROM m WHERE NOT qr AND n_questions > 0
   UNION ALL SELECT {DAY}, feed_id, qr, is_valid, opcode, CASE WHEN qr THEN ip_src ELSE ip_dst END, qtype2, 1, 1 FROM m WHERE NOT qr AND n_questions > 1
   UNION ALL SELECT {DAY}, feed_id, qr, is_valid, opcode, CASE WHEN qr THEN ip_src ELSE ip_dst END, ans_type, qclass, ans_count FROM m WHERE qr)"""
-_EDNS_SIZES = "below_512 <512, from_512 512-999, from_1000 1000-1499, from_1500 1500-1999, from_2000 2000-2499, from_2500 2500-2999, from_3000 3000-3499, from_3500 3500-3999, from_4000 4000-4499, from_4500 >4499"
-_RESPONSE_SIZES = "below_512 <512, from_512 512-1023, from_1024 1024-1535, from_1536 1536-2047, from_2048 2048-2559, from_2560 2560-3071, from_3072 3072-3583, from_3584 3584-4095, from_4096 >4095"
+# Classes of sizes.
+_EDNS_SIZES = {
+    "below_512": "<512", "from_512": "512-999", "from_1000": "1000-1499", "from_1500": "1500-1999", "from_2000": "2000-2499",
+    "from_2500": "2500-2999", "from_3000": "3000-3499", "from_3500": "3500-3999", "from_4000": "4000-4499", "from_4500": ">4499",
+}
+_RESPONSE_SIZES = {
+    "below_512": "<512", "from_512": "512-1023", "from_1024": "1024-1535", "from_1536": "1536-2047", "from_2048": "2048-2559",
+    "from_2560": "2560-3071", "from_3072": "3072-3583", "from_3584": "3584-4095", "from_4096": ">4095",
+}
+_METRIC_SIZES = {"le_512": "<513", "le_1280": "513-1280", "le_1500": "1281-1500", "le_4096": "1501-4096", "gt_4096": ">4096"}
 
 
 def _in_range(column, text):
@@ -147,7 +157,7 @@ def _in_range(column, text):
 
 
 def _sized(column, sizes, prefix, where, suffix=""):
-    return [f"count_if({where} AND {_in_range(column, r)}) AS {prefix}_{n}{suffix}" for n, r in (x.split() for x in sizes.split(", "))]
+    return [f"count_if({where} AND {_in_range(column, r)}) AS {prefix}_{n}{suffix}" for n, r in sizes.items()]
 
 
 def _stats_sql(apart, where="is_valid"):
@@ -182,8 +192,8 @@ _SHARES = {
     "v4": ("queries_v4", "queries"), "v6": ("queries_v6", "queries"), "tcp": ("queries_tcp", "queries"), "edns_on": ("edns_present", "queries"), "edns_off": ("edns_absent", "queries"), "edns_do": ("edns_do", "edns_present"),
     "edns_no_do": ("edns_no_do", "edns_present"), "edns_subnet": ("edns_subnet", "edns_present"), "edns_no_subnet": ("edns_no_subnet", "edns_present"), "fragmented": ("responses_fragmented", "responses"),
     "whole": ("responses_whole", "responses"), "truncated": ("responses_truncated", "responses"),
-    **{f"edns_size_{x.split()[0]}": (f"edns_size_{x.split()[0]}", "edns_present") for x in _EDNS_SIZES.split(", ")},
-    **{f"response_size_{x.split()[0]}": (f"response_size_{x.split()[0]}", "responses_sized") for x in _RESPONSE_SIZES.split(", ")}, **{x.lower(): (f"rcode_{x}", "responses") for x in _LABELS},
+    **{f"edns_size_{x}": (f"edns_size_{x}", "edns_present") for x in _EDNS_SIZES},
+    **{f"response_size_{x}": (f"response_size_{x}", "responses_sized") for x in _RESPONSE_SIZES}, **{x.lower(): (f"rcode_{x}", "responses") for x in _LABELS},
 }
 
 
@@ -361,8 +371,8 @@ def _metric_sql(scope="feed_id", where="is_valid"):
     ]
     messages = [
         "count_if(NOT qr AND opcode <> 4 AND n_questions = 0) AS q_malformed_ctr", "count_if(NOT qr AND opcode = 4) AS notify_in_ctr", "count_if(qr AND opcode = 4 AND rcode = 0) AS notify_out_ctr",
-        *_sized("edns0_max_size", "le_512 <513, le_1280 513-1280, le_1500 1281-1500, le_4096 1501-4096, gt_4096 >4096", "q_edns0_maxsize", "NOT qr AND has_edns0", "_ctr"),
-        *_sized("size", "le_512 <513, le_1280 513-1280, le_1500 1281-1500, le_4096 1501-4096, gt_4096 >4096", "r_rsize", "qr", "_ctr"),
+        *_sized("edns0_max_size", _METRIC_SIZES, "q_edns0_maxsize", "NOT qr AND has_edns0", "_ctr"),
+        *_sized("size", _METRIC_SIZES, "r_rsize", "qr", "_ctr"),
         "sum(CASE WHEN qr THEN ans_count + aut_count + add_count ELSE 0 END) AS r_total_rec_ctr", *(f"sum(CASE WHEN qr THEN {x}_count ELSE 0 END) AS r_total_{x}_rec_ctr" for x in ("ans", "aut", "add")),
         *(f"count_if(qr AND label = '{x}') AS r_rcode_{x.lower()}_ctr" for x in _LABELS),
     ]
