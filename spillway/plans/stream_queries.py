@@ -12,13 +12,15 @@ from ..streaming import stateful, windows
 from .lookup_queries import _PAIRS
 from .sql import DAY, query
 
+#: Rows of a file that lands, at most (about).
+FILE_ROWS = 1_500_000
 FEEDS = ("feed0", "feed1", "feed2")
 
 
 def _landed(spark, rows):
-    """A folder of rows in the order of time, as several files that a stream takes in turn."""
+    """A folder of rows in the order of time, as several files that a stream takes in turn; how many follows the number of rows."""
     path = fx.folder(spark)
-    rows.repartitionByRange(4, "ts").write.parquet(path)
+    rows.repartitionByRange(max(4, -(-rows.count() // FILE_ROWS)), "ts").write.parquet(path)
     return path
 
 

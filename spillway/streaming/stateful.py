@@ -1,10 +1,11 @@
 """Pairing, reassembly and scans as streams, by transformWithState: typed state for each key, pruned by event-time timers.
 
-What a key keeps is in states of its own kind: one value (the last query), a map from offset
-to fragment, a map of addresses.  A batch reads and writes the entries that it touches, so
-the cost of a batch follows its rows and not what is kept.  Each key has at most one timer;
-when the watermark passes it, the key's state goes, so what is kept is bounded by what
-came within the time limit.
+What a key keeps is in states of its own kind: a map from offset to fragment, a map of
+addresses.  A batch reads and writes the entries that it touches, so the cost of a batch
+follows its rows and not what is kept.  Each key has at most one timer; when the watermark
+passes it, the key's state goes, so what is kept is bounded by what came within the time
+limit.  Keys of pairs are dealt into buckets, with one list and one timer each: a batch reads
+and writes the lists of the buckets that it touches, which hold what came within the limit.
 
 transformWithState needs Spark's RocksDB state store; each function here chooses it for the
 session.
@@ -56,44 +57,75 @@ class _Timed(StatefulProcessor):
             self.handle.deleteTimer(t)
 
 
+_HELD = "client string, qname string, qclass int, qtype int, client_port int, query_id int, at long, size long"
+#: Groups that the keys of pairs are dealt into; the cost of a batch follows its rows, not its keys.
+BUCKETS = 1024
+
+
+def _values(column: pd.Series) -> list:
+    """Plain values, None for what is missing; whole numbers stay whole where a missing one made them fractions."""
+    if column.dtype == object:
+        return column.where(column.notna(), None).tolist()
+    return [None if x is pd.NA else x for x in column.astype("Int64").tolist()]
+
+
 class _Pairs(_Timed):
+    """Pairs of the keys of a bucket, all side by side; a bucket keeps one list, of the last query of each key that has no response yet."""
+
     def __init__(self, timeout_seconds: int):
-        self.timeout = timeout_seconds
+        self.timeout = timeout_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.held = handle.getValueState("held", "at long, size long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        m = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        at, qr, size = m["ts"].astype("datetime64[us]").astype("int64"), m["qr"].astype(bool), m["udp_len"].astype("int64")
-        kept = self.held.get() if self.held.exists() else None
-        # each message with the one before it; the first with what is kept
-        before = pd.DataFrame({"at": at.shift(), "size": size.shift(), "asks": (~qr).shift(fill_value=False)})
-        if kept is not None:
-            before.iloc[0] = (kept[0], kept[1], True)
-        met = (qr & before["asks"].astype(bool) & (at - before["at"] <= self.timeout * 1_000_000)).to_numpy()
-        if not qr.iloc[-1]:
-            self.held.update((int(at.iloc[-1]), int(size.iloc[-1])))
-            self.set_timer(int(at.iloc[-1]) // 1000 + self.timeout * 1000, timerValues.getCurrentWatermarkInMs())
-        elif kept is not None:
+        self.held = handle.getListState("held", _HELD)
+
+    def keep(self, held: pd.DataFrame, now_ms: int) -> None:
+        """Keeps the queries whose time is not over, and wakes up when the first one's is."""
+        held = held[held["at"] // 1000 + self.timeout // 1000 > now_ms]
+        if len(held):
+            self.held.put(list(zip(*(_values(held[c]) for c in (*match.KEY, "at", "size")))))
+            self.set_timer(int(held["at"].min()) // 1000 + self.timeout // 1000, now_ms)
+        else:
             self.held.clear()
             self.clear_timer()
-        query = pd.to_datetime(before["at"][met].astype("int64"), unit="us")
-        found = zip(query, m["ts"][met], before["size"][met].astype("int64").tolist(), size[met].tolist())
-        yield from _rows([(*key, *x) for x in found], _PAIRS)
+
+    def kept(self) -> pd.DataFrame:
+        return pd.DataFrame(list(self.held.get()), columns=[*match.KEY, "at", "size"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        m = pd.concat(list(rows), ignore_index=True)
+        m = m.assign(at=m["ts"].astype("datetime64[us]").astype("int64"), size=m["udp_len"].astype("int64"), qr=m["qr"].astype(bool), new=1)
+        m = m[[*match.KEY, "at", "size", "qr", "seq", "new"]]
+        if self.held.exists():
+            m = pd.concat([self.kept().assign(qr=False, seq=0, new=0), m], ignore_index=True)
+        m["_key"] = m.groupby(list(match.KEY), dropna=False, sort=False).ngroup()
+        m = m.sort_values(["_key", "new", "at", "seq"], ignore_index=True)
+        # each message with the one before it in its key; the first with what is kept
+        asked = (m["_key"].shift() == m["_key"]) & ~m["qr"].shift(fill_value=True)
+        at, size = m["at"].shift(fill_value=0), m["size"].shift(fill_value=0)
+        met = m["qr"] & asked & (m["at"] - at <= self.timeout)
+        self.keep(m[(m["_key"].shift(-1) != m["_key"]) & ~m["qr"]], timerValues.getCurrentWatermarkInMs())
+        if met.any():
+            found = m[met]
+            out = {c: pd.Series(_values(found[c]), dtype=object if k == "string" else "Int64") for c, k in (x.split() for x in _PAIRS.split(", ")[: len(match.KEY)])}
+            out |= {c: pd.to_datetime(x[met].to_numpy(), unit="us") for c, x in (("query_ts", at), ("response_ts", m["at"]))}
+            yield pd.DataFrame(out | {"q_udp_len": size[met].to_numpy(), "r_udp_len": found["size"].to_numpy()})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.held.clear()
+        self.keep(self.kept(), timerValues.getCurrentWatermarkInMs())
         yield from ()
 
 
-def stream_pairs(messages: DataFrame, timeout_seconds: int = 30) -> DataFrame:
-    """operators.match.match_qr on a stream: a key keeps its last query's time and size, for so long."""
+def stream_pairs(messages: DataFrame, timeout_seconds: int = 30, buckets: int = BUCKETS) -> DataFrame:
+    """operators.match.match_qr on a stream: a key keeps its last query's time and size, for so long.
+
+    Keys are dealt into buckets by their hash, as a key has hardly more than two messages;
+    how many there are must stay the same for a checkpoint.
+    """
     _choose_store(messages.sparkSession)
     m = match.keyed(messages).select(*match.KEY, "qr", F.col("ts").cast("timestamp").alias("ts"), "seq", "udp_len")
-    m = m.withWatermark("ts", f"{timeout_seconds} seconds").groupBy(*match.KEY)
-    return m.transformWithStateInPandas(_Pairs(timeout_seconds), _PAIRS, "append", "eventTime")
+    m = m.withWatermark("ts", f"{timeout_seconds} seconds").withColumn("_bucket", F.pmod(F.xxhash64(*match.KEY), F.lit(buckets)))
+    return m.groupBy("_bucket").transformWithStateInPandas(_Pairs(timeout_seconds), _PAIRS, "append", "eventTime")
 
 
 _PACKETS = "src_addr binary, dst_addr binary, ip_proto smallint, frag_id long, ts timestamp, segment binary"
