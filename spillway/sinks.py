@@ -35,21 +35,19 @@ def query_response_log(dns: DataFrame) -> DataFrame:
     Needs the arrays questions, answers, authorities and additionals of decoded messages.
     """
     client = F.when(F.col("qr"), F.col("ip_dst")).otherwise(F.col("ip_src"))
-    base = [F.col("seq"), _seconds().alias("timestamp"), client.alias("client")]
-    parts = []
-    for kind, column, where in (("Q(Q)", "questions", ~F.col("qr")), ("Q(R)", "questions", F.col("qr")), ("R(ANS)", "answers", F.col("qr")), ("R(AUT)", "authorities", F.col("qr")), ("R(ADD)", "additionals", F.col("qr"))):
-        each = dns.where(where).select(*base, F.col("rcode"), F.posexplode(column).alias("pos", "e"))
-        question = column == "questions"
-        parts.append(
-            each.select(
-                "seq", F.lit(kind).alias("part"), "pos", "timestamp", "client", net.qclass_name("e.qclass" if question else "e.class").alias("class"), net.qtype_name("e.qtype" if question else "e.type").alias("type"),
-                (F.col("e.qname") if question else F.coalesce("e.rdata_txt", "e.name")).alias("name"), net.rcode_name("rcode").alias("rcode"),
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def entries(column: str, kind: Column, klass: str, type_: str, name) -> Column:
+        return F.transform(column, lambda e, i: F.struct(kind.alias("part"), i.alias("pos"), e[klass].alias("class"), e[type_].alias("type"), name(e).alias("name")))
+
+    record = lambda e: F.coalesce(e["rdata_txt"], e["name"])
+    asked = entries("questions", F.when(F.col("qr"), "Q(R)").otherwise("Q(Q)"), "qclass", "qtype", lambda e: e["qname"])
+    held = [F.when(F.col("qr"), entries(column, F.lit(kind), "class", "type", record)) for kind, column in (("R(ANS)", "answers"), ("R(AUT)", "authorities"), ("R(ADD)", "additionals"))]
+    # all lists as one, so that messages are decoded once
+    each = F.explode(F.flatten(F.array_compact(F.array(asked, *held)))).alias("e")
+    out = dns.where("qr is not null").select("seq", _seconds().alias("timestamp"), client.alias("client"), "rcode", each)
+    return out.select(
+        "seq", "e.part", "e.pos", "timestamp", "client", net.qclass_name("e.class").alias("class"), net.qtype_name("e.type").alias("type"), "e.name", net.rcode_name("rcode").alias("rcode")
+    )
 
 
 def _dated(dns: DataFrame, *columns: Column | str) -> DataFrame:
