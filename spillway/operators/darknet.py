@@ -15,7 +15,8 @@ SATURATED = 256
 
 
 def _distinct(column: str, exact: bool) -> Column:
-    return F.count_distinct(column) if exact else F.approx_count_distinct(column, 0.0087)
+    # sketches of few values are small, unlike registers of a fixed size, and most ports have few
+    return F.count_distinct(column) if exact else F.hll_sketch_estimate(F.hll_sketch_agg(column, F.lit(14)))
 
 
 def ports(packets: DataFrame, interval: str = "300 seconds", exact: bool = False) -> DataFrame:
@@ -50,28 +51,31 @@ def scan_queries(dns: DataFrame, low: int, high: int) -> DataFrame:
 def scans(dns: DataFrame, low: int, high: int, query_threshold: int = 1) -> DataFrame:
     """Questions asked of more than ``query_threshold`` addresses in [low, high] (IPv4): key, ip_count, saturated, approx, seen, first_seen, last_seen.
 
-    ip_count is exact below SATURATED addresses; from there ``saturated`` is set and ``approx``
-    has the estimate, else 0.
+    ip_count goes up to SATURATED addresses; from there ``saturated`` is set and ``approx``
+    has their number, else 0: exactly, as each question's addresses are told apart anyway.
     """
-    return _scans(scan_queries(dns, low, high).withColumnRenamed("dst_v4", "dst"), query_threshold)
+    return _scans(scan_queries(dns, low, high).withColumnRenamed("dst_v4", "dst"), query_threshold, SATURATED)
 
 
-def scans_of_blocks(dns: DataFrame, blocks: list[tuple[str, DataFrame]], query_threshold: int = 1) -> DataFrame:
-    """``scans`` over sets of blocks: (address column, blocks) of IPv4 numbers, of 16 bytes, or of both; a key's addresses of all count."""
+def scans_of_blocks(dns: DataFrame, blocks: list[tuple[str, DataFrame]], query_threshold: int = 1, saturated: int | None = SATURATED) -> DataFrame:
+    """``scans`` over sets of blocks: (address column, blocks) of IPv4 numbers, of 16 bytes, or of both; a key's addresses of all count.
+
+    ``saturated``: the number of addresses that ip_count goes up to; with None it is always their number.
+    """
     parts = []
     for address, of in blocks:
         q = scan_queries_of_blocks(dns, of, address)
         parts.append(q.withColumn("dst", F.hex("dst")))
-    return _scans(reduce(DataFrame.unionByName, parts), query_threshold)
+    return _scans(reduce(DataFrame.unionByName, parts), query_threshold, saturated)
 
 
-def _scans(q: DataFrame, query_threshold: int) -> DataFrame:
+def _scans(q: DataFrame, query_threshold: int, saturated: int | None) -> DataFrame:
     # one row for each question and address first, so the distinct count is a plain one
     one = q.groupBy("key", "dst").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
-    out = one.groupBy("key").agg(F.count("*").alias("exact"), F.approx_count_distinct("dst", 0.0087).alias("estimate"), F.sum("n").alias("seen"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"))
-    full = F.col("exact") >= SATURATED
+    out = one.groupBy("key").agg(F.count("*").alias("exact"), F.sum("n").alias("seen"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"))
+    full = F.lit(False) if saturated is None else F.col("exact") >= saturated
     return out.where(F.col("exact") > query_threshold).select(
-        "key", F.least("exact", F.lit(SATURATED)).cast("long").alias("ip_count"), full.alias("saturated"), F.when(full, F.col("estimate")).otherwise(0).cast("long").alias("approx"), "seen", "first_seen", "last_seen"
+        "key", F.when(full, F.lit(saturated)).otherwise(F.col("exact")).cast("long").alias("ip_count"), full.alias("saturated"), F.when(full, F.col("exact")).otherwise(0).cast("long").alias("approx"), "seen", "first_seen", "last_seen"
     )
 
 
