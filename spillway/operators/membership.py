@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Bits of a filter and positions of an item: about one wrong answer in 100 at 100,000 items.
 BITS, HASHES = 1 << 20, 7
 WIDTH = 32
+#: Words up to which an interval's filter is joined as one row.
+WHOLE = 1 << 15
 
 
 def positions(item: Column | str, bits: int = BITS, hashes: int = HASHES) -> Column:
@@ -36,9 +38,24 @@ def merge(filters: DataFrame, interval: str = "1 day") -> DataFrame:
     return filters.groupBy(start, "word").agg(F.bit_or("bits").alias("bits"))
 
 
+def _whole(filters: DataFrame, words: int) -> DataFrame:
+    """interval_start and _words, all words of its filter in their order."""
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(words - 1).cast("long"))).alias("word")
+    bits = F.shiftright(F.shiftleft("bits", 64 - WIDTH), 64 - WIDTH).cast("int")  # the sign is the highest bit
+    every = filters.select("interval_start").distinct().select("interval_start", number)
+    full = every.join(filters, ["interval_start", "word"], "left").groupBy("interval_start").agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce(bits, F.lit(0)).alias("bits")))).alias("_w"))
+    return full.select("interval_start", F.col("_w.bits").alias("_words"))
+
+
 def contains(filters: DataFrame, asked: DataFrame, bits: int = BITS, hashes: int = HASHES) -> DataFrame:
     """(interval_start, item, found) for each distinct row of ``asked``: false for certain, true very likely."""
     each = asked.select("interval_start", "item").distinct()
+    if bits <= WHOLE * WIDTH:
+        # items meet their interval's words in one row, so neither they nor their bits are dealt by word
+        held = each.join(_whole(filters, -(-bits // WIDTH)), "interval_start", "left")
+        hit = F.forall(positions("item", bits, hashes), lambda at: F.call_function("shiftright", F.get("_words", F.floor(at / WIDTH).cast("int")), (at % WIDTH).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        nothing = F.col("item").isNull() | F.col("_words").isNull()
+        return held.select("interval_start", "item", F.when(nothing, False).otherwise(hit).alias("found"))
     probes = each.select("interval_start", "item", F.explode_outer(F.array_distinct(positions("item", bits, hashes))).alias("at"))
     probes = probes.withColumn("word", F.floor(F.col("at") / WIDTH).cast("long"))
     hit = F.expr(f"coalesce(shiftright(bits, cast(at % {WIDTH} as int)) & 1, 0)") == 1
