@@ -38,9 +38,12 @@ def captures_streamed_through(spark, d):
     frames = written(fx.dns_frames(spark, d))
     for feed in FEEDS:
         pcap.write_captures(frames.where(F.col("feed_id") == feed), f"{landed}/{feed}", per_file=5000)
+    started = []
     for feed in ("feed0", "feed2"):
         stream = live.stream_captures(spark, landed, f"{own}/progress-{feed}", [feed], packets=20_000)
-        running = pcap.stream_captures_out(stream, f"{out}/{feed}", f"{own}/checkpoint-{feed}", interval=86_400, every="0 seconds")
+        started.append(pcap.stream_captures_out(stream, f"{out}/{feed}", f"{own}/checkpoint-{feed}", interval=86_400, every="0 seconds"))
+    # both feeds' streams run side by side
+    for running in started:
         running.processAllAvailable()
         running.stop()
     m = decode.dns_header(decode.dns_payload(decode.decode_packets(splits.read_split(spark, splits.capture_files(spark, out)))))
