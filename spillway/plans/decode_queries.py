@@ -8,6 +8,7 @@ from .. import fixtures as fx
 from .. import sinks
 from ..functions import net
 from ..operators import darknet, decode, enrich, filters, popularity, reassembly, traffic
+from ..shared import written
 from ..sources import pcap, splits, tables
 from .sql import DAY, query
 
@@ -100,9 +101,13 @@ _RR = f"""rrs AS (
 
 @query(f"WITH {_RR} SELECT ts, qr, section, pos, name, type, class, ttl, rdata_txt FROM rrs", "m")
 def decoded_records(spark, d):
-    m = _messages(spark, d)
-    parts = [m.select("ts", "qr", F.lit(section).alias("section"), F.posexplode(column).alias("pos", "r")) for section, column in (("answer", "answers"), ("authority", "authorities"))]
-    return parts[0].unionByName(parts[1]).select("ts", "qr", "section", "pos", "r.name", "r.type", "r.class", "r.ttl", "r.rdata_txt")
+    m = _messages(spark, d, sections=("answers", "authorities", "edns0"))
+
+    def entries(column, section):
+        return F.transform(column, lambda r, i: F.struct(F.lit(section).alias("section"), i.alias("pos"), *(r[c].alias(c) for c in ("name", "type", "class", "ttl", "rdata_txt"))))
+
+    # both lists as one, so that messages are decoded once
+    return m.select("ts", "qr", F.explode(F.concat(entries("answers", "answer"), entries("authorities", "authority"))).alias("r")).select("ts", "qr", "r.*")
 
 
 @query("SELECT ts, qr, qname, qtype FROM m WHERE n_questions > 0", "m")
@@ -127,7 +132,7 @@ _LENGTH = f"""(12 + CASE n_questions WHEN 0 THEN 0 WHEN 1 THEN length(qname) + 5
 def decoded_fragments(spark, d):
     """Fragments, last ones first, put together and decoded; packets with a fragment missing do not come out."""
     whole = reassembly.reassemble(decode.internet(decode.ethernet(fx.fragment_frames(spark, d))))
-    m = decode.decode_dns(decode.transport(whole))
+    m = decode.decode_dns(decode.transport(whole), sections=("answers", "edns0"))
     return m.select("ip_src", "ip_dst", "query_id", "qr", "qname", F.size("answers").alias("ans_count"), "udp_len", "is_reassembled")
 
 
@@ -197,7 +202,7 @@ FROM m WHERE qr AND ip_type = 4 AND NOT is_tcp""",
     "m",
 )
 def decoded_denat_responses(spark, d):
-    return sinks.denat_responses(_messages(spark, d))
+    return sinks.denat_responses(_messages(spark, d, sections=("answers", "edns0")))
 
 
 @query(
@@ -223,7 +228,8 @@ def decoded_cut_messages(spark, d):
     size = F.octet_length("data")
     cut = F.expr("case seq % 5 when 0 then 47 when 1 then octet_length(data) - 1 when 2 then 54 else octet_length(data) end")
     f = f.select("ts", "feed_id", F.least(size, cut).alias("caplen"), F.expr("data").alias("data")).withColumn("data", F.substring(F.col("data"), F.lit(1), F.col("caplen")))
-    return decode.decode_dns(decode.decode_packets(f), keep_malformed=True).select("ts", "qr", "is_valid", "is_partial", "parse_error")
+    # no list is given out, but all records are walked: where a message ends too early is their matter
+    return decode.decode_dns(decode.decode_packets(f), sections=("edns0",), keep_malformed=True).select("ts", "qr", "is_valid", "is_partial", "parse_error")
 
 
 _HEX6 = "lpad(regexp_extract(ip_src, '^2001:db8:1:([0-9]+)', 1), 4, '0')"
@@ -262,7 +268,8 @@ def captures_read_back(spark, d):
 def captures_read_in_ranges(spark, d):
     """Packets written as a few long capture files, which many tasks read by byte ranges."""
     path = fx.folder(spark)
-    pcap.write_captures(fx.dns_frames(spark, d).coalesce(2), path)
+    # a range partition's bounds need a first look at the rows, so they are worked out once before
+    pcap.write_captures(written(fx.dns_frames(spark, d)), path)
     m = decode.dns_header(decode.dns_payload(decode.decode_packets(splits.read_split(spark, splits.capture_files(spark, path), split=splits.LOOK))))
     return m.groupBy("ip_type", "is_tcp", "qr").agg(F.count("*").alias("packets"))
 
