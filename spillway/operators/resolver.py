@@ -9,17 +9,33 @@ from ..functions import net
 from .filters import valid, without
 
 
+#: Messages of one address that are joined in one task (about); those of more frequent addresses are dealt into parts.
+PART_ROWS = 1_000_000
+
+
 def listed(df: DataFrame, resolver_ips: list[str] | DataFrame) -> tuple[DataFrame, Column, Column]:
     """The messages, and whether their source and destination are resolvers; '*' is any address.
 
     A DataFrame's first column lists addresses in any number and is joined; a list becomes
-    part of the expression.
+    part of the expression.  Most messages have the same few servers, so addresses are
+    counted first: the join deals a frequent one's messages (null is one, too) by parts, of
+    which each finds its own copy of the address.
     """
     if not isinstance(resolver_ips, DataFrame):
         return df, *(F.lit(True) if "*" in resolver_ips else F.col(c).isin(resolver_ips) for c in ("ip_src", "ip_dst"))
     one = resolver_ips.select(F.col(resolver_ips.columns[0]).alias("_ip")).where("_ip is not null").distinct()
+    counts = df.select(F.explode(F.array("ip_src", "ip_dst")).alias("_often")).groupBy("_often").agg(F.count("*").alias("_n"))
+    # at most two rows for PART_ROWS messages
+    often = F.broadcast(counts.where(F.col("_n") > PART_ROWS).select("_often", F.ceil(F.col("_n") / PART_ROWS).alias("_parts")))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1).cast("long")) - 1))
+    # null-safe here too, so that all three joins share one table of frequent addresses
+    one = one.join(often, F.col("_ip").eqNullSafe(F.col("_often")), "left").select("_ip", copies.alias("_copy"))
+    part = F.coalesce(F.pmod(F.xxhash64("ts", "ip_src", "ip_dst", "srcport", "dstport"), "_parts"), F.lit(0).cast("long"))
     for side in ("src", "dst"):
-        df = df.join(one.select(F.col("_ip").alias(f"_is_{side}")), F.col(f"ip_{side}") == F.col(f"_is_{side}"), "left")
+        ip = F.col(f"ip_{side}")
+        df = df.join(often, ip.eqNullSafe(F.col("_often")), "left").withColumn("_part", part).drop("_often", "_parts")
+        copy = one.select(F.col("_ip").alias(f"_is_{side}"), "_copy")
+        df = df.join(copy, (ip == F.col(f"_is_{side}")) & (F.col("_part") == F.col("_copy")), "left").drop("_part", "_copy")
     return df, F.col("_is_src").isNotNull(), F.col("_is_dst").isNotNull()
 
 

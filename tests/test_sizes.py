@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spillway import fixtures as fx
 from spillway import sinks
 from spillway.functions import net
-from spillway.operators import darknet, decode, filters, membership
+from spillway.operators import darknet, decode, filters, membership, resolver
 from spillway.plans import stream_queries
 
 
@@ -96,3 +96,25 @@ def test_files_that_land_follow_the_rows(spark, monkeypatch):
     assert len(spark.read.parquet(stream_queries._landed(spark, rows)).inputFiles()) == 4
     monkeypatch.setattr(stream_queries, "FILE_ROWS", 100)
     assert len(spark.read.parquet(stream_queries._landed(spark, rows)).inputFiles()) == 10
+
+
+def test_a_frequent_address_is_dealt_into_parts(spark, monkeypatch):
+    """Most messages have one server: they are joined in many tasks, with the same answers, listed or not, null or not."""
+    ip = "case id % 10 when 8 then null when 9 then concat('c', cast(id % 7 as string)) else '{}' end"
+    m = spark.range(4000).selectExpr("timestamp_seconds(id) ts", f"{ip.format('hot')} ip_src", f"{ip.format('warm')} ip_dst", "cast(id % 1000 as int) srcport", "53 dstport")
+    table = spark.createDataFrame([("hot",), ("hot",), ("c3",), (None,), ("other",)], "ip string")
+    monkeypatch.setattr(resolver, "PART_ROWS", 100, raising=False)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    was = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in zip(names, ("-1", "false", "16")):
+            spark.conf.set(k, v)
+        got, src, dst = resolver.listed(m, table)
+        rows = got.select("ts", "ip_src", "ip_dst", src.alias("s"), dst.alias("d"), F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 4000 == len({r.ts for r in rows})
+    assert all(r.s == (r.ip_src in ("hot", "c3")) and r.d == (r.ip_dst == "c3") for r in rows) and any(r.d for r in rows)
+    for address in ("warm", None):
+        assert len({r.task for r in rows if r.ip_dst == address}) > 3, address
