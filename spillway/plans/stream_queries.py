@@ -20,10 +20,18 @@ FEEDS = ("feed0", "feed1", "feed2")
 def _landed(spark, rows):
     """A folder of rows in the order of time, as several files that a stream takes in turn; how many follows the number of rows."""
     path = fx.folder(spark)
-    rows.repartitionByRange(max(4, -(-rows.count() // FILE_ROWS)), "ts").write.parquet(path)
+    # many rows may have one time, so it is dealt further
+    rows.repartitionByRange(max(4, -(-rows.count() // FILE_ROWS)), F.col("ts"), F.xxhash64(*rows.columns)).write.parquet(path)
     return path
 
 
+def _span(spark, path):
+    """From the first to the last row that landed: as late as a row can be, as files are written side by side and a stream takes the one that was ready first."""
+    seconds = F.unix_seconds("ts")
+    span = spark.read.parquet(path).agg(F.max(seconds) - F.min(seconds) + 1).first()[0]
+    return windows.LATE if span is None else f"{span} seconds"
+
+
 def _kept(spark, stream, mode="append"):
     """What a stream gives out until all is taken, each batch in a folder of its own."""
     out, at = fx.folder(spark), fx.folder(spark)
@@ -54,8 +62,9 @@ def captures_streamed_through(spark, d):
 def stream_feed_totals(spark, d):
     """Days of two feeds of a stream of Parquet files, the open last ones too."""
     m = fx.dns_messages(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = tables.read_feed(spark, _landed(spark, m), m.schema, ["feed0", "feed2"], files_per_trigger=2)
-    counted = windows.on_stream(stream, traffic.by_feed, ["feed0", "feed2"], "1 day")
+    landed = _landed(spark, m)
+    stream = tables.read_feed(spark, landed, m.schema, ["feed0", "feed2"], files_per_trigger=2)
+    counted = windows.on_stream(stream, traffic.by_feed, ["feed0", "feed2"], "1 day", late=_span(spark, landed))
     path = fx.folder(spark)
     windows.run_to_end(counted, path, fx.folder(spark)).awaitTermination()
     last = windows.last_rows(spark, path, ["interval_start", "feed_id"])

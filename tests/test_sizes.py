@@ -118,3 +118,28 @@ def test_a_frequent_address_is_dealt_into_parts(spark, monkeypatch):
     assert all(r.s == (r.ip_src in ("hot", "c3")) and r.d == (r.ip_dst == "c3") for r in rows) and any(r.d for r in rows)
     for address in ("warm", None):
         assert len({r.task for r in rows if r.ip_dst == address}) > 3, address
+
+
+def test_rows_of_one_time_land_in_several_files(spark):
+    rows = spark.range(4000).selectExpr("id", "timestamp_seconds(1700000000) ts")
+    path = stream_queries._landed(spark, rows)
+    held = [r[1] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert sum(held) == 4000 and len(held) == 4 and max(held) < 2000
+
+
+def test_totals_of_files_that_land_in_any_order(spark, sf_dir, monkeypatch):
+    """Files are written side by side, so the one with the last rows may be ready first."""
+
+    def last_first(spark, rows):
+        path = fx.folder(spark)
+        day = F.to_date("ts")
+        days = sorted(r[0] for r in rows.select(day).distinct().collect())
+        for at in range(len(days) - 1, -1, -6):
+            rows.where(day.isin(days[max(0, at - 5) : at + 1])).coalesce(1).write.mode("append").parquet(path)
+        return path
+
+    monkeypatch.setattr(stream_queries, "_landed", last_first)
+    m = fx.dns_messages(spark, sf_dir).where("feed_id <> 'feed1'").groupBy(F.to_date("ts").alias("day"), "feed_id").count()
+    want = {(r.day, r.feed_id): r["count"] for r in m.collect()}
+    got = stream_queries.stream_feed_totals(spark, sf_dir).collect()
+    assert {(r.interval_start.date(), r.feed_id): r.packets for r in got} == want and len(got) == len(want)
